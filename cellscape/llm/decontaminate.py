@@ -15,7 +15,6 @@ empty tables give no hits.  Null item ids are listed as the empty string.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -237,20 +236,47 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 hit.append(k)
                 removed.append(k > max_coverage * n)
                 if k and not removed[-1]:
-                    places = [m.span() for m in WORD.finditer(text.lower())]
-                    at, kept = 0, []
-                    for x, y in whole:
-                        kept.append(text[at : places[x][0]])
-                        at = places[y - 1][1]
-                    text = b"".join([*kept, text[at:]])
+                    text = cut_spans(text, whole)
                 clean.append(None if removed[-1] else text.decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x or []) for x in items], pa.list_(pa.string())), pa.array([x > 0 for x in hit]), pa.array(removed)], names=[id_col, "clean", "n_words", "n_hit", "items", "contaminated", "removed"])
 
     return found.mapInArrow(run, f"`{id_col}` {kind}, clean string, n_words long, n_hit long, items array<string>, contaminated boolean, removed boolean")
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the bytes from the first to the last word of each span."""
+    places = [m.span() for m in WORD.finditer(text.lower())]
+    at, kept = 0, []
+    for x, y in spans:
+        kept.append(text[at : places[x][0]])
+        at = places[y - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, block_words: int = 1_000_000, max_coverage: float = 0.5) -> DataFrame:
+    """The rows of docs with hit spans cut out of the text; rows hit on more than max_coverage of their words go.
+
+    All other columns stay as they are.  Blocks of items work one after another, each on what the one before left.
+    """
+    at = docs.columns.index(text_col)
+    for block in blocks_of(items, "item_id", "text", block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared, window)
+            for b in slices(batches, text_col):
+                texts, keep = b.column(at).to_pylist(), []
+                for i, text in enumerate(texts_of(b.column(at))):
+                    words = words_of(text)
+                    whole = merged(automaton.spans(words)[0])
+                    hit = sum(y - x for x, y in whole)
+                    keep.append(hit <= max_coverage * len(words))
+                    if hit:
+                        texts[i] = cut_spans(text, whole).decode()
+                yield b.set_column(at, b.schema.field(at).name, pa.array(texts, pa.string())).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op7_decontamination(spark, sf_dir: str, window: int = 10) -> DataFrame:

@@ -155,6 +155,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored(rows, model, id_col)
 
 
+def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is at least `least`, as they are; learns from all labelled rows."""
+    known = labels.select(F.col(id_col), F.col(label_col).alias("label"))
+    model = fit(with_statistics(docs.join(known.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col).join(known, id_col).select("label", "x"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            x = np.array([statistics(t) for t in texts_of(b.column(at))])
+            yield b.filter(pa.array(model.scores(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training=~held_out)
