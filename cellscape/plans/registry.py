@@ -1,4 +1,35 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query and its DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query module registers with `query(name, sql, views)`: sql is the DuckDB text after the WITH clause of the named views.
+"""
+
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from cellscape.plans.fixtures import with_views
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = ()):
+    """Register the decorated (spark, sf_dir) function."""
+
+    def keep(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            head = with_views(*((views,) if isinstance(views, str) else views)) if views else ""
+            ORACLES[name] = head + (", " + sql if sql.lstrip().startswith("__") else sql)
+        return f
+
+    return keep
+
+
+for _module in ("cells", "bands", "catalog", "spatial", "series", "focal", "summaries", "spectral", "regions", "learning", "streams"):
+    try:
+        importlib.import_module(f"cellscape.plans.{_module}")
+    except ModuleNotFoundError as e:
+        if e.name != f"cellscape.plans.{_module}":
+            raise
