@@ -36,6 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "predictions": (("embeddings",), "SELECT vec_id, CAST(label AS INT) AS y_true, CAST(CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 WHEN vec_id % 37 = 0 THEN -1 ELSE label END AS INT) AS y_pred FROM embeddings"),
     "tile_verdicts": (("events",), "SELECT user_id AS image_id, event_id AS tile_id, CASE event_type WHEN 'view' THEN 'correct' WHEN 'click' THEN 'correct' WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'unsure' ELSE 'correct' END ELSE CASE WHEN user_id % 3 = 0 THEN 'wrong' ELSE NULL END END AS verdict FROM events"),
     "spectra": (("embeddings",), "SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE) + 0.6) AS spectrum FROM embeddings"),
+    "rasters": (("supplier",), "SELECT s_suppkey AS raster_id, CAST(40 + s_suppkey % 3 AS INT) AS width, CAST(50 AS INT) AS height, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 4326 ELSE 3857 END AS INT) AS srid, CASE WHEN s_suppkey % 4 = 0 THEN 0.0001 ELSE 10.0 + s_suppkey % 2 END AS dx, CASE WHEN s_suppkey % 4 = 0 THEN 0.0001 ELSE 10.0 END AS dy, CASE WHEN s_suppkey % 4 = 0 THEN 20.0 + s_suppkey % 50 ELSE 1000000.0 + s_suppkey * 1000 END AS x0, CASE WHEN s_suppkey % 4 = 0 THEN 50.0 - s_suppkey % 90 ELSE 5000000.0 - s_suppkey * 500 END AS y0, CASE s_suppkey % 8 WHEN 0 THEN 'B4' WHEN 1 THEN 'b08' WHEN 2 THEN 'Red' WHEN 3 THEN 'sigma_VV_db' WHEN 4 THEN 'swir16' WHEN 5 THEN 'B05' WHEN 6 THEN 'nir' ELSE 'something' END AS label, CASE s_suppkey % 4 WHEN 0 THEN 'Sentinel-2A MSIL2A' WHEN 1 THEN 'LANDSAT_8' WHEN 2 THEN 's1a iw' ELSE 'unknown craft' END AS platform, CASE s_suppkey % 5 WHEN 0 THEN '2021-3-05' WHEN 1 THEN '05/03/2021' WHEN 2 THEN '13-02-2020' WHEN 3 THEN '02/14/2020T00:00' ELSE '2020-13-40' END AS date_text, CASE s_suppkey % 6 WHEN 0 THEN '665 nm' WHEN 1 THEN '0.842 um' WHEN 2 THEN '1610.4' WHEN 3 THEN '2.2' WHEN 4 THEN 'band 7' ELSE 'none' END AS wavelength_text FROM supplier"),
     "band_catalog": ((), "SELECT id AS band, 400 + 32 * id AS wl_nm FROM range(64)"),
 }
 #: Where DuckDB says a view otherwise.
