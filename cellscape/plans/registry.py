@@ -21,7 +21,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = ()):
         QUERIES[name] = f
         if sql is not None:
             head = with_views(*((views,) if isinstance(views, str) else views)) if views else ""
-            ORACLES[name] = head + (", " + sql if sql.lstrip().startswith("__") else sql)
+            more = sql.lstrip().startswith("__")  # further named subqueries of the query itself
+            ORACLES[name] = head + (", " if head else "WITH ") * more + sql
         return f
 
     return keep
