@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = ()):
+def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = (), recursive: bool = False):
     """Register the decorated (spark, sf_dir) function."""
 
     def keep(f: Callable) -> Callable:
@@ -22,7 +22,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = ()):
         if sql is not None:
             head = with_views(*((views,) if isinstance(views, str) else views)) if views else ""
             more = sql.lstrip().startswith("__")  # further named subqueries of the query itself
-            ORACLES[name] = head + (", " if head else "WITH ") * more + sql
+            text = head + (", " if head else "WITH ") * more + sql
+            ORACLES[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
         return f
 
     return keep
