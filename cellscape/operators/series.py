@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from cellscape.functions.special import normal_p, student_p
 
 YEAR = 365.2425
-_by = W.partitionBy("cell").orderBy("d")
+
+
+def _by():
+    return W.partitionBy("cell").orderBy("d")
 
 
 def lag_features(series: DataFrame, lags: list[int]) -> DataFrame:
     """One column a lag: positive lags look back, negative ones ahead, by position."""
-    return series.withColumns({f"lag_{k}" if k >= 0 else f"lead_{-k}": F.lag("y", k).over(_by) for k in lags})
+    return series.withColumns({f"lag_{k}" if k >= 0 else f"lead_{-k}": F.lag("y", k).over(_by()) for k in lags})
 
 
 def fill_gaps(series: DataFrame, method: str = "linear", limit: int | None = None) -> DataFrame:
@@ -24,9 +27,9 @@ def fill_gaps(series: DataFrame, method: str = "linear", limit: int | None = Non
 
     With a limit, at most that many missing values in a row are filled after a valid one (for linear and nearest: also before one).
     """
-    back, ahead = _by.rowsBetween(W.unboundedPreceding, 0), _by.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = _by().rowsBetween(W.unboundedPreceding, 0), _by().rowsBetween(0, W.unboundedFollowing)
     valid = F.col("y").isNotNull()
-    at = series.withColumn("n", F.row_number().over(_by))
+    at = series.withColumn("n", F.row_number().over(_by()))
     for name, over, pick in (("a", back, F.last), ("b", ahead, F.first)):
         for out, col in (("y", F.col("y")), ("d", F.col("d")), ("n", F.col("n"))):
             at = at.withColumn(name + out, pick(F.when(valid, col), ignorenulls=True).over(over))

@@ -42,12 +42,16 @@ _DATE = r"""coalesce(
  CASE WHEN p1 IS NOT NULL THEN try_cast(printf('%04d-%02d-%02d', y, CASE WHEN p2 > 12 AND p1 <= 12 THEN p1 ELSE p2 END, CASE WHEN p2 > 12 AND p1 <= 12 THEN p2 ELSE p1 END) AS DATE) END, DATE '2000-01-01')"""
 _PARTS = r"(SELECT *, CAST(nullif(regexp_extract(date_text, '^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})', 1), '') AS INT) AS p1, CAST(nullif(regexp_extract(date_text, '^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})', 2), '') AS INT) AS p2, CAST(nullif(regexp_extract(date_text, '^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})', 3), '') AS INT) AS y FROM rasters)"
 query("normalize_date", f"SELECT raster_id, CAST({_DATE} AS VARCHAR) AS date FROM {_PARTS}", "rasters")(lambda s, d: _r(s, d).select("raster_id", fn.normalized_date(F.col("date_text"), F.lit("2000-01-01").cast("date")).cast("string").alias("date")))
-_EDGES = (F.col("x0"), F.col("y0") - F.col("height") * F.col("dy"), F.col("x0") + F.col("width") * F.col("dx"), F.col("y0"))
+
+
+def _edges():
+    """West, south, east and north of a raster."""
+    return (F.col("x0"), F.col("y0") - F.col("height") * F.col("dy"), F.col("x0") + F.col("width") * F.col("dx"), F.col("y0"))
 
 
 @query("cell_size", "SELECT raster_id, round_even(CASE WHEN srid = 4326 THEN greatest(dx * 111320.0 * cos(radians(greatest(-85.0, least(85.0, (y0 - height * dy + y0) / 2)))), 1.0) ELSE greatest(dx, 0.1) END, 6) AS dx_m, round_even(CAST(CASE WHEN srid = 4326 THEN greatest(dy * 110574.0, 1.0) ELSE greatest(dy, 0.1) END AS DOUBLE), 6) AS dy_m FROM rasters", "rasters")
 def cell_size(spark, sf_dir):
-    dx, dy = fn.cell_size(F.col("dx"), F.col("dy"), F.col("srid"), *_EDGES)
+    dx, dy = fn.cell_size(F.col("dx"), F.col("dy"), F.col("srid"), *_edges())
     return _r(spark, sf_dir).select("raster_id", F.bround(dx, 6).alias("dx_m"), F.bround(dy, 6).alias("dy_m"))
 
 
@@ -110,7 +114,7 @@ query("points_summary", "SELECT count(*) AS n, min(x) AS west, max(x) AS east, m
     lambda s, d: view(s, d, "points").agg(F.count("*").alias("n"), F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north"), F.bround(F.min("z"), 2).alias("z_min"), F.bround(F.max("z"), 2).alias("z_max"))
 )
 query("raster_bounds", "SELECT raster_id, round_even(CASE WHEN srid = 4326 THEN x0 ELSE degrees(x0 / 6378137.0) END, 7) AS west, round_even(CASE WHEN srid = 4326 THEN y0 - height * dy ELSE degrees(2 * atan(exp((y0 - height * dy) / 6378137.0)) - pi() / 2) END, 7) AS south, round_even(CASE WHEN srid = 4326 THEN x0 + width * dx ELSE degrees((x0 + width * dx) / 6378137.0) END, 7) AS east, round_even(CASE WHEN srid = 4326 THEN y0 ELSE degrees(2 * atan(exp(y0 / 6378137.0)) - pi() / 2) END, 7) AS north FROM rasters", "rasters")(
-    lambda s, d: _r(s, d).select("raster_id", *[F.bround(F.when(F.col("srid") == 4326, e).otherwise(F.degrees(e / 6378137.0) if k % 2 == 0 else F.degrees(2 * F.atan(F.exp(e / 6378137.0)) - F.pi() / 2)), 7).alias(n) for k, (e, n) in enumerate(zip(_EDGES, ("west", "south", "east", "north")))])
+    lambda s, d: _r(s, d).select("raster_id", *[F.bround(F.when(F.col("srid") == 4326, e).otherwise(F.degrees(e / 6378137.0) if k % 2 == 0 else F.degrees(2 * F.atan(F.exp(e / 6378137.0)) - F.pi() / 2)), 7).alias(n) for k, (e, n) in enumerate(zip(_edges(), ("west", "south", "east", "north")))])
 )
 query("tile_grid", "__t AS (SELECT item_id AS image_id, west, south, east, north, unnest(range(0, 3)) AS tr FROM stac_items WHERE item_id % 7 = 0), __u AS (SELECT *, unnest(range(0, 2)) AS tc FROM __t) SELECT image_id, printf('T%d_%d', tr, tc) AS tile, west + (east - west) * tc / 2 AS west, north - (north - south) * (tr + 1) / 3 AS south, west + (east - west) * (tc + 1) / 2 AS east, north - (north - south) * tr / 3 AS north FROM __u", "stac_items")(
     lambda s, d: ops.tile_grid(_items(s, d).filter("item_id % 7 = 0").withColumnRenamed("item_id", "image_id"), 3, 2)
