@@ -85,7 +85,7 @@ def neighbours(value: Column) -> Column:
     return F.zip_with(F.slice(F.concat(F.array(F.lit("")), chars), F.lit(1), F.size(chars)), chars, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def ratios(rows: DataFrame, smooth: float = 0.5) -> list[float]:
+def ratios(rows: DataFrame, smooth: float = 0.1) -> list[float]:
     """log(P(b | a) if random / P(b | a) if an identifier) at 128 * code(a) + code(b); a fixed number of entries."""
     counts = {(r.label, r.a, r.b): r.n for r in pair_counts(rows).collect()}
     k, out = len(ALPHABET), [0.0] * (128 * 128)
