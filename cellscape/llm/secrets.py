@@ -4,7 +4,7 @@ Base rules find assignments, access keys and hexadecimal runs.  The method adds
 Markov models, one of random strings and one of ordinary identifiers, give each long run of letters, digits and +/_-=
 a log-likelihood ratio; a run above the threshold that no base span touches is added as kind `markov`.
 Both models are counted from labelled samples of the documents themselves: the values that base rules matched are label 1,
-all other long runs are label 0; the random model is averaged with the uniform one, since matched values are few.
+other long runs with digits at their end only are label 0; the random model is averaged with the uniform one, since matched values are few.
 
 Positions come from the matches and the pieces between them, so they are code points, end exclusive.
 
@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Long runs that the models judge, and their alphabet.
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+#: A long run that teaches the identifier model: digits at its end only.
+ORDINARY = "^[^0-9]*[0-9]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -71,7 +73,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """(label, a, b, n): how often character b follows a (the empty string before the first) in the labelled samples."""
     samples = rows.select(F.explode(F.concat(
         F.transform("base", lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("v"))),
-        F.transform("runs", lambda s: F.struct(F.lit(0).alias("label"), s["value"].alias("v"))),
+        F.transform(F.filter("runs", lambda s: s["value"].rlike(ORDINARY)), lambda s: F.struct(F.lit(0).alias("label"), s["value"].alias("v"))),
     )).alias("s")).select("s.*")
     # Equal values are counted once each, so a copied secret does not weigh more: pre-aggregated by value.
     samples = samples.distinct()
@@ -104,14 +106,14 @@ def log_ratio(value: Column, model: Column) -> Column:
 
 def secret_spans(rows: DataFrame, model: Column, least_ratio: float, least_digits: int) -> Column:
     """Base spans and random runs of rows with columns base and runs."""
-    random = F.filter("runs", lambda r: (F.regexp_count(r["value"], F.lit("[0-9]")) >= least_digits) & (log_ratio(r["value"], model) >= least_ratio * F.length(r["value"])))
+    random = F.filter("runs", lambda r: (F.regexp_count(r["value"], F.lit("[0-9]")) >= least_digits) & (F.regexp_count(r["value"], F.lit("[A-Za-z]")) >= least_digits) & (log_ratio(r["value"], model) >= least_ratio * F.length(r["value"])))
     return F.array_sort(F.concat("base", F.when(F.size("runs") > 0, random).otherwise(F.col("runs"))))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.8, least_digits: int = 2, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, base, spans): base spans, and those with the method's spans, as arrays in (start, kind) order.
 
-    A run is added when its ratio is at least `least_ratio` a character and it has `least_digits` digits.
+    A run is added when its ratio is at least `least_ratio` a character and it has `least_digits` digits and as many letters.
     With `keep`, a struct column `kept` holds those columns of docs.
     """
     rows = scanned(docs, id_col, text_col, keep)
