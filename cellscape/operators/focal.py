@@ -121,13 +121,18 @@ def padded(cells: DataFrame, axis: str, reach: int, edge: str, lo: str, hi: str)
 def box_sums(cells: DataFrame, columns: Sequence[str], size: int, edge: str, by: Sequence[str] = ()) -> DataFrame:
     """Sums of columns over size x size boxes, in columns sum_<name>; the other columns are those of the centre."""
     reach = size // 2
-    out = extents(cells, by)
+    known = "__r0" in cells.columns  # extents() was called before: one scan of the raster serves several boxes
+    out = cells if known else extents(cells, by)
     for axis, lo, hi, before in (("c", "__c0", "__c1", ""), ("r", "__r0", "__r1", "sum_")):
         wide = padded(out, axis, reach, edge, lo, hi)
         over = lines(axis, by).rowsBetween(-reach, reach)
         wide = wide.withColumns({f"sum_{n}": F.sum(f"{before}{n}").over(over) for n in columns})
         out = wide.filter((F.col(axis) >= F.col(lo)) & (F.col(axis) <= F.col(hi)))
-    return out.drop("__r0", "__r1", "__c0", "__c1")
+    return out if known else without_extents(out)
+
+
+def without_extents(cells: DataFrame) -> DataFrame:
+    return cells.drop("__r0", "__r1", "__c0", "__c1")
 
 
 def position_index(cells: DataFrame, value: str, size: int = 5, by: Sequence[str] = ()) -> DataFrame:

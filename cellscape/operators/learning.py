@@ -32,7 +32,9 @@ def colour_features(r: Column, g: Column, b: Column, eps: float = 1e-6) -> dict[
 
 def rgb_features(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(…, r, c, 14 features) of cells with red, green and blue in 0..1 and no gaps: colours, local deviations, edges, contrasts."""
-    base = cells.select(*by, "r", "c", "red", "green", "blue").withColumns(colour_features(F.col("red"), F.col("green"), F.col("blue")))
+    bounds = [n for n in ("__r0", "__r1", "__c0", "__c1") if n in cells.columns]
+    base = cells.select(*by, "r", "c", "red", "green", "blue", *bounds)
+    base = (base if bounds else focal.extents(base, by)).withColumns(colour_features(F.col("red"), F.col("green"), F.col("blue")))
     squares = {f"{n}2": F.col(n) * F.col(n) for n in ("brightness", "red", "green")}
     five = focal.box_sums(base.withColumns(squares), ["brightness", "red", "green", *squares], 5, "mirror", by)
     std = lambda n: F.sqrt(F.greatest(F.lit(0.0), F.col(f"sum_{n}2") / 25.0 - (F.col(f"sum_{n}") / 25.0) * (F.col(f"sum_{n}") / 25.0)))
@@ -42,7 +44,56 @@ def rgb_features(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     near = focal.box_sums(edges, ["brightness"], 7, "mirror", by).withColumn("__c", F.abs(F.col("brightness") - F.col("sum_brightness") / 49.0)).drop("sum_brightness")
     far = focal.box_sums(near, ["brightness"], 15, "mirror", by).withColumn("__q", F.abs(F.col("brightness") - F.col("sum_brightness") / 225.0)).drop("sum_brightness")
     last = focal.box_sums(far, ["__c", "__q"], 7, "mirror", by)
-    return last.withColumns({"contrast": F.col("sum___c") / 49.0 * 2.0, "quad_disp": F.col("sum___q") / 49.0}).select(*by, "r", "c", *RGB14)
+    return last.withColumns({"contrast": F.col("sum___c") / 49.0 * 2.0, "quad_disp": F.col("sum___q") / 49.0}).select(*by, "r", "c", *RGB14, *bounds)
+
+
+def rgb_features_33(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(…, r, c, 33 features): the 14, then saturation, ratios, smoothed edge energy, means at three scales, local binary patterns and spreads."""
+    eps = 1e-6
+    b14 = rgb_features(focal.extents(cells.select(*by, "r", "c", "red", "green", "blue"), by), by)
+    r, g, b, br = F.col("red"), F.col("green"), F.col("blue"), F.col("brightness")
+
+    def boxed(df: DataFrame, size: int, **columns: Column) -> DataFrame:
+        """Box means of the given columns, under their names."""
+        df = focal.box_sums(df.withColumns({f"__{n}": c for n, c in columns.items()}), [f"__{n}" for n in columns], size, "mirror", by)
+        return df.withColumns({n: F.col(f"sum___{n}") / float(size * size) for n in columns}).drop(*[f"{p}__{n}" for n in columns for p in ("", "sum_")])
+
+    x = boxed(b14, 5, m_b=b, m_b2=b * b)
+    x = boxed(x, 3, ms_fine=br)
+    x = boxed(x, 7, smooth7=br)
+    x = boxed(x, 31, ms_coarse=br)
+    around = focal.lbp(x.select(*by, "r", "c", "brightness"), "brightness", by).withColumnRenamed("value", "lbp")
+    x = x.join(around, [*by, "r", "c"])
+    x = focal.horn(x.withColumn("v", F.col("smooth7")), by).withColumn("energy", F.hypot("gx", "gy")).drop("v", "gx", "gy")
+    k = F.col("lbp")
+    flag = lambda c: c.cast("double")
+    x = boxed(
+        x, 15, hi=F.greatest(r, g, b), lo=F.least(r, g, b), m_g=g, m_bl=b, ms_mid=br, fft_energy=F.col("energy"), lbp_mean=flag(k), lbp_sq=flag(k * k),
+        lbp_uniform=flag((k == 0) | (k == 8)), lbp_mixed=flag(k == 4), lbp_varied=flag((k >= 1) & (k <= 3)),
+    )
+    b_std = F.sqrt(F.greatest(F.lit(0.0), F.col("m_b2") - F.col("m_b") * F.col("m_b")))
+    more = {
+        "saturation": (F.col("hi") - F.col("lo")) / (F.col("hi") + eps),
+        "gb_ratio": clipped(F.col("m_g") / (F.col("m_bl") + eps), 0.0, 10.0),
+        "brightness_range": F.col("contrast") * 2.0,
+        "fft_energy": clipped(F.col("fft_energy"), 0.0, 1e6),
+        "rg_slope": clipped((r - g) / (r + g + eps), -1.0, 1.0),
+        "blue_dom": clipped(b / (r + g + b + eps), 0.0, 1.0),
+        "ms_fine": F.col("ms_fine"),
+        "ms_mid": F.col("ms_mid"),
+        "ms_coarse": F.col("ms_coarse"),
+        "ms_diff_fm": F.abs(F.col("ms_fine") - F.col("ms_mid")),
+        "ms_diff_mc": F.abs(F.col("ms_mid") - F.col("ms_coarse")),
+        "lbp_mean": F.col("lbp_mean"),
+        "lbp_std": F.sqrt(F.greatest(F.lit(0.0), F.col("lbp_sq") - F.col("lbp_mean") * F.col("lbp_mean"))),
+        "lbp_uniform": F.col("lbp_uniform"),
+        "lbp_mixed": F.col("lbp_mixed"),
+        "lbp_varied": F.col("lbp_varied"),
+        "r_iqr": F.col("r_std") * 1.35,
+        "g_iqr": F.col("g_std") * 1.35,
+        "b_iqr": b_std * 1.35,
+    }
+    return x.select(*by, "r", "c", *RGB14, *[c.alias(n) for n, c in more.items()])
 
 
 def patch_features(cells: DataFrame, patch: str) -> DataFrame:

@@ -41,6 +41,7 @@ def rgb(spark, sf_dir):
 
 
 query("rgb_features")(lambda s, d: ops.rgb_features(rgb(s, d)))
+query("rgb_features_33")(lambda s, d: ops.rgb_features_33(rgb(s, d)))
 
 
 def _scene_model(spark, sf_dir, columns):

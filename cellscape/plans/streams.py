@@ -25,6 +25,12 @@ def stream_stats(spark, sf_dir):
     return ops.finished(ops.windowed_stats(s, "cell", "6 hours", "1 hour")).select("cell", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.bround("mean", 6).alias("mean"), "min", "max")
 
 
+@query("stream_sessions")
+def stream_sessions(spark, sf_dir):
+    s = arriving(spark, sf_dir).withColumn("cell", F.col("cell") % 10)
+    return ops.finished(ops.session_stats(s, "cell", "30 minutes", "1 hour")).select("cell", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", F.bround("mean", 6).alias("mean"))
+
+
 @query("stream_cusum")
 def stream_cusum(spark, sf_dir):
     base = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -211,6 +211,26 @@ def test_models_recover_planted_classes(spark):
     assert learning.predict_cells(learning.fit(df, ["f1", "f2", "f3"], "logistic_regression"), cells_, ["f1", "f2", "f3"]).filter("prediction = -9999").count() == cells_.filter("f1 is null").count()
 
 
+def test_rgb_features_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    img = rng.uniform(0.05, 0.6, (34, 33, 3))
+    df = spark.createDataFrame([(r, c, *map(float, img[r, c])) for r in range(34) for c in range(33)], "r long, c long, red double, green double, blue double")
+    got = learning.rgb_features_33(df).toPandas().sort_values(["r", "c"])
+    assert len(got.columns) == 35 and len(got) == 34 * 33
+
+    def box(a, k):
+        p = np.pad(a, k // 2, mode="symmetric")
+        return np.array([[p[r : r + k, c : c + k].mean() for c in range(a.shape[1])] for r in range(a.shape[0])])
+
+    br = img.mean(axis=2)
+    at = lambda n: got[n].to_numpy().reshape(34, 33)
+    assert np.allclose(at("ms_coarse"), box(br, 31)) and np.allclose(at("ms_fine"), box(br, 3))
+    lbp = sum((br >= np.roll(np.roll(br, a, 0), b, 1)).astype(float) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+    assert np.allclose(at("lbp_mean"), box(lbp, 15)) and np.allclose(at("lbp_mixed"), box((lbp == 4).astype(float), 15))
+    assert np.allclose(at("contrast"), box(np.abs(br - box(br, 7)), 7) * 2)
+    assert np.allclose(at("b_iqr"), np.sqrt(np.maximum(box(img[:, :, 2] ** 2, 5) - box(img[:, :, 2], 5) ** 2, 0)) * 1.35)
+
+
 def test_points_and_geojson_round_trip(spark, tmp_path):
     from cellscape.sources.geojson import parse_features, write_geojson
     from cellscape.sources.points import read_points
