@@ -29,9 +29,6 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = (),
     return keep
 
 
-for _module in ("cells", "bands", "catalog", "spatial", "series", "focal", "summaries", "spectral", "regions", "learning", "streams"):
-    try:
-        importlib.import_module(f"cellscape.plans.{_module}")
-    except ModuleNotFoundError as e:
-        if e.name != f"cellscape.plans.{_module}":
-            raise
+# Importing a query module registers its queries.
+for _module in ("cells", "catalog", "spatial", "series", "focal", "summaries", "spectral", "regions", "learning", "streams"):
+    importlib.import_module(f"cellscape.plans.{_module}")
