@@ -8,9 +8,9 @@ to their similarity, with the concentration of minwise hashing.
 Work:
 1. one pass over the texts gives set size, set digest and band keys; equal sets form one class, and only classes go on;
 2. in each bucket of a band, every class is checked against the bucket's smallest class on the full shingle sets;
-3. links make components; where a bucket still holds classes of several components, each such pair of components is
-   certified: every member of the smaller one against the larger one, in blocks.  So no link between classes that
-   share a bucket is lost, and no bucket is expanded into all its pairs.
+3. links make components; where a bucket still holds several components, they are compared in full, in blocks: every
+   member of the smaller one against the larger one, and classes still alone against each other.  So no link between
+   classes that share a bucket is lost, and no bucket is expanded into rows for all its pairs.
 With 32 bands of 5, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
 Cases: null and empty texts, or texts without words, have an empty set and are linked with nothing; texts of fewer words than
@@ -151,30 +151,28 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def certified(members: DataFrame, comps: DataFrame, tried: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """Links (a, b) between components that share a bucket, found by comparing the smaller one's members with the larger one in blocks.
+def certified(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; members has (key, node) and comps (node, comp) of linked nodes.
 
-    Pairs of single classes that are in `tried` are not compared again.
+    Components with several nodes: each other component of their buckets, the smaller of the two, is compared with all of it,
+    in blocks of about `block` nodes.  Nodes still alone: the alone nodes of each bucket are cut into blocks, and blocks are
+    compared in pairs, each pair of nodes in the first band that they share.
     """
-    of = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    by = of.select("key", "comp").distinct()
-    mixed_keys = by.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    by = by.join(mixed_keys, "key", "left_semi")
-    pairs = by.withColumnRenamed("comp", "x").join(by.withColumnRenamed("comp", "y"), "key").filter("x < y").select("x", "y").distinct()
-    # A pair of components in `tried` is two single classes that failed, or a pair of which at least one is larger.
+    of = members.join(comps, "node", "left").select("key", "node", "comp")
+    several = of.filter("comp is not null").select("key", "comp").distinct()
+    anyone = of.select("key", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("alone")).distinct()
+    pairs = several.withColumnRenamed("comp", "x").join(anyone.withColumnRenamed("comp", "y"), "key").filter("x <> y and (alone or x < y)").select("x", "y").distinct()
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = pairs.join(sizes.withColumnRenamed("comp", "x").withColumnRenamed("size", "nx"), "x", "left").join(sizes.withColumnRenamed("comp", "y").withColumnRenamed("size", "ny"), "y", "left").na.fill(1, ["nx", "ny"])
-    failed = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(1).alias("nx"), F.lit(1).alias("ny"))
-    pairs = pairs.join(failed, ["x", "y", "nx", "ny"], "left_anti")
-    swap = F.col("nx") > F.col("ny")
-    pairs = stored(pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("query"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("target"), F.greatest("nx", "ny").alias("size")))
+    pairs = pairs.join(sizes.select(F.col("comp").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("comp").alias("y"), F.col("size").alias("ny")), "y", "left").na.fill(1, ["ny"])
+    swap = F.col("nx") < F.col("ny")
+    pairs = stored(pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("query"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("target"), F.greatest("nx", "ny").alias("size")))
     nodes = sets.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "shingles")
     targets = nodes.join(pairs.select(F.col("target").alias("comp"), "size").distinct(), "comp")
     blocks = targets.groupBy(F.col("comp").alias("target"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias("held"))
     queries = nodes.select(F.col("comp").alias("query"), F.col("node").alias("a"), "shingles").join(pairs.select("query", "target"), "query").select("target", "a", "shingles")
     rows = queries.join(blocks.select("target", "held"), "target").select("a", "shingles", "held")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = [], []
             for i in range(b.num_rows):
@@ -186,7 +184,34 @@ def certified(members: DataFrame, comps: DataFrame, tried: DataFrame, sets: Data
                         right.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    alone = of.filter("comp is null").select("key", "node")
+    many = alone.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    alone = alone.join(many, "key").join(sets, "node")
+    parts = alone.groupBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("part")).agg(F.collect_list(F.struct("node", "bands", "shingles")).alias("held"))
+    parts = stored(parts)
+    both = parts.select("key", F.col("part").alias("i"), F.col("held").alias("left")).join(parts.select("key", F.col("part").alias("j"), F.col("held").alias("right")), "key").filter("i <= j").select("key", (F.col("i") == F.col("j")).alias("same"), "left", "right")
+
+    def opened(held: pa.StructArray) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+        bands = held.field(1).flatten().to_numpy().reshape(len(held), -1)
+        return held.field(0).to_pylist(), bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in held.field(2)]
+
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = [], []
+            for i in range(b.num_rows):
+                key, same = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                names_a, bands_a, sets_a = opened(b.column(2)[i].values)
+                names_b, bands_b, sets_b = opened(b.column(3)[i].values)
+                band = int(np.flatnonzero(bands_a[0] == key)[0])
+                for k, q in enumerate(sets_a):
+                    first = (bands_b == bands_a[k]).argmax(axis=1)
+                    for m in np.flatnonzero(first == band):
+                        if (m > k or not same) and similar(q, sets_b[m], percent):
+                            left.append(names_a[k])
+                            right.append(names_b[m])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(against, "a long, b long").union(both.mapInArrow(in_buckets, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -199,12 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(keys.join(shared, "key"))
     fits = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
     pairs = stored(members.filter((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    in_buckets = stored(classes.select("digest", "rep", "node").join(members.select("node").distinct(), "node"))
+    in_buckets = stored(classes.select("digest", "rep", "node", "bands").join(members.select("node").distinct(), "node"))
     found = full_sets(docs, in_buckets.select(F.col("rep").alias("doc_id")), id_col, text_col, k)
-    sets = stored(in_buckets.select("digest", "node").join(found.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").select("node", "shingles"))
+    sets = stored(in_buckets.select("digest", "node", "bands").join(found.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").select("node", "bands", "shingles"))
     links = stored(verified(pairs, sets, percent))
     comps = stored(components(links))
-    more = certified(members.filter("size > 2").select("key", "node"), comps, pairs, sets, percent)
+    more = certified(members.filter("size > 2").select("key", "node"), comps, sets, percent)
     final = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = classes.select("digest", "rep", "node").join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
