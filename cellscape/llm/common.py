@@ -40,14 +40,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a table made by stored(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def id_text(name: str) -> Column:
     """An id as text, a null id as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -106,6 +98,46 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+class Members:
+    """A Bloom filter over 64-bit keys with a fixed number of bits: what it lets through holds all members, and some others."""
+
+    SEGMENTS = 64
+
+    def __init__(self, data: bytes, bits: int):
+        self.data, self.segment = np.frombuffer(data, np.uint8), bits // self.SEGMENTS
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for seed in (1, 2):
+            at = (keys >> np.uint64(58)) * np.uint64(self.segment) + mixed(keys, seed) % np.uint64(self.segment)
+            out &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+    @classmethod
+    def of(cls, keys: DataFrame, bits: int) -> "Members":
+        """The filter of a one-column table of long keys; `bits` bits reach the driver, in segments."""
+        segment = bits // cls.SEGMENTS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                k = b.column(0).to_numpy().view(np.uint64)
+                of = (k >> np.uint64(58)).astype(np.int64)
+                for s in np.unique(of):
+                    data = held.setdefault(int(s), np.zeros(segment // 8, np.uint8))
+                    for seed in (1, 2):
+                        at = mixed(k[of == s], seed) % np.uint64(segment)
+                        np.bitwise_or.at(data, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["s", "data"])
+
+        name = keys.columns[0]
+        data = np.zeros(bits // 8, np.uint8)
+        for s, part in keys.repartition(cls.SEGMENTS, F.shiftrightunsigned(F.col(name), 58)).mapInArrow(run, "s int, data binary").collect():
+            data[s * segment // 8 : (s + 1) * segment // 8] |= np.frombuffer(part, np.uint8)
+        return cls(data.tobytes(), bits)
+
+
 def prefix_sums(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Sum of `value` over the earlier rows of the same keys, in the order (part, order), as column `out`.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import WordHash, mixed, slices, stored, table, texts_of
+from cellscape.llm.common import Members, WordHash, id_text, mixed, slices, stored, table, texts_of
 
 BANDS, ROWS = 32, 5
 _words = WordHash()
@@ -89,17 +89,22 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     return given.mapInArrow(run, f"doc_id {kind}, n long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(digest, shingles) of the rows whose doc_id is in ids; shingles as packed sorted hashes."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = given.join(ids.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, bits: int = 1 << 25) -> DataFrame:
+    """(digest, shingles) of the rows whose doc_id is in ids, and of a few others; shingles as packed sorted hashes.
+
+    A filter of fixed size over the ids is broadcast, so texts are read where they lie and never shuffled.
+    """
+    given = docs.select(F.xxhash64(id_text(id_col)).alias("h"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(Members.of(ids.select(F.xxhash64(id_text("doc_id")).alias("h")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [s.tobytes() for s in (shingle_set(x, k) for x in texts_of(b.column(0))) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+        for b in batches:
+            wanted = b.filter(pa.array(shared.value.may_hold(b.column(0).to_numpy().view(np.uint64))))
+            for part in slices([wanted]):
+                sets = [s.tobytes() for s in (shingle_set(x, k) for x in texts_of(part.column(1))) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return wanted.mapInArrow(run, "digest binary, shingles binary")
+    return given.mapInArrow(run, "digest binary, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
