@@ -57,7 +57,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has about `most` bytes of text, one row at least: bounds what a worker holds."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -75,7 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8
 class WordHash(dict):
     """xxh64 of words, remembered; emptied when it has grown to `most` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
