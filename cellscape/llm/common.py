@@ -6,8 +6,6 @@ called) never clash with what it adds.  A null text counts as the empty text unl
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,30 +14,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellscape.sources.scratch import stored  # noqa: F401  the operators take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="cellscape-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and later reads prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellscape-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(name: str) -> Column:
     """An id as text, a null id as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
