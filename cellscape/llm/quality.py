@@ -158,7 +158,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least `least`, as they are; learns from all labelled rows."""
     known = labels.select(F.col(id_col), F.col(label_col).alias("label"))
-    model = fit(with_statistics(docs.join(known.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col).join(known, id_col).select("label", "x"))
+    # Statistics of all texts are joined with the labels: texts themselves are never shuffled.
+    model = fit(with_statistics(docs, id_col, text_col).join(known, id_col).select("label", "x"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
