@@ -1,13 +1,14 @@
 """Operator 9, language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting: each task counts its unigrams and bigrams by 64-bit fingerprint, Spark sums them over all training rows.
-An n-gram of level q (its count is in [2^(q-1), 2^q) for a unigram, [2^q, 2^(q+1)) for a bigram) is in the filter q times, as
-(n-gram, 1) .. (n-gram, q), each by `hashes` bits; a reader probes level after level until one is missing.
+An n-gram of level q (its count is in [2^(q-1), 2^q)) is in the filter q times, as (n-gram, 1) .. (n-gram, q), each by
+`hashes` bits; a reader probes level after level until one is missing.
 The filter has a fixed number of bits.  Levels are admitted from the highest down as long as the filter stays at most
-half full, so what is broadcast never grows; bigrams seen once are not admitted.
+half full, so what is broadcast never grows.  The n-grams of all lower levels, those seen once included, stay in the table
+of counts, and what the filter lacks is joined with it: the model is the same whatever the filter's size.
 
 The model: P(w | v) = back * P(w) + (1 - back) * c(v, w) / c(v), with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), counts
-from the filter (a level's count is its middle); without c(v), P(w) alone.
+from the levels (a level's count is its middle); without c(v), P(w) alone.
 
 The exact base score does not use the filter: counts of the commonest tokens (at most `most_frequent`) are a broadcast
 table, all others are joined.  Tokens are identified by xxh64.
@@ -31,6 +32,8 @@ from cellscape.llm.common import WordHash, fold, mixed, slices, stored, table, t
 #: No word has white space, so these are no words' fingerprints but by accident.
 END, START = xxhash.xxh64_intdigest(b" "), xxhash.xxh64_intdigest(b"\n")
 SEGMENTS = 64
+#: Stands for the level of START, which every text has before its first token.
+BEGIN = 99
 _words = WordHash()
 
 
@@ -83,8 +86,8 @@ def ngram_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
     return rows.mapInArrow(run, "h long, c long").repartition(F.col("h")).groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def level_of(c: Column, kind: Column) -> Column:
-    return (F.floor(F.log2(c.cast("double") + 1e-9)) + F.when(kind == 0, 1).otherwise(0)).cast("int")
+def level_of(c: Column) -> Column:
+    return (F.floor(F.log2(c.cast("double") + 1e-9)) + 1).cast("int")
 
 
 class Filter:
@@ -101,7 +104,8 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         level = 1
-        while len(alive):
+        # No count of 64 bits has a level above 64; a filter whose segment is full would have no end.
+        while len(alive) and level <= 64:
             for i in range(self.hashes):
                 k = keys[alive]
                 at = (k >> np.uint64(58)) * np.uint64(self.segment) + self.places(k, level, i, self.segment)
@@ -141,35 +145,71 @@ def build_filter(counts: DataFrame, bits: int, hashes: int) -> bytes:
 
 
 class Model:
-    """What the workers need: the filter, the frequent tokens' exact counts, N and V."""
+    """What the workers need: the filter and its lowest level, the frequent tokens' exact counts, N and V."""
 
-    def __init__(self, data: bytes, bits: int, hashes: int, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, back: float):
-        self.filter, self.frequent, self.counts = Filter(data, bits, hashes), frequent, counts
+    def __init__(self, data: bytes, bits: int, hashes: int, least: int, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, back: float):
+        self.filter, self.least, self.frequent, self.counts = Filter(data, bits, hashes), least, frequent, counts
         self.n, self.v, self.back = n, v, back
         self.total = n + 0.1 * (v + 1)
+        self.begin = float(max(1, v and n))
 
-    def model_scores(self, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability given the one before."""
-        distinct, at = np.unique(tokens, return_inverse=True)
-        level = self.filter.levels(keyed(distinct, 0))
-        count = np.where(level > 0, 0.75 * np.exp2(level), 0.0)
-        before, pairs = bigrams_of(tokens, n)
-        q = self.filter.levels(keyed(pairs, 1))
-        seen = q > 0
-        of = np.zeros(len(tokens))
-        of[1:] = count[at[:-1]]
-        of[np.cumsum(n) - n] = float(max(1, self.v and self.n))
-        p = (count[at] + 0.1) / self.total
-        both = np.where(seen, 1.5 * np.exp2(q), 0.0)
-        ratio = np.divide(both, of, out=np.zeros(len(tokens)), where=of > 0)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of the n-grams in the filter, 0 for all others; lower ones than the filter's lowest are accidents."""
+        q = self.filter.levels(keys)
+        q[q < self.least] = 0
+        return q
+
+    def log_p(self, w: np.ndarray, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """log10 P of tokens of level w after tokens of level v, as pairs of level q."""
+        middle = lambda x: np.where(x > 0, 0.75 * np.exp2(x), 0.0)
+        of = np.where(v == BEGIN, self.begin, middle(v))
+        p = (middle(w) + 0.1) / self.total
+        ratio = np.divide(middle(q), of, out=np.zeros(len(of)), where=of > 0)
         return np.log10(np.where(of > 0, self.back * p + (1 - self.back) * np.minimum(1.0, ratio), p))
 
+    def log_p_of(self, w: Column, v: Column, q: Column) -> Column:
+        """The same of columns."""
+        middle = lambda x: F.when(x > 0, 0.75 * F.pow(F.lit(2.0), x)).otherwise(0.0)
+        of = F.when(v == BEGIN, self.begin).otherwise(middle(v))
+        p = (middle(w) + 0.1) / F.lit(self.total)
+        return F.log10(F.when(of > 0, self.back * p + (1 - self.back) * F.least(F.lit(1.0), middle(q) / of)).otherwise(p))
+
+    def model_scores(self, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(terms, parts, pairs, both): log10 P of each token, with pairs that the filter lacks as unseen and 0 where it
+        lacks a token's level; keys and levels; places that lack the pair alone; places that lack a token's level."""
+        distinct, at = np.unique(tokens, return_inverse=True)
+        w = self.levels(keyed(distinct, 0))[at]
+        starts = np.cumsum(n) - n
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[starts] = BEGIN
+        before, h = bigrams_of(tokens, n)
+        h = keyed(h, 1)
+        q = self.levels(h)
+        terms = self.log_p(w, v, q)
+        parts = {"w": keyed(tokens, 0), "wq": w, "v": keyed(before, 0), "vq": v, "h": h, "hq": q}
+        if self.least == 1:
+            return terms, parts, np.empty(0, np.int64), np.empty(0, np.int64)
+        lacking = (w == 0) | (v == 0)
+        terms[lacking] = 0.0
+        return terms, parts, np.flatnonzero(~lacking & (q == 0)), np.flatnonzero(lacking)
+
+
+def listed(places: np.ndarray, starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Values of tokens at ascending places as one list a text; texts start at `starts`."""
+    lengths = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(starts))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+
+
+def fields(**columns: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32)) for x in columns.values()], names=list(columns))
+
 
 def fit(rows: DataFrame, bits: int, hashes: int, most_frequent: int, back: float) -> tuple[Model, DataFrame, int]:
-    """The model, the stored exact counts (h, c) of all n-grams kept, and the level below which tokens are not in the broadcast table."""
+    """The model, the stored exact counts (h, c, kind, q) of all n-grams, and the level below which tokens are not in the broadcast table."""
     counts = ngram_counts(rows)
     kind = F.col("h").bitwiseAND(F.lit(1))
-    counts = stored(counts.filter((kind == 0) | (F.col("c") > 1)).select("h", "c", kind.alias("kind"), level_of(F.col("c"), kind).alias("q")))
+    counts = stored(counts.select("h", "c", kind.alias("kind"), level_of(F.col("c")).alias("q")))
     sums = counts.groupBy("kind", "q").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     n, v = sum(r.c for r in sums if r.kind == 0), sum(r.n for r in sums if r.kind == 0)
     room, least = int(bits * 0.69 / hashes), 1
@@ -188,7 +228,7 @@ def fit(rows: DataFrame, bits: int, hashes: int, most_frequent: int, back: float
     top = counts.filter((F.col("kind") == 0) & (F.col("q") >= known)).select("h", "c").toArrow()
     h, c = (np.asarray(top.column(k).to_numpy()) for k in ("h", "c"))
     order = np.argsort(h.view(np.uint64))
-    return Model(data, bits, hashes, h.view(np.uint64)[order], c[order], int(n), int(v), back), counts, known
+    return Model(data, bits, hashes, least, h.view(np.uint64)[order], c[order], int(n), int(v), back), counts, known
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None, bits: int = 1 << 27, hashes: int = 4, most_frequent: int = 500_000, back: float = 0.5) -> DataFrame:
@@ -204,7 +244,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         for b in slices(batches):
             tokens, n = tokens_of(texts_of(b.column(1)))
             starts = np.cumsum(n) - n
-            own = np.add.reduceat(m.model_scores(tokens, n), starts)
+            terms, parts, alone, lacking = m.model_scores(tokens, n)
+            own = np.add.reduceat(terms, starts)
             distinct, at = np.unique(keyed(tokens, 0), return_inverse=True)
             place = np.searchsorted(m.frequent, distinct)
             place[place == len(m.frequent)] = 0
@@ -213,18 +254,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             base = np.add.reduceat(value[at], starts)
             seen = np.add.reduceat(found[at].astype(np.int64), starts)
             rare = np.flatnonzero(~found[at])
-            lengths = np.bincount(np.searchsorted(starts, rare, side="right") - 1, minlength=len(n))
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(distinct[at[rare]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(seen), pa.array(base), pa.array(own), lists], names=[id_col, "n_tokens", "seen", "base", "score", "rare"])
+            lists = [listed(rare, starts, pa.array(distinct[at[rare]].view(np.int64)))]
+            lists.append(listed(alone, starts, fields(h=parts["h"][alone], both=parts["wq"][alone] + 128 * parts["vq"][alone])))
+            lists.append(listed(lacking, starts, fields(**{k: x[lacking] for k, x in parts.items()})))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(seen), pa.array(base), pa.array(own), *lists], names=[id_col, "n_tokens", "seen", "base", "score", "rare", "alone", "lacking"])
 
-    first = stored(rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, seen long, base double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
+    lists = "rare array<long>, alone array<struct<h:long,both:int>>, lacking array<struct<w:long,wq:int,v:long,vq:int,h:long,hq:int>>"
+    first = stored(rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, seen long, base double, score double, {lists}").withColumn("row", F.monotonically_increasing_id()))
     others = counts.filter((F.col("kind") == 0) & (F.col("q") < known)).select("h", "c")
     # All tokens missing from the broadcast table, met with their counts; unknown ones keep count 0.
     each = first.select("row", F.explode("rare").alias("h")).join(others, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    part = each.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.1) / F.lit(model.total))).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("met"))
-    out = first.drop("rare").join(part, "row", "left")
-    return out.select(id_col, "n_tokens", (F.col("seen") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    each = each.select("row", F.log10((F.col("c") + 0.1) / F.lit(model.total)).alias("base"), (F.col("c") > 0).cast("long").alias("met"), F.lit(0.0).alias("own"))
+    if model.least > 1:
+        each = each.union(_lacking(first, counts, model).select("row", F.lit(0.0), F.lit(0).cast("long"), "own"))
+    part = each.groupBy("row").agg(F.sum("base").alias("more"), F.sum("met").alias("met"), F.sum("own").alias("own"))
+    out = first.drop("rare", "alone", "lacking").join(part, "row", "left")
+    known_tokens, base = F.col("seen") + F.coalesce("met", F.lit(0)), F.col("base") + F.coalesce("more", F.lit(0.0))
+    return out.select(id_col, "n_tokens", known_tokens.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("own", F.lit(0.0))).alias("score"))
+
+
+def _lacking(first: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """(row, own): what the n-grams below the filter's lowest level add to the rows' scores."""
+    rest = counts.filter(F.col("q") < model.least).select(F.col("h").alias("key"), F.col("q").alias("got"))
+    alone = first.select("row", F.explode("alone").alias("x")).select("row", F.col("x.h").alias("key"), (F.col("x.both") % 128).alias("wq"), F.floor(F.col("x.both") / 128).alias("vq"))
+    w, v = F.col("wq"), F.col("vq")
+    alone = alone.join(rest, "key").select("row", (model.log_p_of(w, v, F.col("got")) - model.log_p_of(w, v, F.lit(0))).alias("own"))
+    open_ = first.select("row", F.explode("lacking").alias("x")).select("row", "x.*")
+    for key, level in (("w", "wq"), ("v", "vq"), ("h", "hq")):
+        # A level that is known takes the pair as its key: no token has it, and no frequent token gathers rows.
+        keyed_ = open_.withColumn("key", F.when(F.col(level) == 0, F.col(key)).otherwise(F.col("h")))
+        got = F.when(F.col(level) == 0, F.coalesce("got", F.lit(0))).otherwise(F.col(level))
+        open_ = keyed_.join(rest, "key", "left").withColumn(level, got).drop("key", "got")
+    return alone.union(open_.select("row", model.log_p_of(F.col("wq"), F.col("vq"), F.col("hq"))))
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:

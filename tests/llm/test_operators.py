@@ -313,6 +313,27 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert s[100] > s[101]
 
 
+def test_lm_scores_do_not_depend_on_the_filter_size(spark):
+    rng = random.Random(5)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(0, 60))) for i in range(300)}
+    split = {i: [None, *t.split(), " "] for i, t in texts.items()}
+    one = collections.Counter(w for i, ws in split.items() if i % 3 for w in ws[1:])
+    two = collections.Counter(p for i, ws in split.items() if i % 3 for p in zip(ws, ws[1:]))
+    n, v = sum(one.values()), len(one)
+    middle = lambda c: 0.75 * 2 ** c.bit_length() if c else 0.0
+
+    def log_p(a, b):
+        of, p = n if a is None else middle(one[a]), (middle(one[b]) + 0.1) / (n + 0.1 * (v + 1))
+        return math.log10(0.5 * p + 0.5 * min(1.0, middle(two[a, b]) / of) if of else p)
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # Room for no level, for some, and for all.
+    for bits, hashes in ((1 << 13, 6000), (1 << 17, 100), (1 << 24, 4)):
+        got = {r.doc_id: r.score for r in lm.score(df, training=F.col("doc_id") % 3 != 0, bits=bits, hashes=hashes).collect()}
+        near = [got[i] == pytest.approx(sum(map(log_p, ws, ws[1:]))) for i, ws in split.items()]
+        assert sum(near) >= 0.99 * len(near)
+
+
 def brute_licenses(text, templates, percent=80):
     w, out = licenses._words_of(text), set()
     for c in licenses.length_classes(templates, 1e-5):
