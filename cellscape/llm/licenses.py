@@ -5,8 +5,8 @@ little longer than the class's templates, overlapping so that every passage of a
 Windows and templates get MinHash signatures; equal bands retrieve candidates, which are then verified by exact
 containment: at least `percent` of the template's shingles stand in the window.
 
-A window that holds a whole template of n shingles among its own w has similarity n / w; each class takes as many bands
-of one or two rows as keep the chance of missing such a window under `miss`.
+A window of w shingles that holds the least number m of a template's n that passes has similarity m / (w + n - m); each
+class takes as many bands of one or two rows as keep the chance of missing such a window under `miss` for all its templates.
 
 Before any window is made, documents without one of the templates' anchor words are set aside: a template's anchors are words
 whose shingles are more than 100 - percent of all its shingles, so a window without them cannot reach the containment.
@@ -72,7 +72,12 @@ def _words_of(text: str) -> list[str]:
     return re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def length_classes(templates: dict[str, str], miss: float) -> list[LengthClass]:
+def _n_shingles(text: str) -> int:
+    w = _words_of(text)
+    return len({tuple(w[i : i + K]) for i in range(max(1, len(w) - K + 1))})
+
+
+def length_classes(templates: dict[str, str], miss: float, percent: int = 80) -> list[LengthClass]:
     groups: dict[int, list[str]] = {}
     for name, text in templates.items():
         if n := len(_words_of(text)):
@@ -81,7 +86,8 @@ def length_classes(templates: dict[str, str], miss: float) -> list[LengthClass]:
     for names in groups.values():
         sizes = [len(_words_of(templates[n])) for n in names]
         c = LengthClass(names, max(sizes), max(1, min(sizes) // 8))
-        similarity = max(1, min(sizes) - K + 1) / max(1, c.window - K + 1)
+        w = max(1, c.window - K + 1)
+        similarity = min(m / (w + n - m) for n in map(_n_shingles, (templates[x] for x in names)) for m in [max(1, -(-percent * n // 100))])
         c.rows = 2 if similarity > 0.7 else 1
         c.bands = max(1, math.ceil(math.log(miss) / math.log(1 - similarity**c.rows))) if similarity < 1 else 1
         out.append(c)
@@ -142,7 +148,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     rows = rows.select("doc_id", w.alias("w"))
     hits = F.array().cast("array<struct<name:string,first:int,words:int,percent:double>>")
     tried = F.lit(0).cast("long")
-    for c in length_classes(templates, miss):
+    for c in length_classes(templates, miss, percent):
         known = spark.createDataFrame([(n, templates[n]) for n in c.names], "name string, text string").select("name", shingles(words(F.col("text"))).alias("grams"))
         known = known.select("name", "grams", band_array(F.col("grams"), c).alias("bands")).collect()
         # The templates are few and given by the caller, so they stand in the expression.

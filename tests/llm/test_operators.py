@@ -356,3 +356,18 @@ def test_licenses_equal_brute_force(spark, docs, texts, edge, empty):
     assert got == {i: brute_licenses(t, licenses.TEMPLATES) for i, t in {**texts, **odd}.items()}
     assert licenses.find_licenses(edge).count() == edge.count() and licenses.find_licenses(empty).count() == 0
     assert {r.licenses for r in licenses.find_licenses(edge, {}).collect()} == {""}
+
+
+def test_licenses_find_edited_notices(spark):
+    rng, texts = random.Random(7), {}
+    for text in licenses.TEMPLATES.values():
+        w = licenses._words_of(text)
+        n = max(1, len(w) - 4)
+        for _ in range(25):
+            # The most words cut off the end that leave 80 percent of the shingles.
+            kept = w[: len(w) - n // 5] + [f"y{rng.random()}".replace(".", "") for _ in range(n // 5)]
+            around = [[f"x{rng.random()}".replace(".", "") for _ in range(rng.randint(0, 30))] for _ in range(2)]
+            texts[len(texts)] = " ".join(around[0] + kept + around[1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(df).collect()}
+    assert got == {i: brute_licenses(t, licenses.TEMPLATES) for i, t in texts.items()}
