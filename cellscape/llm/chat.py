@@ -4,8 +4,8 @@ A row's text is cut where a line starts with a speaker marker; the pieces are th
 marker, whether it starts a row, its words, lines, final question mark and code fence.  Transition and feature
 probabilities are counted from rows whose role is known; roles are never read when pieces are decoded.
 
-Viterbi decoding is a max-plus matrix product, which is associative.  Pieces of `width` consecutive turn numbers are
-one block with one matrix; blocks of blocks are combined level by level, and the best states at the borders are handed down
+Viterbi decoding is a max-plus matrix product, which is associative.  `width` consecutive pieces of a conversation are
+one block with one matrix, whatever their turn numbers; blocks of blocks are combined level by level, and the best states at the borders are handed down
 again.  A conversation of any length is thus many small tasks, and no conversation is gathered into one.
 
 Cases: null texts are empty and make one piece; rows without a turn come first; equal turn numbers are ordered by text;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import fold, stored, table
+from cellscape.llm.common import fold, prefix_sums, stored, table
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Speaker words and the role each names.
@@ -194,13 +194,35 @@ def rendered(role: str, body: str) -> Column:
     return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(body), F.lit("\n<|end|>\n"))
 
 
+def cut_blocks(found: DataFrame, width: int, most: int = 50_000) -> DataFrame:
+    """(conv, block, items) of pieces: block k has a conversation's pieces of ranks k * width on, by turn, text and piece.
+
+    Ranks are two-level prefix sums over parts of a conversation.  A part is a range of turns; where a range has more than
+    `most` pieces, one turn and a range of the texts' hashes; where that has more (copies), one text, piece and slice of rows.
+    """
+    found = stored(found.withColumn("tie", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id()))
+    found = found.withColumn("range", F.floor(F.col("turn") / 64)).withColumn("near", F.shiftright("tie", 52))
+    for keys, name in ((["conv", "range"], "wide"), (["conv", "turn", "near"], "same")):
+        # At most one row for every `most` pieces.
+        large = F.broadcast(found.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias(name)))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        found = found.join(large, on, "left").drop(*[f"_{k}" for k in keys]).withColumn(name, F.coalesce(name, F.lit(False)))
+    wide, same = F.col("wide"), F.col("wide") & F.col("same")
+    levels = [F.col("range"), F.when(wide, F.col("turn")), F.when(wide, F.col("near"))]
+    levels += [F.when(same, F.col(k)) for k in ("tie", "piece", "given", "code")] + [F.when(same, F.shiftright("row", 16))]
+    found = found.withColumn("part", F.struct(*[x.alias(f"l{i}") for i, x in enumerate(levels)])).withColumn("one", F.lit(1))
+    order = ["turn", "tie", "piece", "given", "code", "row"]
+    ranked = prefix_sums(found.drop("range", "near", "wide", "same"), ["conv"], "part", [F.col(k) for k in order], "one", "rank")
+    item = F.struct("rank", "turn", "piece", "given", "code", "body")
+    return ranked.groupBy("conv", F.floor(F.col("rank") / width).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
 def parse_transcripts(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", training: Column | None = None, width: int = 64) -> DataFrame:
     """(conv_id, turn, piece, given, role, turn_text) of every piece; learns from the rows where `training` holds (a column over conv)."""
     given = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.col(role_col)).alias("given"), F.col(text_col).alias("text"))
-    least = given.agg(F.min("turn")).first()[0] or 0
-    found = pieces(given).withColumn("block", F.floor((F.coalesce(F.col("turn"), F.lit(least - 1)) - (least - 1)) / width))
-    item = F.struct("turn", F.xxhash64("body").alias("tie"), "piece", "given", "code", "body")
-    blocks = stored(found.groupBy("conv", "block").agg(F.sort_array(F.collect_list(item)).alias("items")))
+    blocks = stored(cut_blocks(pieces(given), width))
     model = fit(blocks.filter(F.lit(True) if training is None else training))
     out = decode(blocks, model, width)
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "piece", "given", "role", rendered("role", "body").alias("turn_text"))

@@ -143,6 +143,15 @@ def test_chat_blocks_equal_one_block(spark):
     assert chat.parse_transcripts(df.limit(0)).count() == 0
 
 
+def test_chat_blocks_are_bounded(spark):
+    rows = [(None, None if i % 3 else 1, "user", "same" if i % 2 else f"text {i}") for i in range(400)] + [(1, i, "user", f"{i}?") for i in range(100)]
+    df = spark.createDataFrame(rows, "conv long, turn long, given string, text string")
+    got = [{(r.conv, r.block): [i.body for i in r["items"]] for r in chat.cut_blocks(chat.pieces(df), 8, most).collect()} for most in (20, 50_000)]
+    assert got[0] == got[1] and all(len(x) <= 8 for x in got[0].values())
+    assert sorted(b for c, b in got[0] if c is None) == list(range(50)) and got[0][1, 12] == [f"{i}?" for i in range(96, 100)]
+    assert sum(map(len, got[0].values())) == 500
+
+
 def test_chat_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     k = len(chat.ROLES)
