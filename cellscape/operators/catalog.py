@@ -50,10 +50,14 @@ def alignment_report(rasters: DataFrame, tol: float = 1e-6) -> DataFrame:
 
 
 def order_by_date(scenes: DataFrame, keys: list[str]) -> DataFrame:
-    """Scenes with their date (the first readable of the key columns), oldest first; a scene without one is an error."""
+    """Scenes with their date (the first readable of the key columns) and `place`, 1 for the oldest and the same for equal dates; a scene
+    without a date is an error.  Places are counted over the dates, of which there are few, not over the scenes."""
     date = F.coalesce(*[F.try_to_timestamp(F.col(k)) for k in keys])
     dated = scenes.withColumn("acquired", date)
-    return dated.withColumn("acquired", F.when(F.col("acquired").isNull(), F.raise_error(F.lit("no acquisition date")).cast("timestamp")).otherwise(F.col("acquired"))).orderBy("acquired")
+    dated = dated.withColumn("acquired", F.when(F.col("acquired").isNull(), F.raise_error(F.lit("no acquisition date")).cast("timestamp")).otherwise(F.col("acquired")))
+    dates = dated.groupBy("acquired").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("acquired").rowsBetween(W.unboundedPreceding, -1))
+    return dated.join(dates.select("acquired", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("place")), "acquired")
 
 
 def search_scenes(items: DataFrame, box: tuple[float, float, float, float], start: str, end: str, most_cloud: float = 100.0) -> DataFrame:

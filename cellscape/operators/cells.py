@@ -52,9 +52,9 @@ def window_of_tiles(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, size:
     return cells.filter(tiles & (F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1))
 
 
-def aoi_window(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, nodata: float | None = 0.0, band: str = "value", most: int = 36_000_000) -> DataFrame:
-    """One row: cells of the window and the percentage that is valid; refuses windows above `most` cells."""
-    if (r1 - r0) * (c1 - c0) > most:
+def aoi_window(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, nodata: float | None = 0.0, band: str = "value", most: int | None = None) -> DataFrame:
+    """One row: cells of the window and the percentage that is valid; refuses windows above `most` cells, if given."""
+    if most is not None and (r1 - r0) * (c1 - c0) > most:
         raise ValueError(f"window of {(r1 - r0) * (c1 - c0)} cells; the limit is {most}")
     inside = cells.filter((F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1))
     valid = F.col(band).isNotNull() & (F.col(band) != 0) & (F.lit(True) if nodata is None else F.col(band) != nodata)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscape.operators import focal
-from cellscape.operators.cells import with_scalars
-from cellscape.operators.summaries import classification_metrics
+from cellscape.operators.ranks import shuffled
+from cellscape.operators.summaries import balance_weights, classification_metrics
+from cellscape.sources.scratch import stored
 
 RGB14 = ("red", "green", "blue", "vari", "rb_ratio", "ngrdi", "brightness", "texture", "r_std", "g_std", "edge", "edge_p90", "contrast", "quad_disp")
 
@@ -96,36 +99,96 @@ def rgb_features_33(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return x.select(*by, "r", "c", *RGB14, *[c.alias(n) for n, c in more.items()])
 
 
-def patch_features(cells: DataFrame, patch: str) -> DataFrame:
-    """(patch, 14 statistics) of labelled patches of cells (patch, row, col, red, green, blue) in 0..1."""
-    bright = (F.col("red") + F.col("green") + F.col("blue")) / 3.0
-    x = cells.withColumn("br", bright)
-    x = with_scalars(x, (patch,), F.avg("row").alias("__mr"), F.avg("col").alias("__mc"))
-    quarter = lambda a, b: F.avg(F.when(((F.col("row") < F.col("__mr")) == a) & ((F.col("col") < F.col("__mc")) == b), F.col("br")))
+PATCH14 = ("red", "green", "blue", "vari", "rb_ratio", "ngrdi", "brightness", "texture", "r_std", "g_std", "edge_mag", "edge_p90", "contrast", "quad_disp")
+PATCH33 = (
+    *PATCH14, "saturation", "gb_ratio", "brightness_range", "fft_energy", "rg_slope", "blue_dom", "ms_mean_fine", "ms_mean_mid", "ms_mean_coarse", "ms_diff_fm", "ms_diff_mc",
+    "lbp_mean", "lbp_std", "lbp_uniform", "lbp_mixed", "lbp_varied", "r_iqr", "g_iqr", "b_iqr",
+)
+
+
+def ring_energy(values: pd.Series, width: pd.Series) -> pd.Series:
+    """Mean Fourier magnitude of images (rows end to end, of a given width) on the ring between an eighth and a quarter of the shorter side."""
+
+    def one(v: np.ndarray, w: int) -> float:
+        image = np.asarray(v, float).reshape(-1, w)
+        h = len(image)
+        fy, fx = np.arange(h) - h // 2, np.arange(w) - w // 2
+        far = fy[:, None] ** 2 + fx[None, :] ** 2
+        ring = (far >= (min(h, w) // 8) ** 2) & (far < (min(h, w) // 4) ** 2)
+        return float(np.abs(np.fft.fftshift(np.fft.fft2(image)))[ring].mean()) if ring.any() else 0.0
+
+    return pd.Series([one(v, int(w)) for v, w in zip(values, width)])
+
+
+def patch_features(cells: DataFrame, patch: str, names: Sequence[str] = PATCH33) -> DataFrame:
+    """(patch, features) of image patches: cells (patch, r, c, red, green, blue) in 0..1, whole rectangles without gaps.
+
+    Means of the centre half, colour ratios of those, deviations, Sobel edges, percentile spreads, quarters, three scales, local binary
+    patterns and ring energy; a patch is a small image of fixed size, and only the ring energy is computed outside the JVM.
+    """
+    eps, by = 1e-6, (patch,)
+    x = focal.extents(cells.select(patch, "r", "c", "red", "green", "blue"), by).withColumn("v", (F.col("red") + F.col("green") + F.col("blue")) / 3.0)
+    x = focal.horn(x, by).withColumn("edge", F.hypot("gx", "gy")).drop("gx", "gy")
+    x = x.withColumn("u8", F.floor(clipped(F.col("v"), 0.0, 1.0) * 255))
+    n9 = focal.gather3(x, "u8", by, "wrap")
+    k = F.size(F.filter(F.concat(F.slice("n9", 1, 4), F.slice("n9", 6, 4)), lambda o: o <= F.col("u8")))
+    x = n9.withColumn("lbp", k.cast("double")).drop("n9", "u8")
+    i, j, h, w = F.col("r") - F.col("__r0"), F.col("c") - F.col("__c0"), F.col("__r1") - F.col("__r0") + 1, F.col("__c1") - F.col("__c0") + 1
+    centre = (i >= F.floor(h / 4)) & (i < F.floor(3 * h / 4)) & (j >= F.floor(w / 4)) & (j < F.floor(3 * w / 4))
+    south, east = i >= F.floor(h / 2), j >= F.floor(w / 2)
+    inner = {n: F.when(centre, F.col(n)) for n in ("red", "green", "blue")}
+    top, low = F.greatest("red", "green", "blue"), F.least("red", "green", "blue")
+    share = lambda c: F.count_if(c) / (F.count("*") + eps)
+    spread = lambda c, *p: F.percentile(c, F.array(*map(F.lit, p)))
     g = x.groupBy(patch).agg(
-        *[F.avg(n).alias(n) for n in ("red", "green", "blue")], F.avg("br").alias("br_mean"), F.stddev_pop("br").alias("texture"), F.stddev_pop("red").alias("r_std"), F.stddev_pop("green").alias("g_std"),
-        F.percentile("br", F.array(F.lit(0.1), F.lit(0.9), F.lit(0.25), F.lit(0.75))).alias("p"), *[quarter(a, b).alias(f"q{2 * a + b}") for a in (False, True) for b in (False, True)],
-    )
-    q = [F.col(f"q{i}") for i in range(4)]
+        *[F.avg(c).alias(n) for n, c in inner.items()], F.avg("v").alias("brightness"), F.stddev_pop("v").alias("texture"), F.stddev_pop("red").alias("r_std"), F.stddev_pop("green").alias("g_std"),
+        F.avg("edge").alias("edge_mag"), F.percentile("edge", F.lit(0.9)).alias("edge_p90"), spread("v", 0.1, 0.9, 0.05, 0.95).alias("p"),
+        *[F.avg(F.when((south == a) & (east == b), F.col("v"))).alias(f"q{2 * a + b}") for a in (False, True) for b in (False, True)],
+        *[F.avg(F.when((i % step == 0) & (j % step == 0), F.col("v"))).alias(n) for step, n in ((1, "ms_mean_fine"), (2, "ms_mean_mid"), (4, "ms_mean_coarse"))],
+        F.avg(F.when(centre, top - low)).alias("wide"), F.avg(F.when(centre, top)).alias("top"), F.avg("lbp").alias("lbp_mean"), F.stddev_pop("lbp").alias("lbp_std"),
+        # The eighth bin of the patterns holds 7 and 8.
+        share(F.col("lbp").isin(0, 7, 8)).alias("lbp_uniform"), share(F.col("lbp") == 4).alias("lbp_mixed"), share(F.col("lbp").between(1, 3)).alias("lbp_varied"),
+        *[spread(c, 0.25, 0.75).alias(f"{n[0]}_p") for n, c in inner.items()],
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "v"))), lambda o: o["v"]).alias("image"), F.max(w).alias("w"),
+    )
+    q = [F.col(f"q{n}") for n in range(4)]
     mean = (q[0] + q[1] + q[2] + q[3]) / 4.0
-    spread = F.sqrt(((q[0] - mean) * (q[0] - mean) + (q[1] - mean) * (q[1] - mean) + (q[2] - mean) * (q[2] - mean) + (q[3] - mean) * (q[3] - mean)) / 4.0)
-    colours = colour_features(F.col("red"), F.col("green"), F.col("blue"))
-    return g.select(patch, "red", "green", "blue", *[colours[n].alias(n) for n in ("vari", "rb_ratio", "ngrdi")], "br_mean", "texture", "r_std", "g_std", (F.col("p")[1] - F.col("p")[0]).alias("contrast"), (F.col("p")[3] - F.col("p")[2]).alias("iqr"), spread.alias("quad_disp"))
+    r, gr, b = F.col("red"), F.col("green"), F.col("blue")
+    colours = colour_features(r, gr, b)
+    more = {n: colours[n] for n in ("vari", "rb_ratio", "ngrdi")} | {
+        "contrast": F.col("p")[1] - F.col("p")[0],
+        "quad_disp": F.sqrt(sum(((v - mean) * (v - mean) for v in q), F.lit(0.0)) / 4.0),
+        "saturation": F.col("wide") / (F.col("top") + eps),
+        "gb_ratio": clipped(gr / (b + eps), 0.0, 10.0),
+        "brightness_range": F.col("p")[3] - F.col("p")[2],
+        "fft_energy": clipped(F.pandas_udf(ring_energy, "double")("image", "w"), 0.0, 1e6),
+        "rg_slope": clipped((r - gr) / (r + gr + eps), -1.0, 1.0),
+        "blue_dom": clipped(b / (r + gr + b + eps), 0.0, 1.0),
+        "ms_diff_fm": F.abs(F.col("ms_mean_fine") - F.col("ms_mean_mid")),
+        "ms_diff_mc": F.abs(F.col("ms_mean_mid") - F.col("ms_mean_coarse")),
+        **{f"{n}_iqr": F.col(f"{n}_p")[1] - F.col(f"{n}_p")[0] for n in "rgb"},
+    }
+    return g.select(patch, *[more.get(n, F.col(n)).alias(n) for n in names])
 
 
-def classifier(kind: str = "random_forest", seed: int = 42, features: str = "features", label: str = "label"):
+def classifier(kind: str = "random_forest", seed: int = 42, features: str = "features", label: str = "label", weight: str | None = None):
     """A forest of 100 trees, boosted trees (one against the rest, since MLlib boosting is binary), or logistic regression."""
+    more = {} if weight is None else {"weightCol": weight}
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=100, seed=seed, featuresCol=features, labelCol=label)
+        return RandomForestClassifier(numTrees=100, seed=seed, featuresCol=features, labelCol=label, **more)
     if kind == "gradient_boosting":
-        return OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=seed, featuresCol=features), featuresCol=features, labelCol=label)
+        return OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=seed, featuresCol=features, **more), featuresCol=features, labelCol=label, **more)
     if kind == "logistic_regression":
-        return LogisticRegression(maxIter=1000, featuresCol=features, labelCol=label)
+        return LogisticRegression(maxIter=1000, featuresCol=features, labelCol=label, **more)
     raise ValueError("kind must be random_forest, gradient_boosting or logistic_regression")
 
 
-def fit(rows: DataFrame, columns: Sequence[str], kind: str = "random_forest", label: str = "label", seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), classifier(kind, seed, label=label)]).fit(rows)
+def fit(rows: DataFrame, columns: Sequence[str], kind: str = "random_forest", label: str = "label", seed: int = 42, balanced: bool = False) -> PipelineModel:
+    """The fitted pipeline; `balanced` weighs each class by all rows / (classes * its rows)."""
+    if balanced:
+        weights = balance_weights(rows, label).select(F.col("label").alias("__label"), F.col("weight").alias("__weight"))
+        rows = rows.join(F.broadcast(weights), F.col(label) == F.col("__label"))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), classifier(kind, seed, label=label, weight="__weight" if balanced else None)]).fit(rows)
 
 
 def predict_cells(model: Transformer, cells: DataFrame, columns: Sequence[str], nodata: float = -9999.0) -> DataFrame:
@@ -137,15 +200,23 @@ def predict_cells(model: Transformer, cells: DataFrame, columns: Sequence[str],
     return model.transform(filled).select("r", "c", F.when(F.col("__ok"), F.col("prediction")).otherwise(nodata).alias("prediction"))
 
 
+def stratified(rows: DataFrame, label: str, by: Sequence[str], seed: int = 42, folds: int = 5) -> DataFrame:
+    """rows with `held_out` (every fifth row of each class, in a seeded order of the columns `by`) and `fold` of the others."""
+    ranked = shuffled(rows, [label], list(by), seed, "__k")
+    return ranked.withColumns({"held_out": F.col("__k") % 5 == 4, "fold": (F.floor(F.col("__k") / 5) * 4 + F.col("__k") % 5) % folds}).drop("__k")
+
+
 def train_report(rows: DataFrame, columns: Sequence[str], label: str = "label", kind: str = "logistic_regression", folds: int = 5, seed: int = 42) -> DataFrame:
-    """One row: metrics on a stratified fifth held out, and the mean accuracy of the folds."""
-    keyed = rows.withColumn("__u", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1000)) / 1000.0)
-    train, test = keyed.filter("__u < 0.8"), keyed.filter("__u >= 0.8")
+    """One row: metrics on a stratified fifth held out, and the mean and deviation of the folds' accuracy; classes weigh alike.
+
+    MLlib's boosting one against the rest has no early stopping; its rounds are few instead.
+    """
+    split = stored(stratified(rows, label, [label, *columns], seed, folds))
+    train, test = split.filter("not held_out"), split.filter("held_out")
     pairs = lambda m, d: m.transform(d).select(F.col(label).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-    held = classification_metrics(pairs(fit(train, columns, kind, label, seed), test))
+    held = classification_metrics(pairs(fit(train, columns, kind, label, seed, True), test))
     scores = None
     for k in range(folds):
-        inside = (F.col("__u") >= 0.8 * k / folds) & (F.col("__u") < 0.8 * (k + 1) / folds)
-        one = classification_metrics(pairs(fit(train.filter(~inside), columns, kind, label, seed), train.filter(inside))).select("accuracy")
+        one = classification_metrics(pairs(fit(train.filter(F.col("fold") != k), columns, kind, label, seed, True), train.filter(F.col("fold") == k))).select("accuracy")
         scores = one if scores is None else scores.union(one)
-    return held.crossJoin(F.broadcast(scores.agg(F.bround(F.avg("accuracy"), 4).alias("cv_accuracy"))))
+    return held.crossJoin(F.broadcast(scores.agg(F.bround(F.avg("accuracy"), 4).alias("cv_accuracy"), F.bround(F.stddev_pop("accuracy"), 4).alias("cv_std"))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellscape.operators.focal import slope
 from cellscape.operators.graph import components
+from cellscape.operators.ranks import ranked
 from cellscape.sources.scratch import stored
 
 #: Neighbours in the order that breaks ties.
@@ -35,7 +36,7 @@ def label_regions(mask: DataFrame, cell: int = 64) -> DataFrame:
     b = wide.select((F.col("r") - 1).alias("r"), "k", F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("b"))
     links = a.join(b, ["r", "k"]).filter("a0 <= b1 and b0 <= a1").select("a", "b")
     joined = found.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = joined.select("comp").distinct().withColumn("label", F.row_number().over(W.orderBy("comp")))
+    names = ranked(joined.select("comp").distinct(), [], F.shiftright("comp", 40), [F.col("comp")], "label").withColumn("label", (F.col("label") + 1).cast("int"))
     return joined.join(names, "comp").select("r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
 
 
@@ -64,32 +65,38 @@ def outline_edges(labels: DataFrame) -> DataFrame:
     return each.join(other, ["nr", "nc", "label"], "left_anti").select("label", "x0", "y0", "x1", "y1")
 
 
-def polygonize(labels: DataFrame, cell_m2: float, least: int = 1, most: int = 50_000) -> DataFrame:
-    """(label, area_ha, rings): outlines in cell units; more than `most` regions are an error.
+def _stays(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether the way a, b, c turns around the cell on its left."""
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) < 0
 
-    A region's outline, not its cells, is chained in one task.
+
+def polygonize(labels: DataFrame, cell_m2: float, least: int = 1, most: int | None = None) -> DataFrame:
+    """(label, area_ha, rings): outlines in cell units, the largest ring first; more than `most` regions, if given, are an error.
+
+    A region's outline, not its cells, is chained in one task.  Where cells of a region touch at a corner only, the ring stays with the
+    cell that it came along, so no ring crosses itself.
     """
     kept = filter_small(labels, least)
     sizes = region_sizes(kept)
-    if sizes.limit(most + 1).count() > most:
+    if most is not None and sizes.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} regions")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         ways: dict[tuple, list[tuple]] = {}
-        for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            ways.setdefault((x0, y0), []).append((x1, y1))
-        rings = []
-        while ways:
-            start = min(ways)
-            ring, at = [start], start
-            while True:
-                to = ways[at].pop()
-                if not ways[at]:
-                    del ways[at]
-                if to == start:
-                    break
-                ring.append(to)
-                at = to
+        sides = [((x0, y0), (x1, y1)) for x0, y0, x1, y1 in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
+        for a, b in sides:
+            ways.setdefault(a, []).append(b)
+        rings, left = [], set(sides)
+        for first in sorted(sides):
+            if first not in left:
+                continue
+            ring, side = [], first
+            while side in left:
+                left.remove(side)
+                ring.append(side[0])
+                a, b = side
+                after = ways[b]
+                side = (b, after[0] if len(after) == 1 else next(c for c in after if _stays(a, b, c)))
             rings.append([[float(x), float(y)] for x, y in ring])
         rings.sort(key=lambda r: -abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1]))))
         return pd.DataFrame({"label": pdf["label"].iloc[:1], "rings": [rings]})
@@ -98,10 +105,33 @@ def polygonize(labels: DataFrame, cell_m2: float, least: int = 1, most: int = 50
     return sizes.join(rings, "label").select("label", F.bround(F.col("size") * cell_m2 / 10000, 3).alias("area_ha"), "rings")
 
 
+def _lowest(x: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """At each x the least of g2[i] + (x - x[i]) ** 2 over all i with a value, by the lower envelope of those parabolas."""
+    order = np.argsort(x)
+    held: list[int] = []
+    bounds: list[float] = []
+    for i in order[np.isfinite(g2[order])].tolist():
+        while held:
+            k = held[-1]
+            cross = ((g2[i] + x[i] * x[i]) - (g2[k] + x[k] * x[k])) / (2 * (x[i] - x[k]))
+            if not bounds or cross > bounds[-1]:
+                break
+            held.pop()
+            bounds.pop()
+        if held:
+            bounds.append(cross)
+        held.append(i)
+    if not held:
+        return np.full(len(x), np.nan)
+    best = np.array(held)[np.searchsorted(np.array(bounds), x)]
+    return g2[best] + (x - x[best]) ** 2
+
+
 def distance_to_mask(grid: DataFrame, mask: DataFrame, dx: float, dy: float) -> DataFrame:
     """(r, c, value): exact Euclidean distance of every cell of the grid to the nearest selected one.
 
-    Columns first (last and next selected row), then each row takes the minimum over its columns in numpy.
+    Columns first (last and next selected row), then each row takes the minimum over its columns by a lower envelope, in time
+    that grows with the row's width.
     """
     hit = grid.select("r", "c").join(mask.select("r", "c", F.lit(True).alias("m")).distinct(), ["r", "c"], "left")
     row = F.when(F.col("m"), F.col("r"))
@@ -112,25 +142,24 @@ def distance_to_mask(grid: DataFrame, mask: DataFrame, dx: float, dy: float) ->
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         c, g2 = pdf["c"].to_numpy(float) * dx, pdf["g"].to_numpy(float) ** 2
-        ok, out = np.isfinite(g2), np.full(len(pdf), np.nan)
-        if ok.any():
-            for at in range(0, len(c), 256):
-                out[at : at + 256] = np.sqrt(((c[at : at + 256, None] - c[None, ok]) ** 2 + g2[None, ok]).min(axis=1))
-        return pdf[["r", "c"]].assign(value=out)
+        return pdf[["r", "c"]].assign(value=np.sqrt(_lowest(c, g2)))
 
     return g.groupBy("r").applyInPandas(one, "r long, c long, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
-def fill_depressions(dem: DataFrame, value: str = "z", tile: int = 256, most_rounds: int = 200) -> DataFrame:
+def fill_depressions(dem: DataFrame, value: str = "z", tile: int = 256, most_rounds: int | None = None) -> DataFrame:
     """(r, c, z, w, back): pits raised to their spill level; back numbers the neighbour (in NEAR) the flood came from, -1 at outlets.
 
     Outlets are cells on the border of the grid or beside a missing cell.  Tiles are flooded on their own with their
-    neighbours' rims; rounds go on until no level changes.
+    neighbours' rims; a round floods the tiles beside which a level changed in the round before, until there are none.
     """
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NEAR])
     cells = dem.filter(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("z"))
     around = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.explode(near).alias("o")).groupBy((F.col("sr") + F.col("o.a")).alias("r"), (F.col("sc") + F.col("o.b")).alias("c")).agg(F.count("*").alias("k"))
-    state = stored(cells.join(around, ["r", "c"], "left").select("r", "c", "z", F.when(F.coalesce("k", F.lit(0)) < 8, F.col("z")).alias("w"), F.lit(-1).alias("back")))
+    state = cells.join(around, ["r", "c"], "left").select("r", "c", "z", F.when(F.coalesce("k", F.lit(0)) < 8, F.col("z")).alias("w"), F.lit(-1).alias("back"))
+    own = [F.floor(F.col(k) / tile).alias(t) for k, t in (("r", "tr"), ("c", "tc"))]
+    state = stored(state.select("*", *own, F.lit(False).alias("changed")))
+    active = stored(state.select("tr", "tc").distinct())
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
         z = dict(zip(zip(pdf["r"], pdf["c"]), zip(pdf["z"], pdf["own"])))
@@ -145,21 +174,26 @@ def fill_depressions(dem: DataFrame, value: str = "z", tile: int = 256, most_rou
                 if to in z and z[to][1] and (to not in w or w[to][0] > max(v, z[to][0])):
                     w[to] = (max(v, z[to][0]), 7 - i)
                     heapq.heappush(heap, (w[to][0], to))
-        own = [k for k, (_, mine) in z.items() if mine]
-        return pd.DataFrame({"r": [k[0] for k in own], "c": [k[1] for k in own], "z": [z[k][0] for k in own], "w": [w[k][0] if k in w else None for k in own], "back": [w[k][1] if k in w else -1 for k in own]}).astype({"w": "float64", "back": "int32"})
-
-    seen = None
-    for _ in range(most_rounds):
-        now = tuple(state.agg(F.count("w"), F.sum("w")).first())
-        if now == seen:
-            return state
-        seen = now
+        mine = pdf[pdf["own"]]
+        at = list(zip(mine["r"], mine["c"]))
+        level = np.array([w[k][0] if k in w else np.nan for k in at], float)
+        changed = (level != mine["w"].to_numpy(float)) & ~(np.isnan(level) & np.isnan(mine["w"].to_numpy(float)))
+        return pd.DataFrame({"r": mine["r"].to_numpy(), "c": mine["c"].to_numpy(), "z": mine["z"].to_numpy(), "w": level, "back": np.array([w[k][1] if k in w else -1 for k in at], np.int32), "tr": mine["tr"].to_numpy(), "tc": mine["tc"].to_numpy(), "changed": changed})
+
+    rounds = 0
+    while active.limit(1).count():
+        if rounds == most_rounds:
+            raise RuntimeError(f"levels did not settle in {most_rounds} rounds")
+        rounds += 1
         # A cell also goes to the tiles that it touches.
-        tiles = F.array_distinct(F.transform(F.concat(near, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))), lambda o: F.struct(F.floor((F.col("r") + o["a"]) / tile).alias("tr"), F.floor((F.col("c") + o["b"]) / tile).alias("tc"))))
-        halo = state.withColumn("t", F.explode(tiles)).select("r", "c", "z", "w", "back", F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"))
-        halo = halo.withColumn("own", (F.col("tr") == F.floor(F.col("r") / tile)) & (F.col("tc") == F.floor(F.col("c") / tile)))
-        state = stored(halo.groupBy("tr", "tc").applyInPandas(flood, "r long, c long, z double, w double, back int"))
-    raise RuntimeError(f"levels did not settle in {most_rounds} rounds")
+        near_tiles = F.array_distinct(F.transform(F.concat(near, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))), lambda o: F.struct(F.floor((F.col("r") + o["a"]) / tile).alias("tr"), F.floor((F.col("c") + o["b"]) / tile).alias("tc"))))
+        halo = state.withColumn("t", F.explode(near_tiles)).select("r", "c", "z", "w", "back", ((F.col("t.tr") == F.col("tr")) & (F.col("t.tc") == F.col("tc"))).alias("own"), F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"))
+        flooded = halo.join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(flood, "r long, c long, z double, w double, back int, tr long, tc long, changed boolean")
+        still = state.join(active, ["tr", "tc"], "left_anti").select("r", "c", "z", "w", "back", "tr", "tc", F.lit(False).alias("changed"))
+        state = stored(flooded.withColumn("w", F.nanvl("w", F.lit(None).cast("double"))).unionByName(still))
+        touched = state.filter("changed").select(F.col("tr").alias("or"), F.col("tc").alias("oc"), F.explode(near_tiles).alias("t")).select("or", "oc", "t.*").filter("or <> tr or oc <> tc")
+        active = stored(touched.select("tr", "tc").distinct())
+    return state.select("r", "c", "z", "w", "back")
 
 
 def flow_direction(filled: DataFrame, dx: float, dy: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.functions.special import normal_p, student_p
+from cellscape.sources.scratch import stored
 
 YEAR = 365.2425
 
@@ -76,19 +77,16 @@ def anomaly_zscore(series: DataFrame) -> DataFrame:
     return g.filter("n >= 3").select("cell", F.try_divide(F.col("last") - F.col("mean"), F.col("std")).alias("z"))
 
 
-def pairs(series: DataFrame) -> DataFrame:
-    """(cell, dx, dy) of all earlier-later pairs inside each cell: made from the cell's own sorted array, one shuffle by cell."""
-    g = series.filter("y is not null").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("d", "y"))).alias("s"))
-    each = g.select("cell", "s", F.posexplode("s").alias("k", "a"))
-    later = each.select("cell", "a", F.explode(F.slice("s", F.col("k") + 2, F.size("s"))).alias("b"))
-    return later.select("cell", F.datediff("b.d", "a.d").alias("dx"), (F.col("b.y") - F.col("a.y")).alias("dy"))
+def _sorted_series(series: DataFrame) -> DataFrame:
+    """(cell, s, n): each cell's valid (d, y) in order of dates, and how many there are."""
+    return series.filter("y is not null").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("d", "y"))).alias("s"), F.count("*").alias("n"))
 
 
 def mann_kendall(series: DataFrame, alpha: float = 0.05, p_values: bool = True) -> DataFrame:
     """Per cell with 4 values or more: S, tau, z with continuity correction (no tie term) and, on request, p and significance."""
-    n = series.filter("y is not null").groupBy("cell").agg(F.count("*").alias("n"))
-    s = pairs(series).groupBy("cell").agg(F.sum(F.signum("dy")).alias("s"), F.count("*").alias("m"))
-    g = s.join(n, "cell").filter("n >= 4")
+    # Signs of all later-minus-earlier pairs are added inside the cell's own row; no row is made for a pair.
+    later = lambda x, k: F.aggregate(F.slice("s", k + 2, F.col("n").cast("int")), F.lit(0.0), lambda acc, b: acc + F.signum(b["y"] - x["y"]))
+    g = _sorted_series(series).filter("n >= 4").select("cell", "n", F.aggregate(F.transform("s", later), F.lit(0.0), lambda acc, v: acc + v).alias("s"), (F.col("n") * (F.col("n") - 1) / 2).alias("m"))
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     g = g.select("cell", "n", "s", (F.col("s") / F.col("m")).alias("tau"), z.alias("z"))
@@ -97,7 +95,11 @@ def mann_kendall(series: DataFrame, alpha: float = 0.05, p_values: bool = True)
 
 def sens_slope(series: DataFrame) -> DataFrame:
     """Median of all pair slopes per year; 3 values at least."""
-    return pairs(series).filter("dx > 0").groupBy("cell").agg(F.median(F.col("dy") / (F.col("dx") / F.lit(YEAR))).alias("slope"), F.count("*").alias("m")).filter("m >= 3").drop("m")
+    slopes = lambda a, k: F.transform(F.filter(F.slice("s", k + 2, F.col("n").cast("int")), lambda b: b["d"] > a["d"]), lambda b: (b["y"] - a["y"]) / (F.datediff(b["d"], a["d"]) / F.lit(YEAR)))
+    g = _sorted_series(series).select("cell", F.array_sort(F.flatten(F.transform("s", slopes))).alias("v")).filter(F.size("v") >= 3)
+    half = F.floor((F.size("v") + 1) / 2).cast("int")
+    other = F.floor(F.size("v") / 2).cast("int") + 1
+    return g.select("cell", ((F.element_at("v", half) + F.element_at("v", other)) / 2).alias("slope"))
 
 
 def seasonal_baseline(series: DataFrame, period: str = "month", stat: str = "median") -> DataFrame:
@@ -205,7 +207,7 @@ def cluster_series(series: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     g = series.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "y"))), lambda x: x["y"]).alias("ys"), F.count("y").alias("valid"), F.count("*").alias("n"))
-    full = g.filter("valid = n").select("cell", array_to_vector("ys").alias("features")).cache()
+    full = stored(g.filter("valid = n").select("cell", "ys")).select("cell", array_to_vector("ys").alias("features"))
     if full.limit(k).count() < k:
         return g.select("cell", F.lit(-1).alias("cluster"))
     found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(full).transform(full)

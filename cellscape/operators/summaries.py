@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.operators.cells import with_scalars
+from cellscape.operators.ranks import shuffled
 
 
 def raster_stats(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
@@ -197,12 +198,15 @@ def balance_weights(labels: DataFrame, label: str) -> DataFrame:
     return g.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n")))
 
 
-def resampled(rows: DataFrame, label: str, how: str, seed: int = 42) -> DataFrame:
-    """Classes brought to the largest (oversample, with repeats) or to the smallest (undersample), by seeded order."""
+def resampled(rows: DataFrame, label: str, how: str, by: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """Classes brought to the largest (oversample, with repeats) or to the smallest (undersample), in a seeded order of the columns `by`
+    (all that are not of a complex type by default), the same however the rows are dealt."""
+    by = [n for n, k in rows.dtypes if not k.startswith(("array", "map", "struct", "variant"))] if by is None else list(by)
     n = rows.groupBy(label).agg(F.count("*").alias("__n"))
     goal = n.agg(F.max("__n").alias("__goal") if how == "oversample" else F.min("__n").alias("__goal"))
-    j = rows.join(n, label).crossJoin(F.broadcast(goal)).withColumn("__k", F.row_number().over(W.partitionBy(label).orderBy(F.rand(seed))))
+    sizes = n.crossJoin(F.broadcast(goal))
+    j = shuffled(rows, [label], by, seed, "__k").join(sizes.withColumnRenamed(label, "__label"), F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
     if how == "undersample":
-        return j.filter("__k <= __goal").drop("__n", "__goal", "__k")
-    copies = F.floor(F.col("__goal") / F.col("__n")) + (F.col("__k") <= F.col("__goal") % F.col("__n")).cast("int")
+        return j.filter("__k < __goal").drop("__n", "__goal", "__k")
+    copies = F.floor(F.col("__goal") / F.col("__n")) + (F.col("__k") < F.col("__goal") % F.col("__n")).cast("int")
     return j.withColumn("__c", F.explode(F.sequence(F.lit(1), copies))).drop("__n", "__goal", "__k", "__c")

@@ -12,6 +12,7 @@ from cellscape.plans.registry import query
 _r = lambda s, d: view(s, d, "rasters")
 _items = lambda s, d: view(s, d, "stac_items")
 _bands = lambda s, d: view(s, d, "band_catalog")
+_instruments = lambda s, d: view(s, d, "instrument_bands")
 SENSOR = r"CASE WHEN regexp_matches(replace(lower(platform), '_', '-'), 'sentinel-?1|\bs1[ab]\b') THEN 'sentinel1' WHEN regexp_matches(replace(lower(platform), '_', '-'), 'sentinel-?2|\bs2[ab]\b|msil2a|msil1c') THEN 'sentinel2' WHEN contains(replace(lower(platform), '_', '-'), 'landsat') THEN 'landsat' END"
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fn.NAME_ROLES.items())
 _CODES = " ".join(f"WHEN '{s}:{c}' THEN '{r}'" for s, codes in fn.CODE_ROLES.items() for c, r in codes.items())
@@ -33,9 +34,9 @@ query("parse_wavelength", f"SELECT raster_id, {NM} AS nm FROM {_V}", "rasters")(
 query("band_wavelengths", f"__w AS (SELECT raster_id, {NM} AS nm FROM {_V}) SELECT raster_id, coalesce(nm, CAST(400 + 32 * (raster_id % 64) AS DOUBLE)) AS nm, nm IS NULL AS from_catalog FROM __w", "rasters")(
     lambda s, d: _r(s, d).withColumn("nm0", fn.wavelength_nm(F.col("wavelength_text"))).join(_bands(s, d), F.col("raster_id") % 64 == F.col("band")).select("raster_id", F.coalesce("nm0", F.col("wl_nm").cast("double")).alias("nm"), F.col("nm0").isNull().alias("from_catalog"))
 )
-query("bad_bands", "SELECT band, NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960) AND wl_nm BETWEEN 420 AND 2300 AS good FROM band_catalog", "band_catalog")(lambda s, d: _bands(s, d).select("band", fn.good_band(F.col("wl_nm").cast("double"), valid=(420.0, 2300.0)).alias("good")))
-query("spectral_summary", "__s AS (SELECT wl_nm, lead(wl_nm) OVER (ORDER BY wl_nm) - wl_nm AS step FROM band_catalog) SELECT count(*) AS n, CAST(min(wl_nm) AS DOUBLE) AS min_nm, CAST(max(wl_nm) AS DOUBLE) AS max_nm, quantile_cont(step, 0.5) AS median_step, count(*) FILTER (NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960)) AS good, count(*) >= 15 AS hyperspectral FROM __s", "band_catalog")(
-    lambda s, d: _bands(s, d).selectExpr("wl_nm", "lead(wl_nm) over (order by wl_nm) - wl_nm as step").agg(F.count("*").alias("n"), F.min("wl_nm").cast("double").alias("min_nm"), F.max("wl_nm").cast("double").alias("max_nm"), F.percentile("step", F.lit(0.5)).alias("median_step"), F.count_if(fn.good_band(F.col("wl_nm").cast("double"))).alias("good"), (F.count("*") >= 15).alias("hyperspectral"))
+query("bad_bands", "SELECT band, NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960) AND wl_nm BETWEEN 420 AND 2300 AS good FROM instrument_bands", "instrument_bands")(lambda s, d: _instruments(s, d).select("band", fn.good_band(F.col("wl_nm").cast("double"), valid=(420.0, 2300.0)).alias("good")))
+query("spectral_summary", "__s AS (SELECT wl_nm, lead(wl_nm) OVER (ORDER BY wl_nm) - wl_nm AS step FROM instrument_bands) SELECT count(*) AS n, CAST(min(wl_nm) AS DOUBLE) AS min_nm, CAST(max(wl_nm) AS DOUBLE) AS max_nm, quantile_cont(step, 0.5) AS median_step, count(*) FILTER (NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960)) AS good, count(*) >= 15 AS hyperspectral FROM __s", "instrument_bands")(
+    lambda s, d: _instruments(s, d).selectExpr("wl_nm", "lead(wl_nm) over (order by wl_nm) - wl_nm as step").agg(F.count("*").alias("n"), F.min("wl_nm").cast("double").alias("min_nm"), F.max("wl_nm").cast("double").alias("max_nm"), F.percentile("step", F.lit(0.5)).alias("median_step"), F.count_if(fn.good_band(F.col("wl_nm").cast("double"))).alias("good"), (F.count("*") >= 15).alias("hyperspectral"))
 )
 _DATE = r"""coalesce(
  CASE WHEN regexp_matches(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})') THEN try_cast(printf('%04d-%02d-%02d', CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 1) AS INT), CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 2) AS INT), CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 3) AS INT)) AS DATE) END,
@@ -64,12 +65,13 @@ def native_grid(spark, sf_dir):
 query("boa_offset", "__a AS (SELECT item_id, collection, dt, unnest(['B04', 'SCL']) AS asset, CASE item_id % 3 WHEN 0 THEN 4.0 WHEN 1 THEN 2.9 END AS baseline FROM stac_items) SELECT item_id, asset, CASE WHEN collection = 'sentinel-2-l2a' AND asset <> 'SCL' AND coalesce(baseline >= 4, CAST(dt AS DATE) >= DATE '2022-01-25') THEN -1000 ELSE 0 END AS boa_offset FROM __a", "stac_items")(
     lambda s, d: _items(s, d).withColumn("asset", F.explode(F.array(F.lit("B04"), F.lit("SCL")))).withColumn("baseline", F.when(F.col("item_id") % 3 == 0, 4.0).when(F.col("item_id") % 3 == 1, 2.9)).select("item_id", "asset", fn.boa_offset(F.col("collection"), F.col("asset"), F.col("baseline"), F.col("dt").cast("date")).alias("boa_offset"))
 )
-query("same_grid", "SELECT a.raster_id AS left, b.raster_id AS right, a.srid = b.srid AND a.width = b.width AND a.height = b.height AND abs(a.dx - b.dx) <= 1e-6 AND abs(a.dy - b.dy) <= 1e-6 AND abs(a.x0 - b.x0) <= 1e-6 AND abs(a.y0 - b.y0) <= 1e-6 AS same FROM rasters a JOIN rasters b ON a.raster_id % 50 = b.raster_id % 50 AND a.raster_id < b.raster_id", "rasters")(
-    lambda s, d: ops.same_grid(_r(s, d).withColumn("pair", F.col("raster_id") % 50), _r(s, d).withColumn("pair", F.col("raster_id") % 50)).filter("left < right")
+# Each raster and the next one.
+query("same_grid", "SELECT a.raster_id AS left, b.raster_id AS right, a.srid = b.srid AND a.width = b.width AND a.height = b.height AND abs(a.dx - b.dx) <= 1e-6 AND abs(a.dy - b.dy) <= 1e-6 AND abs(a.x0 - b.x0) <= 1e-6 AND abs(a.y0 - b.y0) <= 1e-6 AS same FROM rasters a JOIN rasters b ON a.raster_id + 1 = b.raster_id", "rasters")(
+    lambda s, d: ops.same_grid(_r(s, d).withColumn("pair", F.col("raster_id") + 1), _r(s, d).withColumn("pair", F.col("raster_id")))
 )
 query("alignment", "__f AS (SELECT * FROM rasters ORDER BY raster_id LIMIT 1) SELECT r.raster_id, list_filter([CASE WHEN r.srid <> f.srid THEN 'crs' END, CASE WHEN greatest(abs(r.dx - f.dx), abs(r.dy - f.dy)) > 1e-6 THEN 'resolution' END, CASE WHEN r.width <> f.width OR r.height <> f.height THEN 'size' END, CASE WHEN greatest(abs(r.x0 - f.x0), abs(r.y0 - f.y0)) > 1e-6 THEN 'bounds' END], lambda x: x IS NOT NULL) AS differs FROM rasters r, __f f", "rasters")(lambda s, d: ops.alignment_report(_r(s, d)))
 query("order_by_date", f"SELECT raster_id, CAST(rank() OVER (ORDER BY date) AS INT) AS place FROM (SELECT raster_id, {_DATE} AS date FROM {_PARTS})", "rasters")(
-    lambda s, d: ops.order_by_date(_r(s, d).withColumn("t1", F.lit(None).cast("string")).withColumn("t2", fn.normalized_date(F.col("date_text"), F.lit("2000-01-01").cast("date")).cast("string")), ["t1", "t2"]).selectExpr("raster_id", "rank() over (order by acquired) as place")
+    lambda s, d: ops.order_by_date(_r(s, d).withColumn("t1", F.lit(None).cast("string")).withColumn("t2", fn.normalized_date(F.col("date_text"), F.lit("2000-01-01").cast("date")).cast("string")), ["t1", "t2"]).select("raster_id", "place")
 )
 _BOX = (2.0, 1.0, 4.0, 3.0)
 _COV = "CASE WHEN least(4.0, east) > greatest(2.0, west) AND least(3.0, north) > greatest(1.0, south) THEN round_even(least(100.0, (least(4.0, east) - greatest(2.0, west)) * (least(3.0, north) - greatest(1.0, south)) / ((4.0 - 2.0) * (3.0 - 1.0)) * 100.0), 1) ELSE 0.0 END"
@@ -93,20 +95,20 @@ def _gazetteer(spark, sf_dir):
 query("rank_places", f"WITH g AS ({_GAZ.replace('{customer}', 'customer')}), s AS (SELECT *, importance + CASE WHEN cls = 'highway' THEN -10.0 WHEN typ = 'street' THEN -8.0 WHEN cls IN ('place', 'natural') THEN 5.0 ELSE 0.0 END AS score FROM g), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place_id) AS n, CASE WHEN west IS NULL THEN 0.12 WHEN east - west > 0.45 OR north - south > 0.45 THEN 0.15 WHEN east - west < 0.02 OR north - south < 0.02 THEN 0.08 END AS half FROM s) SELECT query, place_id, score, round_even(CAST(coalesce(lon - half, west) AS DOUBLE), 5) AS west, round_even(CAST(coalesce(lat - half, south) AS DOUBLE), 5) AS south, round_even(CAST(coalesce(lon + half, east) AS DOUBLE), 5) AS east, round_even(CAST(coalesce(lat + half, north) AS DOUBLE), 5) AS north FROM b WHERE n = 1")(
     lambda s, d: ops.rank_places(_gazetteer(s, d))
 )
-_STEM = "SELECT DISTINCT 'ndvi_' || {} || '_' || CAST(CAST(extract(year FROM o_orderdate) AS INT) AS VARCHAR) || '-' || lpad(CAST(CAST(extract(month FROM o_orderdate) AS INT) AS VARCHAR), 2, '0') AS {} FROM orders WHERE o_orderkey % 40 = {}"
+_STEM = "SELECT DISTINCT 'ndvi_' || {} || '_' || CAST(CAST(extract(year FROM o_orderdate) AS INT) AS VARCHAR) || '-' || lpad(CAST(CAST(extract(month FROM o_orderdate) AS INT) AS VARCHAR), 2, '0') AS {} FROM orders"
 _POINTS = r"CASE WHEN t = r OR contains(r, t) OR contains(t, r) THEN 200 ELSE 0 END + CASE WHEN list_has_any(regexp_extract_all(t, '((?:19|20)\d\d-\d\d)', 1), regexp_extract_all(r, '((?:19|20)\d\d-\d\d)', 1)) THEN 100 ELSE 0 END + CASE WHEN list_has_any(regexp_extract_all(t, '((?:19|20)\d\d)', 1), regexp_extract_all(r, '((?:19|20)\d\d)', 1)) THEN 40 ELSE 0 END + CASE WHEN regexp_matches(t, 'change|diff') AND regexp_matches(r, 'change|diff') THEN 60 ELSE 0 END + 10 * len(list_intersect(list_filter(list_distinct(regexp_split_to_array(t, '[-_.]+')), lambda x: x <> 'mask'), list_filter(list_distinct(regexp_split_to_array(r, '[-_.]+')), lambda x: x <> 'mask')))"
 
 
-def _stems(spark, sf_dir, word, name, k):
-    sql = _STEM.format(f"'{word}'", name, k).replace("FROM orders", "FROM {orders}").replace("VARCHAR", "STRING")
+def _stems(spark, sf_dir, word, name):
+    sql = _STEM.format(f"'{word}'", name).replace("FROM orders", "FROM {orders}").replace("VARCHAR", "STRING")
     return spark.sql(sql, orders=table(spark, sf_dir, "orders"))
 
 
-query("match_rasters", f"WITH a AS ({_STEM.format(chr(39) + 'change' + chr(39), 't', 7)}), b AS ({_STEM.format(chr(39) + 'diff' + chr(39), 'r', 11)}), p AS (SELECT t, r, {_POINTS} AS points FROM a, b) SELECT t AS target, r AS raster, CAST(points AS INT) AS points, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY points DESC, r) AS INT) AS place FROM p WHERE points > 0) WHERE place <= 3")(
-    lambda s, d: ops.match_rasters(_stems(s, d, "change", "target", 7), _stems(s, d, "diff", "raster", 11))
+query("match_rasters", f"WITH a AS ({_STEM.format(chr(39) + 'change' + chr(39), 't')}), b AS ({_STEM.format(chr(39) + 'diff' + chr(39), 'r')}), p AS (SELECT t, r, {_POINTS} AS points FROM a, b) SELECT t AS target, r AS raster, CAST(points AS INT) AS points, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY points DESC, r) AS INT) AS place FROM p WHERE points > 0) WHERE place <= 3")(
+    lambda s, d: ops.match_rasters(_stems(s, d, "change", "target"), _stems(s, d, "diff", "raster"))
 )
 _SB = ["blue", "green", "red", "nir"]
-query("raster_summary", "__l AS (UNPIVOT (SELECT blue, green, red, nir FROM scene_cells WHERE r % 2 = 0 AND c % 2 = 0) ON blue, green, red, nir INTO NAME band VALUE v) SELECT band, count(v) AS n, min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean FROM __l GROUP BY band", "scene_cells")(lambda s, d: ops.raster_summary(view(s, d, "scene_cells"), _SB, 2))
+query("raster_summary", "__l AS (UNPIVOT (SELECT blue, green, red, nir FROM scene_cells) ON blue, green, red, nir INTO NAME band VALUE v) SELECT band, count(v) AS n, min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean FROM __l GROUP BY band", "scene_cells")(lambda s, d: ops.raster_summary(view(s, d, "scene_cells"), _SB))
 query("vector_summary", "SELECT count(*) AS n, 'Polygon' AS geom_type, min(least(x0, x1, x2)) AS west, min(least(y0, y1, y2)) AS south, max(greatest(x0, x1, x2)) AS east, max(greatest(y0, y1, y2)) AS north FROM zones", "zones")(
     lambda s, d: view(s, d, "zones").withColumn("geom_type", F.lit("Polygon")).groupBy("geom_type").agg(F.count("*").alias("n"), F.min(F.least("x0", "x1", "x2")).alias("west"), F.min(F.least("y0", "y1", "y2")).alias("south"), F.max(F.greatest("x0", "x1", "x2")).alias("east"), F.max(F.greatest("y0", "y1", "y2")).alias("north"))
 )
@@ -116,8 +118,8 @@ query("points_summary", "SELECT count(*) AS n, min(x) AS west, max(x) AS east, m
 query("raster_bounds", "SELECT raster_id, round_even(CASE WHEN srid = 4326 THEN x0 ELSE degrees(x0 / 6378137.0) END, 7) AS west, round_even(CASE WHEN srid = 4326 THEN y0 - height * dy ELSE degrees(2 * atan(exp((y0 - height * dy) / 6378137.0)) - pi() / 2) END, 7) AS south, round_even(CASE WHEN srid = 4326 THEN x0 + width * dx ELSE degrees((x0 + width * dx) / 6378137.0) END, 7) AS east, round_even(CASE WHEN srid = 4326 THEN y0 ELSE degrees(2 * atan(exp(y0 / 6378137.0)) - pi() / 2) END, 7) AS north FROM rasters", "rasters")(
     lambda s, d: _r(s, d).select("raster_id", *[F.bround(F.when(F.col("srid") == 4326, e).otherwise(F.degrees(e / 6378137.0) if k % 2 == 0 else F.degrees(2 * F.atan(F.exp(e / 6378137.0)) - F.pi() / 2)), 7).alias(n) for k, (e, n) in enumerate(zip(_edges(), ("west", "south", "east", "north")))])
 )
-query("tile_grid", "__t AS (SELECT item_id AS image_id, west, south, east, north, unnest(range(0, 3)) AS tr FROM stac_items WHERE item_id % 7 = 0), __u AS (SELECT *, unnest(range(0, 2)) AS tc FROM __t) SELECT image_id, printf('T%d_%d', tr, tc) AS tile, west + (east - west) * tc / 2 AS west, north - (north - south) * (tr + 1) / 3 AS south, west + (east - west) * (tc + 1) / 2 AS east, north - (north - south) * tr / 3 AS north FROM __u", "stac_items")(
-    lambda s, d: ops.tile_grid(_items(s, d).filter("item_id % 7 = 0").withColumnRenamed("item_id", "image_id"), 3, 2)
+query("tile_grid", "__t AS (SELECT item_id AS image_id, west, south, east, north, unnest(range(0, 3)) AS tr FROM stac_items), __u AS (SELECT *, unnest(range(0, 2)) AS tc FROM __t) SELECT image_id, printf('T%d_%d', tr, tc) AS tile, west + (east - west) * tc / 2 AS west, north - (north - south) * (tr + 1) / 3 AS south, west + (east - west) * (tc + 1) / 2 AS east, north - (north - south) * tr / 3 AS north FROM __u", "stac_items")(
+    lambda s, d: ops.tile_grid(_items(s, d).withColumnRenamed("item_id", "image_id"), 3, 2)
 )
 query("raster_quality", "__a AS (SELECT round_even(CAST(count(*) FILTER (nir IS NULL) AS DOUBLE) / count(*), 4) AS nodata, round_even(CAST(count(*) FILTER (scl IN (3, 8, 9, 10) AND nir IS NOT NULL) AS DOUBLE) / count(nir), 4) AS cloud FROM scene_cells) SELECT nodata, cloud, array_to_string(list_filter([CASE WHEN nodata > 0.2 THEN 'no-data' END, CASE WHEN cloud > 0.3 THEN 'cloud' END], lambda x: x IS NOT NULL), ',') AS warnings, CASE WHEN nodata >= 0.6 OR cloud >= 0.7 THEN 'insufficient_data' ELSE 'ok' END AS verdict FROM __a", "scene_cells")(
     lambda s, d: ops.raster_quality(view(s, d, "scene_cells"), "nir", "scl")

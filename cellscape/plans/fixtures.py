@@ -37,12 +37,22 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tile_verdicts": (("events",), "SELECT user_id AS image_id, event_id AS tile_id, CASE event_type WHEN 'view' THEN 'correct' WHEN 'click' THEN 'correct' WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'unsure' ELSE 'correct' END ELSE CASE WHEN user_id % 3 = 0 THEN 'wrong' ELSE NULL END END AS verdict FROM events"),
     "spectra": (("embeddings",), "SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE) + 0.6) AS spectrum FROM embeddings"),
     "rasters": (("supplier",), "SELECT s_suppkey AS raster_id, CAST(40 + s_suppkey % 3 AS INT) AS width, CAST(50 AS INT) AS height, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 4326 ELSE 3857 END AS INT) AS srid, CASE WHEN s_suppkey % 4 = 0 THEN 0.0001 ELSE 10.0 + s_suppkey % 2 END AS dx, CASE WHEN s_suppkey % 4 = 0 THEN 0.0001 ELSE 10.0 END AS dy, CASE WHEN s_suppkey % 4 = 0 THEN 20.0 + s_suppkey % 50 ELSE 1000000.0 + s_suppkey * 1000 END AS x0, CASE WHEN s_suppkey % 4 = 0 THEN 50.0 - s_suppkey % 90 ELSE 5000000.0 - s_suppkey * 500 END AS y0, CASE s_suppkey % 8 WHEN 0 THEN 'B4' WHEN 1 THEN 'b08' WHEN 2 THEN 'Red' WHEN 3 THEN 'sigma_VV_db' WHEN 4 THEN 'swir16' WHEN 5 THEN 'B05' WHEN 6 THEN 'nir' ELSE 'something' END AS label, CASE s_suppkey % 4 WHEN 0 THEN 'Sentinel-2A MSIL2A' WHEN 1 THEN 'LANDSAT_8' WHEN 2 THEN 's1a iw' ELSE 'unknown craft' END AS platform, CASE s_suppkey % 5 WHEN 0 THEN '2021-3-05' WHEN 1 THEN '05/03/2021' WHEN 2 THEN '13-02-2020' WHEN 3 THEN '02/14/2020T00:00' ELSE '2020-13-40' END AS date_text, CASE s_suppkey % 6 WHEN 0 THEN '665 nm' WHEN 1 THEN '0.842 um' WHEN 2 THEN '1610.4' WHEN 3 THEN '2.2' WHEN 4 THEN 'band 7' ELSE 'none' END AS wavelength_text FROM supplier"),
-    "band_catalog": ((), "SELECT id AS band, 400 + 32 * id AS wl_nm FROM range(64)"),
+    "band_catalog": (("embeddings",), "SELECT CAST(i AS BIGINT) AS band, CAST(400 + 32 * i AS BIGINT) AS wl_nm FROM (SELECT explode(sequence(0, n - 1)) AS i FROM (SELECT max(size(embedding)) AS n FROM embeddings))"),
+    # Bands of many instruments, one a supplier.
+    "instrument_bands": (("supplier",), "SELECT s_suppkey AS band, CAST(400 + s_suppkey * 37 % 2101 AS BIGINT) AS wl_nm FROM supplier"),
+    # The scene's whole rectangle: cells beyond its last part row, and missing ones, are 0.1.
+    "rgb_cells": (("refl",), "SELECT g.r, g.c, coalesce(s.red, 0.1) AS red, coalesce(s.green, 0.1) AS green, coalesce(s.blue, 0.1) AS blue FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM refl)) g LEFT JOIN refl s ON s.r = g.r AND s.c = g.c"),
+    "dem_grid": (("dem_cells",), "SELECT g.r, g.c, s.z FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM dem_cells)) g LEFT JOIN dem_cells s ON s.r = g.r AND s.c = g.c"),
+    # Boxes all over the globe: one layer an order, one a customer.
+    "footprints": (("orders",), "SELECT o_orderkey AS id, (o_orderkey * 37 + o_custkey * 11) % 3500 / 10.0 - 178.0 AS west, (o_orderkey * 17 + o_custkey * 3) % 1700 / 10.0 - 88.0 AS south, (o_orderkey * 37 + o_custkey * 11) % 3500 / 10.0 - 178.0 + 0.3 AS east, (o_orderkey * 17 + o_custkey * 3) % 1700 / 10.0 - 88.0 + 0.25 AS north FROM orders"),
+    "service_areas": (("customer",), "SELECT c_custkey AS id, c_custkey * 53 % 3500 / 10.0 - 178.0 AS west, c_custkey * 29 % 1700 / 10.0 - 88.0 AS south, c_custkey * 53 % 3500 / 10.0 - 178.0 + 0.4 AS east, c_custkey * 29 % 1700 / 10.0 - 88.0 + 0.35 AS north FROM customer"),
 }
 #: Where DuckDB says a view otherwise.
 IN_DUCKDB = {
     "spectra": "SELECT vec_id, label, [CAST(x AS DOUBLE) + 0.6 FOR x IN embedding] AS spectrum FROM embeddings",
-    "band_catalog": "SELECT range AS band, 400 + 32 * range AS wl_nm FROM range(64)",
+    "band_catalog": "SELECT i AS band, 400 + 32 * i AS wl_nm FROM (SELECT unnest(range(n)) AS i FROM (SELECT max(len(embedding)) AS n FROM embeddings))",
+    "rgb_cells": VIEWS["rgb_cells"][1].replace("explode(sequence(0L, 39L))", "unnest(range(40))"),
+    "dem_grid": VIEWS["dem_grid"][1].replace("explode(sequence(0L, 39L))", "unnest(range(40))"),
 }
 
 

@@ -8,21 +8,16 @@ from cellscape.operators import focal as ops
 from cellscape.plans.fixtures import view
 from cellscape.plans.registry import query
 
-# The grid of the fixture is whole rows of 40 cells, so the part beyond the last whole row is left out in both engines.
-_WHOLE = "r < (SELECT CAST(floor(count(*) / 40.0) AS BIGINT) FROM part)"
-
-
 def dem(spark, sf_dir):
-    z = view(spark, sf_dir, "dem_cells")
-    n = z.agg(F.floor(F.count("*") / 40.0).alias("h"))
-    return z.crossJoin(F.broadcast(n)).filter("r < h").drop("h")
+    """The elevation grid as a whole rectangle; cells beyond the last part row are missing."""
+    return view(spark, sf_dir, "dem_grid")
 
 
 def nir(spark, sf_dir):
     return view(spark, sf_dir, "scene_cells").select("r", "c", F.col("nir").alias("z"))
 
 
-_DEM = f"__z AS (SELECT * FROM dem_cells WHERE {_WHOLE})"
+_DEM = "__z AS (SELECT * FROM dem_grid)"
 _EDGE = {
     "replicate": lambda x, n: f"greatest(0, least({n} - 1, {x}))",
     "mirror": lambda x, n: f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN 2 * {n} - 1 - ({x}) ELSE {x} END",
@@ -44,7 +39,7 @@ _GY = "sum(v * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END)"
 _SOBEL = f"__s AS (SELECT r, c, z, {_GX} / 80.0 AS p, {_GY} / 80.0 AS q FROM __n GROUP BY r, c, z)"
 _base = lambda size, edge, fill: f"{_DEM}, {_near(size, edge, fill)}"
 _6 = lambda df: df.select("r", "c", F.bround("value", 6).alias("value"))
-_V = ("dem_cells",)
+_V = ("dem_grid",)
 query("gradient", f"{_base(3, 'mirror', _MEAN)} SELECT r, c, round_even(CASE WHEN z IS NOT NULL THEN sqrt({_GX} * {_GX} + {_GY} * {_GY}) END, 6) AS value FROM __n GROUP BY r, c, z", _V)(lambda s, d: _6(ops.gradient(dem(s, d), "z")))
 query("slope", f"{_base(3, 'replicate', _MEDIAN)}, {_SOBEL} SELECT r, c, round_even(CASE WHEN z IS NOT NULL THEN degrees(atan(sqrt(p * p + q * q))) END, 6) AS value FROM __s", _V)(lambda s, d: _6(ops.slope(dem(s, d), "z", 10.0, 10.0)))
 query("aspect", f"{_base(3, 'replicate', _MEDIAN)}, {_SOBEL} SELECT r, c, round_even(CASE WHEN z IS NULL THEN NULL WHEN degrees(atan(sqrt(p * p + q * q))) < 0.5 THEN -1 ELSE (180 - degrees(atan2(q, -p)) + 360) % 360 END, 6) AS value FROM __s", _V)(lambda s, d: _6(ops.aspect(dem(s, d), "z", 10.0, 10.0)))
@@ -53,7 +48,7 @@ query("hillshade", f"{_base(3, 'replicate', _MEDIAN)}, {_SOBEL} SELECT r, c, CAS
 query("tri", f"{_base(3, 'replicate', _NONE)} SELECT r, c, round_even(CASE WHEN count(raw) = 9 THEN sqrt(sum((raw - z) * (raw - z)) / 8.0) END, 6) AS value FROM __n GROUP BY r, c, z", _V)(lambda s, d: _6(ops.ruggedness(dem(s, d), "z")))
 query("tpi", f"{_base(5, 'replicate', _MEDIAN)} SELECT r, c, round_even(CASE WHEN z IS NOT NULL THEN z - avg(v) END, 6) AS value FROM __n GROUP BY r, c, z", _V)(lambda s, d: _6(ops.position_index(dem(s, d), "z", 5)))
 query("speckle", f"{_base(5, 'mirror', _NONE)} SELECT r, c, round_even(CASE WHEN z IS NOT NULL THEN avg(raw) END, 6) AS value FROM __n GROUP BY r, c, z", _V)(lambda s, d: _6(ops.speckle_filter(dem(s, d), "z", 5)))
-query("texture", f"__z AS (SELECT r, c, coalesce(z, 0) AS z FROM dem_cells WHERE {_WHOLE}), {_near(5, 'mirror', _NONE)} SELECT r, c, round_even(sqrt(greatest(0.0, avg(v * v) - avg(v) * avg(v))), 5) AS value FROM __n GROUP BY r, c", _V)(
+query("texture", f"__z AS (SELECT r, c, coalesce(z, 0) AS z FROM dem_grid), {_near(5, 'mirror', _NONE)} SELECT r, c, round_even(sqrt(greatest(0.0, avg(v * v) - avg(v) * avg(v))), 5) AS value FROM __n GROUP BY r, c", _V)(
     lambda s, d: ops.texture(dem(s, d).withColumn("z", F.coalesce("z", F.lit(0.0))), "z", 5).select("r", "c", F.bround("value", 5).alias("value"))
 )
 query("median3", f"{_base(3, 'mirror', _NONE)} SELECT r, c, CASE WHEN count(raw) > 0 THEN list_sort(list(raw) FILTER (raw IS NOT NULL))[CAST(floor(count(raw) / 2) AS INT) + 1] END AS value FROM __n GROUP BY r, c", _V)(lambda s, d: ops.median3(dem(s, d), "z"))

@@ -10,34 +10,32 @@ from cellscape.plans.fixtures import table, view
 from cellscape.plans.registry import query
 from cellscape.plans.summaries import gated
 
-_BANDS = [f"v{i}" for i in range(8)]
+_BANDS = [f"v{i}" for i in range(64)]
 
 
 def vectors(spark, sf_dir):
-    """Embeddings as rows of eight features and a label."""
+    """Embeddings as rows of 64 features and a label."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(b) for i, b in enumerate(_BANDS)])
 
 
-def _fit(kind, classes):
+def _fit(kind):
     def run(spark, sf_dir):
-        rows = vectors(spark, sf_dir).filter(F.col("label") < classes)
+        rows = vectors(spark, sf_dir)
         model = ops.fit(rows.filter("vec_id % 5 <> 0"), _BANDS, kind)
         return model.transform(rows.filter("vec_id % 5 = 0")).select("vec_id", "label", "prediction")
 
     return run
 
 
-query("fit_rf")(_fit("random_forest", 10))
-query("fit_gbt")(_fit("gradient_boosting", 3))
-query("fit_lr")(_fit("logistic_regression", 10))
-query("train_report")(lambda s, d: ops.train_report(vectors(s, d), _BANDS, folds=3))
+query("fit_rf")(_fit("random_forest"))
+query("fit_gbt")(_fit("gradient_boosting"))
+query("fit_lr")(_fit("logistic_regression"))
+query("train_report")(lambda s, d: ops.train_report(vectors(s, d), _BANDS))
 
 
 def rgb(spark, sf_dir):
-    """Scene cells as gapless red, green and blue in 0..1 on whole rows."""
-    cells = view(spark, sf_dir, "refl").select("r", "c", *[F.coalesce(F.col(b), F.lit(0.1)).alias(b) for b in ("red", "green", "blue")])
-    rows = cells.agg(F.floor(F.count("*") / 40.0).alias("h"))
-    return cells.crossJoin(F.broadcast(rows)).filter("r < h").drop("h")
+    """Scene cells as gapless red, green and blue in 0..1 on the whole rectangle."""
+    return view(spark, sf_dir, "rgb_cells")
 
 
 query("rgb_features")(lambda s, d: ops.rgb_features(rgb(s, d)))
@@ -66,23 +64,41 @@ def classify_scene(spark, sf_dir):
     return found.select("r", "c", cls.alias("cls")).withColumn("name", names[F.col("cls")])
 
 
-_PATCH = "__c AS (SELECT CAST(floor(r / 10.0) AS BIGINT) * 100 + CAST(floor(c / 10.0) AS BIGINT) AS patch, r AS row_, c AS col_, red, green, blue, (red + green + blue) / 3.0 AS br FROM refl WHERE red IS NOT NULL), __m AS (SELECT patch, avg(row_) AS mr, avg(col_) AS mc FROM __c GROUP BY patch), __g AS (SELECT c.patch, avg(red) AS red, avg(green) AS green, avg(blue) AS blue, avg(br) AS br_mean, stddev_pop(br) AS texture, stddev_pop(red) AS r_std, stddev_pop(green) AS g_std, quantile_cont(br, 0.9) - quantile_cont(br, 0.1) AS contrast, quantile_cont(br, 0.75) - quantile_cont(br, 0.25) AS iqr, avg(br) FILTER (row_ >= mr AND col_ >= mc) AS q0, avg(br) FILTER (row_ >= mr AND col_ < mc) AS q1, avg(br) FILTER (row_ < mr AND col_ >= mc) AS q2, avg(br) FILTER (row_ < mr AND col_ < mc) AS q3 FROM __c c JOIN __m USING (patch) GROUP BY c.patch), __q AS (SELECT *, (q0 + q1 + q2 + q3) / 4 AS qm FROM __g)"
-_COLS = "round_even(greatest(-2.0, least(2.0, (green - red) / (green + red - blue + 1e-6))), 6) AS vari, round_even(greatest(0.0, least(10.0, red / (blue + 1e-6))), 6) AS rb_ratio, round_even(greatest(-1.0, least(1.0, (green - red) / (green + red + 1e-6))), 6) AS ngrdi"
-_REST = ", ".join(f"round_even({n}, 6) AS {n}" for n in ("br_mean", "texture", "r_std", "g_std", "contrast", "iqr"))
-
+# In DuckDB: each patch's cells with their places in it, neighbours by joins, and a sum of waves for each place of the ring.
+_PATCH = """__c AS (SELECT CAST(floor(r / 10.0) AS BIGINT) * 100 + CAST(floor(c / 10.0) AS BIGINT) AS patch, r % 10 AS i, c % 10 AS j, red, green, blue, (red + green + blue) / 3.0 AS v FROM rgb_cells),
+__s AS (SELECT patch, max(i) + 1 AS h, max(j) + 1 AS w FROM __c GROUP BY patch),
+__p AS (SELECT c.*, h, w, floor(greatest(0.0, least(1.0, v)) * 255) AS u8, i >= h // 4 AND i < 3 * h // 4 AND j >= w // 4 AND j < 3 * w // 4 AS mid FROM __c c JOIN __s USING (patch)),
+__o AS (SELECT unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS di, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS dj),
+__e AS (SELECT p.patch, p.i, p.j, sqrt(power(sum(n.v * dj * CASE WHEN di = 0 THEN 2 ELSE 1 END), 2) + power(sum(n.v * di * CASE WHEN dj = 0 THEN 2 ELSE 1 END), 2)) AS edge
+  FROM __p p CROSS JOIN __o JOIN __p n ON n.patch = p.patch AND n.i = greatest(0, least(p.h - 1, p.i + di)) AND n.j = greatest(0, least(p.w - 1, p.j + dj)) GROUP BY p.patch, p.i, p.j),
+__l AS (SELECT p.patch, p.i, p.j, count(*) FILTER (n.u8 <= p.u8) AS lbp FROM __p p CROSS JOIN (SELECT * FROM __o WHERE di <> 0 OR dj <> 0) JOIN __p n ON n.patch = p.patch AND n.i = (p.i + di + p.h) % p.h AND n.j = (p.j + dj + p.w) % p.w GROUP BY p.patch, p.i, p.j),
+__r AS (SELECT patch, h, w, y - h // 2 AS fy, x - w // 2 AS fx FROM (SELECT patch, h, w, unnest(range(h)) AS y FROM __s) CROSS JOIN (SELECT unnest(range(10)) AS x) WHERE x < w AND power(y - h // 2, 2) + power(x - w // 2, 2) >= power(least(h, w) // 8, 2) AND power(y - h // 2, 2) + power(x - w // 2, 2) < power(least(h, w) // 4, 2)),
+__m AS (SELECT r.patch, fy, fx, sqrt(power(sum(v * cos(2 * pi() * (fy * i / CAST(r.h AS DOUBLE) + fx * j / CAST(r.w AS DOUBLE)))), 2) + power(sum(v * sin(2 * pi() * (fy * i / CAST(r.h AS DOUBLE) + fx * j / CAST(r.w AS DOUBLE)))), 2)) AS mag FROM __r r JOIN __p p USING (patch) GROUP BY r.patch, fy, fx),
+__f AS (SELECT patch, avg(mag) AS energy FROM __m GROUP BY patch),
+__g AS (SELECT patch, avg(red) FILTER (mid) AS red, avg(green) FILTER (mid) AS green, avg(blue) FILTER (mid) AS blue, avg(v) AS brightness, stddev_pop(v) AS texture, stddev_pop(red) AS r_std, stddev_pop(green) AS g_std, avg(edge) AS edge_mag, quantile_cont(edge, 0.9) AS edge_p90,
+  quantile_cont(v, 0.9) - quantile_cont(v, 0.1) AS contrast, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) AS brightness_range, avg(v) FILTER (i < h // 2 AND j < w // 2) AS q0, avg(v) FILTER (i < h // 2 AND j >= w // 2) AS q1, avg(v) FILTER (i >= h // 2 AND j < w // 2) AS q2, avg(v) FILTER (i >= h // 2 AND j >= w // 2) AS q3,
+  avg(v) AS f1, avg(v) FILTER (i % 2 = 0 AND j % 2 = 0) AS f2, avg(v) FILTER (i % 4 = 0 AND j % 4 = 0) AS f4, avg(greatest(red, green, blue) - least(red, green, blue)) FILTER (mid) AS wide, avg(greatest(red, green, blue)) FILTER (mid) AS top,
+  avg(lbp) AS lbp_mean, stddev_pop(lbp) AS lbp_std, count(*) FILTER (lbp IN (0, 7, 8)) / (count(*) + 1e-6) AS lbp_uniform, count(*) FILTER (lbp = 4) / (count(*) + 1e-6) AS lbp_mixed, count(*) FILTER (lbp BETWEEN 1 AND 3) / (count(*) + 1e-6) AS lbp_varied,
+  quantile_cont(red, 0.75) FILTER (mid) - quantile_cont(red, 0.25) FILTER (mid) AS r_iqr, quantile_cont(green, 0.75) FILTER (mid) - quantile_cont(green, 0.25) FILTER (mid) AS g_iqr, quantile_cont(blue, 0.75) FILTER (mid) - quantile_cont(blue, 0.25) FILTER (mid) AS b_iqr
+  FROM __p JOIN __e USING (patch, i, j) JOIN __l USING (patch, i, j) GROUP BY patch),
+__q AS (SELECT *, (q0 + q1 + q2 + q3) / 4 AS qm FROM __g LEFT JOIN __f USING (patch))"""
+_FEATURES = {
+    "vari": "greatest(-2.0, least(2.0, (green - red) / (green + red - blue + 1e-6)))", "rb_ratio": "greatest(0.0, least(10.0, red / (blue + 1e-6)))", "ngrdi": "greatest(-1.0, least(1.0, (green - red) / (green + red + 1e-6)))",
+    "quad_disp": "sqrt((power(q0 - qm, 2) + power(q1 - qm, 2) + power(q2 - qm, 2) + power(q3 - qm, 2)) / 4)", "saturation": "wide / (top + 1e-6)", "gb_ratio": "greatest(0.0, least(10.0, green / (blue + 1e-6)))", "fft_energy": "greatest(0.0, least(1e6, coalesce(energy, 0.0)))",
+    "rg_slope": "greatest(-1.0, least(1.0, (red - green) / (red + green + 1e-6)))", "blue_dom": "greatest(0.0, least(1.0, blue / (red + green + blue + 1e-6)))", "ms_mean_fine": "f1", "ms_mean_mid": "f2", "ms_mean_coarse": "f4", "ms_diff_fm": "abs(f1 - f2)", "ms_diff_mc": "abs(f2 - f4)",
+}
+
+
+def _patches(names):
+    def run(spark, sf_dir):
+        cells = rgb(spark, sf_dir).withColumn("patch", F.floor(F.col("r") / 10.0) * 100 + F.floor(F.col("c") / 10.0))
+        return ops.patch_features(cells, "patch", names).select("patch", *[F.bround(n, 6).alias(n) for n in names])
 
-def _patches(spark, sf_dir, names):
-    cells = view(spark, sf_dir, "refl").filter("red is not null").select((F.floor(F.col("r") / 10.0) * 100 + F.floor(F.col("c") / 10.0)).alias("patch"), F.col("r").alias("row"), F.col("c").alias("col"), "red", "green", "blue")
-    f = ops.patch_features(cells, "patch")
-    return f.select("patch", *[F.bround(n, 6).alias(n) for n in names])
+    return run
 
 
-query("patch_features", f"{_PATCH} SELECT patch, round_even(red, 6) AS red, round_even(green, 6) AS green, round_even(blue, 6) AS blue, {_COLS}, {_REST}, round_even(sqrt(((q0 - qm) * (q0 - qm) + (q1 - qm) * (q1 - qm) + (q2 - qm) * (q2 - qm) + (q3 - qm) * (q3 - qm)) / 4), 6) AS quad_disp FROM __q", "refl")(
-    lambda s, d: _patches(s, d, ["red", "green", "blue", "vari", "rb_ratio", "ngrdi", "br_mean", "texture", "r_std", "g_std", "contrast", "iqr", "quad_disp"])
-)
-query("patch_features_14", f"{_PATCH} SELECT patch, round_even(red, 6) AS red, round_even(green, 6) AS green, round_even(blue, 6) AS blue, {_COLS}, round_even(br_mean, 6) AS br_mean, round_even(texture, 6) AS texture, round_even(contrast, 6) AS contrast FROM __q", "refl")(
-    lambda s, d: _patches(s, d, ["red", "green", "blue", "vari", "rb_ratio", "ngrdi", "br_mean", "texture", "contrast"])
-)
+for _name, _names in (("patch_features", ops.PATCH33), ("patch_features_14", ops.PATCH14)):
+    query(_name, f"{_PATCH} SELECT patch, " + ", ".join(f"round_even({_FEATURES.get(n, n)}, 6) AS {n}" for n in _names) + " FROM __q", "rgb_cells")(_patches(_names))
 _X = "__x AS (SELECT cell, d, y, date_diff('day', (SELECT min(d) FROM cell_series), d) / 365.2425 AS x FROM cell_series), __g AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM __x GROUP BY cell HAVING count(*) >= 3)"
 
 

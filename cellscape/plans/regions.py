@@ -20,13 +20,13 @@ query("label_regions", _REACH + "SELECT id // 40 AS r, id % 40 AS c, label FROM
 query("filter_small", _REACH + "SELECT id // 40 AS r, id % 40 AS c, label FROM __n WHERE label IN (SELECT label FROM __s WHERE size >= 4)", "scene_cells", recursive=True)(lambda s, d: ops.filter_small(_labels(s, d), 4))
 query("region_summary", _REACH + "SELECT count(*) AS regions, max(size) AS largest, (SELECT list(size ORDER BY size DESC) FROM (SELECT size FROM __s ORDER BY size DESC, label LIMIT 5)) AS sizes FROM __s", "scene_cells", recursive=True)(lambda s, d: ops.region_summary(_labels(s, d)))
 query("polygonize")(lambda s, d: ops.polygonize(_labels(s, d), 100.0))
-query("distance_to_mask", f"{_DEM}, __m AS (SELECT r, c FROM scene_cells WHERE nir > 4500) SELECT z.r, z.c, round_even(sqrt(min((z.r - m.r) * (z.r - m.r) * 100.0 + (z.c - m.c) * (z.c - m.c) * 64.0)), 6) AS value FROM __z z, __m m GROUP BY z.r, z.c", ("dem_cells", "scene_cells"))(
+query("distance_to_mask", f"{_DEM}, __m AS (SELECT r, c FROM scene_cells WHERE nir > 4500) SELECT z.r, z.c, round_even(sqrt(min((z.r - m.r) * (z.r - m.r) * 100.0 + (z.c - m.c) * (z.c - m.c) * 64.0)), 6) AS value FROM __z z, __m m GROUP BY z.r, z.c", ("dem_grid", "scene_cells"))(
     lambda s, d: ops.distance_to_mask(dem(s, d), view(s, d, "scene_cells").filter("nir > 4500"), 8.0, 10.0).withColumn("value", F.bround("value", 6))
 )
 query("fill_depressions")(lambda s, d: ops.fill_depressions(dem(s, d)).select("r", "c", "z", "w"))
 query("flow_direction")(lambda s, d: ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0))
 query("flow_accumulation")(lambda s, d: ops.flow_accumulation(ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0)))
 query("wetness_index")(lambda s, d: ops.wetness_index(dem(s, d), 10.0, 10.0))
-query("elevation_profile", f"{_DEM}, __p AS (SELECT k, 1.0 + k / 49.0 * 2.5 AS y, 2.0 + k / 49.0 * 30.0 AS x FROM (SELECT CAST(unnest(range(50)) AS DOUBLE) AS k)), __w AS (SELECT k, sum((1 - abs(y - r)) * (1 - abs(x - c)) * z) / nullif(sum((1 - abs(y - r)) * (1 - abs(x - c))), 0) AS z FROM __p JOIN __z ON abs(y - r) < 1 AND abs(x - c) < 1 WHERE z IS NOT NULL GROUP BY k) SELECT CAST(p.k AS BIGINT) AS k, round_even(k / 49.0 * sqrt(2.5 * 2.5 + 30.0 * 30.0) * 10, 6) AS distance, round_even(z, 6) AS z FROM __p p LEFT JOIN __w USING (k)", "dem_cells")(
+query("elevation_profile", f"{_DEM}, __p AS (SELECT k, 1.0 + k / 49.0 * 2.5 AS y, 2.0 + k / 49.0 * 30.0 AS x FROM (SELECT CAST(unnest(range(50)) AS DOUBLE) AS k)), __w AS (SELECT k, sum((1 - abs(y - r)) * (1 - abs(x - c)) * z) / nullif(sum((1 - abs(y - r)) * (1 - abs(x - c))), 0) AS z FROM __p JOIN __z ON abs(y - r) < 1 AND abs(x - c) < 1 WHERE z IS NOT NULL GROUP BY k) SELECT CAST(p.k AS BIGINT) AS k, round_even(k / 49.0 * sqrt(2.5 * 2.5 + 30.0 * 30.0) * 10, 6) AS distance, round_even(z, 6) AS z FROM __p p LEFT JOIN __w USING (k)", "dem_grid")(
     lambda s, d: ops.elevation_profile(dem(s, d), "z", (1.0, 2.0), (3.5, 32.0), 10.0, 50).select("k", F.bround("distance", 6).alias("distance"), F.bround("z", 6).alias("z"))
 )

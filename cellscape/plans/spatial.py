@@ -44,8 +44,9 @@ query("polygon_area", "SELECT round_even(sum(abs(x0 * (y1 - y2) + x1 * (y2 - y0)
 query("sjoin_point_polygon", f"SELECT zone_id, count(*) AS n, round_even(sum(z), 4) AS total FROM (SELECT p.x, p.y, p.z, zones.* FROM points p, zones) WHERE {_IN} GROUP BY zone_id", ("points", "zones"))(
     lambda s, d: ops.points_in_polygons(view(s, d, "points"), zones(s, d), "zone_id").groupBy("zone_id").agg(F.count("*").alias("n"), F.bround(F.sum("z"), 4).alias("total"))
 )
-_box = lambda s, d, k: view(s, d, "stac_items").filter(f"item_id % 20 = {k}").select(F.col("item_id").alias("id"), "west", "south", "east", "north")
-query("sjoin_bbox", "SELECT a.item_id AS left_id, b.item_id AS right_id FROM stac_items a, stac_items b WHERE a.item_id % 20 = 3 AND b.item_id % 20 = 7 AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north", "stac_items")(lambda s, d: ops.boxes_that_meet(_box(s, d, 3), _box(s, d, 7)))
+query("sjoin_bbox", "SELECT a.id AS left_id, b.id AS right_id FROM footprints a JOIN service_areas b ON a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north", ("footprints", "service_areas"))(
+    lambda s, d: ops.boxes_that_meet(view(s, d, "footprints"), view(s, d, "service_areas"))
+)
 _pts = lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 1000 / 10.0).alias("x"), (F.col("s_suppkey") * 91 % 1000 / 10.0).alias("y"))
 _PTS = "(SELECT s_suppkey AS id, s_suppkey * 37 % 1000 / 10.0 AS x, s_suppkey * 91 % 1000 / 10.0 AS y FROM supplier)"
 query("within_distance", f"SELECT a.id AS left_id, b.id AS right_id, round_even(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM {_PTS} a, {_PTS} b WHERE a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 7.5")(

@@ -19,7 +19,7 @@ query("nd_wavelength", f"SELECT vec_id, ({_at(848)} - {_at(656)}) / nullif({_at(
 query("absorption_depth", f"__l AS (SELECT vec_id, {_at(2192)} AS f, {_at(2096)} + ({_at(2288)} - {_at(2096)}) * 0.5 AS line FROM spectra) SELECT vec_id, round_even(CASE WHEN line > 0 THEN 1 - f / line END, 9) AS depth FROM __l", "spectra")(
     lambda s, d: ops.absorption_depth(_s(s, d), _b(s, d), 2192.0, 2096.0, 2288.0).withColumn("depth", F.bround("depth", 9))
 )
-query("band_at", "SELECT arg_min(band, abs(wl_nm - 1000)) AS band FROM band_catalog", "band_catalog")(lambda s, d: _b(s, d).filter(F.col("band") == catalog.band_at(_b(s, d), 1000.0)).select("band"))
+query("band_at", "SELECT band FROM instrument_bands ORDER BY abs(wl_nm - 1000), band LIMIT 1", "instrument_bands")(lambda s, d: view(s, d, "instrument_bands").filter(F.col("band") == catalog.band_at(view(s, d, "instrument_bands"), 1000.0, 2101.0)).select("band"))
 _MEAN = "__e AS (SELECT label, unnest(spectrum) AS v, unnest(range(64)) AS band FROM spectra), __m AS (SELECT label, band, avg(v) AS v FROM __e GROUP BY ALL), __r AS (SELECT list(v ORDER BY band) AS ref FROM __m WHERE label = 0)"
 query("spectral_angle", f"{_MEAN} SELECT vec_id, round_even(acos(greatest(-1.0, least(1.0, list_dot_product(spectrum, ref) / (sqrt(list_dot_product(spectrum, spectrum)) * sqrt(list_dot_product(ref, ref)))))), 6) AS angle FROM spectra, __r", "spectra")(
     lambda s, d: ops.spectral_angle(_s(s, d), ops.endmembers(_s(s, d), [0])[:, 0]).withColumn("angle", F.bround("angle", 6))

@@ -41,9 +41,9 @@ query("verdict_consensus", "__k AS (SELECT *, row_number() OVER (PARTITION BY im
     lambda s, d: ops.verdict_consensus(_tiles(s, d), _tiles(s, d).select("image_id", "tile_id", F.when(F.col("tile_id") % 3 == 0, "correct").otherwise(F.col("verdict")).alias("verdict")))
 )
 query("balance_weights", "__g AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM __g")(lambda s, d: ops.balance_weights(table(s, d, "embeddings"), "label").select("label", "n", F.col("weight").cast("double").alias("weight")))
-_CNT = lambda agg: f"SELECT label, (SELECT {agg}(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) AS n FROM embeddings GROUP BY label"
-query("oversample", _CNT("max"))(lambda s, d: ops.resampled(table(s, d, "embeddings").select("vec_id", "label"), "label", "oversample").groupBy("label").agg(F.count("*").alias("n")))
-query("undersample", _CNT("min"))(lambda s, d: ops.resampled(table(s, d, "embeddings").select("vec_id", "label"), "label", "undersample").groupBy("label").agg(F.count("*").alias("n")))
+_DEALT = "WITH __k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(vec_id AS VARCHAR) || '|' || CAST(label AS VARCHAR))) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings), __n AS (SELECT *, max(n) OVER () AS most, min(n) OVER () AS least FROM __k)"
+query("oversample", f"{_DEALT} SELECT vec_id, label FROM (SELECT vec_id, label, unnest(range(most // n + CASE WHEN k < most % n THEN 1 ELSE 0 END)) FROM __n)")(lambda s, d: ops.resampled(table(s, d, "embeddings").select("vec_id", "label"), "label", "oversample"))
+query("undersample", f"{_DEALT} SELECT vec_id, label FROM __n WHERE k < least")(lambda s, d: ops.resampled(table(s, d, "embeddings").select("vec_id", "label"), "label", "undersample"))
 _XY = "(SELECT s_suppkey AS id, s_suppkey * 37 % 1000 / 10.0 AS x, s_suppkey * 91 % 1000 / 10.0 AS y FROM supplier)"
 
 

@@ -9,16 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own on a local master and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cellscape-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this process wrote; results that still read them must be written before.  Returns how many."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/cellscape-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/cellscape-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:

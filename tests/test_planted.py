@@ -71,7 +71,7 @@ def test_masks_and_quality(spark):
     with pytest.raises(ValueError):
         cells.combine_masks([some, some], "xor")
     with pytest.raises(ValueError):
-        cells.aoi_window(m, 0, 10_000, 0, 10_000)
+        cells.aoi_window(m, 0, 10000, 0, 10000, most=36_000_000)
     mostly_empty = spark.createDataFrame([(r, c, 1.0 if r < 5 and c < 5 else None, 4) for r in range(20) for c in range(20)], "r long, c long, z double, scl int")
     assert catalog.raster_quality(mostly_empty, "z", "scl").first().verdict == "insufficient_data"
 
