@@ -6,15 +6,39 @@ called) never clash with what it adds.  A null text counts as the empty text unl
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cellscape.sources.scratch import stored  # noqa: F401  the operators take it from here
+from cellscape.operators.ranks import prefix_sums  # noqa: F401  the operators take it from here
+from cellscape.sources.scratch import stored  # noqa: F401
+
+
+#: Bytes of one Arrow batch between the JVM and a Python worker; rows longer than this travel alone.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of bounded bytes: lowers the session's limit to BATCH_BYTES."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, or with underscores before it so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +62,13 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has about `most` bytes of text, one row at least: bounds what a worker holds."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in column.cast(pa.large_binary()).to_pylist()), np.int64, len(column)))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
@@ -89,14 +113,21 @@ class Members:
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
-        for seed in (1, 2):
+        for seed in (1, 2, 3):
             at = (keys >> np.uint64(58)) * np.uint64(self.segment) + mixed(keys, seed) % np.uint64(self.segment)
             out &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
     @classmethod
-    def of(cls, keys: DataFrame, bits: int) -> "Members":
-        """The filter of a one-column table of long keys; `bits` bits reach the driver, in segments."""
+    def of(cls, keys: DataFrame, most_bits: int = 1 << 26) -> "Members":
+        """The filter of a one-column table of long keys, 16 bits a key and `most_bits` at most; it reaches the driver in segments.
+
+        Beyond most_bits / 16 keys it lets more through, which costs time and never a member.
+        """
+        n = keys.count()
+        bits = 1 << 16
+        while bits < min(16 * n, most_bits):
+            bits *= 2
         segment = bits // cls.SEGMENTS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +137,7 @@ class Members:
                 of = (k >> np.uint64(58)).astype(np.int64)
                 for s in np.unique(of):
                     data = held.setdefault(int(s), np.zeros(segment // 8, np.uint8))
-                    for seed in (1, 2):
+                    for seed in (1, 2, 3):
                         at = mixed(k[of == s], seed) % np.uint64(segment)
                         np.bitwise_or.at(data, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
             if held:
@@ -114,29 +145,22 @@ class Members:
 
         name = keys.columns[0]
         data = np.zeros(bits // 8, np.uint8)
-        for s, part in keys.repartition(cls.SEGMENTS, F.shiftrightunsigned(F.col(name), 58)).mapInArrow(run, "s int, data binary").collect():
+        for s, part in in_arrow(keys.repartition(cls.SEGMENTS, F.shiftrightunsigned(F.col(name), 58)), run, "s int, data binary").collect():
             data[s * segment // 8 : (s + 1) * segment // 8] |= np.frombuffer(part, np.uint8)
         return cls(data.tobytes(), bits)
 
 
-def prefix_sums(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """Sum of `value` over the earlier rows of the same keys, in the order (part, order), as column `out`.
-
-    Two levels: sums of each part, prefix sums of those, and a running sum inside a part.  No task gets
-    more than one part of a key, however large the key is.
-    """
-    from pyspark.sql import Window as W
-
-    sums = df.groupBy(*keys, part).agg(F.sum(value).alias("__sum"))
-    over = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(over), F.lit(0))).drop("__sum")
-    inside = W.partitionBy(*keys, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = [rows[k].eqNullSafe(sums[k]) for k in [*keys, part]]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    joined = rows.join(sums, cond)
-    for k in [*keys, part]:
-        joined = joined.drop(sums[k])
-    return joined.withColumn(out, F.col("__inside") + F.col("__before")).drop("__inside", "__before")
+def may_be_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of long columns against a broadcast filter over the one-column table `keys`: true for all its keys and for some others."""
+    shared = keys.sparkSession.sparkContext.broadcast(Members.of(keys))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.may_hold(h.to_numpy(np.int64).view(np.uint64)))
+
+    return test
+
+
+def id_hash(name: str) -> Column:
+    """A 64-bit hash of an id as text; a null id and an empty one have the same."""
+    return F.xxhash64(id_text(name))

@@ -6,11 +6,13 @@ word the automaton gives the longest run of words, ending there, that some item
 window is an occurrence of a window, and its words are hit; the span's items are kept with the state.
 An item shorter than the window is one window of its own.
 
-The item table is read in blocks of at most `block_words` words, one automaton each: what is broadcast is
-bounded, however many items there are; the documents are then read once for each block.
+The item table is cut into blocks of `block_bytes` bytes (and one item), one automaton each, of which the driver and the
+workers hold one at a time.  With one block, documents are read once and never move.  With several, documents are numbered
+and read once for each block; only spans are kept, and limits are applied once, to the union of a document's spans over all blocks.
 
-Cases: null texts have no words; items without words have no window; repeated items count once per item_id;
-empty tables give no hits.  Null item ids are listed as the empty string.
+Cases: null texts have no words; items without words have no window; repeated items count once per item_id; repeated
+documents are separate rows; long texts are streamed whole through the automaton; equal windows of several items (ties) count for
+all of them; empty tables give no hits.  Null item ids are listed as the empty string.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import slices, table, texts_of
+from cellscape.llm.common import free_name, in_arrow, may_be_in, prefix_sums, slices, stored, table, texts_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -150,35 +152,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most block_words words (one item at least), fetched one partition at a time."""
-    block, size = [], 0
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator()
-    for item, text in rows:
-        words = words_of((text or "").encode())
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    if block:
-        yield block
-
-
-def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """(row columns of docs, n_words, spans, items) for every row and block; spans in words, end exclusive."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)[id_col]
-    spark = rows.sparkSession
-    parts = []
-    blocks = list(enumerate(blocks_of(items, item_id, item_text, block_words))) or [(0, [])]
-    for number, block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-        parts.append(_against(rows, shared, kind, id_col, window))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """(block, item, text) of the items, stored, and the numbers of the blocks."""
+    rows = stored(items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftright("row", 33)).withColumn("bytes", F.octet_length("text") + 1)
+    placed = prefix_sums(rows, [], "part", [F.col("row")], "bytes", "before")
+    blocks = stored(placed.select(F.floor(F.col("before") / block_bytes).alias("block"), "item", "text"))
+    return blocks, sorted(r[0] for r in blocks.select("block").distinct().collect())
+
+
+def block_of(blocks: DataFrame, number: int) -> list[tuple[str, list[bytes]]]:
+    return [(item, words_of(text.encode())) for item, text in blocks.filter(F.col("block") == number).select("item", "text").collect()]
 
 
 _built: dict = {}
@@ -186,61 +170,91 @@ _built: dict = {}
 
 def _automaton(shared, window: int) -> Automaton:
     """The automaton of a broadcast block, built once in a worker."""
-    key = (shared.value is _built.get("block"), window)
-    if not key[0] or _built.get("window") != window:
+    if shared.value is not _built.get("block") or _built.get("window") != window:
+        _built.clear()
         _built.update(block=shared.value, window=window, automaton=Automaton(shared.value, window))
     return _built["automaton"]
 
 
-def _against(rows: DataFrame, shared, kind: str, id_col: str, window: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared, window)
-        for b in slices(batches):
-            n, spans, items = [], [], []
-            for text in texts_of(b.column(1)):
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def spans_in_blocks(docs: DataFrame, row: str, text_col: str, blocks: DataFrame, numbers: list[int], window: int) -> DataFrame:
+    """(row, spans, items) of the rows with hits in any block; row is a column of docs that numbers its rows."""
+    rows, parts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text")), []
+    for number in numbers:
+        shared = docs.sparkSession.sparkContext.broadcast(block_of(blocks, number))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shared, window)
+            for b in slices(batches):
+                found = [automaton.spans(words_of(t)) for t in texts_of(b.column(1))]
+                spans = [[{"start": x, "stop": y} for x, y in merged(f)] for f, _ in found]
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))], names=["row", "spans", "items"])
+                yield out.filter(pa.array([bool(f) for f, _ in found], pa.bool_()))
+
+        parts.append(stored(in_arrow(rows, run, "row long, spans array<struct<start:long,stop:long>>, items array<string>")))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, window: int, block_bytes: int, item_id: str, item_text: str):
+    """(rows, own, find): docs with what find needs, and the number of docs' own columns, which come first.
+
+    find(batch, texts) gives for each text of an Arrow batch of rows its words' number, its merged spans and its items.
+    """
+    blocks, numbers = item_blocks(items, item_id, item_text, block_bytes)
+    own = len(docs.columns)
+    if len(numbers) <= 1:
+        shared = docs.sparkSession.sparkContext.broadcast(block_of(blocks, numbers[0]) if numbers else [])
+
+        def scan(b: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+            automaton = _automaton(shared, window)
+            for text in texts:
                 words = words_of(text)
-                found, of = automaton.spans(words)
-                n.append(len(words))
-                spans.append([{"start": int(x), "stop": int(y)} for x, y in merged(found)])
-                items.append(sorted(of))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names=[id_col, "text", "n_words", "spans", "items"])
+                spans, found = automaton.spans(words)
+                yield len(words), merged(spans), sorted(found)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, text string, n_words long, spans array<struct<start:long,stop:long>>, items array<string>")
+        return docs, own, scan
+    row, spans, of = (free_name(docs, n) for n in ("row", "spans", "items"))
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    hit = stored(spans_in_blocks(docs, row, text_col, blocks, numbers, window).select(F.col("row").alias(row), F.col("spans").alias(spans), F.col("items").alias(of)))
+    # Rows outside the filter have no hits and don't move.
+    may_hit = may_be_in(hit.select(row))(F.col(row))
+    plain = docs.filter(~may_hit).withColumn(spans, F.lit(None).cast(hit.schema[spans].dataType)).withColumn(of, F.lit(None).cast("array<string>"))
+    rows = plain.unionByName(docs.filter(may_hit).join(hit, row, "left"))
+    rows = rows.select(*[c for c in docs.columns if c != row], spans, of)
 
+    def given(b: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+        for text, held, found in zip(texts, b.column(own).to_pylist(), b.column(own + 1).to_pylist()):
+            yield len(words_of(text)), merged([(x["start"], x["stop"]) for x in held or []]), sorted(found or [])
 
-def _one_row_each(found: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    if blocks <= 1:
-        return found
-    keys = [id_col, "text", "n_words"]
-    return found.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("__n")).select(*keys, "spans", "items", F.explode(F.sequence(F.lit(1), (F.col("__n") / blocks).cast("int"))).alias("__k")).drop("__k")
+    return rows, own, given
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_words: int = 1_000_000, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 1 << 19, max_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, clean, n_words, n_hit, items, contaminated, removed): every row with its hit words cut out.
 
     A document of which more than max_coverage of its words are hit is removed whole (clean is null, removed is true);
-    of any other, the bytes from the first to the last hit word of each span go.  Rows repeated with equal text are kept apart.
+    of any other, the bytes from the first to the last hit word of each span go.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)[id_col]
-    n_blocks = max(1, sum(1 for _ in blocks_of(items, "item_id", "text", block_words)))
-    found = _one_row_each(find_spans(rows, items, id_col, "text", window=window, block_words=block_words), id_col, n_blocks)
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(given.dtypes)["id"]
+    rows, _, find = _hits(given, items, "text", window, block_bytes, item_id, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            clean, hit, removed = [], [], []
-            texts, n_words, spans, items = texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
-            for text, n, found in zip(texts, n_words, spans):
-                whole = merged([(s["start"], s["stop"]) for s in found or []])
-                k = sum(y - x for x, y in whole)
-                hit.append(k)
-                removed.append(k > max_coverage * n)
-                if k and not removed[-1]:
-                    text = cut_spans(text, whole)
-                clean.append(None if removed[-1] else text.decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x or []) for x in items], pa.list_(pa.string())), pa.array([x > 0 for x in hit]), pa.array(removed)], names=[id_col, "clean", "n_words", "n_hit", "items", "contaminated", "removed"])
+            texts = texts_of(b.column(1))
+            n, spans, found = (list(x) for x in zip(*find(b, texts)))
+            hit = [sum(y - x for x, y in s) for s in spans]
+            removed = [k > max_coverage * m for k, m in zip(hit, n)]
+            clean = [None if gone else (cut_spans(t, s) if s else t).decode() for t, s, gone in zip(texts, spans, removed)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array([k > 0 for k in hit]), pa.array(removed)], names=[id_col, "clean", "n_words", "n_hit", "items", "contaminated", "removed"])
 
-    return found.mapInArrow(run, f"`{id_col}` {kind}, clean string, n_words long, n_hit long, items array<string>, contaminated boolean, removed boolean")
+    return in_arrow(rows, run, f"`{id_col}` {kind}, clean string, n_words long, n_hit long, items array<string>, contaminated boolean, removed boolean")
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -253,30 +267,26 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, block_words: int = 1_000_000, max_coverage: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, block_bytes: int = 1 << 19, max_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs with hit spans cut out of the text; rows hit on more than max_coverage of their words go.
 
-    All other columns stay as they are.  Blocks of items work one after another, each on what the one before left.
+    All other columns stay as they are.
     """
-    at = docs.columns.index(text_col)
-    for block in blocks_of(items, "item_id", "text", block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    at, schema = docs.columns.index(text_col), docs.schema
+    rows, own, find = _hits(docs, items, text_col, window, block_bytes, item_id, item_text)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shared, window)
-            for b in slices(batches, text_col):
-                texts, keep = b.column(at).to_pylist(), []
-                for i, text in enumerate(texts_of(b.column(at))):
-                    words = words_of(text)
-                    whole = merged(automaton.spans(words)[0])
-                    hit = sum(y - x for x, y in whole)
-                    keep.append(hit <= max_coverage * len(words))
-                    if hit:
-                        texts[i] = cut_spans(text, whole).decode()
-                yield b.set_column(at, b.schema.field(at).name, pa.array(texts, pa.string())).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            texts, keep = b.column(at).to_pylist(), []
+            raw = texts_of(b.column(at))
+            for i, (n, spans, _) in enumerate(find(b, raw)):
+                keep.append(sum(y - x for x, y in spans) <= max_coverage * n)
+                if spans and keep[-1]:
+                    texts[i] = cut_spans(raw[i], spans).decode()
+            whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(own)], names=schema.names)
+            yield whole.filter(pa.array(keep, pa.bool_()))
+
+    return in_arrow(rows, run, schema)
 
 
 def op7_decontamination(spark, sf_dir: str, window: int = 10) -> DataFrame:

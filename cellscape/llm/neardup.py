@@ -8,18 +8,21 @@ to their similarity, with the concentration of minwise hashing.
 Work:
 1. one pass over the texts gives set size, set digest and band keys; equal sets form one class, and only classes go on;
 2. in each bucket of a band, every class is checked against the bucket's smallest class on the full shingle sets;
-3. links make components; where a bucket still holds several components, they are compared in full, in blocks: every
-   member of the smaller one against the larger one, and classes still alone against each other.  So no link between
-   classes that share a bucket is lost, and no bucket is expanded into rows for all its pairs.
+3. links make components; where a bucket still holds several components, its classes are cut into blocks of like size and
+   every pair of blocks that may hold a link across components is compared on the full sets.  Pairs of blocks are
+   dealt as numbers before any set is fetched, so a hot bucket is many tasks.
 With 32 bands of 5, a pair at similarity 0.8 shares no bucket with probability 3e-6.
 
 Cases: null and empty texts, or texts without words, have an empty set and are linked with nothing; texts of fewer words than
 a shingle have their whole sequence as one shingle; repeated rows share a component; rows without a doc_id take part,
-and a component of none but such rows has a null component_id.
+and a component of none but such rows has a null component_id.  Long texts are sketched whole; their sets travel in blocks of
+bounded bytes, one set at least.  Ties (equal sets, equal smallest values) have one result whatever the order of rows.  An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import Members, WordHash, id_text, mixed, slices, stored, table, texts_of
+from cellscape.llm.common import Members, WordHash, free_name, id_hash, in_arrow, may_be_in, mixed, slices, stored, table, texts_of
 from cellscape.operators.graph import components
 
 BANDS, ROWS = 32, 5
@@ -87,16 +90,16 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
             keys = [band_keys(sketch(s, bands * rows), bands, rows) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
 
-    return given.mapInArrow(run, f"doc_id {kind}, n long, digest binary, bands array<long>")
+    return in_arrow(given, run, f"doc_id {kind}, n long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, bits: int = 1 << 25) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(digest, shingles) of the rows whose doc_id is in ids, and of a few others; shingles as packed sorted hashes.
 
-    A filter of fixed size over the ids is broadcast, so texts are read where they lie and never shuffled.
+    A filter of bounded size over the ids is broadcast, so texts are read where they lie and never shuffled.
     """
-    given = docs.select(F.xxhash64(id_text(id_col)).alias("h"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(Members.of(ids.select(F.xxhash64(id_text("doc_id")).alias("h")), bits))
+    given = docs.select(id_hash(id_col).alias("h"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(Members.of(ids.select(id_hash("doc_id").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,7 +108,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
                 sets = [s.tobytes() for s in (shingle_set(x, k) for x in texts_of(part.column(1))) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return given.mapInArrow(run, "digest binary, shingles binary")
+    return in_arrow(given, run, "digest binary, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -130,70 +133,63 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
-def certified(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """Links (a, b) between different components that share a bucket; members has (key, node) and comps (node, comp) of linked nodes.
+def blocked(members: DataFrame, comps: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """(key, g, label, part, node, comp): the classes of every bucket that holds several components, in blocks.
 
-    Components with several nodes: each other component of their buckets, the smaller of the two, is compared with all of it,
-    in blocks of about `block` nodes.  Nodes still alone: the alone nodes of each bucket are cut into blocks, and blocks are
-    compared in pairs, each pair of nodes in the first band that they share.
+    members has (key, node, n), comps (node, comp) of linked nodes.  A block has the nodes of one bucket whose sizes are of one
+    group g; similar sets are of the same or of neighbouring groups.  Components with `block` nodes there have blocks of
+    their own, with their number as the label; all other nodes share blocks without a label.
     """
-    of = members.join(comps, "node", "left").select("key", "node", "comp")
-    several = of.filter("comp is not null").select("key", "comp").distinct()
-    anyone = of.select("key", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("alone")).distinct()
-    pairs = several.withColumnRenamed("comp", "x").join(anyone.withColumnRenamed("comp", "y"), "key").filter("x <> y and (alone or x < y)").select("x", "y").distinct()
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = pairs.join(sizes.select(F.col("comp").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("comp").alias("y"), F.col("size").alias("ny")), "y", "left").na.fill(1, ["ny"])
-    swap = F.col("nx") < F.col("ny")
-    pairs = stored(pairs.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("query"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("target"), F.greatest("nx", "ny").alias("size")))
-    nodes = sets.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "shingles")
-    targets = nodes.join(pairs.select(F.col("target").alias("comp"), "size").distinct(), "comp")
-    blocks = targets.groupBy(F.col("comp").alias("target"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("part")).agg(F.collect_list(F.struct("node", "shingles")).alias("held"))
-    queries = nodes.select(F.col("comp").alias("query"), F.col("node").alias("a"), "shingles").join(pairs.select("query", "target"), "query").select("target", "a", "shingles")
-    rows = queries.join(blocks.select("target", "held"), "target").select("a", "shingles", "held")
-
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = [], []
-            for i in range(b.num_rows):
-                q = np.frombuffer(b.column(1)[i].as_buffer(), np.uint64)
-                held = b.column(2)[i].values
-                for node, s in zip(held.field(0).to_pylist(), held.field(1)):
-                    if similar(q, np.frombuffer(s.as_buffer(), np.uint64), percent):
-                        left.append(b.column(0)[i].as_py())
-                        right.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    alone = of.filter("comp is null").select("key", "node")
-    many = alone.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    alone = alone.join(many, "key").join(sets, "node")
-    parts = alone.groupBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).alias("part")).agg(F.collect_list(F.struct("node", "bands", "shingles")).alias("held"))
-    parts = stored(parts)
-    both = parts.select("key", F.col("part").alias("i"), F.col("held").alias("left")).join(parts.select("key", F.col("part").alias("j"), F.col("held").alias("right")), "key").filter("i <= j").select("key", (F.col("i") == F.col("j")).alias("same"), "left", "right")
+    step = max(math.log(100 / percent), 1e-3) * 1.000001
+    of = members.join(comps, "node", "left").select("key", "node", "n", "comp", F.floor(F.log("n") / step).alias("g"))
+    tally = of.groupBy("key", "comp", "g").agg(F.count("*").alias("size"), F.sum("n").alias("words"))
+    several = tally.groupBy("key").agg(F.count_distinct("comp").alias("comps"), F.coalesce(F.sum(F.when(F.col("comp").isNull(), F.col("size"))), F.lit(0)).alias("alone")).filter("comps + alone > 1").select("key")
+    tally = stored(tally.join(several, "key").withColumn("label", F.when(F.col("size") >= block, F.col("comp"))))
+    parts = tally.groupBy("key", "g", "label").agg(F.ceil(F.greatest(F.sum("size") / block, F.sum("words") * 8 / block_bytes)).alias("parts"))
+    cut = tally.alias("t").join(parts.alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("t.g") == F.col("p.g")) & F.col("t.label").eqNullSafe(F.col("p.label"))).select("t.key", "t.comp", "t.g", "t.label", "p.parts")
+    same = (F.col("o.key") == F.col("c.key")) & (F.col("o.g") == F.col("c.g")) & F.col("o.comp").eqNullSafe(F.col("c.comp"))
+    return of.alias("o").join(cut.alias("c"), same).select("o.key", "o.g", "c.label", F.pmod(F.xxhash64("o.node"), "c.parts").alias("part"), "o.node", "o.comp")
+
+
+def certified(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block: int = 256, block_bytes: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, each pair compared in the first band that it shares."""
+    cells = stored(blocked(members, comps, percent, block, block_bytes))
+    names = ["key", "g", "label", "part"]
+    # One row a block, numbered; everything up to the last two joins is numbers only.
+    blocks = stored(cells.groupBy(*names).agg(F.collect_list(F.struct("node", "comp")).alias("nodes")).withColumn("block", F.monotonically_increasing_id()))
+    i = blocks.select("key", F.col("g").alias("gi"), F.col("label").alias("of_i"), F.col("block").alias("i"), F.explode(F.array("g", F.col("g") + 1)).alias("g"))
+    j = blocks.select("key", "g", F.col("label").alias("of_j"), F.col("block").alias("j"))
+    apart = F.col("of_i").isNull() | F.col("of_j").isNull() | (F.col("of_i") != F.col("of_j"))
+    pairs = stored(i.join(j, ["key", "g"]).filter(apart & ((F.col("gi") != F.col("g")) | (F.col("i") <= F.col("j")))).select("key", "i", "j"))
+    each = blocks.select("block", F.explode("nodes").alias("x")).select("block", "x.*").join(sets, "node")
+    held = stored(each.groupBy("block").agg(F.collect_list(F.struct("node", F.coalesce("comp", -F.col("node") - 1).alias("comp"), "bands", "shingles")).alias("held")))
+    rows = pairs.join(held.select(F.col("block").alias("i"), F.col("held").alias("left")), "i").join(held.select(F.col("block").alias("j"), F.col("held").alias("right")), "j")
+    rows = rows.select("key", (F.col("i") == F.col("j")).alias("same"), "left", "right")
+
+    def opened(held: pa.StructArray) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
+        bands = held.field(2).flatten().to_numpy().reshape(len(held), -1)
+        return held.field(0).to_pylist(), held.field(1).to_numpy(), bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in held.field(3)]
 
-    def opened(held: pa.StructArray) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-        bands = held.field(1).flatten().to_numpy().reshape(len(held), -1)
-        return held.field(0).to_pylist(), bands, [np.frombuffer(s.as_buffer(), np.uint64) for s in held.field(2)]
-
-    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = [], []
             for i in range(b.num_rows):
                 key, same = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                names_a, bands_a, sets_a = opened(b.column(2)[i].values)
-                names_b, bands_b, sets_b = opened(b.column(3)[i].values)
+                names_a, comps_a, bands_a, sets_a = opened(b.column(2)[i].values)
+                names_b, comps_b, bands_b, sets_b = opened(b.column(3)[i].values)
                 band = int(np.flatnonzero(bands_a[0] == key)[0])
                 for k, q in enumerate(sets_a):
                     first = (bands_b == bands_a[k]).argmax(axis=1)
-                    for m in np.flatnonzero(first == band):
+                    for m in np.flatnonzero((first == band) & (comps_b != comps_a[k])):
                         if (m > k or not same) and similar(q, sets_b[m], percent):
                             left.append(names_a[k])
                             right.append(names_b[m])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(against, "a long, b long").union(both.mapInArrow(in_buckets, "a long, b long"))
+    return in_arrow(rows, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -211,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(in_buckets.select("digest", "node", "bands").join(found.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").select("node", "bands", "shingles"))
     links = stored(verified(pairs, sets, percent))
     comps = stored(components(links))
-    more = certified(members.filter("size > 2").select("key", "node"), comps, sets, percent)
+    more = certified(members.filter("size > 2").select("key", "node", "n"), comps, sets, percent)
     final = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = classes.select("digest", "rep", "node").join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -222,10 +218,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each near-duplicate group, as it is.  Rows equal in id and text are one document."""
-    kept = near_duplicates(docs, id_col, text_col, k, percent).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.withColumn("__text", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__text"]).drop("__text")
+    """The rows of docs that stay: one document of each near-duplicate group, as it is.  Rows equal in id and text are one document.
+
+    A filter of bounded size over the ids that go, or that occur more than once, is broadcast: rows outside it pass where they
+    lie, and only the rest is joined with the decisions.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("id"), "kept"))
+    unsure = found.groupBy("id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("n > 1 or not kept").select(id_hash("id").alias("h"))
+    may_go, kept = may_be_in(unsure)(id_hash(id_col)), free_name(docs, "kept")
+    stay = found.filter("kept").select(F.col("id").alias(kept)).distinct()
+    rest = docs.filter(may_go).join(stay, F.col(id_col).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([id_col, text_col])
+    return docs.filter(~may_go).unionByName(rest)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ factors, log determinants, log priors).  Sums and cross products come from one S
 the driver sees only numbers whose count depends on the statistics, not on the rows.
 
 Cases: a null text is empty; an empty text has a score like any other; repeated labels count each; a null label, or a label
-other than 0 and 1, is ignored; with labels of one class only, every score is that class; with none, every score is 0.5.
+other than 0 and 1, is ignored; with labels of one class only, every score is that class; with none, every score is 0.5.  Texts
+of any length are read whole; repeated rows score alike; equal scores need no order; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import fold, slices, stored, table, texts_of
+from cellscape.llm.common import fold, id_hash, in_arrow, may_be_in, slices, stored, table, texts_of
 
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -78,7 +79,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(x) for x in texts_of(b.column(1))], pa.list_(pa.float64()))], names=[id_col, "x"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+    return in_arrow(rows, run, f"`{id_col}` {kind}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def fit(rows: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.1, ridge
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "v"])
 
     labelled = rows.filter("label in (0, 1)").select(F.col("label").cast("int").alias("label"), "x")
-    got = labelled.mapInArrow(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    got = in_arrow(labelled, sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 * (d + 1) ** 2)
     for at, v in got:
         flat[at] = v
@@ -144,7 +145,7 @@ def scored(rows: DataFrame, model: Discriminant, id_col: str = "doc_id") -> Data
             x = b.column(1).flatten().to_numpy().reshape(-1, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x), pa.float64())], names=[id_col, "score"])
 
-    return rows.select(id_col, "x").mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return in_arrow(rows.select(id_col, "x"), run, f"`{id_col}` {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training: Column | None = None) -> DataFrame:
@@ -156,10 +157,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is at least `least`, as they are; learns from all labelled rows."""
+    """The rows of docs whose score is at least `least`, as they are; learns from all labelled rows.
+
+    A broadcast filter over the labelled ids picks the texts to learn from; their statistics are joined with the labels, so
+    texts are never shuffled.
+    """
     known = labels.select(F.col(id_col), F.col(label_col).alias("label"))
-    # Statistics of all texts are joined with the labels: texts themselves are never shuffled.
-    model = fit(with_statistics(docs, id_col, text_col).join(known, id_col).select("label", "x"))
+    labelled = docs.filter(may_be_in(known.filter("label in (0, 1)").select(id_hash(id_col).alias("h")))(id_hash(id_col)))
+    model = fit(with_statistics(labelled, id_col, text_col).join(known, id_col).select("label", "x"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             x = np.array([statistics(t) for t in texts_of(b.column(at))])
             yield b.filter(pa.array(model.scores(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

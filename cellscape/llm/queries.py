@@ -1,12 +1,6 @@
 """The queries of the training-data operators and their DuckDB SQL."""
 
-from cellscape.llm import audio, chat, decontaminate, licenses, lm, mixing, neardup, quality, secrets, tokens
-
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from cellscape.llm import audio, chat, decontaminate, licenses, lm, mixing, neardup, pipeline, quality, secrets, tokens
 
 
 def queries():
@@ -21,7 +15,7 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_license_scans": licenses.op10_license_scans,
-        "pipeline": pipeline,
+        "pipeline": pipeline.run,
     }
 
 
