@@ -1,63 +1,5 @@
-"""A corpus pipeline: quality classifier, near-dedup, decontamination, secret scans, source mixing.
+"""The corpus pipeline of cellscape.llm.pipeline: quality classifier, near-dedup, decontamination, secret scans, source mixing."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-"""
+from cellscape.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cellscape.llm import decontaminate, mixing, neardup, quality, secrets
-from cellscape.llm.common import stored, table
-
-
-def _sized(docs: DataFrame) -> DataFrame:
-    """n_chars, where there is one, follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality.kept_by_quality(docs, table(spark, sf_dir, "labels"))
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return neardup.one_of_each(docs, k=5, percent=80)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out; documents that are mostly benchmark go."""
-    return _sized(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")))
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
-    return _sized(secrets.without_secrets(docs))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("secrets", secrets_stage),
-    ("mixing", mixing_stage),
-]
-
-#: The quality model, and so what later stages see, can't be written in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
