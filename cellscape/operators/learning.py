@@ -220,3 +220,32 @@ def train_report(rows: DataFrame, columns: Sequence[str], label: str = "label",
         one = classification_metrics(pairs(fit(train.filter(F.col("fold") != k), columns, kind, label, seed, True), train.filter(F.col("fold") == k))).select("accuracy")
         scores = one if scores is None else scores.union(one)
     return held.crossJoin(F.broadcast(scores.agg(F.bround(F.avg("accuracy"), 4).alias("cv_accuracy"), F.bround(F.stddev_pop("accuracy"), 4).alias("cv_std"))))
+
+
+def band_order(cells: DataFrame) -> DataFrame:
+    """One row (bright, swapped): whether bright cells are so much bluer than red that red and blue must have been exchanged."""
+    bright = cells.filter("green > 0.18 and (red + green + blue) / 3.0 > 0.18")
+    bluer = F.avg((F.col("blue") > F.col("red") * 1.15).cast("double")) > 0.6
+    return bright.agg(F.count("*").alias("bright"), F.coalesce((F.count("*") > 100) & (F.median("blue") > 1.2 * F.median("red")) & bluer, F.lit(False)).alias("swapped"))
+
+
+def in_band_order(cells: DataFrame) -> DataFrame:
+    """cells with red and blue exchanged back where band_order says so."""
+    flagged = cells.crossJoin(F.broadcast(band_order(cells).select(F.col("swapped").alias("__swapped"))))
+    pick = lambda a, b: F.when(F.col("__swapped"), F.col(b)).otherwise(F.col(a))
+    return flagged.withColumns({"red": pick("red", "blue"), "blue": pick("blue", "red")}).drop("__swapped")
+
+
+def physical_gating(cls: Column, r: Column, g: Column, b: Column) -> Column:
+    """Class 5 (water) that is bright, red or warm becomes 0 (bare) or 1 (urban)."""
+    bright = (r + g + b) / 3.0
+    false_water = (cls == 5) & ((bright > 0.26) | (r > 0.20) | ((r > 0.14) & (r > 1.20 * b)))
+    return F.when(false_water & ((r > 1.10 * b) | (bright > 0.35)), 0).when(false_water, 1).otherwise(cls)
+
+
+def classify_scene(model: Transformer, cells: DataFrame, names: dict[int, str], water: int = 5) -> DataFrame:
+    """(r, c, cls, name) of gapless red, green and blue cells: band order mended, features, the model's class, and the gating of water."""
+    features = rgb_features(in_band_order(cells))
+    found = model.transform(features).withColumn("__cls", F.when(F.col("prediction") == water, 5).otherwise(F.col("prediction").cast("int")))
+    named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return found.select("r", "c", physical_gating(F.col("__cls"), F.col("red"), F.col("green"), F.col("blue")).alias("cls")).withColumn("name", named[F.col("cls")])

@@ -212,3 +212,16 @@ def cluster_series(series: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
         return g.select("cell", F.lit(-1).alias("cluster"))
     found = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(full).transform(full)
     return g.select("cell").join(found.select("cell", "cluster"), "cell", "left").na.fill(-1, ["cluster"])
+
+
+def with_trend(series: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(cell, d, y, trend, change): each value beside its cell's fitted trend; `change` marks the position that `changes` (cell, first) names,
+    as cusum and segments return it."""
+    v = _days(series.filter("y is not null"))
+    fitted = ols_trend(series, p_values=False).select("cell", "slope", "intercept")
+    out = v.join(fitted, "cell").withColumn("trend", F.col("intercept") + F.col("slope") * F.col("x"))
+    mark = F.lit(False)
+    if changes is not None:
+        out = out.join(changes.select("cell", "first"), "cell", "left")
+        mark = F.coalesce(F.row_number().over(_by()) - 1 == F.col("first"), F.lit(False))
+    return out.withColumn("change", mark).select("cell", "d", "y", "trend", "change")

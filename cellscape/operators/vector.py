@@ -116,36 +116,6 @@ def sample_at_polygons(zones: DataFrame, cells: DataFrame, key: str, bands: list
     return rasterize(zones, key).join(cells.select("r", "c", *bands), ["r", "c"]).dropna(subset=bands)
 
 
-def resample(source: DataFrame, value: str, target_rows: int, target_cols: int, scale: float, method: str, source_rows: int, source_cols: int) -> DataFrame:
-    """(r, c, value) on a target grid whose cells are `scale` source cells wide, sharing the upper left corner.
-
-    nearest takes the cell that holds the target's centre; bilinear and cubic weight 4 and 16 cells about it (missing or
-    outside cells leave the weights of the others); average takes the source cells whose centres are inside.
-    """
-    spark = source.sparkSession
-    s = source.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("v"))
-    if method == "average":
-        return s.filter("v is not null").groupBy(F.floor((F.col("sr") + 0.5) / scale).alias("r"), F.floor((F.col("sc") + 0.5) / scale).alias("c")).agg(F.avg("v").alias("value")).filter((F.col("r") < target_rows) & (F.col("c") < target_cols))
-    grid = spark.range(target_rows * target_cols).select(F.floor(F.col("id") / target_cols).alias("r"), (F.col("id") % target_cols).alias("c"))
-    at = grid.withColumns({"y": (F.col("r") + 0.5) * scale, "x": (F.col("c") + 0.5) * scale})
-    if method == "nearest":
-        return at.select("r", "c", F.floor("y").alias("sr"), F.floor("x").alias("sc")).join(s, ["sr", "sc"], "left").select("r", "c", F.col("v").alias("value"))
-    reach = {"bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}[method]
-
-    def weight(t: Column) -> Column:
-        t = F.abs(t)
-        if method == "bilinear":
-            return F.greatest(F.lit(0.0), 1 - t)
-        # Keys' kernel with a = -0.5.
-        return F.when(t <= 1, 1.5 * t * t * t - 2.5 * t * t + 1).when(t < 2, -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2).otherwise(0.0)
-
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])
-    near = at.withColumn("o", F.explode(offsets)).withColumns({"sr": F.floor(F.col("y") - 0.5) + F.col("o.i"), "sc": F.floor(F.col("x") - 0.5) + F.col("o.j")})
-    near = near.withColumn("w", weight(F.col("y") - 0.5 - F.col("sr")) * weight(F.col("x") - 0.5 - F.col("sc")))
-    got = near.join(s, ["sr", "sc"]).filter("v is not null").groupBy("r", "c").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("value"))
-    return grid.join(got, ["r", "c"], "left")
-
-
 def mosaic(layers: list[DataFrame]) -> DataFrame:
     """(r, c, value): where layers overlap, the later one that has data wins."""
     tagged = [x.select("r", "c", "value", F.lit(k).alias("layer")) for k, x in enumerate(layers)]
@@ -155,26 +125,102 @@ def mosaic(layers: list[DataFrame]) -> DataFrame:
     return out.filter("value is not null").groupBy("r", "c").agg(F.max_by("value", "layer").alias("value"))
 
 
-def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    return F.radians(lon) * 6378137.0, F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2)) * 6378137.0
+def zonal_series(zones: DataFrame, series: DataFrame, key: str, date: str = "t", value: str = "value") -> DataFrame:
+    """(date, key, mean, median, sum, std) of a long series (date, r, c, value) over the cells of each zone; population deviation."""
+    held = rasterize(zones, key).join(series.select(date, "r", "c", F.col(value).alias("__v")), ["r", "c"])
+    return held.groupBy(date, key).agg(F.bround(F.avg("__v"), 6).alias("mean"), F.median("__v").alias("median"), F.sum("__v").alias("sum"), F.bround(F.stddev_pop("__v"), 6).alias("std"))
+
+
+def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "intersection", within: DataFrame | None = None) -> DataFrame:
+    """(r, c, left_key, right_key) of two polygon layers on cells: intersection, union (either may be null), or clip (left where any right is).
+
+    `within` limits the result to cells (r, c).
+    """
+    kind = {"intersection": "inner", "union": "full_outer", "clip": "left_semi"}
+    if how not in kind:
+        raise ValueError(f"how must be one of {sorted(kind)}")
+    a, b = rasterize(left, left_key), rasterize(right, right_key)
+    if within is not None:
+        a, b = (x.join(within.select("r", "c"), ["r", "c"], "left_semi") for x in (a, b))
+    return a.join(b, ["r", "c"], kind[how])
+
+
+def clip_points(points: DataFrame, polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """The points inside any polygon, each once, as they are."""
+    numbered = points.withColumn("__row", F.monotonically_increasing_id())
+    return points_in_polygons(numbered, polygons, key, rings).drop(key).dropDuplicates(["__row"]).drop("__row")
+
+
+def _closed(ring: Column) -> Column:
+    return F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, F.lit(1), F.lit(1)))
 
 
-def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    return F.degrees(x / 6378137.0), F.degrees(2 * F.atan(F.exp(y / 6378137.0)) - F.pi() / 2)
+def _sides(rings: Column) -> Column:
+    """All sides of all rings, as structs of two vertices a and b."""
+    return F.flatten(F.transform(rings, lambda ring: F.zip_with(ring, _closed(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def to_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Easting and northing on WGS84 by the Krueger series to the third order (below a millimetre inside a zone)."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = 2 * n**0.5 / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, k in enumerate(alpha, 1):
-        east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000.0 + 0.9996 * radius * east, (10_000_000.0 if south else 0.0) + 0.9996 * radius * north
+def _turn(a: Column, b: Column, c: Column) -> Column:
+    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+
+def _on(p: Column, side: Column) -> Column:
+    a, b = side["a"], side["b"]
+    near = p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    return (_turn(a, b, p) == 0) & near
+
+
+def _crossed(s: Column, t: Column) -> Column:
+    """Whether two sides cross at an inner place of both."""
+    return (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)
+
+
+def _in_or_on(p: Column, rings: Column) -> Column:
+    sides = _sides(rings)
+    x, y = p["x"], p["y"]
+    odd = F.aggregate(sides, F.lit(0), lambda acc, s: acc + F.when(((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]), 1).otherwise(0)) % 2 == 1
+    return odd | F.exists(sides, lambda s: _on(p, s))
+
+
+def polygons_meet(left: Column, right: Column, predicate: str = "intersects") -> Column:
+    """Whether polygons (rings) intersect (touching counts), the left is within the right, or contains it.
+
+    within: no side crosses, and every vertex and every middle of a side is in the other or on its edge.
+    """
+    if predicate == "contains":
+        return polygons_meet(right, left, "within")
+    cross = F.exists(_sides(left), lambda s: F.exists(_sides(right), lambda t: _crossed(s, t)))
+    if predicate == "within":
+        places = F.concat(F.transform(_sides(left), lambda s: s["a"]), F.transform(_sides(left), lambda s: F.struct(((s["a"]["x"] + s["b"]["x"]) / 2).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).alias("y"))))
+        return ~cross & F.forall(places, lambda p: _in_or_on(p, right))
+    if predicate != "intersects":
+        raise ValueError("predicate must be intersects, within or contains")
+    return cross | F.exists(F.flatten(left), lambda p: _in_or_on(p, right)) | F.exists(F.flatten(right), lambda p: _in_or_on(p, left))
+
+
+def spatial_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", predicate: str = "intersects", cell: float = 1.0) -> DataFrame:
+    """(left_key, right_key) of polygon layers with rings: pairs for which the predicate holds, and with how = left or right the
+    features without a partner once with null.
+
+    Candidates come from an equality join on grid cells of the boxes; a pair is tested in the one cell that holds its boxes' overlap's
+    lower left corner.  `cell` should be about the size of a usual box.
+    """
+    if how not in ("inner", "left", "right"):
+        raise ValueError("how must be inner, left or right")
+
+    def spread(df: DataFrame, key: str, side: str) -> DataFrame:
+        df = df.select(F.col(key).alias(f"{side}_key"), F.col("rings").alias(f"{side}_rings"))
+        df = df.withColumns({f"{side}_{k}": c for k, c in bbox(f"{side}_rings").items()})
+        df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col(f"{side}_xmin") / cell), F.floor(F.col(f"{side}_xmax") / cell))))
+        return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col(f"{side}_ymin") / cell), F.floor(F.col(f"{side}_ymax") / cell))))
+
+    j = spread(left, left_key, "l").join(spread(right, right_key, "r"), ["gx", "gy"])
+    x, y = F.greatest("l_xmin", "r_xmin"), F.greatest("l_ymin", "r_ymin")
+    boxes = (x <= F.least("l_xmax", "r_xmax")) & (y <= F.least("l_ymax", "r_ymax"))
+    first = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))
+    pairs = j.filter(boxes & first).filter(polygons_meet(F.col("l_rings"), F.col("r_rings"), predicate)).select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key))
+    if how == "left":
+        return left.select(left_key).join(pairs, left_key, "left")
+    if how == "right":
+        return right.select(right_key).join(pairs, right_key, "left").select(left_key, right_key)
+    return pairs

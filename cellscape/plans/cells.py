@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cellscape.functions.indices import INDICES, index
 from cellscape.functions.sar import to_db
 from cellscape.operators import cells as ops
+from cellscape.operators import change
+from cellscape.operators.grids import Grid, Scene
 from cellscape.plans.fixtures import OPTICAL, view
 from cellscape.plans.registry import query
 
@@ -14,6 +16,14 @@ from cellscape.plans.registry import query
 ROLE_ROWS = [(i + 1, b, b) for i, b in enumerate([*OPTICAL, "thermal"])] + [(9, "scl", None), (10, "qa60", None)]
 _scene = lambda s, d: view(s, d, "scene_cells")
 _refl = lambda s, d: view(s, d, "refl")
+_GRID = Grid(32631, 500000.0, 5000000.0, 10.0, 10.0, 40, 50)
+
+
+def _sar(spark, sf_dir):
+    """Backscatter before and after."""
+    return [view(spark, sf_dir, "sar_cells").select("r", "c", F.col(f"vv_{k}").alias("value")) for k in ("before", "after")]
+
+
 
 
 def role_catalog(spark):
@@ -79,12 +89,16 @@ query("compute_index", f"__c AS (SELECT r, c, {_CAL('red')} AS red, {_CAL('nir')
 )
 query("to_db", "SELECT r, c, round_even(CASE WHEN vv_before > 0 THEN 10 * log10(vv_before) END, 9) AS value FROM sar_cells", "sar_cells")(lambda s, d: view(s, d, "sar_cells").select("r", "c", F.bround(to_db(F.col("vv_before")), 9).alias("value")))
 _DB = lambda c: f"CASE WHEN {c} > 0 THEN 10 * log10({c}) END"
-query("db_change", f"SELECT r, c, round_even({_DB('vv_after')} - {_DB('vv_before')}, 9) AS value FROM sar_cells", "sar_cells")(lambda s, d: view(s, d, "sar_cells").select("r", "c", F.bround(to_db(F.col("vv_after")) - to_db(F.col("vv_before")), 9).alias("value")))
+query("db_change", f"SELECT r, c, round_even({_DB('vv_after')} - {_DB('vv_before')}, 9) AS value FROM sar_cells", "sar_cells")(
+    lambda s, d: change.db_change(*_sar(s, d)).select("r", "c", F.bround("diff", 9).alias("value"))
+)
 query("backscatter_db", f"SELECT r, c, round_even({_DB('vv_before')}, 9) AS value FROM sar_cells", "sar_cells")(lambda s, d: ops.backscatter_db(view(s, d, "sar_cells"), "vv_before").select("r", "c", F.bround("vv_before", 9).alias("value")))
 query("flood", f"SELECT r, c FROM sar_cells WHERE {_DB('vv_before')} - {_DB('vv_after')} >= 3.0 AND {_DB('vv_after')} <= -15.0", "sar_cells")(
-    lambda s, d: view(s, d, "sar_cells").filter((to_db(F.col("vv_before")) - to_db(F.col("vv_after")) >= 3.0) & (to_db(F.col("vv_after")) <= -15.0)).select("r", "c")
+    lambda s, d: change.flood_candidates(*[x.withColumn("value", to_db(F.col("value"))) for x in _sar(s, d)])
+)
+query("change_magnitude", "SELECT r, c, swir2 - swir1 AS value FROM scene_cells", "scene_cells")(
+    lambda s, d: change.difference(_scene(s, d).select("r", "c", F.col("swir1").alias("value")), _scene(s, d).select("r", "c", F.col("swir2").alias("value"))).select("r", "c", F.col("diff").alias("value"))
 )
-query("change_magnitude", "SELECT r, c, swir2 - swir1 AS value FROM scene_cells", "scene_cells")(lambda s, d: _scene(s, d).select("r", "c", F.col("swir1").alias("a")).join(_scene(s, d).select("r", "c", F.col("swir2").alias("b")), ["r", "c"]).select("r", "c", (F.col("b") - F.col("a")).alias("value")))
 query("valid_mask", "SELECT r, c FROM scene_cells WHERE red IS NOT NULL AND nir IS NOT NULL", "scene_cells")(lambda s, d: _scene(s, d).dropna(subset=["red", "nir"]).select("r", "c"))
 query("select_extreme", "__q AS (SELECT quantile_cont(nir, 0.8) AS cutoff FROM scene_cells) SELECT r, c, nir, cutoff FROM scene_cells, __q WHERE nir >= cutoff", "scene_cells")(lambda s, d: ops.select_extreme(_scene(s, d), "nir", 0.2, "high").select("r", "c", "nir", "cutoff"))
 query("threshold_mask", "SELECT r, c FROM scene_cells WHERE nir > 3000", "scene_cells")(lambda s, d: _scene(s, d).filter("nir > 3000").select("r", "c"))
@@ -106,28 +120,16 @@ query("cloud_qa", "SELECT count(*) AS n, count(*) FILTER (qa60 & 3072 <> 0) AS c
 query("cloud_spectral", "__f AS (SELECT (blue * 2.5 + red * 2.5) / 2 / 10000.0 > 0.35 AND swir1 / 10000.0 > 0.20 AS f FROM scene_cells) SELECT count(*) AS n, count(*) FILTER (f) AS cloud, round_even(CAST(count(*) FILTER (f) AS DOUBLE) / count(*), 4) AS fraction FROM __f", "scene_cells")(
     lambda s, d: ops.cloud_fraction(_scene(s, d).withColumns({"blue": F.col("blue") * 2.5, "red": F.col("red") * 2.5}), "spectral")
 )
-query("terrestrial_mask", f"SELECT r, c FROM refl WHERE scl NOT IN (0, 1, 3, 6, 8, 9, 10, 11) AND NOT coalesce({_nd('green', 'swir1')} > 0, false) AND NOT coalesce({_nd('green', 'nir')} > 0.1, false)", "refl")(
-    lambda s, d: _refl(s, d).filter(~F.col("scl").isin(0, 1, 3, 6, 8, 9, 10, 11) & ~F.coalesce(index("mndwi") > 0, F.lit(False)) & ~F.coalesce(index("ndwi") > 0.1, F.lit(False))).select("r", "c")
-)
+query("terrestrial_mask", f"SELECT r, c FROM refl WHERE scl NOT IN (0, 1, 3, 6, 8, 9, 10, 11) AND NOT coalesce({_nd('green', 'swir1')} > 0, false) AND NOT coalesce({_nd('green', 'nir')} > 0.1, false)", "refl")(lambda s, d: change.terrestrial(_refl(s, d)).select("r", "c"))
 query("stretch", f"SELECT r, c, CAST(floor(greatest(0.0, least(1.0, (nir - {_P('nir', 0.02)}) / nullif({_P('nir', 0.98)} - {_P('nir', 0.02)}, 0))) * 255) AS INT) AS value FROM (SELECT * FROM scene_cells WHERE nir IS NOT NULL)", "scene_cells")(
     lambda s, d: ops.stretch(_scene(s, d).select("r", "c", "nir"), "nir").filter("nir is not null").select("r", "c", F.col("nir").alias("value"))
 )
-query("rule_landcover", f"SELECT r, c, CASE WHEN {_nd('green', 'swir1')} > 0.1 THEN 4 WHEN {INDEX_SQL['msavi2']} > 0.2 AND {_nd('nir', 'swir1')} > 0 THEN 1 WHEN {_nd('swir2', 'nir')} > 0 THEN 2 WHEN {INDEX_SQL['bsi']} > 0 THEN 3 ELSE 0 END AS cls FROM refl", "refl")(
-    lambda s, d: _refl(s, d).select("r", "c", F.when(index("mndwi") > 0.1, 4).when((index("msavi2") > 0.2) & (index("ndmi") > 0), 1).when(index("ui") > 0, 2).when(index("bsi") > 0, 3).otherwise(0).alias("cls"))
-)
+query("rule_landcover", f"SELECT r, c, CASE WHEN {_nd('green', 'swir1')} > 0.1 THEN 4 WHEN {INDEX_SQL['msavi2']} > 0.2 AND {_nd('nir', 'swir1')} > 0 THEN 1 WHEN {_nd('swir2', 'nir')} > 0 THEN 2 WHEN {INDEX_SQL['bsi']} > 0 THEN 3 ELSE 0 END AS cls FROM refl", "refl")(lambda s, d: change.rule_landcover(_refl(s, d)))
 query("index_difference", f"SELECT r, c, round_even({_nd('nir', 'red')}, 9) AS before, round_even({_nd('nir', 'red_edge')}, 9) AS after, round_even({_nd('nir', 'red_edge')} - {_nd('nir', 'red')}, 9) AS diff FROM refl", "refl")(
-    lambda s, d: _refl(s, d).select("r", "c", index("ndvi").alias("x")).join(_refl(s, d).select("r", "c", index("ndvi", {"red": F.col("red_edge")}).alias("y")), ["r", "c"]).select("r", "c", F.bround("x", 9).alias("before"), F.bround("y", 9).alias("after"), F.bround(F.col("y") - F.col("x"), 9).alias("diff"))
+    lambda s, d: change.index_difference(Scene("a", "2020-05-01", _GRID, _refl(s, d)), Scene("b", "2021-05-01", _GRID, _refl(s, d).withColumn("red", F.col("red_edge")))).select("r", "c", *[F.bround(n, 9).alias(n) for n in ("before", "after", "diff")])
 )
 query("index_stack", f"SELECT t, r, c, round_even((n - d) / nullif(n + d, 0), 9) AS value FROM (SELECT 0 AS t, r, c, nir AS n, red AS d FROM refl UNION ALL SELECT 1, r, c, nir, red_edge FROM refl UNION ALL SELECT 2, r, c, swir1, red FROM refl)", "refl")(
-    lambda s, d: _refl(s, d).select("r", "c", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(n).alias("nir"), F.col(m).alias("red")) for t, (n, m) in enumerate([("nir", "red"), ("nir", "red_edge"), ("swir1", "red")])])).alias("x")).select("x.t", "r", "c", F.bround(index("ndvi", {"nir": F.col("x.nir"), "red": F.col("x.red")}), 9).alias("value"))
-)
-query("mutual_valid", "__v AS (SELECT r, c, red IS NOT NULL AND scl NOT IN (3, 8, 9, 10) AND nir IS NOT NULL AND qa60 & 3072 = 0 AS ok FROM scene_cells) SELECT count(*) AS n, count(*) FILTER (ok) AS valid, round_even(CAST(count(*) FILTER (ok) AS DOUBLE) / count(*), 4) AS fraction, CAST(count(*) FILTER (ok) AS DOUBLE) / count(*) >= 0.15 AS sufficient FROM __v", "scene_cells")(
-    lambda s, d: _scene(s, d)
-    .select("r", "c", F.explode(F.array(F.col("red").isNotNull() & ~ops.cloud_flag("scl"), F.col("nir").isNotNull() & ~ops.cloud_flag("qa"))).alias("valid"))
-    .groupBy("r", "c").agg(F.bool_and("valid").alias("ok"))
-    .agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"))
-    .select("n", "valid", F.bround(F.col("valid").cast("double") / F.col("n"), 4).alias("fraction"), (F.col("valid").cast("double") / F.col("n") >= 0.15).alias("sufficient"))
-)
-query("stack_bands", "SELECT r, c, [red, nir, swir1] AS features FROM refl WHERE red IS NOT NULL AND nir IS NOT NULL AND swir1 IS NOT NULL", "refl")(
-    lambda s, d: _refl(s, d).select("r", "c", "red").join(_refl(s, d).select("r", "c", "nir"), ["r", "c"]).join(_refl(s, d).select("r", "c", "swir1"), ["r", "c"]).dropna().select("r", "c", F.array("red", "nir", "swir1").alias("features"))
+    lambda s, d: change.index_stack([_refl(s, d).select("r", "c", F.col(n).alias("nir"), F.col(m).alias("red")) for n, m in (("nir", "red"), ("nir", "red_edge"), ("swir1", "red"))]).withColumn("value", F.bround("value", 9))
 )
+query("mutual_valid", "__v AS (SELECT r, c, red IS NOT NULL AND scl NOT IN (3, 8, 9, 10) AND nir IS NOT NULL AND qa60 & 3072 = 0 AS ok FROM scene_cells) SELECT count(*) AS n, count(*) FILTER (ok) AS valid, round_even(CAST(count(*) FILTER (ok) AS DOUBLE) / count(*), 4) AS fraction, CAST(count(*) FILTER (ok) AS DOUBLE) / count(*) >= 0.15 AS sufficient FROM __v", "scene_cells")(lambda s, d: change.mutual_valid([(_scene(s, d), "red", "scl"), (_scene(s, d), "nir", "qa")]))
+query("stack_bands", "SELECT r, c, [red, nir, swir1] AS features FROM refl WHERE red IS NOT NULL AND nir IS NOT NULL AND swir1 IS NOT NULL", "refl")(lambda s, d: change.stack_bands([(_refl(s, d), b) for b in ("red", "nir", "swir1")]))
\ No newline at end of file

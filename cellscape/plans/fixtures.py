@@ -43,9 +43,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # The scene's whole rectangle: cells beyond its last part row, and missing ones, are 0.1.
     "rgb_cells": (("refl",), "SELECT g.r, g.c, coalesce(s.red, 0.1) AS red, coalesce(s.green, 0.1) AS green, coalesce(s.blue, 0.1) AS blue FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM refl)) g LEFT JOIN refl s ON s.r = g.r AND s.c = g.c"),
     "dem_grid": (("dem_cells",), "SELECT g.r, g.c, s.z FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM dem_cells)) g LEFT JOIN dem_cells s ON s.r = g.r AND s.c = g.c"),
-    # Boxes all over the globe: one layer an order, one a customer.
-    "footprints": (("orders",), "SELECT o_orderkey AS id, (o_orderkey * 37 + o_custkey * 11) % 3500 / 10.0 - 178.0 AS west, (o_orderkey * 17 + o_custkey * 3) % 1700 / 10.0 - 88.0 AS south, (o_orderkey * 37 + o_custkey * 11) % 3500 / 10.0 - 178.0 + 0.3 AS east, (o_orderkey * 17 + o_custkey * 3) % 1700 / 10.0 - 88.0 + 0.25 AS north FROM orders"),
-    "service_areas": (("customer",), "SELECT c_custkey AS id, c_custkey * 53 % 3500 / 10.0 - 178.0 AS west, c_custkey * 29 % 1700 / 10.0 - 88.0 AS south, c_custkey * 53 % 3500 / 10.0 - 178.0 + 0.4 AS east, c_custkey * 29 % 1700 / 10.0 - 88.0 + 0.35 AS north FROM customer"),
+    # Boxes over a wide area: one layer an order, one a customer.
+    "footprints": (("orders",), "SELECT id, x AS west, y AS south, x + 0.33 AS east, y + 0.27 AS north FROM (SELECT o_orderkey AS id, CAST((o_orderkey * 37 + o_custkey * 11) % 3500 AS DOUBLE) / 100.0 AS x, CAST((o_orderkey * 17 + o_custkey * 3) % 1700 AS DOUBLE) / 100.0 AS y FROM orders) o"),
+    "service_areas": (("customer",), "SELECT id, x AS west, y AS south, x + 0.415 AS east, y + 0.375 AS north FROM (SELECT c_custkey AS id, CAST(c_custkey * 53 % 3500 AS DOUBLE) / 100.0 + 0.003 AS x, CAST(c_custkey * 29 % 1700 AS DOUBLE) / 100.0 + 0.003 AS y FROM customer) c"),
 }
 #: Where DuckDB says a view otherwise.
 IN_DUCKDB = {

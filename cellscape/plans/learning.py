@@ -8,7 +8,6 @@ from cellscape.operators import learning as ops
 from cellscape.operators import series
 from cellscape.plans.fixtures import table, view
 from cellscape.plans.registry import query
-from cellscape.plans.summaries import gated
 
 _BANDS = [f"v{i}" for i in range(64)]
 
@@ -56,12 +55,8 @@ def predict_cells(spark, sf_dir):
 
 @query("classify_scene")
 def classify_scene(spark, sf_dir):
-    """Features, model, physical gating, class names."""
-    features = ops.rgb_features(rgb(spark, sf_dir))
-    found = _scene_model(spark, sf_dir, list(ops.RGB14)).transform(features)
-    cls = gated(F.when(F.col("prediction") == 0, 5).otherwise(F.col("prediction").cast("int")), F.col("red"), F.col("green"), F.col("blue"))
-    names = F.create_map(*[F.lit(x) for kv in {0: "bare", 1: "urban", 2: "vegetation", 5: "water"}.items() for x in kv])
-    return found.select("r", "c", cls.alias("cls")).withColumn("name", names[F.col("cls")])
+    """Band order, features, model, physical gating, class names."""
+    return ops.classify_scene(_scene_model(spark, sf_dir, list(ops.RGB14)), rgb(spark, sf_dir), {0: "bare", 1: "urban", 2: "vegetation", 5: "water"}, water=0)
 
 
 # In DuckDB: each patch's cells with their places in it, neighbours by joins, and a sum of waves for each place of the ring.
@@ -104,7 +99,4 @@ _X = "__x AS (SELECT cell, d, y, date_diff('day', (SELECT min(d) FROM cell_serie
 
 @query("series_with_trend", f"{_X} SELECT cell, d, round_even(y, 5) AS y, round_even(a + b * x, 5) AS trend FROM __x JOIN __g USING (cell)", "cell_series")
 def series_with_trend(spark, sf_dir):
-    s = view(spark, sf_dir, "cell_series").select("cell", "d", "y")
-    t = series.ols_trend(s, p_values=False).select("cell", "slope", "intercept")
-    first = s.agg(F.min("d").alias("d0"))
-    return s.crossJoin(F.broadcast(first)).join(t, "cell").select("cell", "d", F.bround("y", 5).alias("y"), F.bround(F.col("intercept") + F.col("slope") * (F.datediff("d", "d0") / F.lit(series.YEAR)), 5).alias("trend"))
+    return series.with_trend(view(spark, sf_dir, "cell_series").select("cell", "d", "y")).select("cell", "d", F.bround("y", 5).alias("y"), F.bround("trend", 5).alias("trend"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellscape.operators import grids
 from cellscape.operators import series as ops
 from cellscape.plans.fixtures import view
 from cellscape.plans.registry import query
@@ -62,9 +63,13 @@ for _m, _y in {"linear": "a + b * (x1 + step * gap)", "mean": "m", "drift": "y1
         lambda s, d, m=_m: ops.forecast(_s(s, d), 3, m).withColumn("y", F.bround("y", 7))
     )
 query("cluster_series")(lambda s, d: ops.cluster_series(ops.fill_gaps(_g(s, d)).select("cell", "d", "y")))
-query("load_series", "SELECT t, r, c, value FROM (SELECT 0 AS t, r, c, red AS value FROM scene_cells UNION ALL SELECT 1, r, c, nir FROM scene_cells UNION ALL SELECT 2, r, c, swir1 FROM scene_cells)", "scene_cells")(lambda s, d: _stacked(view(s, d, "scene_cells"), ["red", "nir", "swir1"]))
+# Three dates, not in order, the second date on a grid moved by one column.
+query("load_series", "SELECT 0 AS t, DATE '2019-07-01' AS d, r, c, nir AS value FROM scene_cells UNION ALL SELECT 1, DATE '2020-05-01', g.r, g.c, s.red FROM scene_cells g LEFT JOIN scene_cells s ON s.r = g.r AND s.c = g.c - 1 UNION ALL SELECT 2, DATE '2021-06-01', r, c, swir1 FROM scene_cells", "scene_cells")(lambda s, d: _loaded(view(s, d, "scene_cells")))
 
 
-def _stacked(cells, bands):
-    """Bands as dates of one long series, in one scan."""
-    return cells.select("r", "c", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(b).alias("value")) for t, b in enumerate(bands)])).alias("x")).select("x.t", "r", "c", "x.value")
+def _loaded(cells):
+    grid = grids.Grid(32631, 500000.0, 5000000.0, 10.0, 10.0, 40, cells.agg(F.max("r")).first()[0] + 1)
+    moved = grids.Grid(32631, 500010.0, 5000000.0, 10.0, 10.0, 40, grid.height)
+    scenes = [grids.Scene(n, date, g, cells.select("r", "c", F.col(n).alias("value"))) for n, date, g in (("red", "2020-05-01", moved), ("nir", "2019-07-01", grid), ("swir1", "2021-06-01", grid))]
+    # The last row of the scene is a part; aligned dates have its whole rectangle.
+    return grids.load_series(scenes, method="nearest").join(cells.select("r", "c"), ["r", "c"], "left_semi").select("t", "d", "r", "c", "value")

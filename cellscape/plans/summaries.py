@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellscape.operators import learning
 from cellscape.operators import summaries as ops
 from cellscape.operators import vector
 from cellscape.plans.fixtures import table, view
@@ -58,18 +59,9 @@ def spatial_split(spark, sf_dir):
 
 _BRIGHT = "__r AS (SELECT red AS a, green AS b, blue AS c FROM refl WHERE green > 0.18 AND (red + green + blue) / 3.0 > 0.18)"
 query("band_order", f"{_BRIGHT} SELECT count(*) AS bright, coalesce(count(*) > 100 AND median(c) > 1.2 * median(a) AND avg(CASE WHEN c > a * 1.15 THEN 1.0 ELSE 0.0 END) > 0.6, false) AS swapped FROM __r", "refl")(
-    lambda s, d: view(s, d, "refl").filter("green > 0.18 and (red + green + blue) / 3.0 > 0.18").agg(F.count("*").alias("bright"), F.coalesce((F.count("*") > 100) & (F.median("blue") > 1.2 * F.median("red")) & (F.avg((F.col("blue") > F.col("red") * 1.15).cast("double")) > 0.6), F.lit(False)).alias("swapped"))
+    lambda s, d: learning.band_order(view(s, d, "refl"))
 )
-
-
-def gated(cls, r, g, b):
-    """Class 5 (water) that is bright, red or warm becomes 0 (bare) or 1 (urban)."""
-    bright = (r + g + b) / 3.0
-    false_water = (cls == 5) & ((bright > 0.26) | (r > 0.20) | ((r > 0.14) & (r > 1.20 * b)))
-    return F.when(false_water & ((r > 1.10 * b) | (bright > 0.35)), 0).when(false_water, 1).otherwise(cls)
-
-
 _BR = "(red + green + blue) / 3.0"
 query("physical_gating", f"__k AS (SELECT *, CASE WHEN scl % 2 = 0 THEN 5 ELSE 2 END AS k, {_BR} AS br FROM refl WHERE red IS NOT NULL) SELECT r, c, CASE WHEN k = 5 AND (br > 0.26 OR red > 0.2 OR (red > 0.14 AND red > 1.2 * blue)) THEN CASE WHEN red > 1.1 * blue OR br > 0.35 THEN 0 ELSE 1 END ELSE k END AS cls FROM __k", "refl")(
-    lambda s, d: view(s, d, "refl").filter("red is not null").select("r", "c", gated(F.when(F.col("scl") % 2 == 0, 5).otherwise(2), F.col("red"), F.col("green"), F.col("blue")).alias("cls"))
+    lambda s, d: view(s, d, "refl").filter("red is not null").select("r", "c", learning.physical_gating(F.when(F.col("scl") % 2 == 0, 5).otherwise(2), F.col("red"), F.col("green"), F.col("blue")).alias("cls"))
 )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellscape.functions import catalog as fn
 from cellscape.functions.indices import index, register_index
 from cellscape.functions.special import t_tail
-from cellscape.operators import catalog, cells, focal, graph, learning, regions, series, spectral, summaries, vector
+from cellscape.operators import catalog, cells, focal, graph, grids, learning, regions, series, spectral, summaries, vector
 
 
 def grid(spark, values):
@@ -182,7 +182,7 @@ def test_polygons(spark):
     assert p.select(vector.ring_area("rings")).first()[0] == 96.0
     pts = spark.createDataFrame([(1.0, 1.0), (5.0, 5.0), (11.0, 1.0)], "x double, y double")
     assert [(r.x, r.y) for r in vector.points_in_polygons(pts, p, "k").collect()] == [(1.0, 1.0)]
-    e, n = spark.range(1).select(*vector.to_utm(F.lit(3.0) + F.col("id"), F.lit(45.0), 31)).first()
+    e, n = spark.range(1).select(*grids.from_lonlat(F.lit(3.0) + F.col("id"), F.lit(45.0), 32631)).first()
     assert e == pytest.approx(500000.0, abs=1e-3) and n == pytest.approx(4982950.4, abs=0.1)
 
 
