@@ -87,11 +87,11 @@ def continuum_removal(spectra: DataFrame, wl: list[float]) -> DataFrame:
 
 
 def nnls(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least squares with non-negative unknowns, by active sets."""
+    """Least squares with non-negative unknowns, by active sets; an error where they do not settle."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
     gram, rhs = a.T @ a, a.T @ y
-    for _ in range(3 * n + 10):
+    for _ in range(30 * n + 100):
         grad = rhs - gram @ x
         grad[free] = -np.inf
         k = int(np.argmax(grad))
@@ -109,6 +109,8 @@ def nnls(a: np.ndarray, y: np.ndarray) -> np.ndarray:
             x = x + step * (s - x)
             free &= x > 1e-14
             x[~free] = 0
+    else:
+        raise RuntimeError("the active sets did not settle")
     return x
 
 

@@ -72,12 +72,12 @@ query("scan_tiles", "SELECT CAST(floor(r / 16.0) AS BIGINT) AS tile_r, CAST(floo
 query("aoi_window", "SELECT count(*) AS n, count(*) FILTER (nir IS NOT NULL AND nir <> 0) AS valid, round_even(count(*) FILTER (nir IS NOT NULL AND nir <> 0) * 100.0 / count(*), 4) AS valid_pct FROM scene_cells WHERE r >= 1 AND r < 4 AND c >= 5 AND c < 30", "scene_cells")(lambda s, d: ops.aoi_window(_scene(s, d), 1, 4, 5, 30, band="nir"))
 
 
-@query("map_tiles")
+@query("map_tiles", "__m AS (SELECT CAST(floor(r / 16.0) AS BIGINT) AS tr, CAST(floor(c / 16.0) AS BIGINT) AS tc, avg(nir) AS m FROM scene_cells GROUP BY 1, 2) SELECT r, c, round_even(nir - m, 6) AS value FROM scene_cells s JOIN __m ON tr = floor(s.r / 16.0) AND tc = floor(s.c / 16.0)", "scene_cells")
 def map_tiles(spark, sf_dir):
     def centred(pdf):
         return pdf.assign(value=pdf["nir"] - pdf["nir"].mean())[["r", "c", "value"]]
 
-    return ops.map_tiles(_scene(spark, sf_dir).select("r", "c", "nir"), centred, "r long, c long, value double", 16)
+    return ops.map_tiles(_scene(spark, sf_dir).select("r", "c", "nir"), centred, "r long, c long, value double", 16).withColumn("value", F.bround(F.nanvl("value", F.lit(None).cast("double")), 6))
 
 
 _P = lambda b, p: f"(SELECT quantile_cont({b}, {p}) FROM scene_cells)"

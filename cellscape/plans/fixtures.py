@@ -43,6 +43,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # The scene's whole rectangle: cells beyond its last part row, and missing ones, are 0.1.
     "rgb_cells": (("refl",), "SELECT g.r, g.c, coalesce(s.red, 0.1) AS red, coalesce(s.green, 0.1) AS green, coalesce(s.blue, 0.1) AS blue FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM refl)) g LEFT JOIN refl s ON s.r = g.r AND s.c = g.c"),
     "dem_grid": (("dem_cells",), "SELECT g.r, g.c, s.z FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM dem_cells)) g LEFT JOIN dem_cells s ON s.r = g.r AND s.c = g.c"),
+    "surface_grid": (("scene_cells",), "SELECT g.r, g.c, CASE WHEN s.nir IS NOT NULL AND s.red IS NOT NULL THEN greatest(0.0, least(500.0, (s.nir - s.red) / 10)) END AS z FROM (SELECT r, explode(sequence(0L, 39L)) AS c FROM (SELECT DISTINCT r FROM scene_cells)) g LEFT JOIN scene_cells s ON s.r = g.r AND s.c = g.c"),
     # Boxes over a wide area: one layer an order, one a customer.
     "footprints": (("orders",), "SELECT id, x AS west, y AS south, x + 0.33 AS east, y + 0.27 AS north FROM (SELECT o_orderkey AS id, CAST((o_orderkey * 37 + o_custkey * 11) % 3500 AS DOUBLE) / 100.0 AS x, CAST((o_orderkey * 17 + o_custkey * 3) % 1700 AS DOUBLE) / 100.0 AS y FROM orders) o"),
     "service_areas": (("customer",), "SELECT id, x AS west, y AS south, x + 0.415 AS east, y + 0.375 AS north FROM (SELECT c_custkey AS id, CAST(c_custkey * 53 % 3500 AS DOUBLE) / 100.0 + 0.003 AS x, CAST(c_custkey * 29 % 1700 AS DOUBLE) / 100.0 + 0.003 AS y FROM customer) c"),
@@ -51,6 +52,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 IN_DUCKDB = {
     "spectra": "SELECT vec_id, label, [CAST(x AS DOUBLE) + 0.6 FOR x IN embedding] AS spectrum FROM embeddings",
     "band_catalog": "SELECT i AS band, 400 + 32 * i AS wl_nm FROM (SELECT unnest(range(n)) AS i FROM (SELECT max(len(embedding)) AS n FROM embeddings))",
+    "surface_grid": VIEWS["surface_grid"][1].replace("explode(sequence(0L, 39L))", "unnest(range(40))"),
     "rgb_cells": VIEWS["rgb_cells"][1].replace("explode(sequence(0L, 39L))", "unnest(range(40))"),
     "dem_grid": VIEWS["dem_grid"][1].replace("explode(sequence(0L, 39L))", "unnest(range(40))"),
 }

@@ -61,8 +61,11 @@ def _overview(cells, most):
     return ops.overview(cells, "z", rows, 40, most)
 
 
-@query("overview_surface")
+_MED = "list_sort(list(raw) FILTER (raw IS NOT NULL))[CAST(floor(count(raw) / 2) AS INT) + 1]"
+_SURFACE = f"__z AS (SELECT * FROM surface_grid), {_near(3, 'mirror', _NONE)}, __m AS (SELECT r, c, CASE WHEN count(raw) > 0 THEN {_MED} END AS z FROM __n GROUP BY r, c), __k AS (SELECT CAST(max(r) + 1 AS DOUBLE) AS h FROM __m), __g AS (SELECT CAST(floor(r * least(16, h) / h) AS BIGINT) AS r2, CAST(floor(c * 16 / 40.0) AS BIGINT) AS c2, avg(z) AS z FROM __m, __k GROUP BY 1, 2)"
+
+
+@query("overview_surface", f"{_SURFACE} SELECT r2 AS r, c2 AS c, round_even(coalesce(z, min(z) OVER ()), 1) AS z FROM __g", ("surface_grid",))
 def overview_surface(spark, sf_dir):
-    """Canopy (NIR as surface over red as ground, per thousand), spikes removed, decimated."""
-    cells = view(spark, sf_dir, "scene_cells").select("r", "c", F.greatest(F.lit(0.0), F.least(F.lit(500.0), (F.col("nir") - F.col("red")) / 10)).alias("z"))
-    return _overview(ops.median3(cells, "z").withColumnRenamed("value", "z"), 16)
+    """Canopy (NIR as surface over red as ground, per ten), spikes removed, decimated."""
+    return _overview(ops.median3(view(spark, sf_dir, "surface_grid"), "z").withColumnRenamed("value", "z"), 16)

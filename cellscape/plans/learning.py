@@ -37,8 +37,45 @@ def rgb(spark, sf_dir):
     return view(spark, sf_dir, "rgb_cells")
 
 
-query("rgb_features")(lambda s, d: ops.rgb_features(rgb(s, d)))
-query("rgb_features_33")(lambda s, d: ops.rgb_features_33(rgb(s, d)))
+_AT = {"mirror": lambda x, n: f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN 2 * {n} - 1 - ({x}) ELSE {x} END", "wrap": lambda x, n: f"({x} + {n}) % {n}"}
+
+
+def _boxed(name, source, size, aggs, edge="mirror"):
+    """DuckDB: a subquery (r, c, aggregates over the size x size box of source, whose cells are b and the box's own a)."""
+    k = size // 2
+    offsets = f"(SELECT unnest(range(-{k}, {k} + 1)) AS dr) CROSS JOIN (SELECT unnest(range(-{k}, {k} + 1)) AS dc)"
+    return f"{name} AS (SELECT a.r, a.c, {aggs} FROM {source} a CROSS JOIN __h CROSS JOIN {offsets} JOIN {source} b ON b.r = {_AT[edge]('(a.r + dr)', 'h')} AND b.c = {_AT[edge]('(a.c + dc)', '40')} GROUP BY a.r, a.c)"
+
+
+_mean = lambda x, size, name: f"sum({x}) / {size * size}.0 AS {name}"
+_HORN = lambda x: f"sqrt(power(sum({x} * dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END), 2) + power(sum({x} * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END), 2))"
+_STD = lambda n: f"sqrt(greatest(0.0, {n}2 - {n} * {n}))"
+_CELLS = ", ".join([
+    "__v AS (SELECT r, c, red, green, blue, (red + green + blue) / 3.0 AS v, greatest(red, green, blue) AS hi, least(red, green, blue) AS lo FROM rgb_cells), __h AS (SELECT max(r) + 1 AS h FROM __v)",
+    _boxed("__five", "__v", 5, ", ".join([_mean("b.v", 5, "mv"), _mean("b.v * b.v", 5, "mv2"), _mean("b.red", 5, "mr"), _mean("b.red * b.red", 5, "mr2"), _mean("b.green", 5, "mg"), _mean("b.green * b.green", 5, "mg2"), _mean("b.blue", 5, "mb"), _mean("b.blue * b.blue", 5, "mb2")])),
+    _boxed("__edge", "__v", 3, f"{_HORN('b.v')} AS edge"), _boxed("__p90", "__edge", 5, _mean("b.edge", 5, "edge5")),
+    _boxed("__n7", "__v", 7, _mean("b.v", 7, "m7")), _boxed("__n15", "__v", 15, _mean("b.v", 15, "m15")),
+    "__off AS (SELECT r, c, abs(v - m7) AS near, abs(v - m15) AS far FROM __v JOIN __n7 USING (r, c) JOIN __n15 USING (r, c))",
+    _boxed("__spread", "__off", 7, ", ".join([_mean("b.near", 7, "near7"), _mean("b.far", 7, "far7")])),
+    _boxed("__fine", "__v", 3, _mean("b.v", 3, "ms_fine")), _boxed("__coarse", "__v", 31, _mean("b.v", 31, "ms_coarse")), _boxed("__energy", "__n7", 3, f"{_HORN('b.m7')} AS energy"),
+    _boxed("__lbp", "__v", 3, "CAST(count(*) FILTER (b.v <= a.v AND NOT (dr = 0 AND dc = 0)) AS DOUBLE) AS k", "wrap"),
+    "__all AS (SELECT * FROM __v JOIN __energy USING (r, c) JOIN __lbp USING (r, c))",
+    _boxed("__wide", "__all", 15, ", ".join(_mean(f"b.{x}", 15, f"w_{x}") for x in ("hi", "lo", "green", "blue", "v", "energy", "k")) + ", " + ", ".join([_mean("b.k * b.k", 15, "k2"), _mean("CASE WHEN b.k IN (0, 8) THEN 1.0 ELSE 0.0 END", 15, "ku"), _mean("CASE WHEN b.k = 4 THEN 1.0 ELSE 0.0 END", 15, "km"), _mean("CASE WHEN b.k BETWEEN 1 AND 3 THEN 1.0 ELSE 0.0 END", 15, "kv")])),
+])
+_clip = lambda x, lo, hi: f"greatest({lo}, least({hi}, {x}))"
+_CELL14 = {
+    "red": "red", "green": "green", "blue": "blue", "vari": _clip("coalesce((green - red) / nullif(green + red - blue + 1e-6, 0), 0.0)", -2.0, 2.0), "rb_ratio": _clip("red / (blue + 1e-6)", 0.0, 10.0), "ngrdi": _clip("(green - red) / (green + red + 1e-6)", -1.0, 1.0),
+    "brightness": "v", "texture": _STD("mv"), "r_std": _STD("mr"), "g_std": _STD("mg"), "edge": "edge", "edge_p90": "edge5 * 1.5", "contrast": "near7 * 2.0", "quad_disp": "far7",
+}
+_CELL33 = _CELL14 | {
+    "saturation": "(w_hi - w_lo) / (w_hi + 1e-6)", "gb_ratio": _clip("w_green / (w_blue + 1e-6)", 0.0, 10.0), "brightness_range": "near7 * 4.0", "fft_energy": _clip("w_energy", 0.0, 1e6), "rg_slope": _clip("(red - green) / (red + green + 1e-6)", -1.0, 1.0), "blue_dom": _clip("blue / (red + green + blue + 1e-6)", 0.0, 1.0),
+    "ms_fine": "ms_fine", "ms_mid": "w_v", "ms_coarse": "ms_coarse", "ms_diff_fm": "abs(ms_fine - w_v)", "ms_diff_mc": "abs(w_v - ms_coarse)", "lbp_mean": "w_k", "lbp_std": "sqrt(greatest(0.0, k2 - w_k * w_k))", "lbp_uniform": "ku", "lbp_mixed": "km", "lbp_varied": "kv",
+    "r_iqr": f"{_STD('mr')} * 1.35", "g_iqr": f"{_STD('mg')} * 1.35", "b_iqr": f"{_STD('mb')} * 1.35",
+}
+_JOINED = "__v " + " ".join(f"JOIN {t} USING (r, c)" for t in ("__five", "__edge", "__p90", "__spread", "__fine", "__coarse", "__wide"))
+_5 = lambda df: df.select("r", "c", *[F.bround(n, 5).alias(n) for n in df.columns if n not in ("r", "c")])
+for _name, _columns, _function in (("rgb_features", _CELL14, ops.rgb_features), ("rgb_features_33", _CELL33, ops.rgb_features_33)):
+    query(_name, f"{_CELLS} SELECT r, c, " + ", ".join(f"round_even(CAST({x} AS DOUBLE), 5) AS {n}" for n, x in _columns.items()) + f" FROM {_JOINED}", "rgb_cells")(lambda s, d, f=_function: _5(f(rgb(s, d))))
 
 
 def _scene_model(spark, sf_dir, columns):

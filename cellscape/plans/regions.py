@@ -23,7 +23,11 @@ query("polygonize")(lambda s, d: ops.polygonize(_labels(s, d), 100.0))
 query("distance_to_mask", f"{_DEM}, __m AS (SELECT r, c FROM scene_cells WHERE nir > 4500) SELECT z.r, z.c, round_even(sqrt(min((z.r - m.r) * (z.r - m.r) * 100.0 + (z.c - m.c) * (z.c - m.c) * 64.0)), 6) AS value FROM __z z, __m m GROUP BY z.r, z.c", ("dem_grid", "scene_cells"))(
     lambda s, d: ops.distance_to_mask(dem(s, d), view(s, d, "scene_cells").filter("nir > 4500"), 8.0, 10.0).withColumn("value", F.bround("value", 6))
 )
-query("fill_depressions")(lambda s, d: ops.fill_depressions(dem(s, d)).select("r", "c", "z", "w"))
+# In DuckDB: levels spread from the outlets, each cell at the higher of its own and the level that came; the lowest that reaches a cell is its own.
+_SPREAD = """__c AS (SELECT r, c, z FROM dem_grid WHERE z IS NOT NULL), __d AS (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS a, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS b),
+__o AS (SELECT c.r, c.c, c.z FROM __c c CROSS JOIN __d JOIN __c n ON n.r = c.r + a AND n.c = c.c + b GROUP BY c.r, c.c, c.z HAVING count(*) < 8),
+__w AS (SELECT r, c, z AS w FROM __o UNION SELECT n.r, n.c, greatest(w.w, n.z) FROM __w w CROSS JOIN __d JOIN __c n ON n.r = w.r + a AND n.c = w.c + b)"""
+query("fill_depressions", f"{_SPREAD} SELECT c.r, c.c, c.z, min(w.w) AS w FROM __c c LEFT JOIN __w w ON w.r = c.r AND w.c = c.c GROUP BY c.r, c.c, c.z", "dem_grid", recursive=True)(lambda s, d: ops.fill_depressions(dem(s, d)).select("r", "c", "z", "w"))
 query("flow_direction")(lambda s, d: ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0))
 query("flow_accumulation")(lambda s, d: ops.flow_accumulation(ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0)))
 query("wetness_index")(lambda s, d: ops.wetness_index(dem(s, d), 10.0, 10.0))

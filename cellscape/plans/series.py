@@ -54,7 +54,11 @@ def _r9(df):
 query("mann_kendall_p")(lambda s, d: ops.mann_kendall(_s(s, d)))
 query("sens_slope", f"{_PAIR} SELECT cell, round_even(median(dy / (dx / 365.2425)), 5) AS slope FROM __p GROUP BY cell HAVING count(*) >= 3", "cell_series")(lambda s, d: ops.sens_slope(_s(s, d)).withColumn("slope", F.bround("slope", 5)))
 query("seasonal_baseline", "SELECT cell, d, round_even(y, 6) AS y, round_even(median(y) OVER (PARTITION BY cell, month(d)), 6) AS base, round_even(y - median(y) OVER (PARTITION BY cell, month(d)), 6) AS anomaly FROM cell_series", "cell_series")(lambda s, d: _r("y", "base", "anomaly")(ops.seasonal_baseline(_s(s, d))))
-query("cusum")(lambda s, d: ops.cusum(_s(s, d)))
+_STEPS = """__g AS (SELECT cell, avg(y) AS m, stddev_pop(y) AS sd, count(*) AS n FROM cell_series WHERE y IS NOT NULL GROUP BY cell),
+__z AS (SELECT s.cell, row_number() OVER (PARTITION BY s.cell ORDER BY d) - 1 AS i, (y - m) / sd AS z FROM cell_series s JOIN __g g ON g.cell = s.cell WHERE y IS NOT NULL AND g.n >= 6 AND sd >= 1e-6),
+__w AS (SELECT cell, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, false AS hit FROM __g
+  UNION ALL SELECT cell, i, up, down, up > 3.0 OR down > 3.0 FROM (SELECT z.cell, z.i, greatest(0.0, CASE WHEN w.hit THEN 0.0 ELSE w.up END + z.z - 0.5) AS up, greatest(0.0, CASE WHEN w.hit THEN 0.0 ELSE w.down END - z.z - 0.5) AS down FROM __w w JOIN __z z ON z.cell = w.cell AND z.i = w.i + 1))"""
+query("cusum", f"{_STEPS} SELECT cell, CAST(count(*) FILTER (hit) AS INT) AS changes, CAST(coalesce(min(i) FILTER (hit), -1) AS INT) AS first FROM __w GROUP BY cell", "cell_series", recursive=True)(lambda s, d: ops.cusum(_s(s, d)))
 query("segment")(lambda s, d: ops.segments(_s(s, d)))
 query("stl")(lambda s, d: ops.stl(_g(s, d), period=7))
 _FC = "__x AS (SELECT cell, y, CAST(date_diff('day', (SELECT min(d) FROM cell_series), d) AS DOUBLE) AS x FROM cell_series), __g AS (SELECT cell, count(*) AS n, min(x) AS x0, max(x) AS x1, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m, arg_min(y, x) AS y0, arg_max(y, x) AS y1 FROM __x GROUP BY cell HAVING count(*) >= 2), __s AS (SELECT *, (x1 - x0) / (n - 1) AS gap, CAST(unnest([1, 2, 3]) AS INT) AS step FROM __g)"

@@ -40,4 +40,7 @@ query("unmix_ucls", f"{_MEAN}, __k AS (SELECT {', '.join(f'(SELECT list(v ORDER
     lambda s, d: ops.unmix_ucls(_s(s, d), ops.endmembers(_s(s, d), [0, 1, 2])).select("vec_id", *[F.bround(F.col("abundance")[k], 5).alias(f"a{k}") for k in range(3)])
 )
 query("unmix_fcls")(lambda s, d: ops.unmix_fcls(_s(s, d), ops.endmembers(_s(s, d), [0, 1, 2])))
-query("continuum_removal")(lambda s, d: ops.continuum_removal(_s(s, d), [400.0 + 32 * k for k in range(64)]))
+# In DuckDB: the hull over a band is the highest of all chords over it.
+query("continuum_removal", "__e AS (SELECT vec_id, label, unnest(spectrum) AS y, unnest(range(64)) AS k FROM spectra), __c AS (SELECT a.vec_id, a.k AS i, b.k AS j, a.y AS yi, b.y AS yj FROM __e a JOIN __e b ON b.vec_id = a.vec_id AND b.k > a.k), __h AS (SELECT e.vec_id, e.label, e.k, e.y, greatest(e.y, max(yi + (yj - yi) * (e.k - i) / (j - i))) AS line FROM __e e JOIN __c c ON c.vec_id = e.vec_id AND c.i <= e.k AND e.k <= c.j GROUP BY e.vec_id, e.label, e.k, e.y) SELECT vec_id, label, CAST(k AS INT) AS band, round_even(CASE WHEN line > 0 THEN y / line END, 6) AS removed FROM __h", "spectra")(
+    lambda s, d: ops.continuum_removal(_s(s, d), [400.0 + 32 * k for k in range(64)]).select("vec_id", "label", F.posexplode("removed").alias("band", "removed")).withColumn("removed", F.bround(F.nanvl("removed", F.lit(None).cast("double")), 6))
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cellscape.operators import learning
@@ -27,8 +29,26 @@ query("chm", f"{_GRID} SELECT r, c, {_H} AS h FROM __g", "points")(_chm)
 query("canopy_layers", f"{_GRID} SELECT r, c, CASE WHEN {_H} < 0.5 THEN 0 WHEN {_H} < 2 THEN 1 WHEN {_H} < 5 THEN 2 WHEN {_H} < 15 THEN 3 ELSE 4 END AS layer FROM __g", "points")(lambda s, d: _chm(s, d).select("r", "c", ops.canopy_layer(F.col("h")).alias("layer")))
 query("canopy_metrics", f"{_GRID}, __h AS (SELECT {_H} AS h, CASE WHEN {_H} >= 1 THEN {_H} END AS t FROM __g) SELECT round_even(count(h) * 25.0, 2) AS total_m2, round_even(count(t) * 25.0, 2) AS canopy_m2, round_even(count(t) * 100.0 / count(h), 2) AS cover, coalesce(round_even(avg(t), 2), 0) AS mean, coalesce(round_even(max(t), 2), 0) AS max, coalesce(round_even(quantile_cont(t, 0.5), 2), 0) AS p50, coalesce(round_even(quantile_cont(t, 0.95), 2), 0) AS p95, coalesce(round_even(stddev_pop(t), 2), 0) AS std, coalesce(round_even(sum(t) * 25.0, 2), 0) AS volume FROM __h", "points")(lambda s, d: ops.canopy_metrics(_chm(s, d), "h", 25.0))
 query("otsu", "__p AS (SELECT quantile_cont(nir, 0.005) AS lo, quantile_cont(nir, 0.995) AS hi FROM scene_cells), __h AS (SELECT least(127, CAST(floor((nir - lo) / (hi - lo) * 128) AS BIGINT)) AS bin, lo, hi, count(*) AS n FROM scene_cells, __p WHERE nir >= lo AND nir <= hi GROUP BY 1, 2, 3), __c AS (SELECT bin, n, lo + (bin + 0.5) * (hi - lo) / 128 AS x FROM __h), __w AS (SELECT bin, x, sum(n) OVER (ORDER BY bin) / sum(n) OVER () AS w, sum(n * x) OVER (ORDER BY bin) / sum(n) OVER () AS m, sum(n * x) OVER () / sum(n) OVER () AS mt FROM __c) SELECT round_even(x, 6) AS threshold FROM __w ORDER BY CASE WHEN w * (1 - w) > 1e-12 THEN round_even((mt * w - m) * (mt * w - m) / (w * (1 - w)), 9) ELSE 0 END DESC, bin LIMIT 1", "scene_cells")(lambda s, d: ops.otsu(_scene(s, d), "nir").withColumn("threshold", F.bround("threshold", 6)))
-query("bimodality")(lambda s, d: ops.bimodality(_scene(s, d), "nir"))
-query("adaptive_threshold")(lambda s, d: ops.adaptive_threshold(_scene(s, d).select("r", "c", "nir"), "nir", 20))
+# In DuckDB: histogram, Otsu's threshold, the two classes' distance, and peaks of the smoothed histogram, for each k.
+_KERNEL = [math.exp(-0.5 * (i / 2.0) ** 2) for i in range(-8, 9)]
+_BIMODAL = f"""__p AS (SELECT k, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM __x WHERE v IS NOT NULL GROUP BY k),
+__f AS (SELECT x.k, least(127, CAST(floor((v - lo) / (hi - lo) * 128) AS BIGINT)) AS bin, lo, hi, count(*) AS n FROM __x x JOIN __p p ON p.k = x.k WHERE hi > lo AND v >= lo AND v <= hi GROUP BY ALL),
+__s AS (SELECT k, bin, n, lo + (bin + 0.5) * (hi - lo) / 128 AS x FROM __f),
+__w AS (SELECT k, bin, x, sum(n) OVER (PARTITION BY k ORDER BY bin) / sum(n) OVER (PARTITION BY k) AS w, sum(n * x) OVER (PARTITION BY k ORDER BY bin) / sum(n) OVER (PARTITION BY k) AS m, sum(n * x) OVER (PARTITION BY k) / sum(n) OVER (PARTITION BY k) AS mt FROM __s),
+__t AS (SELECT k, x AS threshold FROM __w QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN w * (1 - w) > 1e-12 THEN round_even((mt * w - m) * (mt * w - m) / (w * (1 - w)), 9) ELSE 0 END DESC, bin) = 1),
+__d AS (SELECT x.k, threshold, count(v) AS valid, coalesce(sqrt(2.0) * abs(avg(v) FILTER (v <= threshold) - avg(v) FILTER (v > threshold)) / nullif(sqrt(power(stddev_pop(v) FILTER (v <= threshold), 2) + power(stddev_pop(v) FILTER (v > threshold), 2)), 0), 0.0) AS d FROM __x x JOIN __t t ON t.k = x.k GROUP BY x.k, threshold),
+__b AS (SELECT t.k, i, coalesce(f.n, 0) AS n FROM (SELECT k, unnest(range(128)) AS i FROM __t) t LEFT JOIN __f f ON f.k = t.k AND f.bin = t.i),
+__o AS (SELECT unnest(range(-8, 9)) AS o, unnest({[w / sum(_KERNEL) for w in _KERNEL]}) AS wt),
+__y AS (SELECT b.k, b.i, sum(n.n * wt) AS h FROM __b b CROSS JOIN __o JOIN __b n ON n.k = b.k AND n.i = CASE WHEN b.i + o < 0 THEN -1 - (b.i + o) WHEN b.i + o > 127 THEN 255 - (b.i + o) ELSE b.i + o END GROUP BY b.k, b.i),
+__a AS (SELECT *, lag(h) OVER (PARTITION BY k ORDER BY i) AS before, lead(h) OVER (PARTITION BY k ORDER BY i) AS after, max(h) OVER (PARTITION BY k) AS top FROM __y),
+__e AS (SELECT a.k, a.i, a.h, a.top, coalesce(max(y.i) FILTER (y.i < a.i AND y.h > a.h), 0) AS l, coalesce(min(y.i) FILTER (y.i > a.i AND y.h > a.h), 127) AS r FROM __a a JOIN __y y ON y.k = a.k WHERE a.h > a.before AND a.h >= a.after GROUP BY ALL),
+__q AS (SELECT e.k, e.i, e.h - greatest(min(y.h) FILTER (y.i <= e.i), min(y.h) FILTER (y.i >= e.i)) >= 0.03 * e.top AS peak FROM __e e JOIN __y y ON y.k = e.k AND y.i BETWEEN e.l AND e.r GROUP BY e.k, e.i, e.h, e.top),
+__m AS (SELECT d.k, threshold, valid, d, CAST(coalesce((SELECT count(*) FROM __q q WHERE q.k = d.k AND q.peak), 0) AS INT) AS peaks FROM __d d)"""
+_IS = "valid >= 100 AND (d >= 4.0 OR (peaks >= 2 AND d >= 3.8))"
+query("bimodality", f"__x AS (SELECT 1 AS k, nir AS v FROM scene_cells), {_BIMODAL} SELECT valid, round_even(threshold, 6) AS threshold, round_even(d, 3) AS d, peaks, {_IS} AS bimodal FROM __m", "scene_cells")(lambda s, d: ops.bimodality(_scene(s, d), "nir").withColumn("threshold", F.bround("threshold", 6)))
+query("adaptive_threshold", f"__x AS (SELECT r, c, CAST(floor(r / 20.0) AS BIGINT) * 1000 + CAST(floor(c / 20.0) AS BIGINT) AS k, CASE WHEN nir > 3000 THEN nir + 9000 ELSE nir END AS v FROM scene_cells), {_BIMODAL} SELECT r, c, CASE WHEN v IS NOT NULL THEN CAST(coalesce({_IS} AND v >= threshold, false) AS INT) END AS value FROM __x LEFT JOIN __m USING (k)", "scene_cells")(
+    lambda s, d: ops.adaptive_threshold(_scene(s, d).select("r", "c", F.when(F.col("nir") > 3000, F.col("nir") + 9000).otherwise(F.col("nir")).alias("nir")), "nir", 20)
+)
 query("tile_stats", "__t AS (SELECT CAST(floor(r / 10.0) AS BIGINT) AS tile_r, CAST(floor(c / 10.0) AS BIGINT) AS tile_c, CAST(scl AS DOUBLE) AS v FROM scene_cells), __n AS (SELECT tile_r, tile_c, CAST(v AS BIGINT) AS cls, count(*) AS n FROM __t GROUP BY ALL), __k AS (SELECT *, row_number() OVER (PARTITION BY tile_r, tile_c ORDER BY (cls = 0), n DESC, cls) AS k, count(*) OVER (PARTITION BY tile_r, tile_c) AS classes FROM __n) SELECT t.tile_r, t.tile_c, count(*) AS total, count(v) AS valid, min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean, round_even(stddev_pop(v), 6) AS std, any_value(k.classes) AS classes, any_value(k.cls) AS dominant, round_even(any_value(k.n) * 100.0 / count(v), 2) AS dominant_pct FROM __t t JOIN __k k ON k.tile_r = t.tile_r AND k.tile_c = t.tile_c AND k.k = 1 GROUP BY t.tile_r, t.tile_c", "scene_cells")(lambda s, d: ops.tile_stats(_scene(s, d).select("r", "c", F.col("scl").cast("double").alias("v")), "v", 10))
 query("band_profile", "SELECT min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean, median(v) AS median, quantile_cont(v, 0.02) AS p2, quantile_cont(v, 0.98) AS p98, bool_and(v = floor(v)) AND count(DISTINCT v) <= 30 AS classified FROM (SELECT CAST(scl AS DOUBLE) AS v FROM scene_cells)", "scene_cells")(lambda s, d: ops.band_profile(_scene(s, d).select(F.col("scl").cast("double").alias("v")), "v"))
 query("confusion_matrix", "SELECT y_true, y_pred, count(*) AS n FROM predictions WHERE y_true >= 0 AND y_pred >= 0 GROUP BY ALL", "predictions")(lambda s, d: ops.confusion(_pred(s, d)))

@@ -34,12 +34,23 @@ def session_stats(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame
     return g.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n", "mean")
 
 
-def cusum(stream: DataFrame, threshold: float = 3.0, slack: float = 0.5) -> DataFrame:
-    """(cell, ts, up, down, hit) of rows (cell, ts, y, mean, std): two-sided CUSUM against a stored baseline, kept between batches."""
+def cusum(stream: DataFrame, threshold: float = 3.0, slack: float = 0.5, late: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """(cell, ts, up, down, hit) of rows (cell, ts, y, mean, std): two-sided CUSUM against a stored baseline, kept between batches.
+
+    Rows of a cell are taken in order of ts and y inside a micro-batch, and batches in their order: a row that arrives behind a later
+    one of an earlier batch is added to the sums as they stand then.  With `late`, rows further behind the newest are dropped; with
+    `idle_ms`, a cell without rows for so long starts anew.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    if late is not None:
+        stream = stream.withWatermark("ts", late)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         up, down = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).sort_values(["ts", "y"], kind="stable")
         ups, downs, hits = [], [], []
         for y, m, s in zip(rows["y"], rows["mean"], rows["std"]):
             z = (y - m) / s if s and s == s and s > 1e-6 else 0.0
@@ -51,9 +62,11 @@ def cusum(stream: DataFrame, threshold: float = 3.0, slack: float = 0.5) -> Data
             if hit:
                 up = down = 0.0
         state.update((up, down))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"cell": rows["cell"], "ts": rows["ts"], "up": ups, "down": downs, "hit": hits})
 
-    return stream.groupBy("cell").applyInPandasWithState(step, "cell long, ts timestamp, up double, down double, hit boolean", "up double, down double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("cell").applyInPandasWithState(step, "cell long, ts timestamp, up double, down double, hit boolean", "up double, down double", "append", timeout)
 
 
 def anomalies(stream: DataFrame, baseline: DataFrame) -> DataFrame:
