@@ -65,16 +65,16 @@ def outline_edges(labels: DataFrame) -> DataFrame:
     return each.join(other, ["nr", "nc", "label"], "left_anti").select("label", "x0", "y0", "x1", "y1")
 
 
-def _stays(a: tuple, b: tuple, c: tuple) -> bool:
-    """Whether the way a, b, c turns around the cell on its left."""
-    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) < 0
+def _leaves(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether the way a, b, c turns away from the cell on its left."""
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) > 0
 
 
 def polygonize(labels: DataFrame, cell_m2: float, least: int = 1, most: int | None = None) -> DataFrame:
     """(label, area_ha, rings): outlines in cell units, the largest ring first; more than `most` regions, if given, are an error.
 
-    A region's outline, not its cells, is chained in one task.  Where cells of a region touch at a corner only, the ring stays with the
-    cell that it came along, so no ring crosses itself.
+    A region's outline, not its cells, is chained in one task.  Where cells of a region touch at a corner only, the ring goes on along
+    the other cell: what lies on its right is one connected piece, so no ring meets itself.
     """
     kept = filter_small(labels, least)
     sizes = region_sizes(kept)
@@ -96,7 +96,7 @@ def polygonize(labels: DataFrame, cell_m2: float, least: int = 1, most: int | No
                 ring.append(side[0])
                 a, b = side
                 after = ways[b]
-                side = (b, after[0] if len(after) == 1 else next(c for c in after if _stays(a, b, c)))
+                side = (b, after[0] if len(after) == 1 else next(c for c in after if _leaves(a, b, c)))
             rings.append([[float(x), float(y)] for x, y in ring])
         rings.sort(key=lambda r: -abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1]))))
         return pd.DataFrame({"label": pdf["label"].iloc[:1], "rings": [rings]})

@@ -157,35 +157,69 @@ def segments(series: DataFrame, penalty: float | None = None, min_size: int = 3)
     return series.groupBy("cell").applyInPandas(one, "cell long, changes int, first int")
 
 
-def stl(series: DataFrame, period: int = 12, rounds: int = 5) -> DataFrame:
-    """(cell, d, observed, trend, seasonal, resid): seasonal-trend decomposition with local regression and robustness weights."""
-
-    def smooth(y: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
-        n, out = len(y), np.empty(len(y))
-        width = min(width, n)
-        for i in range(n):
-            a = min(max(0, i - width // 2), n - width)
-            x = np.arange(a, a + width) - i
-            w = (1 - (np.abs(x) / (np.abs(x).max() + 1)) ** 3) ** 3 * weights[a : a + width] + 1e-12
-            mx, my = (w * x).sum() / w.sum(), (w * y[a : a + width]).sum() / w.sum()
-            var = (w * (x - mx) ** 2).sum()
-            out[i] = my - (w * (x - mx) * (y[a : a + width] - my)).sum() / var * mx if var > 1e-9 else my
-        return out
+def _loess(y: np.ndarray, width: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local linear regression of y over its positions 0, 1, ... with tricube weights of the `width` nearest, at the places `at`."""
+    n, out = len(y), np.empty(len(at))
+    q = min(width, n)
+    for k, x in enumerate(at):
+        a = int(min(max(0, np.ceil(x - q / 2)), n - q))
+        near = np.arange(a, a + q)
+        far = np.abs(near - x)
+        h = far.max() + max(0, width - n) // 2
+        w = np.where(far <= 0.999 * h, (1 - (far / h) ** 3) ** 3, 0.0) if h > 0 else np.ones(q)
+        if weights is not None:
+            w = w * weights[near]
+        total = w.sum()
+        if total <= 0:
+            out[k] = y[near].mean()
+            continue
+        w = w / total
+        mean = (w * near).sum()
+        var = (w * (near - mean) ** 2).sum()
+        if np.sqrt(var) > 0.001 * max(n - 1, 1):
+            w = w * (1 + (x - mean) * (near - mean) / var)
+        out[k] = (w * y[near]).sum()
+    return out
+
+
+def _moving(y: np.ndarray, width: int) -> np.ndarray:
+    return np.convolve(y, np.full(width, 1 / width), "valid")
+
+
+def _decomposed(y: np.ndarray, period: int, seasonal_width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal part by the STL procedure: each phase's sub-series smoothed and prolonged by one cycle, its low-pass part taken
+    off, the rest smoothed; `rounds` times anew with weights against outliers."""
+    n, odd = len(y), lambda v: int(np.ceil(v)) | 1
+    period = min(period, n // 2)
+    places = np.arange(n, dtype=float)
+    if period < 2:
+        return _loess(y, odd(1.5 * n), places), np.zeros(n)
+    trend_width, low_width = odd(1.5 * period / (1 - 1.5 / seasonal_width) + 1e-9), odd(period + 1)
+    trend, seasonal, weights = np.zeros(n), np.zeros(n), np.ones(n)
+    for last in range(rounds + 1):
+        for _ in range(2):
+            free, cycles = y - trend, np.empty(n + 2 * period)
+            for k in range(period):
+                sub = free[k::period]
+                cycles[k :: period][: len(sub) + 2] = _loess(sub, seasonal_width, np.arange(-1.0, len(sub) + 1), weights[k::period])
+            low = _loess(_moving(_moving(_moving(cycles, period), period), 3), low_width, places)
+            seasonal = cycles[period : period + n] - low
+            trend = _loess(y - seasonal, trend_width, places, weights)
+        off = np.abs(y - trend - seasonal)
+        h = 6 * np.median(off)
+        if last == rounds or h <= 0:
+            break
+        weights = np.where(off <= 0.001 * h, 1.0, np.where(off <= 0.999 * h, (1 - np.minimum(off / h, 1) ** 2) ** 2, 0.0))
+    return trend, seasonal
+
+
+def stl(series: DataFrame, period: int = 12, robust: bool = True, seasonal_width: int = 7) -> DataFrame:
+    """(cell, d, observed, trend, seasonal, resid): seasonal-trend decomposition by local regression; missing values interpolated in time."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         y = pd.Series(pdf["y"].to_numpy(), index=pd.to_datetime(pdf["d"])).interpolate("time").bfill().ffill().fillna(0.0).to_numpy()
-        trend, weights = np.zeros(len(y)), np.ones(len(y))
-        wide = int(np.ceil(1.5 * period)) | 1
-        for _ in range(rounds):
-            free, seasonal = y - trend, np.zeros(len(y))
-            for k in range(min(period, len(y))):
-                seasonal[k::period] = np.average(free[k::period], weights=weights[k::period] + 1e-12)
-            seasonal -= seasonal.mean()
-            trend = smooth(y - seasonal, wide, weights)
-            resid = y - trend - seasonal
-            h = 6 * np.median(np.abs(resid))
-            weights = np.clip(1 - (np.abs(resid) / h) ** 2, 0, 1) ** 2 if h > 0 else np.ones(len(y))
+        trend, seasonal = _decomposed(y, period, seasonal_width, 15 if robust else 0)
         return pd.DataFrame({"cell": pdf["cell"].to_numpy(), "d": pdf["d"].to_numpy(), "observed": y, "trend": trend, "seasonal": seasonal, "resid": y - trend - seasonal})
 
     return series.select("cell", "d", "y").groupBy("cell").applyInPandas(one, "cell long, d date, observed double, trend double, seasonal double, resid double")
