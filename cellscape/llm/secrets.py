@@ -8,17 +8,20 @@ other long runs with digits at their end only are label 0; the random model is a
 
 Positions come from the matches and the pieces between them, so they are code points, end exclusive.
 
-Cases: a null text is empty and has no spans; repeated rows give repeated results; without any sample of a label its model is uniform.
+Cases: a null text is empty and has no spans (and stays null where secrets are replaced); repeated rows give repeated results; spans of
+equal start (ties) are in the order of their kinds; long texts, and long runs, are searched whole in pieces; an empty table gives an empty
+one; without any sample of a label its model is uniform.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import table
+from cellscape.llm.common import stored, table
 
 # The base rules.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,100 +37,162 @@ ORDINARY = "^[^0-9]*[0-9]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
-def spans_of(text: Column, pattern: str, kind: int, keep: Column | None = None, value: Column | None = None) -> Column:
-    """array<struct<start,kind,stop,value>> of a pattern's matches; `keep` and `value` are columns over whole match arrays."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    # Running end of each match: the lengths of the piece before it and of itself, added up.
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    walked = F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("stop")))).alias("out")))["out"]
-    values = found if value is None else value
-    joined = F.zip_with(walked, values, lambda p, v: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["stop"].alias("stop"), v.alias("value")))
-    return F.when(F.size(found) > 0, joined).otherwise(none)
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans in the order (start, kind)."""
-    assign = spans_of(text, ASSIGN, 0, value=F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
-    assign = F.filter(assign, lambda s: F.length(s["value"]) >= LEAST["assign"])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """array<kind> of out(state, item), state being what step has made of `zero` and all earlier items.
+
+    In chunks of 256 items: an array that grows by one is copied each time, so one level alone would be quadratic.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def chunked(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / 256).cast("int")), lambda i: F.slice(items, i * 256 + 1, F.lit(256)))
+
+    def walked(chunks: Column) -> Column:
+        first = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(chunks, first, lambda acc, c: F.struct(F.aggregate(c, acc["at"], step).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, starts, inside))
+
+    def inside(chunk: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(chunk, first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(out(acc["at"], x))).alias("out")))["out"]
+
+    return let(items, lambda x: F.when(F.size(x) > 0, let(chunked(x), walked)).otherwise(none))
+
+
+SPAN = "struct<start:int,kind:int,stop:int,value:string>"
+
+
+def spans_of(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """array<struct<start,kind,stop,value>> of a pattern's matches, the value being the match's group.
+
+    Positions are running sums of the lengths of matches and of the pieces between them.
+    """
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+        values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        sizes = F.zip_with(gaps, F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        steps = F.zip_with(sizes, values, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v")))
+        span = lambda at, x: F.struct((at + x["g"]).alias("start"), F.lit(kind).alias("kind"), (at + x["g"] + x["m"]).alias("stop"), x["v"].alias("value"))
+        return running(steps, F.lit(0), lambda at, x: at + x["g"] + x["m"], span, SPAN)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(f"array<{SPAN}>")))
+
+
+def base_spans(text: Column) -> list[Column]:
+    """The base spans of each kind, in order."""
+    assign = F.filter(spans_of(text, ASSIGN, 0, group=2), lambda s: F.length(s["value"]) >= LEAST["assign"])
     # A run of one class is matched whole and nothing inside it can match longer, so the length may stand in the pattern.
     access = spans_of(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1)
-    hexes = spans_of(text, f"[0-9a-f]{{{LEAST['hex']},}}", 2)
-    return F.array_sort(F.concat(assign, access, hexes))
+    return [assign, access, spans_of(text, f"[0-9a-f]{{{LEAST['hex']},}}", 2)]
+
 
+def touches(run: Column, spans: Column) -> Column:
+    """Whether a run shares a place with one of the spans, which are in order and apart: the last that starts before the run's end
+    decides, found by halving."""
+    halves = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    first = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, base, runs): base spans, and the long runs that no base span touches."""
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = F.get(spans, mid)["start"] < run["stop"]
+        return F.when(acc["lo"] >= acc["hi"], acc).when(before, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+    upto = F.aggregate(halves, first, half)["lo"]
+    return F.coalesce(F.get(spans, upto - 1)["stop"] > run["start"], F.lit(False))
+
+
+def _apart_from(spans: Column) -> Callable[[Column], Column]:
+    return lambda run: ~touches(run, spans)
+
+
+def scanned(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(kept, base, runs) of every row: the columns `keep` as a struct, base spans by (start, kind), and the long runs that none touches.
+
+    Stored: the models are counted from it and then judge it, and texts are searched once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    more = ["kept"] if keep else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
-    rows = rows.select("*", base_spans(F.col("text")).alias("base"), spans_of(F.col("text"), RUN, 3).alias("long"))
-    free = F.filter("long", lambda r: ~F.exists("base", lambda s: (s["start"] < r["stop"]) & (s["stop"] > r["start"])))
-    return rows.select("doc_id", "text", "base", F.when(F.size("base") > 0, free).otherwise(F.col("long")).alias("runs"), *more)
+    base = [c.alias(k) for k, c in zip(KINDS, base_spans(text))]
+    rows = docs.select(F.struct(*keep).alias("kept"), *base, spans_of(text, RUN, 3).alias("long"))
+    free = F.col("long")
+    for k in KINDS[:3]:
+        free = F.when(F.size(k) > 0, F.filter(free, _apart_from(F.col(k)))).otherwise(free)
+    return stored(rows.select("kept", F.array_sort(F.concat(*KINDS[:3])).alias("base"), free.alias("runs")))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(label, a, b, n): how often character b follows a (the empty string before the first) in the labelled samples."""
+    """(label, a, b, n): how often character b follows a (a line feed before the first) in the labelled samples."""
     samples = rows.select(F.explode(F.concat(
         F.transform("base", lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("v"))),
         F.transform(F.filter("runs", lambda s: s["value"].rlike(ORDINARY)), lambda s: F.struct(F.lit(0).alias("label"), s["value"].alias("v"))),
     )).alias("s")).select("s.*")
     # Equal values are counted once each, so a copied secret does not weigh more: pre-aggregated by value.
     samples = samples.distinct()
-    pairs = samples.select("label", F.explode(neighbours(F.col("v"))).alias("p"))
+    pairs = samples.select("label", F.explode(chunks_of(F.col("v"))).alias("v")).select("label", F.explode(neighbours(F.col("v"))).alias("p"))
     return pairs.groupBy("label", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
 
-def neighbours(value: Column) -> Column:
-    """array<struct<a,b>>: each character with the one before it, the empty string before the first."""
-    chars = F.split(value, "")
-    return F.zip_with(F.slice(F.concat(F.array(F.lit("")), chars), F.lit(1), F.size(chars)), chars, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def chunks_of(value: Column, size: int = 1 << 16) -> Column:
+    """A text's pieces of `size` characters, each with the character before it and the first with a line feed."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / size).cast("int")), lambda i: F.substring(F.concat(F.lit("\n"), value), i * size + 1, F.lit(size + 1)))
+
+
+def neighbours(piece: Column) -> Column:
+    """array<struct<a,b>>: each character of a piece after its first, b, with the one before it, a."""
+    chars = F.split(piece, "")
+    return F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def ratios(rows: DataFrame, smooth: float = 0.1) -> list[float]:
     """log(P(b | a) if random / P(b | a) if an identifier) at 128 * code(a) + code(b); a fixed number of entries."""
     counts = {(r.label, r.a, r.b): r.n for r in pair_counts(rows).collect()}
     k, out = len(ALPHABET), [0.0] * (128 * 128)
-    for a in ["", *ALPHABET]:
+    for a in ["\n", *ALPHABET]:
         total = [sum(counts.get((label, a, b), 0) for b in ALPHABET) for label in (0, 1)]
         for b in ALPHABET:
             p = [(counts.get((label, a, b), 0) + smooth) / (total[label] + smooth * k) for label in (0, 1)]
-            out[128 * (ord(a) if a else 0) + ord(b)] = math.log((p[1] + 1 / k) / 2) - math.log(p[0])
+            out[128 * ord(a) + ord(b)] = math.log((p[1] + 1 / k) / 2) - math.log(p[0])
     return out
 
 
 def log_ratio(value: Column, model: Column) -> Column:
     """The value's log-likelihood ratio under an array column of ratios()."""
-    return F.aggregate(neighbours(value), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.get(model, F.ascii(p["a"]) * 128 + F.ascii(p["b"])), F.lit(0.0)))
+    ratio = lambda p: F.coalesce(F.get(model, F.ascii(p["a"]) * 128 + F.ascii(p["b"])), F.lit(0.0))
+    return F.aggregate(chunks_of(value), F.lit(0.0), lambda acc, piece: acc + F.aggregate(neighbours(piece), F.lit(0.0), lambda s, p: s + ratio(p)))
 
 
-def secret_spans(rows: DataFrame, model: Column, least_ratio: float, least_digits: int) -> Column:
-    """Base spans and random runs of rows with columns base and runs."""
-    random = F.filter("runs", lambda r: (F.regexp_count(r["value"], F.lit("[0-9]")) >= least_digits) & (F.regexp_count(r["value"], F.lit("[A-Za-z]")) >= least_digits) & (log_ratio(r["value"], model) >= least_ratio * F.length(r["value"])))
-    return F.array_sort(F.concat("base", F.when(F.size("runs") > 0, random).otherwise(F.col("runs"))))
+def random_runs(model: Column, least_ratio: float) -> Column:
+    """The runs of column `runs` that look random."""
+    found = F.filter("runs", lambda r: log_ratio(r["value"], model) >= least_ratio * F.length(r["value"]))
+    return F.when(F.size("runs") > 0, found).otherwise(F.col("runs"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.8, least_digits: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, base, spans): base spans, and those with the method's spans, as arrays in (start, kind) order.
-
-    A run is added when its ratio is at least `least_ratio` a character and it has `least_digits` digits and as many letters.
-    With `keep`, a struct column `kept` holds those columns of docs.
-    """
-    rows = scanned(docs, id_col, text_col, keep)
+def _found(docs: DataFrame, text_col: str, least_ratio: float, keep: list[str]) -> DataFrame:
+    """(kept, base, spans)"""
+    rows = scanned(docs, text_col, keep)
     # One literal text that folds into an array literal.
     model = F.split(F.lit(",".join(map(repr, ratios(rows)))), ",").cast("array<double>")
-    spans = secret_spans(rows, model, least_ratio, least_digits)
-    return rows.select(F.col("doc_id").alias(id_col), "text", "base", spans.alias("spans"), *(["kept"] if keep else []))
+    return rows.select("kept", "base", F.array_sort(F.concat("base", random_runs(model, least_ratio))).alias("spans"))
+
 
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.8) -> DataFrame:
+    """(id, base, spans): base spans, and those with the method's spans, as arrays in (start, kind) order.
+
+    A run is added when its ratio is at least `least_ratio` a character.
+    """
+    return _found(docs, text_col, least_ratio, [id_col]).select(F.col("kept")[id_col].alias(id_col), "base", "spans")
 
-def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+
+def without_secrets(docs: DataFrame, text_col: str = "text", least_ratio: float = 0.8) -> DataFrame:
     """The rows of docs with every secret in the text replaced by a mark; all other columns stay as they are."""
-    found = find_secrets(docs.withColumn("__id", F.lit(0)), "__id", text_col, keep=docs.columns)
-    clean = F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("kept")[text_col])
-    return found.select(*[(clean if c == text_col else F.col("kept")[c]).alias(c) for c in docs.columns])
+    found = _found(docs, text_col, least_ratio, docs.columns)
+    text = F.col("kept")[text_col]
+    return found.select(*[(redacted(text, F.col("spans")) if c == text_col else F.col("kept")[c]).alias(c) for c in docs.columns])
 
 
 def listed(spans: str) -> Column:
@@ -135,17 +200,26 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    size = F.length(F.col(text))
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", size: int = 1 << 16) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by the mark; a text without spans as it is.
+
+    The text is cut into blocks first, so that no piece is looked for from the start of a long text.
+    """
+
+    def replaced(blocks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """The characters from a to b, end exclusive."""
+            of = F.sequence(F.floor(a / size).cast("int"), F.floor((b - 1) / size).cast("int"))
+            part = lambda i: F.substring(F.get(blocks, i), F.greatest(a - i * size, F.lit(0)) + 1, F.least(b - i * size, F.lit(size)) - F.greatest(a - i * size, F.lit(0)))
+            return F.when(b > a, F.array_join(F.transform(of, part), "")).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+        out = lambda at, s: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(piece(at, s["start"]), F.lit(mark)))
+        pieces = running(spans, F.lit(0), lambda at, s: F.greatest(at, s["stop"]), out, "string")
+        last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return F.concat(F.array_join(pieces, ""), piece(last, F.length(text)))
 
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, size))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    return F.when(F.size(spans) > 0, let(blocks, replaced)).otherwise(text)
 
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
