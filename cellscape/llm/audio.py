@@ -6,7 +6,9 @@ allocated at 8 bits a sample it holds exactly 192 payload bytes as quantised sam
 The all-ones code is forbidden in Layer I, so a frame with a byte 255 uses 9 bits a sample and the next bit rate up.
 
 Cases: a null text is empty; an empty text gives one frame of spaces; equal texts give equal streams;
-repeated rows give repeated results; an empty table gives an empty one.  A null stream reads as no frames.
+repeated rows give repeated results; a long text is one long stream; an empty table gives an empty one.
+A null stream, and bytes that are no audio, read as no frames; a stream's frames of another form than the stored one are timed
+and checked like any, and hold no payload.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import slices, table, texts_of
+from cellscape.llm.common import in_arrow, slices, table, texts_of
 
 UNIT = 192
 SAMPLES = 384
@@ -118,22 +120,124 @@ def header_of(four: bytes) -> tuple[int, int, int, int, int, bool] | None:
     return layer, kbit, hz, samples, length, not four[1] & 1
 
 
+def _synchsafe(b: bytes) -> int:
+    return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | b[3] & 127
+
+
+def _tag_text(raw: bytes) -> str:
+    """A text field with its encoding byte."""
+    kind = {1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[:1][0] if raw else 0, "latin-1")
+    return raw[1:].decode(kind, "replace").strip("\x00")
+
+
+def id3_tag(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
+    """Text frames of the ID3v2 tag at a place (versions 2.2 to 2.4), and where it ends; `at` itself if there is none."""
+    if data[at : at + 3] != b"ID3" or len(data) < at + 10 or data[at + 3] == 255 or max(data[at + 6 : at + 10]) > 127:
+        return {}, at
+    version, flags = data[at + 3], data[at + 5]
+    end = min(len(data), at + 10 + _synchsafe(data[at + 6 : at + 10]))
+    body = data[at + 10 : end]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    tags, pos, width = {}, 0, 3 if version == 2 else 4
+    if flags & 0x40 and version >= 3 and len(body) >= 4:
+        pos = _synchsafe(body[:4]) if version == 4 else 4 + struct.unpack(">I", body[:4])[0]
+    while pos + (6 if version == 2 else 10) <= len(body) and body[pos : pos + width].strip(b"\x00"):
+        name, raw = body[pos : pos + width].decode("latin-1"), body[pos + width : pos + 2 * width]
+        n = _synchsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        pos += 6 if version == 2 else 10
+        value = body[pos : pos + n]
+        pos += n
+        if version == 4 and body[pos - n - 1] & 2:
+            value = value.replace(b"\xff\x00", b"\xff")
+        if name in ("TXXX", "TXX"):
+            k, _, v = _tag_text(value).partition("\x00")
+            tags[k] = v.lstrip("\ufeff")
+        elif name[0] == "T":
+            tags[name] = _tag_text(value)
+    return tags, min(len(data), end + (10 if version == 4 and flags & 0x10 else 0))
+
+
+def vbr_table(frame: bytes) -> dict | None:
+    """The variable-bitrate table of a stream's first frame (Xing, Info or VBRI), None if it is an ordinary frame."""
+    mono, first = frame[3] >> 6 == 3, frame[1] & 8
+    at = 4 + ((17 if mono else 32) if first else (9 if mono else 17))
+    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+        flags, pos, out = struct.unpack(">I", frame[at + 4 : at + 8])[0], at + 8, {"frames": -1, "bytes": -1, "toc": b""}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and len(frame) >= pos + 4:
+                out[name] = struct.unpack(">I", frame[pos : pos + 4])[0]
+                pos += 4
+        return out | ({"toc": frame[pos : pos + 100]} if flags & 4 else {})
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames = struct.unpack(">II", frame[46:54])
+        entries, _, width, _ = struct.unpack(">HHHH", frame[54:62])
+        return {"frames": frames, "bytes": size, "toc": frame[62 : 62 + entries * width]}
+    return None
+
+
+def _layer2_bits(frame: bytes, kbit: int, hz: int, lsf: bool) -> int:
+    """Bits of a Layer II frame's allocation and scale factor selection."""
+    channels = 1 if frame[3] >> 6 == 3 else 2
+    each = kbit // channels
+    # Widths of the allocation fields by subband, as (subbands, bits).
+    if lsf:
+        table = ((4, 4), (7, 3), (19, 2))
+    elif (hz == 48000 and each >= 56) or 56 <= each <= 80:
+        table = ((11, 4), (12, 3), (4, 2))
+    elif hz != 48000 and each >= 96:
+        table = ((11, 4), (12, 3), (7, 2))
+    elif hz == 32000:
+        table = ((2, 4), (10, 3))
+    else:
+        table = ((2, 4), (6, 3))
+    widths = [bits for n, bits in table for _ in range(n)]
+    joint = min(len(widths), 4 * ((frame[3] >> 4 & 3) + 1)) if frame[3] >> 6 == 1 else len(widths)
+    held = int.from_bytes(frame[6:38].ljust(32, b"\x00"), "big")
+    pos, selected = 0, 0
+    for k, bits in enumerate(widths):
+        for _ in range(channels if k < joint else 1):
+            used = held >> (256 - pos - bits) & ((1 << bits) - 1)
+            pos += bits
+            selected += (channels if k >= joint else 1) * (used > 0)
+    return pos + 2 * selected
+
+
+def guarded_bits(frame: bytes, h: tuple) -> int:
+    """How many bits after its checksum a frame's checksum covers."""
+    mono = frame[3] >> 6 == 3
+    if h[0] == 1:
+        joint = 4 * ((frame[3] >> 4 & 3) + 1) if frame[3] >> 6 == 1 else 32
+        return 128 if mono else 4 * (2 * joint + 32 - joint)
+    if h[0] == 2:
+        return _layer2_bits(frame, h[1], h[2], not frame[1] & 8)
+    return 8 * ((17 if mono else 32) if frame[1] & 8 else (9 if mono else 17))
+
+
+def checksum_holds(frame: bytes, h: tuple) -> bool:
+    """Whether a guarded frame's checksum is right; a frame too short for what it covers is not."""
+    n = guarded_bits(frame, h)
+    if len(frame) < 6 + (n + 7) // 8:
+        return False
+    crc = int(crc16(np.frombuffer(frame[2:4] + frame[6 : 6 + n // 8], np.uint8)[None])[0])
+    for k in range(n % 8):
+        bit = frame[6 + n // 8] >> (7 - k) & 1
+        crc = ((crc << 1) ^ 0x8005) & 0xFFFF if (crc >> 15) ^ bit else crc << 1 & 0xFFFF
+    return crc == frame[4] << 8 | frame[5]
+
+
 def parse_stream(data: bytes) -> dict:
     """Tags, variable-bitrate table, frames (after resynchronising), checksums, duration and offsets of one stream.
 
     A header counts when the next frame's header, or the end of the audio, stands where its length says.
     Bytes between frames are skipped and counted in `skipped`.
     """
-    start, end, tags = 0, len(data), {}
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = (data[6] << 21) | (data[7] << 14) | (data[8] << 7) | data[9]
-        at, start = 10, min(10 + size, end)
-        while at + 10 <= start and data[at : at + 4].strip(b"\x00"):
-            n = struct.unpack(">I", data[at + 4 : at + 8])[0]
-            if data[at : at + 4] == b"TXXX":
-                k, _, v = data[at + 11 : at + 10 + n].partition(b"\x00")
-                tags[k.decode("latin-1")] = v.decode("latin-1")
-            at += 10 + n
+    tags, start, end = {}, 0, len(data)
+    while True:
+        found, to = id3_tag(data, start)
+        if to == start:
+            break
+        tags, start = tags | found, to
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         tags["id3v1"] = data[end - 125 : end - 95].rstrip(b"\x00 ").decode("latin-1")
         end -= 128
@@ -145,7 +249,7 @@ def parse_stream(data: bytes) -> dict:
         if h is not None:
             to = pos + h[4]
             follows = data[to : to + 4]
-            if to == end or (to < end and len(follows) == 4 and (known[follows] if follows in known else known.setdefault(follows, header_of(follows))) is not None):
+            if to == end or (to + 4 <= end and (known[follows] if follows in known else known.setdefault(follows, header_of(follows))) is not None):
                 offsets.append(pos)
                 kinds.append(h)
                 pos = to
@@ -154,31 +258,37 @@ def parse_stream(data: bytes) -> dict:
         nxt = nxt if nxt >= 0 else end
         skipped += nxt - pos
         pos = nxt
-    vbr = None
-    if offsets:
-        found = data.find(b"Xing", offsets[0], offsets[0] + kinds[0][4])
-        if found >= 0:
-            flags, frames, size = struct.unpack(">III", data[found + 4 : found + 16])
-            vbr = {"frames": frames, "bytes": size, "toc": data[found + 16 : found + 116] if flags & 4 else b""}
-            offsets, kinds = offsets[1:], kinds[1:]
-    good = bad = 0
-    if offsets:
-        raw = np.frombuffer(data, np.uint8)
-        guarded = np.array([o for o, h in zip(offsets, kinds) if h[5] and h[0] == 1], np.int64)
-        if len(guarded):
-            rows = raw[guarded[:, None] + np.concatenate([[2, 3], np.arange(6, 22)])]
-            held = raw[guarded + 4].astype(np.uint16) << np.uint16(8) | raw[guarded + 5]
-            good = int((crc16(rows) == held).sum())
-            bad = len(guarded) - good
-    return {"tags": tags, "vbr": vbr, "offsets": offsets, "kinds": kinds, "skipped": skipped, "crc_good": good, "crc_bad": bad, "samples": sum(h[3] for h in kinds)}
+    skipped += end - pos
+    vbr = vbr_table(data[offsets[0] : offsets[0] + kinds[0][4]]) if offsets else None
+    if vbr is not None:
+        offsets, kinds = offsets[1:], kinds[1:]
+    guarded = np.array([k for k, h in enumerate(kinds) if h[5]], np.int64)
+    good = 0
+    if len(guarded):
+        # Mono Layer I frames, the stored form, are checked together.
+        raw, at = np.frombuffer(data, np.uint8), np.array(offsets, np.int64)[guarded]
+        plain = np.array([kinds[k][0] == 1 and kinds[k][4] >= 22 for k in guarded]) & (raw[at + 3] >> 6 == 3)
+        if plain.any():
+            rows = raw[at[plain][:, None] + np.concatenate([[2, 3], np.arange(6, 22)])]
+            held = raw[at[plain] + 4].astype(np.uint16) << np.uint16(8) | raw[at[plain] + 5]
+            good += int((crc16(rows) == held).sum())
+        good += sum(checksum_holds(data[offsets[k] : offsets[k] + kinds[k][4]], kinds[k]) for k in guarded[~plain])
+    return {"tags": tags, "vbr": vbr, "offsets": offsets, "kinds": kinds, "skipped": skipped, "crc_good": good, "crc_bad": len(guarded) - good, "samples": sum(h[3] for h in kinds)}
 
 
 def payload_of(data: bytes, parsed: dict) -> bytes:
-    """The payload bytes held by the Layer I samples of a parsed stream."""
-    if not parsed["offsets"]:
-        return b""
+    """The payload bytes held by the samples of a parsed stream's frames; frames of another form than the stored one hold none."""
     raw, offsets = np.frombuffer(data, np.uint8), np.array(parsed["offsets"], np.int64)
-    bits = (raw[offsets + 6] >> 4) + 1
+    lengths = np.array([h[4] for h in parsed["kinds"]], np.int64)
+    forms = np.zeros(len(offsets), np.int64)
+    for bits, (head, length) in HEADS.items():
+        rows = np.flatnonzero(lengths == length)
+        own = np.frombuffer(head, np.uint8)
+        # Header and allocation decide; the checksum may be broken.
+        places = np.concatenate([np.arange(4), np.arange(6, 22)])
+        forms[rows[(raw[offsets[rows][:, None] + places] == own[places]).all(axis=1)]] = bits
+    held_in = np.flatnonzero(forms)
+    offsets, bits = offsets[held_in], forms[held_in]
     units, at = np.zeros((len(offsets), UNIT), np.uint8), 34
     for b in (8, 9):
         rows = np.flatnonzero(bits == b)
@@ -207,11 +317,11 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_stream(x) for x in texts_of(b.column(1))], pa.binary())], names=[id_col, "media"])
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
-def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 32) -> DataFrame:
-    """(id, digests, exact duration, seek offsets of every `seek_every`-th frame) of stored streams."""
+def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek_every: int = 1) -> DataFrame:
+    """(id, digests, exact duration in samples, seek offsets of every `seek_every`-th frame) of stored streams."""
     rows = df.select(F.col(id_col), F.col(media_col).alias("media"))
     kind = dict(rows.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_samples long, sample_rate int, seek_offsets array<long>, crc_bad long, skipped_bytes long"
@@ -220,7 +330,8 @@ def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
         p = parse_stream(data)
         payload = payload_of(data, p)
         hz = p["kinds"][0][2] if p["kinds"] else 0
-        return (int(p["tags"].get("n_bytes", -1)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features_of(p), len(p["offsets"]), p["samples"], hz, p["offsets"][::seek_every], p["crc_bad"], p["skipped"])
+        n = p["tags"].get("n_bytes", "")
+        return (int(n) if n.isdecimal() and len(n) < 19 else -1, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features_of(p), len(p["offsets"]), p["samples"], hz, p["offsets"][::seek_every], p["crc_bad"], p["skipped"])
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
     names = [id_col, *"n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature n_frames n_samples sample_rate seek_offsets crc_bad skipped_bytes".split()]
@@ -230,7 +341,7 @@ def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media",
             found = list(zip(*map(one, texts_of(b.column(1)))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(v), t) for v, t in zip(found, types))], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def op1_media_audio(spark, sf_dir: str) -> DataFrame:
