@@ -9,7 +9,8 @@ one block with one matrix, whatever their turn numbers; blocks of blocks are com
 again.  A conversation of any length is thus many small tasks, and no conversation is gathered into one.
 
 Cases: null texts are empty and make one piece; rows without a turn come first; equal turn numbers are ordered by text;
-repeated rows are separate pieces; null conv_ids are one conversation; unknown roles teach nothing.
+repeated rows are separate pieces; null conv_ids are one conversation; unknown roles teach nothing; long texts are cut and
+rendered whole, one piece at least; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import fold, prefix_sums, stored, table
+from cellscape.llm.common import fold, in_arrow, prefix_sums, stored, table
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Speaker words and the role each names.
@@ -142,7 +143,7 @@ def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
         return run
 
     schema = f"conv {kind}, block long, m array<double>"
-    current = blocks.select("conv", "block", F.transform("items", lambda i: i["code"]).alias("codes")).mapInArrow(matrices(True), schema)
+    current = in_arrow(blocks.select("conv", "block", F.transform("items", lambda i: i["code"]).alias("codes")), matrices(True), schema)
     levels, most = [], blocks.agg(F.max("block")).first()[0] or 0
     while True:
         grouped = stored(current.groupBy("conv", F.floor(F.col("block") / width).alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("items")))
@@ -150,7 +151,7 @@ def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
         most //= width
         if not most:
             break
-        current = grouped.select("conv", "block", F.transform("items", lambda i: i["m"]).alias("ms")).mapInArrow(matrices(False), schema)
+        current = in_arrow(grouped.select("conv", "block", F.transform("items", lambda i: i["m"]).alias("ms")), matrices(False), schema)
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each group with its first and last state: those of its members."""
@@ -169,10 +170,10 @@ def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(conv, pa.int64())), pa.array(block, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["conv", "block", "first", "last"])
 
     split = [F.transform("items", lambda i: i["block"]).alias("blocks"), F.transform("items", lambda i: i["m"]).alias("ms")]
-    known = levels[-1].select("conv", "block", F.lit(len(ROLES)).alias("first"), F.lit(None).cast("int").alias("last"), *split).mapInArrow(borders, f"conv {kind}, block long, first int, last int")
+    known = in_arrow(levels[-1].select("conv", "block", F.lit(len(ROLES)).alias("first"), F.lit(None).cast("int").alias("last"), *split), borders, f"conv {kind}, block long, first int, last int")
     for level in reversed(levels[:-1]):
         given = _with_states(level, known)
-        known = given.select("conv", "block", "first", "last", *split).mapInArrow(borders, f"conv {kind}, block long, first int, last int")
+        known = in_arrow(given.select("conv", "block", "first", "last", *split), borders, f"conv {kind}, block long, first int, last int")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +181,7 @@ def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["conv", "block", "states"])
 
     leaves = _with_states(blocks.select("conv", "block", F.transform("items", lambda i: i["code"]).alias("codes")), known)
-    found = leaves.select("conv", "block", "codes", "first", "last").mapInArrow(states, f"conv {kind}, block long, states array<int>")
+    found = in_arrow(leaves.select("conv", "block", "codes", "first", "last"), states, f"conv {kind}, block long, states array<int>")
     both = blocks.alias("b").join(found.alias("f"), F.col("b.conv").eqNullSafe(F.col("f.conv")) & (F.col("b.block") == F.col("f.block"))).select("b.conv", F.explode(F.arrays_zip("b.items", "f.states")).alias("z"))
     role = F.array(*map(F.lit, ROLES))[F.col("z.states")]
     return both.select("conv", F.col("z.items.turn").alias("turn"), F.col("z.items.piece").alias("piece"), F.col("z.items.given").alias("given"), F.col("z.items.body").alias("body"), role.alias("role"))
@@ -191,7 +192,9 @@ def _with_states(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def rendered(role: str, body: str) -> Column:
-    return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(body), F.lit("\n<|end|>\n"))
+    """A canonical turn.  In the body, "<" and any backslashes before "|" get one backslash more, so a body holds no mark and can be read back."""
+    safe = F.regexp_replace(F.col(body), r"<(\\*)\|", r"<\\$1|")
+    return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), safe, F.lit("\n<|end|>\n"))
 
 
 def cut_blocks(found: DataFrame, width: int, most: int = 50_000) -> DataFrame:
