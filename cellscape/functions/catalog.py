@@ -29,8 +29,8 @@ NAME_ROLES = {
     "hv": "hv",
 }
 CODE_ROLES = {
-    "sentinel2": {"2": "blue", "3": "green", "4": "red", "5": "red_edge", "8": "nir", "11": "swir1", "12": "swir2"},
-    "landsat": {"2": "blue", "3": "green", "4": "red", "5": "nir", "6": "swir1", "7": "swir2", "10": "thermal"},
+    "sentinel2": {"B2": "blue", "B3": "green", "B4": "red", "B5": "red_edge", "B8": "nir", "B11": "swir1", "B12": "swir2"},
+    "landsat": {"B2": "blue", "B3": "green", "B4": "red", "B5": "nir", "B6": "swir1", "B7": "swir2", "B10": "thermal"},
 }
 ROLES = ("blue", "green", "red", "red_edge", "nir", "swir1", "swir2", "thermal", "vv", "vh", "hh", "hv")
 WATER_WINDOWS = ((1340.0, 1460.0), (1790.0, 1960.0))
@@ -41,20 +41,29 @@ REQUIRED_ASSETS = {
 }
 
 
+# Patterns of sensors' names in tag text, the first that fits counts; of polarisations; of band codes; of dates.
+SENSOR_PATTERNS = {"sentinel1": r"sentinel-?1|\bs1[ab]\b", "sentinel2": r"sentinel-?2|\bs2[ab]\b|msil2a|msil1c", "landsat": "landsat"}
+POLARISATION = r"(?:^|[^a-z])(vv|vh|hh|hv)(?:$|[^a-z])"
+BAND_CODE = r"^b0*(\d+)$"
+YEAR_FIRST, YEAR_LAST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
+
+
+def _chosen(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for entry in table.items() for x in entry])
+
+
 def detect_sensor(text: Column) -> Column:
-    """sentinel1, sentinel2 or landsat from a scene's joined tag text; the first that fits."""
-    t = F.regexp_replace(F.lower(text), "_", "-")
-    return F.when(t.rlike(r"sentinel-?1|\bs1[ab]\b"), "sentinel1").when(t.rlike(r"sentinel-?2|\bs2[ab]\b|msil2a|msil1c"), "sentinel2").when(t.contains("landsat"), "landsat")
+    """The sensor that a scene's joined tag text names, underscores read as hyphens."""
+    plain = F.translate(F.lower(text), "_", "-")
+    return F.coalesce(*[F.when(plain.rlike(pattern), sensor) for sensor, pattern in SENSOR_PATTERNS.items()])
 
 
 def label_role(label: Column, sensor: Column) -> Column:
     """A band label's role: by name, then by polarisation, then by the sensor's band code."""
-    t = F.lower(F.trim(label))
-    by_name = F.create_map(*[F.lit(x) for kv in NAME_ROLES.items() for x in kv])
-    pol = F.regexp_extract(t, r"(?:^|[^a-z])(vv|vh|hh|hv)(?:$|[^a-z])", 1)
-    code = F.regexp_extract(t, r"^b0*(\d+)$", 1)
-    by_code = F.create_map(*[x for s, codes in CODE_ROLES.items() for c, r in codes.items() for x in (F.lit(f"{s}:{c}"), F.lit(r))])
-    return F.coalesce(by_name[t], F.when(pol != "", pol), by_code[F.concat(sensor, F.lit(":"), code)])
+    plain = F.trim(F.lower(label))
+    codes = {f"{sensor}:{code}": role for sensor, bands in CODE_ROLES.items() for code, role in bands.items()}
+    found = lambda pattern: F.nullif(F.regexp_extract(plain, pattern, 1), F.lit(""))
+    return F.coalesce(_chosen(NAME_ROLES)[plain], found(POLARISATION), _chosen(codes)[F.concat(sensor, F.lit(":B"), found(BAND_CODE))])
 
 
 def wavelength_nm(text: Column) -> Column:
@@ -74,13 +83,18 @@ def good_band(nm: Column, windows=WATER_WINDOWS, valid: tuple[float, float] | No
 
 
 def normalized_date(text: Column, default: Column) -> Column:
-    """Year first, or day first unless the second part is above 12; an impossible date gives the default."""
-    iso = lambda i: F.nullif(F.regexp_extract(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", i), F.lit("")).cast("int")
-    dmy = lambda i: F.nullif(F.regexp_extract(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", i), F.lit("")).cast("int")
-    first_is_month = (dmy(2) > 12) & (dmy(1) <= 12)
-    day, month = F.when(first_is_month, dmy(2)).otherwise(dmy(1)), F.when(first_is_month, dmy(1)).otherwise(dmy(2))
-    made = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    return F.coalesce(F.when(iso(1).isNotNull(), made(iso(1), iso(2), iso(3))), F.when(dmy(3).isNotNull(), made(dmy(3), month, day)), default)
+    """Year first, or day first unless only the second part can be a day; an impossible date gives the default."""
+
+    def parts(pattern: str) -> list[Column]:
+        return [F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int") for k in (1, 2, 3)]
+
+    def date(year: Column, month: Column, day: Column) -> Column:
+        return F.when(year.isNotNull(), F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"))
+
+    a, b, year = parts(YEAR_LAST)
+    american = (b > 12) & (a <= 12)
+    day_first = date(year, F.when(american, a).otherwise(b), F.when(american, b).otherwise(a))
+    return F.coalesce(date(*parts(YEAR_FIRST)), day_first, default)
 
 
 def cell_size(dx: Column, dy: Column, srid: Column, west: Column, south: Column, east: Column, north: Column) -> tuple[Column, Column]:

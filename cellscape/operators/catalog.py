@@ -87,9 +87,21 @@ def required_assets(items: DataFrame) -> DataFrame:
     return items.withColumn("assets", F.filter(wanted, lambda a: F.array_contains("has", a)))
 
 
+# Kinds of places and how far each moves a place's score; the first that holds counts.
+PLACE_SHIFTS = (
+    ("cls", ("highway", "building", "shop", "amenity", "office", "craft"), -10.0),
+    ("typ", ("house", "apartments", "residential", "street", "road", "service", "parking"), -8.0),
+    ("cls", ("natural", "place", "boundary", "geological", "waterway", "landuse", "historic"), 5.0),
+)
+# Points of a raster for a deliverable, words that mean a change, and words of a stem that say nothing.
+STEM_POINTS = {"same or part": 200, "date": 100, "change": 60, "year": 40, "word": 10}
+CHANGE_WORDS = "change|diff|transition|loss|gain|comparison"
+EMPTY_WORDS = ("tif", "tiff", "png", "frame", "water", "mask")
+
+
 def place_score() -> Column:
-    kind, what = F.lower("cls"), F.lower("typ")
-    shift = F.when(kind.isin("highway", "building", "shop", "amenity", "office", "craft"), -10.0).when(what.isin("house", "apartments", "residential", "street", "road", "service", "parking"), -8.0).when(kind.isin("natural", "place", "boundary", "geological", "waterway", "landuse", "historic"), 5.0).otherwise(0.0)
+    """Importance and the shift of a place's kind."""
+    shift = F.coalesce(*[F.when(F.lower(column).isin(*words), points) for column, words, points in PLACE_SHIFTS], F.lit(0.0))
     return F.coalesce("importance", F.lit(0.0)) + shift
 
 
@@ -106,18 +118,17 @@ def rank_places(gazetteer: DataFrame) -> DataFrame:
 def match_rasters(targets: DataFrame, rasters: DataFrame, top: int = 3) -> DataFrame:
     """Per deliverable the best candidate rasters by file stem: equal or containing stems, dates, years, shared tokens."""
     t, r = F.col("target"), F.col("raster")
-    dates = lambda x: F.regexp_extract_all(x, F.lit(r"((?:19|20)\d\d-\d\d)"), F.lit(1))
-    years = lambda x: F.regexp_extract_all(x, F.lit(r"((?:19|20)\d\d)"), F.lit(1))
-    skip = F.array(*map(F.lit, ("tif", "tiff", "png", "frame", "water", "mask")))
-    tokens = lambda x: F.array_except(F.split(x, "[-_.]+"), skip)
-    change = "change|diff|transition|loss|gain|comparison"
-    points = (
-        F.when((t == r) | r.contains(t) | t.contains(r), 200).otherwise(0)
-        + F.when(F.arrays_overlap(dates(t), dates(r)), 100).otherwise(0)
-        + F.when(F.arrays_overlap(years(t), years(r)), 40).otherwise(0)
-        + F.when(t.rlike(change) & r.rlike(change), 60).otherwise(0)
-        + 10 * F.size(F.array_intersect(tokens(t), tokens(r)))
-    )
+    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
+    tokens = lambda x: F.array_except(F.split(x, "[-_.]+"), F.array(*map(F.lit, EMPTY_WORDS)))
+    signs = {
+        "same or part": t.contains(r) | r.contains(t),
+        "date": F.arrays_overlap(found(t, r"(?:19|20)\d\d-\d\d"), found(r, r"(?:19|20)\d\d-\d\d")),
+        "year": F.arrays_overlap(found(t, r"(?:19|20)\d\d"), found(r, r"(?:19|20)\d\d")),
+        "change": t.rlike(CHANGE_WORDS) & r.rlike(CHANGE_WORDS),
+    }
+    points = F.size(F.array_intersect(tokens(t), tokens(r))) * STEM_POINTS["word"]
+    for name, holds in signs.items():
+        points = points + F.when(holds, STEM_POINTS[name]).otherwise(0)
     # Candidates share a token, so an equality join finds all that score; a cross join is not needed.
     tt = targets.select("target", F.explode(F.array_distinct(F.split("target", "[-_.]+"))).alias("token"))
     rr = rasters.select("raster", F.explode(F.array_distinct(F.split("raster", "[-_.]+"))).alias("token"))

@@ -52,6 +52,7 @@ def rgb_features(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def rgb_features_33(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(…, r, c, 33 features): the 14, then saturation, ratios, smoothed edge energy, means at three scales, local binary patterns and spreads."""
+    # Fixed values of the feature set: eps, the factors 1.5 and 2.0 above, 1.35 and the box sizes here.
     eps = 1e-6
     b14 = rgb_features(focal.extents(cells.select(*by, "r", "c", "red", "green", "blue"), by), by)
     r, g, b, br = F.col("red"), F.col("green"), F.col("blue"), F.col("brightness")

@@ -16,7 +16,7 @@ _instruments = lambda s, d: view(s, d, "instrument_bands")
 SENSOR = r"CASE WHEN regexp_matches(replace(lower(platform), '_', '-'), 'sentinel-?1|\bs1[ab]\b') THEN 'sentinel1' WHEN regexp_matches(replace(lower(platform), '_', '-'), 'sentinel-?2|\bs2[ab]\b|msil2a|msil1c') THEN 'sentinel2' WHEN contains(replace(lower(platform), '_', '-'), 'landsat') THEN 'landsat' END"
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fn.NAME_ROLES.items())
 _CODES = " ".join(f"WHEN '{s}:{c}' THEN '{r}'" for s, codes in fn.CODE_ROLES.items() for c, r in codes.items())
-ROLE = f"coalesce(CASE lower(trim(label)) {_NAMES} END, nullif(regexp_extract(lower(trim(label)), '(?:^|[^a-z])(vv|vh|hh|hv)(?:$|[^a-z])', 1), ''), CASE {SENSOR} || ':' || regexp_extract(lower(trim(label)), '^b0*(\\d+)$', 1) {_CODES} END)"
+ROLE = f"coalesce(CASE lower(trim(label)) {_NAMES} END, nullif(regexp_extract(lower(trim(label)), '(?:^|[^a-z])(vv|vh|hh|hv)(?:$|[^a-z])', 1), ''), CASE {SENSOR} || ':B' || regexp_extract(lower(trim(label)), '^b0*(\\d+)$', 1) {_CODES} END)"
 NM = r"CASE WHEN lower(regexp_extract(wavelength_text, '([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)', 2)) = 'nm' THEN v WHEN lower(regexp_extract(wavelength_text, '([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)', 2)) = 'um' THEN v * 1000.0 WHEN v BETWEEN 300 AND 2600 THEN v WHEN v BETWEEN 0.3 AND 2.6 THEN v * 1000.0 END"
 _V = r"(SELECT *, CAST(nullif(regexp_extract(wavelength_text, '([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)', 1), '') AS DOUBLE) AS v FROM rasters)"
 

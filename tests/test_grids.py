@@ -147,3 +147,14 @@ def test_point_classes(spark, tmp_path):
     (tmp_path / "p.csv").write_text("x,y,z,c\n" + "\n".join(f"{i},{i},1.5,{i % 3}" for i in range(30)))
     got = read_points(spark, str(tmp_path / "p.csv"), classes=[2])
     assert got.count() == 10 and {r.cls for r in got.collect()} == {2} and read_points(spark, str(tmp_path / "p.csv")).count() == 30
+
+
+def test_functions_for_sql(spark):
+    from cellscape.functions import sql
+
+    names = sql.register(spark)
+    assert len(names) == len(set(names)) > 12
+    assert spark.sql("SELECT ndvi(0.5D, 0.1D) AS v, ndvi(0D, 0D) AS gap, to_db(0.1D) AS db").first() == (pytest.approx(2 / 3), None, pytest.approx(-10.0))
+    tiles = spark.sql("SELECT * FROM tile_boxes(0D, 0D, 6D, 4D, 2, 3)").collect()
+    assert len(tiles) == 6 and {(r.tile, r.x0, r.y1) for r in tiles} >= {("T0_0", 0.0, 4.0), ("T1_2", 4.0, 2.0)}
+    assert [str(r.d) for r in spark.sql("SELECT * FROM date_steps(DATE '2024-01-01', DATE '2024-01-20', 7)").collect()] == ["2024-01-01", "2024-01-08", "2024-01-15"]
