@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.functions.indices import INDICES, index
@@ -22,6 +23,32 @@ def with_scalars(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*by).agg(*aggs), list(by))
 
 
+def exact_percentiles(cells: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), bins: int = 4096) -> DataFrame:
+    """(by, p: array) of linear percentiles, exact, for rasters whose distinct values are too many for one task's memory.
+
+    Two passes: counts in equal-width bins say which bins hold the wanted order statistics; then only values of those bins are counted,
+    each value once.  Results equal percentile() to the last digit's rounding.
+    """
+    keys = list(by)
+    v = with_scalars(cells.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null"), keys, F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    v = v.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0))
+    whole = keys or [F.lit(1)]
+    upto = W.partitionBy(*whole).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = v.groupBy(*keys, "bin", "n").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0)))
+    at = F.array(*[F.lit(float(p)) for p in shares])
+    wanted = F.flatten(F.transform(at, lambda p: F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1)))))
+    hit = counts.filter(F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("k")))).select(*keys, "bin", "before")
+    values = v.join(F.broadcast(hit) if not keys else hit, [*keys, "bin"]).groupBy(*keys, "bin", "before", "n", "v").agg(F.count("*").alias("k"))
+    inside = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = values.withColumn("first", F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0)))
+    # One row a wanted order statistic: its rank and value.
+    stats = ranked.withColumn("rank", F.explode(F.array_distinct(F.filter(wanted, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("k"))))))
+    held = stats.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
+    place = lambda p: p * (F.col("n") - 1)
+    value = lambda p: F.col("m")[F.floor(place(p))] + (F.col("m")[F.ceil(place(p))] - F.col("m")[F.floor(place(p))]) * (place(p) - F.floor(place(p)))
+    return held.select(*keys, F.transform(at, value).alias("p"))
+
+
 def scan_band(cells: DataFrame, band: str, nodata: float | None = None, keys: Sequence[str] = ("r", "c")) -> DataFrame:
     if band not in cells.columns:
         raise BandError(f"no band {band!r}")

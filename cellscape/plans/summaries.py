@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from cellscape.operators import learning
+from cellscape.operators import cells, learning
 from cellscape.operators import summaries as ops
 from cellscape.operators import vector
 from cellscape.plans.fixtures import table, view
@@ -17,6 +17,9 @@ _pred = lambda s, d: view(s, d, "predictions")
 _tiles = lambda s, d: view(s, d, "tile_verdicts")
 
 query("raster_stats", "SELECT count(nir) AS valid, count(*) - count(nir) AS nodata, min(nir) AS min, max(nir) AS max, round_even(avg(nir), 6) AS mean, round_even(stddev_pop(nir), 6) AS std, quantile_cont(nir, 0.05) AS p5, quantile_cont(nir, 0.25) AS p25, quantile_cont(nir, 0.5) AS p50, quantile_cont(nir, 0.75) AS p75, quantile_cont(nir, 0.95) AS p95 FROM scene_cells", "scene_cells")(lambda s, d: ops.raster_stats(_scene(s, d), "nir"))
+query("percentiles", "SELECT CAST(floor(r / 8.0) AS BIGINT) AS block, round_even(quantile_cont(nir, 0.02), 6) AS p2, round_even(quantile_cont(nir, 0.5), 6) AS p50, round_even(quantile_cont(nir, 0.98), 6) AS p98 FROM scene_cells WHERE nir IS NOT NULL GROUP BY 1", "scene_cells")(
+    lambda s, d: cells.exact_percentiles(_scene(s, d).withColumn("block", F.floor(F.col("r") / 8.0)), "nir", (0.02, 0.5, 0.98), ["block"]).select("block", *[F.bround(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p2", "p50", "p98"))])
+)
 query("area_stats", "SELECT count(*) FILTER (nir > 3000) AS selected, count(nir) AS valid, round_even(count(*) FILTER (nir > 3000) * 100.0 / count(nir), 4) AS percent, round_even(count(*) FILTER (nir > 3000) * 100.0 / 10000, 3) AS hectares FROM scene_cells", "scene_cells")(lambda s, d: ops.area_stats(_scene(s, d), F.col("nir") > 3000, F.col("nir").isNotNull(), 100.0))
 _Q = lambda n, w: f"round_even(count(*) FILTER (nir > 3000 AND (r < h) = {n} AND (c < w) = {w}) * 100.0 / count(*) FILTER (nir > 3000), 2)"
 query("quadrants", f"__s AS (SELECT *, floor((max(r) OVER () + 1) / 2) AS h, floor((max(c) OVER () + 1) / 2) AS w FROM scene_cells) SELECT {_Q('true', 'true')} AS north_west, {_Q('true', 'false')} AS north_east, {_Q('false', 'true')} AS south_west, {_Q('false', 'false')} AS south_east FROM __s", "scene_cells")(lambda s, d: ops.quadrants(_scene(s, d), F.col("nir") > 3000))

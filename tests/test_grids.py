@@ -158,3 +158,15 @@ def test_functions_for_sql(spark):
     tiles = spark.sql("SELECT * FROM tile_boxes(0D, 0D, 6D, 4D, 2, 3)").collect()
     assert len(tiles) == 6 and {(r.tile, r.x0, r.y1) for r in tiles} >= {("T0_0", 0.0, 4.0), ("T1_2", 4.0, 2.0)}
     assert [str(r.d) for r in spark.sql("SELECT * FROM date_steps(DATE '2024-01-01', DATE '2024-01-20', 7)").collect()] == ["2024-01-01", "2024-01-08", "2024-01-15"]
+
+
+def test_two_pass_percentiles(spark):
+    from cellscape.operators import cells
+
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 1, 500), np.full(300, 0.25), [1e6, -1e6]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "z double")
+    shares = (0.0, 0.005, 0.25, 0.5, 0.77, 0.995, 1.0)
+    assert np.allclose(cells.exact_percentiles(df, "z", shares, bins=16).first().p, np.quantile(v, shares))
+    assert cells.exact_percentiles(spark.createDataFrame([(2.0,), (2.0,)], "z double"), "z", (0.1, 0.9)).first().p == [2.0, 2.0]
+    assert cells.exact_percentiles(df.filter("z > 1e9"), "z", (0.5,)).count() == 0
