@@ -4,7 +4,8 @@ Base rules find assignments, access keys and hexadecimal runs.  The method adds
 Markov models, one of random strings and one of ordinary identifiers, give each long run of letters, digits and +/_-=
 a log-likelihood ratio; a run above the threshold that no base span touches is added as kind `markov`.
 Both models are counted from labelled samples of the documents themselves: the values that base rules matched are label 1,
-other long runs with digits at their end only are label 0; the random model is averaged with the uniform one, since matched values are few.
+other long runs with digits at their end only are label 0.  Matched values are few, so a random string may also be one of uniform
+characters: the ratio takes the likelier of both.
 
 Positions come from the matches and the pieces between them, so they are code points, end exclusive.
 
@@ -32,6 +33,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Long runs that the models judge, and their alphabet.
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+#: The log-likelihood ratio a character from which a run counts as random.
+LEAST_RATIO = 0.0
 #: A long run that teaches the identifier model: digits at its end only.
 ORDINARY = "^[^0-9]*[0-9]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -149,21 +152,33 @@ def neighbours(piece: Column) -> Column:
 
 
 def ratios(rows: DataFrame, smooth: float = 0.1) -> list[float]:
-    """log(P(b | a) if random / P(b | a) if an identifier) at 128 * code(a) + code(b); a fixed number of entries."""
+    """log(P(b | a) if random / P(b | a) if an identifier) at 128 * code(a) + code(b), for random strings like the samples and, 128 * 128
+    places on, for uniform ones; a fixed number of entries."""
     counts = {(r.label, r.a, r.b): r.n for r in pair_counts(rows).collect()}
-    k, out = len(ALPHABET), [0.0] * (128 * 128)
+    k, out = len(ALPHABET), [0.0] * (2 * 128 * 128)
     for a in ["\n", *ALPHABET]:
         total = [sum(counts.get((label, a, b), 0) for b in ALPHABET) for label in (0, 1)]
         for b in ALPHABET:
             p = [(counts.get((label, a, b), 0) + smooth) / (total[label] + smooth * k) for label in (0, 1)]
-            out[128 * ord(a) + ord(b)] = math.log((p[1] + 1 / k) / 2) - math.log(p[0])
+            at = 128 * ord(a) + ord(b)
+            out[at], out[128 * 128 + at] = math.log(p[1]) - math.log(p[0]), -math.log(k) - math.log(p[0])
     return out
 
 
 def log_ratio(value: Column, model: Column) -> Column:
-    """The value's log-likelihood ratio under an array column of ratios()."""
-    ratio = lambda p: F.coalesce(F.get(model, F.ascii(p["a"]) * 128 + F.ascii(p["b"])), F.lit(0.0))
-    return F.aggregate(chunks_of(value), F.lit(0.0), lambda acc, piece: acc + F.aggregate(neighbours(piece), F.lit(0.0), lambda s, p: s + ratio(p)))
+    """The value's log-likelihood ratio under an array column of ratios(): the better of the two kinds of random strings, which are
+    alike likely."""
+    add = lambda acc, x, y: F.struct((acc["like"] + x).alias("like"), (acc["any"] + y).alias("any"))
+    none = F.struct(F.lit(0.0).alias("like"), F.lit(0.0).alias("any"))
+
+    def pair(acc: Column, p: Column) -> Column:
+        at = F.ascii(p["a"]) * 128 + F.ascii(p["b"])
+        return add(acc, F.coalesce(F.get(model, at), F.lit(0.0)), F.coalesce(F.get(model, at + 128 * 128), F.lit(0.0)))
+
+    def piece(acc: Column, v: Column) -> Column:
+        return F.aggregate(neighbours(v), acc, pair)
+
+    return F.aggregate(chunks_of(value), none, piece, lambda acc: F.greatest(acc["like"], acc["any"]) - math.log(2))
 
 
 def random_runs(model: Column, least_ratio: float) -> Column:
@@ -172,23 +187,28 @@ def random_runs(model: Column, least_ratio: float) -> Column:
     return F.when(F.size("runs") > 0, found).otherwise(F.col("runs"))
 
 
-def _found(docs: DataFrame, text_col: str, least_ratio: float, keep: list[str]) -> DataFrame:
+def train(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """The table of ratios that the labelled samples of docs give."""
+    return ratios(scanned(docs, text_col, [docs.columns[0]]))
+
+
+def _found(docs: DataFrame, text_col: str, least_ratio: float, keep: list[str], model: list[float] | None = None) -> DataFrame:
     """(kept, base, spans)"""
     rows = scanned(docs, text_col, keep)
     # One literal text that folds into an array literal.
-    model = F.split(F.lit(",".join(map(repr, ratios(rows)))), ",").cast("array<double>")
-    return rows.select("kept", "base", F.array_sort(F.concat("base", random_runs(model, least_ratio))).alias("spans"))
+    table = F.split(F.lit(",".join(map(repr, ratios(rows) if model is None else model))), ",").cast("array<double>")
+    return rows.select("kept", "base", F.array_sort(F.concat("base", random_runs(table, least_ratio))).alias("spans"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.8) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = LEAST_RATIO, model: list[float] | None = None) -> DataFrame:
     """(id, base, spans): base spans, and those with the method's spans, as arrays in (start, kind) order.
 
-    A run is added when its ratio is at least `least_ratio` a character.
+    A run is added when its ratio is at least `least_ratio` a character, under a model of train() or, without one, under that of docs.
     """
-    return _found(docs, text_col, least_ratio, [id_col]).select(F.col("kept")[id_col].alias(id_col), "base", "spans")
+    return _found(docs, text_col, least_ratio, [id_col], model).select(F.col("kept")[id_col].alias(id_col), "base", "spans")
 
 
-def without_secrets(docs: DataFrame, text_col: str = "text", least_ratio: float = 0.8) -> DataFrame:
+def without_secrets(docs: DataFrame, text_col: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
     """The rows of docs with every secret in the text replaced by a mark; all other columns stay as they are."""
     found = _found(docs, text_col, least_ratio, docs.columns)
     text = F.col("kept")[text_col]
