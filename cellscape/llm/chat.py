@@ -127,7 +127,7 @@ def fit(blocks: DataFrame, smooth: float = 0.5) -> Hmm:
 
 
 def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
-    """(conv, turn, piece, given, body, role) of stored blocks (conv, block, items)."""
+    """(row, role) of the pieces of stored blocks (conv, block, items)."""
     size = len(ROLES) + 1
     kind = dict(blocks.dtypes)["conv"]
 
@@ -182,9 +182,9 @@ def decode(blocks: DataFrame, model: Hmm, width: int = 64) -> DataFrame:
 
     leaves = _with_states(blocks.select("conv", "block", F.transform("items", lambda i: i["code"]).alias("codes")), known)
     found = in_arrow(leaves.select("conv", "block", "codes", "first", "last"), states, f"conv {kind}, block long, states array<int>")
-    both = blocks.alias("b").join(found.alias("f"), F.col("b.conv").eqNullSafe(F.col("f.conv")) & (F.col("b.block") == F.col("f.block"))).select("b.conv", F.explode(F.arrays_zip("b.items", "f.states")).alias("z"))
-    role = F.array(*map(F.lit, ROLES))[F.col("z.states")]
-    return both.select("conv", F.col("z.items.turn").alias("turn"), F.col("z.items.piece").alias("piece"), F.col("z.items.given").alias("given"), F.col("z.items.body").alias("body"), role.alias("role"))
+    rows = blocks.select("conv", "block", F.transform("items", lambda i: i["row"]).alias("rows"))
+    both = rows.alias("b").join(found.alias("f"), F.col("b.conv").eqNullSafe(F.col("f.conv")) & (F.col("b.block") == F.col("f.block"))).select(F.explode(F.arrays_zip("b.rows", "f.states")).alias("z"))
+    return both.select(F.col("z.rows").alias("row"), F.array(*map(F.lit, ROLES))[F.col("z.states")].alias("role"))
 
 
 def _with_states(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -197,13 +197,19 @@ def rendered(role: str, body: str) -> Column:
     return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), safe, F.lit("\n<|end|>\n"))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Pieces with a number and a hash of the body, which orders pieces of one turn."""
+    return found.withColumn("tie", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id())
+
+
 def cut_blocks(found: DataFrame, width: int, most: int = 50_000) -> DataFrame:
-    """(conv, block, items) of pieces: block k has a conversation's pieces of ranks k * width on, by turn, text and piece.
+    """(conv, block, items) of numbered pieces: block k has a conversation's pieces of ranks k * width on, by turn, text and piece.
+    Items carry a piece's number instead of its body, so texts don't move.
 
     Ranks are two-level prefix sums over parts of a conversation.  A part is a range of turns; where a range has more than
     `most` pieces, one turn and a range of the texts' hashes; where that has more (copies), one text, piece and slice of rows.
     """
-    found = stored(found.withColumn("tie", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id()))
+    found = found.select("conv", "turn", "given", "piece", "code", "tie", "row")
     found = found.withColumn("range", F.floor(F.col("turn") / 64)).withColumn("near", F.shiftright("tie", 52))
     for keys, name in ((["conv", "range"], "wide"), (["conv", "turn", "near"], "same")):
         # At most one row for every `most` pieces.
@@ -218,16 +224,17 @@ def cut_blocks(found: DataFrame, width: int, most: int = 50_000) -> DataFrame:
     found = found.withColumn("part", F.struct(*[x.alias(f"l{i}") for i, x in enumerate(levels)])).withColumn("one", F.lit(1))
     order = ["turn", "tie", "piece", "given", "code", "row"]
     ranked = prefix_sums(found.drop("range", "near", "wide", "same"), ["conv"], "part", [F.col(k) for k in order], "one", "rank")
-    item = F.struct("rank", "turn", "piece", "given", "code", "body")
+    item = F.struct("rank", "given", "code", "row")
     return ranked.groupBy("conv", F.floor(F.col("rank") / width).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 def parse_transcripts(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", training: Column | None = None, width: int = 64) -> DataFrame:
     """(conv_id, turn, piece, given, role, turn_text) of every piece; learns from the rows where `training` holds (a column over conv)."""
     given = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.col(role_col)).alias("given"), F.col(text_col).alias("text"))
-    blocks = stored(cut_blocks(pieces(given), width))
+    found = stored(numbered(pieces(given)))
+    blocks = stored(cut_blocks(found, width))
     model = fit(blocks.filter(F.lit(True) if training is None else training))
-    out = decode(blocks, model, width)
+    out = found.select("row", "conv", "turn", "piece", "given", "body").join(decode(blocks, model, width), "row")
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "piece", "given", "role", rendered("role", "body").alias("turn_text"))
 
 
