@@ -175,11 +175,10 @@ def _crossed(s: Column, t: Column) -> Column:
     return (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)
 
 
-def _in_or_on(p: Column, rings: Column) -> Column:
-    sides = _sides(rings)
+def _in_or_on(p: Column, sides: Column) -> Column:
     x, y = p["x"], p["y"]
-    odd = F.aggregate(sides, F.lit(0), lambda acc, s: acc + F.when(((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]), 1).otherwise(0)) % 2 == 1
-    return odd | F.exists(sides, lambda s: _on(p, s))
+    crossed = lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
+    return (F.size(F.filter(sides, crossed)) % 2 == 1) | F.exists(sides, lambda s: _on(p, s))
 
 
 def polygons_meet(left: Column, right: Column, predicate: str = "intersects") -> Column:
@@ -189,13 +188,18 @@ def polygons_meet(left: Column, right: Column, predicate: str = "intersects") ->
     """
     if predicate == "contains":
         return polygons_meet(right, left, "within")
-    cross = F.exists(_sides(left), lambda s: F.exists(_sides(right), lambda t: _crossed(s, t)))
-    if predicate == "within":
-        places = F.concat(F.transform(_sides(left), lambda s: s["a"]), F.transform(_sides(left), lambda s: F.struct(((s["a"]["x"] + s["b"]["x"]) / 2).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).alias("y"))))
-        return ~cross & F.forall(places, lambda p: _in_or_on(p, right))
-    if predicate != "intersects":
+    if predicate not in ("intersects", "within"):
         raise ValueError("predicate must be intersects, within or contains")
-    return cross | F.exists(F.flatten(left), lambda p: _in_or_on(p, right)) | F.exists(F.flatten(right), lambda p: _in_or_on(p, left))
+    middle = lambda s: F.struct(((s["a"]["x"] + s["b"]["x"]) / 2).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2).alias("y"))
+
+    def test(a: Column, b: Column) -> Column:
+        cross = F.exists(a, lambda s: F.exists(b, lambda t: _crossed(s, t)))
+        if predicate == "within":
+            return F.forall(a, lambda s: _in_or_on(s["a"], b) & _in_or_on(middle(s), b)) & ~cross
+        return F.exists(a, lambda s: _in_or_on(s["a"], b)) | F.exists(b, lambda s: _in_or_on(s["a"], a)) | cross
+
+    # The sides are made once for a pair, as one-element arrays that lambdas take.
+    return F.transform(F.array(_sides(left)), lambda a: F.transform(F.array(_sides(right)), lambda b: test(a, b))[0])[0]
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", predicate: str = "intersects", cell: float = 1.0) -> DataFrame:
