@@ -12,7 +12,8 @@ Before any window is made, documents without one of the templates' anchor words
 whose shingles are more than 100 - percent of all its shingles, so a window without them cannot reach the containment.
 
 Cases: null and empty texts match nothing; repeated rows give repeated results; templates without words are ignored;
-a template of fewer than 5 words is one shingle of all its words.
+a template of fewer than 5 words is one shingle of all its words; templates that one window holds alike (ties) are all listed, by name;
+long texts are cut into windows whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -131,11 +132,28 @@ def _matcher(templates: Column, window: int):
     return match
 
 
+def notices(windows: str) -> Column:
+    """Windows (name, first, words, percent), sorted, as notices: windows of one name of which each overlaps the next, with the highest percent."""
+    at = lambda i: F.get(windows, i)
+    new = lambda i: (i == 0) | (at(i)["name"] != at(i - 1)["name"]) | (at(i)["first"] >= at(i - 1)["first"] + at(i - 1)["words"])
+    starts = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), new)
+
+    def joined(starts: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(starts, k + 1), F.size(windows))
+            percent = F.array_max(F.transform(F.slice(windows, i + 1, after - i), lambda x: x["percent"]))
+            return F.struct(at(i)["name"].alias("name"), at(i)["first"].alias("first"), (at(after - 1)["first"] + at(after - 1)["words"] - at(i)["first"]).alias("words"), percent.alias("percent"))
+
+        return F.transform(starts, one)
+
+    return F.when(F.size(windows) > 0, F.transform(F.array(starts), joined)[0]).otherwise(F.col(windows))
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, miss: float = 1e-5) -> DataFrame:
     """(doc_id, n_windows, n_matches, licenses, best, spans): one row for every row of docs.
 
-    n_windows: windows verified; n_matches: those that hold a template; licenses: names, sorted; best: highest containment in
-    percent; spans: (name, first word, words, percent) of every match, sorted.
+    n_windows: windows verified; n_matches: notices found; licenses: names, sorted; best: highest containment in percent; spans:
+    (name, first word, words, percent) of every notice, sorted: overlapping windows of one template are one notice.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -165,7 +183,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     names = [x for x in rows.columns if x.startswith("_c")]
     spans = F.array_sort(F.concat(*names)) if names else hits
     n = sum((F.col(x) for x in rows.columns if x.startswith("_n")), tried)
-    out = rows.select("doc_id", n.alias("n_windows"), spans.alias("spans"))
+    out = rows.select("doc_id", n.alias("n_windows"), spans.alias("windows")).select("doc_id", "n_windows", notices("windows").alias("spans"))
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["percent"])), F.lit(0.0))
     return out.select(F.col("doc_id").alias(id_col), "n_windows", F.size("spans").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["name"]))), ",").alias("licenses"), best.alias("best"), "spans")
 
