@@ -6,6 +6,7 @@ called) never clash with what it adds.  A null text counts as the empty text unl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,15 +21,20 @@ from pyspark.sql.types import StructType
 from cellscape.operators.ranks import prefix_sums  # noqa: F401  the operators take it from here
 from cellscape.sources.scratch import stored  # noqa: F401
 
-
 #: Bytes of one Arrow batch between the JVM and a Python worker; rows longer than this travel alone.
 BATCH_BYTES = 4 << 20
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark settings have it (67108864b, 64m, -1)."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow(run, schema) with Arrow batches of bounded bytes: lowers the session's limit to BATCH_BYTES."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if not 0 < _bytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 

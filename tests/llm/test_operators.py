@@ -39,6 +39,17 @@ def empty(edge):
     return edge.limit(0)
 
 
+def test_arrow_batches_are_bounded(spark, edge):
+    from cellscape.llm import common
+
+    assert [common._bytes(x) for x in ("67108864b", "64m", "2kb", "7", "-1")] == [64 << 20, 64 << 20, 2048, 7, -1]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, kept in (("64m", f"{4 << 20}b"), ("1m", "1m")):
+        spark.conf.set(name, given)
+        assert audio.encode_media(edge).count() == edge.count() and spark.conf.get(name) == kept
+    spark.conf.unset(name)
+
+
 def test_audio_round_trip(spark, edge, empty):
     for raw in (b"", b"abc", bytes(range(256)) * 5, b"\xff" * 400, "é".encode() * 500):
         stream = audio.encode_stream(raw)
