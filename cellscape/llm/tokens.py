@@ -1,12 +1,14 @@
 """Operator 6, token counts by a map-side two-tier lookup.
 
 Tier one is a broadcast hash table from frequent pre-tokens to their number of tokens (at most `most_frequent` entries:
-the tokenizer's own vocabulary first, then the commonest pre-tokens of a bounded sample of texts).
+the tokenizer's own vocabulary first, then the commonest pre-tokens of a sample, bounded in texts and characters).
 Tier two encodes the pre-tokens it lacks with the library and keeps their lengths in a bounded cache of the Python worker.
 No pre-token is ever shuffled.  The sample only decides what is fast, never a count.
 
 Cases: null and empty texts count 0 tokens; special strings inside a text count as the library's default handles them
-(one token each); texts with characters whose Unicode class may differ between libraries go whole through the library.
+(one token each); texts with characters whose Unicode class may differ between libraries go whole through the library, and so does a
+pre-token of any length; long texts are counted whole; repeated rows, and texts of equal length (ties), are counted one by one; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import slices, table, texts_of
+from cellscape.llm.common import in_arrow, slices, table, texts_of
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of that tokenizer family).
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -84,21 +86,23 @@ def count_tokens_of(text: str, lengths: Lengths) -> int:
     return n
 
 
-def frequent_lengths(df: DataFrame, path: str, text_col: str, most_frequent: int, sample_rows: int) -> dict[str, int]:
-    """At most `most_frequent` pre-tokens with their lengths, from the vocabulary and a sample of `sample_rows` texts."""
+def frequent_lengths(df: DataFrame, path: str, text_col: str, most_frequent: int, sample_rows: int, sample_chars: int = 4096) -> dict[str, int]:
+    """At most `most_frequent` pre-tokens with their lengths, from the vocabulary and the first `sample_chars` characters of `sample_rows` texts."""
     tokenizer = library(path)
     pieces = []
     for token in tokenizer.get_vocab(with_added_tokens=False).values():
         piece = tokenizer.decode([token])
         if "\ufffd" not in piece and PRETOKEN.findall(piece) == [piece]:
             pieces.append(piece)
-    seen: Counter = Counter()
-    for row in df.select(F.col(text_col).alias("t")).filter("t is not null").limit(sample_rows).collect():
-        seen.update(PRETOKEN.findall(row[0]))
     pieces = sorted(pieces)[:most_frequent]
-    have = set(pieces)
-    extra = [p for p, _ in seen.most_common(most_frequent) if p not in have and PRETOKEN.findall(p) == [p]]
-    pieces += extra[: max(0, most_frequent - len(pieces))]
+    have, room = set(pieces), most_frequent - len(pieces)
+
+    # The first characters of a few texts: what reaches the driver has a bound, and only speed depends on it.
+    sample = df.select(F.substring(text_col, 1, sample_chars).alias("t")).filter("t is not null").limit(sample_rows if room > 0 else 0)
+    seen: Counter = Counter()
+    for (text,) in sample.collect():
+        seen.update(p for p in PRETOKEN.findall(text) if len(p) <= 64)
+    pieces += [p for p, _ in seen.most_common() if p not in have and PRETOKEN.findall(p) == [p]][:room]
     return dict(zip(pieces, lengths_of(path, pieces)))
 
 
@@ -118,7 +122,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n = [count_tokens_of(x.decode(), lengths) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(rows, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
