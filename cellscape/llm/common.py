@@ -6,6 +6,7 @@ called) never clash with what it adds.  A null text counts as the empty text unl
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,11 +33,27 @@ def _bytes(size: str) -> int:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) with Arrow batches of bounded bytes: lowers the session's limit to BATCH_BYTES."""
+    """df.mapInArrow(run, schema) with Arrow batches of bounded bytes: lowers the session's limit to BATCH_BYTES, and gives memory back after each task."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < _bytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give back what a task's batches held: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm.common import fold, id_hash, in_arrow, may_be_in, slices, stored, table, texts_of
+from cellscape.llm.common import Members, fold, id_hash, in_arrow, slices, stored, table, texts_of
 
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -70,13 +70,19 @@ def statistics(text: bytes) -> list[float]:
 N_STATISTICS = len(statistics(b""))
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the statistics of every whole text."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """(id, x): the statistics of every whole text, or of those whose id is in the column id of `among`, and of a few others.
+
+    The filter over those ids is broadcast and read in the worker that makes the statistics, so a task has one worker.
+    """
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), id_hash(id_col).alias("h"))
     kind = dict(rows.dtypes)[id_col]
+    shared = None if among is None else docs.sparkSession.sparkContext.broadcast(Members.of(among.select(id_hash(id_col).alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
+            if shared is not None:
+                b = b.filter(pa.array(shared.value.may_hold(b.column(2).to_numpy().view(np.uint64)), pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(x) for x in texts_of(b.column(1))], pa.list_(pa.float64()))], names=[id_col, "x"])
 
     return in_arrow(rows, run, f"`{id_col}` {kind}, x array<double>")
@@ -163,8 +169,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     texts are never shuffled.
     """
     known = labels.select(F.col(id_col), F.col(label_col).alias("label"))
-    labelled = docs.filter(may_be_in(known.filter("label in (0, 1)").select(id_hash(id_col).alias("h")))(id_hash(id_col)))
-    model = fit(with_statistics(labelled, id_col, text_col).join(known, id_col).select("label", "x"))
+    model = fit(with_statistics(docs, id_col, text_col, known.filter("label in (0, 1)")).join(known, id_col).select("label", "x"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
