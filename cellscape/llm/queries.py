@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their DuckDB SQL."""
 
-from cellscape.llm import audio, chat, decontaminate, licenses, lm, mixing, neardup, pipeline, quality, secrets, tokens
+from cellscape.llm import audio, chat, decontaminate, licenses, lm, manifest, mixing, neardup, negatives, pipeline, quality, rules, secrets, tokens
 
 
 def queries():
@@ -15,9 +15,12 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_license_scans": licenses.op10_license_scans,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_quality_rules": rules.op12_quality_rules,
+        "op13_merkle_manifest": manifest.op13_merkle_manifest,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op2_near_duplicates": neardup.SQL, "op7_decontamination": decontaminate.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_near_duplicates": neardup.SQL, "op7_decontamination": decontaminate.SQL, "op8_mixing": mixing.SQL, "op11_hard_negatives": negatives.SQL, "op13_merkle_manifest": manifest.SQL}
