@@ -230,7 +230,8 @@ def parse_stream(data: bytes) -> dict:
     """Tags, variable-bitrate table, frames (after resynchronising), checksums, duration and offsets of one stream.
 
     A header counts when the next frame's header, or the end of the audio, stands where its length says.
-    Bytes between frames are skipped and counted in `skipped`.
+    Bytes between frames are skipped and counted in `skipped`.  The audio ends before an ID3v1 tag; the word TAG inside a whole frame is
+    the frame's, not a tag.
     """
     tags, start, end = {}, 0, len(data)
     while True:
@@ -238,27 +239,30 @@ def parse_stream(data: bytes) -> dict:
         if to == start:
             break
         tags, start = tags | found, to
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        tags["id3v1"] = data[end - 125 : end - 95].rstrip(b"\x00 ").decode("latin-1")
-        end -= 128
+    tag = end - 128 if end - start >= 128 and data[end - 128 : end - 125] == b"TAG" else None
     known: dict[bytes, tuple | None] = {}
     offsets, kinds, pos, skipped = [], [], start, 0
-    while pos + 4 <= end:
+    while pos + 4 <= end and pos != tag:
         four = data[pos : pos + 4]
         h = known[four] if four in known else known.setdefault(four, header_of(four))
         if h is not None:
             to = pos + h[4]
             follows = data[to : to + 4]
-            if to == end or (to + 4 <= end and (known[follows] if follows in known else known.setdefault(follows, header_of(follows))) is not None):
+            if to in (end, tag) or (to + 4 <= end and (known[follows] if follows in known else known.setdefault(follows, header_of(follows))) is not None):
                 offsets.append(pos)
                 kinds.append(h)
                 pos = to
                 continue
         nxt = data.find(b"\xff", pos + 1, end)
         nxt = nxt if nxt >= 0 else end
+        if tag is not None and pos < tag < nxt:
+            nxt = tag
         skipped += nxt - pos
         pos = nxt
-    skipped += end - pos
+    if tag is not None and pos == tag:
+        tags["id3v1"] = data[tag + 3 : tag + 33].rstrip(b"\x00 ").decode("latin-1")
+    else:
+        skipped += end - pos
     vbr = vbr_table(data[offsets[0] : offsets[0] + kinds[0][4]]) if offsets else None
     if vbr is not None:
         offsets, kinds = offsets[1:], kinds[1:]

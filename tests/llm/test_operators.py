@@ -65,6 +65,19 @@ def test_audio_round_trip(spark, edge, empty):
     assert audio.read_media(audio.encode_media(empty)).count() == 0
 
 
+def test_audio_keeps_words_of_tags_in_the_payload():
+    for word in (b"TAG", b"ID3", b"Xing", b"Info", b"VBRI", b"3DI", b"\xff\xfb\x90\x00", b"\xff\xff\x18\xc0"):
+        for at in range(192 - len(word) + 1):
+            for n in (1, 4):
+                raw = b"y" * (192 * (n - 1)) + b"x" * at + word + b"z" * (192 - at - len(word))
+                stream = audio.encode_stream(raw)
+                p = audio.parse_stream(stream)
+                assert audio.payload_of(stream, p) == raw and p["skipped"] == 0 and "id3v1" not in p["tags"], (word, at)
+    stream = audio.encode_stream(b"x" * 78 + b"TAG" + b"y" * 111) + b"TAG" + b"title".ljust(125, b"\x00")
+    p = audio.parse_stream(stream)
+    assert p["tags"]["id3v1"] == "title" and p["skipped"] == 0 and audio.payload_of(stream, p)[78:81] == b"TAG"
+
+
 def test_audio_resynchronises():
     stream = audio.encode_stream(b"x" * 1000)
     p = audio.parse_stream(stream)
