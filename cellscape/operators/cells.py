@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.functions.indices import INDICES, index
 from cellscape.functions.sar import to_db
+from cellscape.operators.quantiles import with_quantiles
 
 
 class BandError(ValueError):
@@ -23,32 +23,6 @@ def with_scalars(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*by).agg(*aggs), list(by))
 
 
-def exact_percentiles(cells: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), bins: int = 4096) -> DataFrame:
-    """(by, p: array) of linear percentiles, exact, for rasters whose distinct values are too many for one task's memory.
-
-    Two passes: counts in equal-width bins say which bins hold the wanted order statistics; then only values of those bins are counted,
-    each value once.  Results equal percentile() to the last digit's rounding.
-    """
-    keys = list(by)
-    v = with_scalars(cells.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null"), keys, F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    v = v.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0))
-    whole = keys or [F.lit(1)]
-    upto = W.partitionBy(*whole).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = v.groupBy(*keys, "bin", "n").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0)))
-    at = F.array(*[F.lit(float(p)) for p in shares])
-    wanted = F.flatten(F.transform(at, lambda p: F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1)))))
-    hit = counts.filter(F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("k")))).select(*keys, "bin", "before")
-    values = v.join(F.broadcast(hit) if not keys else hit, [*keys, "bin"]).groupBy(*keys, "bin", "before", "n", "v").agg(F.count("*").alias("k"))
-    inside = W.partitionBy(*keys, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = values.withColumn("first", F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0)))
-    # One row a wanted order statistic: its rank and value.
-    stats = ranked.withColumn("rank", F.explode(F.array_distinct(F.filter(wanted, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("k"))))))
-    held = stats.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
-    place = lambda p: p * (F.col("n") - 1)
-    value = lambda p: F.col("m")[F.floor(place(p))] + (F.col("m")[F.ceil(place(p))] - F.col("m")[F.floor(place(p))]) * (place(p) - F.floor(place(p)))
-    return held.select(*keys, F.transform(at, value).alias("p"))
-
-
 def scan_band(cells: DataFrame, band: str, nodata: float | None = None, keys: Sequence[str] = ("r", "c")) -> DataFrame:
     if band not in cells.columns:
         raise BandError(f"no band {band!r}")
@@ -115,7 +89,7 @@ def surface_reflectance(cells: DataFrame, bands: Sequence[str], sensor: str = "s
     Landsat: DN * 2.75e-5 - 0.2.  Others: (DN + offset) / 10000; the offset is the tag's, or -1000 from processing
     baseline 4 on, or, without a baseline, from 2022-01-25 on where the 1st percentile is above 700.
     """
-    out = with_scalars(cells, by, *[F.percentile(b, F.array(F.lit(0.01), F.lit(0.99))).alias(f"__p_{b}") for b in bands])
+    out = with_quantiles(cells, {f"__p_{b}": (b, (0.01, 0.99)) for b in bands}, by)
     for b in bands:
         p1, p99 = F.col(f"__p_{b}")[0], F.col(f"__p_{b}")[1]
         if sensor == "landsat":
@@ -137,15 +111,15 @@ def surface_reflectance(cells: DataFrame, bands: Sequence[str], sensor: str = "s
 
 def autoscaled(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
     """v / 10000 clipped to 0..1.5 where the 99th percentile is above 2."""
-    out = with_scalars(cells, by, F.percentile(band, F.lit(0.99)).alias("__p"))
+    out = with_quantiles(cells, {"__p": (band, (0.99,))}, by)
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col(band) / 10000.0))
-    return out.withColumn(band, F.when(F.col(band).isNull(), None).when(F.col("__p") > 2, scaled).otherwise(F.col(band))).drop("__p")
+    return out.withColumn(band, F.when(F.col(band).isNull(), None).when(F.col("__p")[0] > 2, scaled).otherwise(F.col(band))).drop("__p")
 
 
 def celsius(cells: DataFrame, band: str = "thermal", by: Sequence[str] = ()) -> DataFrame:
     """Thermal band in degrees Celsius, by the raster's median: scaled numbers, Kelvin, or Celsius already."""
-    out = with_scalars(cells, by, F.percentile(band, F.lit(0.5)).alias("__m"))
-    m = F.col("__m")
+    out = with_quantiles(cells, {"__m": (band, (0.5,))}, by)
+    m = F.col("__m")[0]
     value = F.when(m > 1000, F.col(band) * 0.00341802 + 149.0 - 273.15).when((m >= 180) & (m <= 360), F.col(band) - 273.15).otherwise(F.col(band))
     return out.withColumn(band, value).drop("__m")
 
@@ -163,7 +137,7 @@ def compute_index(cells: DataFrame, name: str, catalog: DataFrame | None = None,
 
 def backscatter_db(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
     """Radar in dB: kept where the median is negative, converted where the 99th percentile is at most 5, else an error."""
-    out = with_scalars(cells, by, F.percentile(band, F.array(F.lit(0.5), F.lit(0.99))).alias("__p"))
+    out = with_quantiles(cells, {"__p": (band, (0.5, 0.99))}, by)
     value = F.when(F.col("__p")[0] < 0, F.col(band)).when(F.col("__p")[1] <= 5, to_db(F.col(band))).otherwise(F.raise_error(F.lit("uncalibrated backscatter")).cast("double"))
     return out.withColumn(band, value).drop("__p")
 
@@ -174,7 +148,7 @@ def select_extreme(cells: DataFrame, column: str = "value", fraction: float = 0.
         raise ValueError("fraction must be between 0 and 1")
     if keep not in ("high", "low"):
         raise ValueError("keep must be 'high' or 'low'")
-    out = with_scalars(cells, by, F.percentile(column, F.lit(1 - fraction if keep == "high" else fraction)).alias("cutoff"))
+    out = with_quantiles(cells, {"cutoff": (column, (1 - fraction if keep == "high" else fraction,))}, by).withColumn("cutoff", F.col("cutoff")[0])
     return out.filter(F.col(column) >= F.col("cutoff") if keep == "high" else F.col(column) <= F.col("cutoff"))
 
 
@@ -225,7 +199,7 @@ def cloud_fraction(cells: DataFrame, method: str) -> DataFrame:
 
 def stretch(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
     """Percentile stretch to 0..255: (v - p2) / (p98 - p2), clipped."""
-    out = with_scalars(cells, by, F.percentile(band, F.array(F.lit(0.02), F.lit(0.98))).alias("__p"))
+    out = with_quantiles(cells, {"__p": (band, (0.02, 0.98))}, by)
     t = F.try_divide(F.col(band) - F.col("__p")[0], F.col("__p")[1] - F.col("__p")[0])
     value = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * 255).cast("int")
     return out.withColumn(band, F.when(t.isNotNull(), value)).drop("__p")

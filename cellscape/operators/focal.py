@@ -14,12 +14,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.operators.cells import with_scalars
+from cellscape.operators.quantiles import with_quantiles
 
 
 def infilled(cells: DataFrame, value: str, how: str, by: Sequence[str] = ()) -> DataFrame:
     """Column v: the value, with missing cells at the raster's median, mean or minimum."""
-    agg = {"median": F.percentile(value, F.lit(0.5)), "mean": F.avg(value), "min": F.min(value)}[how]
-    return with_scalars(cells, by, agg.alias("__fill")).withColumn("v", F.coalesce(F.col(value), F.col("__fill"))).drop("__fill")
+    if how == "median":
+        filled = with_quantiles(cells, {"__fill": (value, (0.5,))}, by).withColumn("__fill", F.col("__fill")[0])
+    else:
+        filled = with_scalars(cells, by, {"mean": F.avg(value), "min": F.min(value)}[how].alias("__fill"))
+    return filled.withColumn("v", F.coalesce(F.col(value), F.col("__fill"))).drop("__fill")
 
 
 def extents(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.operators import focal
+from cellscape.operators import focal, vector
+from cellscape.operators.quantiles import quantiles, with_quantiles
 from cellscape.operators.ranks import shuffled
 from cellscape.operators.summaries import balance_weights, classification_metrics
 from cellscape.sources.scratch import stored
@@ -207,6 +208,15 @@ def stratified(rows: DataFrame, label: str, by: Sequence[str], seed: int = 42, f
     return ranked.withColumns({"held_out": F.col("__k") % 5 == 4, "fold": (F.floor(F.col("__k") / 5) * 4 + F.col("__k") % 5) % folds}).drop("__k")
 
 
+def spatial_split(points: DataFrame, test_share: float = 0.2, buffer: float = 0.0) -> DataFrame:
+    """points (id, x, y, ...) with `train`: the west part trains, the east part tests; test points within `buffer` of a training point are left out."""
+    t = with_quantiles(points, {"__cut": ("x", (1 - test_share,))}).withColumn("train", F.col("x") < F.col("__cut")[0]).drop("__cut")
+    if buffer <= 0:
+        return t
+    near = vector.within_distance(t.filter("not train"), t.filter("train"), buffer).select(F.col("left_id").alias("id")).distinct()
+    return t.join(near, "id", "left_anti")
+
+
 def train_report(rows: DataFrame, columns: Sequence[str], label: str = "label", kind: str = "logistic_regression", folds: int = 5, seed: int = 42) -> DataFrame:
     """One row: metrics on a stratified fifth held out, and the mean and deviation of the folds' accuracy; classes weigh alike.
 
@@ -227,7 +237,9 @@ def band_order(cells: DataFrame) -> DataFrame:
     """One row (bright, swapped): whether bright cells are so much bluer than red that red and blue must have been exchanged."""
     bright = cells.filter("green > 0.18 and (red + green + blue) / 3.0 > 0.18")
     bluer = F.avg((F.col("blue") > F.col("red") * 1.15).cast("double")) > 0.6
-    return bright.agg(F.count("*").alias("bright"), F.coalesce((F.count("*") > 100) & (F.median("blue") > 1.2 * F.median("red")) & bluer, F.lit(False)).alias("swapped"))
+    middle = quantiles(bright, {"__r": ("red", (0.5,)), "__b": ("blue", (0.5,))})
+    found = bright.agg(F.count("*").alias("bright"), bluer.alias("__bluer")).crossJoin(F.broadcast(middle))
+    return found.select("bright", F.coalesce((F.col("bright") > 100) & (F.col("__b")[0] > 1.2 * F.col("__r")[0]) & F.col("__bluer"), F.lit(False)).alias("swapped"))
 
 
 def in_band_order(cells: DataFrame) -> DataFrame:

@@ -126,35 +126,143 @@ def cusum(series: DataFrame, threshold: float = 3.0, slack: float = 0.5, min_siz
     return g.select("cell", F.when(ok, walked).alias("w")).select("cell", F.coalesce("w.n", F.lit(0)).alias("changes"), F.coalesce("w.first", F.lit(-1)).alias("first"))
 
 
-def segments(series: DataFrame, penalty: float | None = None, min_size: int = 3) -> DataFrame:
-    """(cell, changes, first): optimal segmentation with a Gaussian-kernel cost and a penalty a change (default 3 ln n)."""
+def middle_gap(y: np.ndarray) -> float:
+    """The median of the squared differences of all pairs, without making them: differences up to a trial gap are counted in sorted order."""
+    s = np.sort(y)
+    n = len(s)
+    m = n * (n - 1) // 2
+
+    def smallest(rank: int) -> float:
+        """The rank-th smallest difference (from 1): bisection over the bits of a double."""
+        lo, hi = 0, int(np.float64(s[-1] - s[0]).view(np.int64))
+        while lo < hi:
+            mid = (lo + hi) // 2
+            gap = np.int64(mid).view(np.float64)
+            if int(np.searchsorted(s, s + gap, "right").sum()) - n * (n + 1) // 2 >= rank:
+                hi = mid
+            else:
+                lo = mid + 1
+        return float(np.int64(lo).view(np.float64))
+
+    if m == 0:
+        return 0.0
+    a, b = smallest((m + 1) // 2), smallest(m // 2 + 1)
+    return (a * a + b * b) / 2
+
+
+class KernelCost:
+    """Cost of a segment: its length less the mean similarity of its values, summed; similarity exp(-gap / median gap), gaps held to 0.01..100.
+
+    Similarities are made a few rows at a time, so memory grows with the series and not with its square.
+    """
+
+    def __init__(self, y: np.ndarray):
+        self.y, self.scale = y, middle_gap(y) or 1.0
+
+    def alike(self, rows: slice, cols: slice) -> np.ndarray:
+        """The similarities of some values with others, 1 of a value with itself."""
+        gap = (self.y[rows, None] - self.y[None, cols]) ** 2 / self.scale
+        out = np.exp(-np.clip(gap, 1e-2, 1e2))
+        i = np.arange(max(rows.start, cols.start), min(rows.stop, cols.stop))
+        out[i - rows.start, i - cols.start] = 1.0
+        return out
+
+    def prefixes(self, start: int, stop: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place b in start..stop: the similarities summed over [start, b) and over [b, stop)."""
+        before, after = np.zeros(stop - start + 1), np.zeros(stop - start + 1)
+        for a in range(start, stop, rows):
+            b = min(stop, a + rows)
+            part = self.alike(slice(a, b), slice(start, stop)).cumsum(axis=1)
+            at = np.arange(a, b) - start
+            upto = part[np.arange(b - a), at]
+            before[at + 1] = 2 * upto - 1
+            after[at] = 2 * (part[:, -1] - upto) + 1
+        return before.cumsum(), after[::-1].cumsum()[::-1]
+
+    @staticmethod
+    def of(total: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return length - total / length
+
+
+def pruned_cuts(y: np.ndarray, penalty: float, min_size: int, jump: int) -> list[int]:
+    """Optimal cuts at multiples of `jump`: of each end the best last cut, among starts not yet beaten by more than the penalty."""
+    n, cost = len(y), KernelCost(y)
+    ends = [k for k in range(0, n, jump) if k >= min_size] + [n]
+    best, last = {0: 0.0}, {}
+    starts, sums, at = np.empty(0, np.int64), np.empty(0), 0
+    for end in ends:
+        # Similarities of the values that came in since the last end, with all since the earliest start.
+        fresh = (end - min_size) // jump * jump
+        if fresh not in starts:
+            first = cost.prefixes(fresh, at)[0][-1] if fresh < at else 0.0
+            starts, sums = np.append(starts, fresh), np.append(sums, first)
+        for a in range(at, end, 128):
+            b = min(end, a + 128)
+            low = int(starts.min())
+            part = cost.alike(slice(a, b), slice(low, b))
+            # Sum over [start, b) x [a, b), counted on both sides, less the square that was counted twice.
+            column = np.concatenate([[0.0], part.sum(axis=0).cumsum()])
+            own = part[:, a - low :].sum()
+            late = starts > a
+            sums += np.where(late, 0.0, 2 * (column[-1] - column[np.minimum(starts, a) - low]) - own)
+            for k in np.flatnonzero(late):
+                inside = cost.alike(slice(int(starts[k]), b), slice(int(starts[k]), b)) if starts[k] < b else np.zeros((0, 0))
+                sums[k] = inside.sum()
+        at = end
+        known = np.array([s in best for s in starts])
+        score = np.full(len(starts), np.inf)
+        score[known] = np.array([best[s] for s in starts[known]]) + KernelCost.of(sums[known], end - starts[known]) + penalty
+        k = int(np.argmin(score))
+        best[end], last[end] = float(score[k]), int(starts[k])
+        keep = known & (score <= best[end] + penalty)
+        starts, sums = starts[keep], sums[keep]
+    cuts, b = [], n
+    while (b := last[b]) > 0:
+        cuts.append(b)
+    return cuts[::-1]
+
+
+def binary_cuts(y: np.ndarray, penalty: float, min_size: int, jump: int) -> list[int]:
+    """Cuts by halving: the segment whose best cut, `jump` apart from its start on, gains most is cut while that is more than the penalty."""
+    cost, n = KernelCost(y), len(y)
+
+    def best_cut(a: int, b: int) -> tuple[float, int]:
+        at = np.arange(a, b, jump)
+        at = at[(at - a >= min_size) & (b - at >= min_size)]
+        if not len(at):
+            return 0.0, -1
+        before, after = cost.prefixes(a, b)
+        gain = KernelCost.of(before[-1], b - a) - KernelCost.of(before[at - a], at - a) - KernelCost.of(after[at - a], b - at)
+        k = len(at) - 1 - int(np.argmax(gain[::-1]))  # of equal gains the later cut
+        return float(gain[k]), int(at[k])
+
+    open_ = {(0, n): best_cut(0, n)}
+    while True:
+        (a, b), (gain, cut) = max(open_.items(), key=lambda x: x[1][0])
+        if cut < 0 or gain <= penalty:
+            return sorted(x[0] for x in open_ if x[0] > 0)
+        del open_[(a, b)]
+        open_[(a, cut)], open_[(cut, b)] = best_cut(a, cut), best_cut(cut, b)
+
+
+def segments(series: DataFrame, penalty: float | None = None, min_size: int = 3, method: str = "pelt", jump: int = 5) -> DataFrame:
+    """(cell, changes, first): segmentation with a Gaussian-kernel cost and a penalty a change (default 3 ln n).
+
+    `pelt` finds the cheapest cuts with pruned candidates, `binseg` cuts the segment that gains most again and again; cuts stand at multiples of
+    `jump` of the valid dates (of a segment's start, in binseg).  `first` is the first cut's place among all dates of the cell, -1 if none.
+    """
+    if method not in ("pelt", "binseg"):
+        raise ValueError("method must be 'pelt' or 'binseg'")
+    cut = pruned_cuts if method == "pelt" else binary_cuts
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("d")["y"].dropna().to_numpy()
-        n = len(y)
-        if n < 2 * min_size:
-            return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "changes": [0], "first": [-1]})
-        gap = (y[:, None] - y[None, :]) ** 2
-        scale = np.median(gap[np.triu_indices(n, 1)])
-        total = np.exp(-gap / scale if scale > 0 else -gap).cumsum(0).cumsum(1)
-        total = np.pad(total, ((1, 0), (1, 0)))
-        pen = 3 * np.log(n) if penalty is None else penalty
-        best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        best[0] = -pen
-        for b in range(min_size, n + 1):
-            a = np.arange(0, b - min_size + 1)
-            block = total[b, b] - total[a, b] - total[b, a] + total[a, a]
-            cost = best[a] + (b - a) - block / (b - a) + pen
-            k = int(np.argmin(cost))
-            best[b], last[b] = cost[k], a[k]
-        cuts, b = [], n
-        while b > 0:
-            b = last[b]
-            if b > 0:
-                cuts.append(int(b))
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "changes": [len(cuts)], "first": [min(cuts, default=-1)]})
-
-    return series.groupBy("cell").applyInPandas(one, "cell long, changes int, first int")
+        y = pdf.sort_values("d")["y"].to_numpy(np.float64)
+        valid = np.flatnonzero(np.isfinite(y))
+        cuts = cut(y[valid], 3 * np.log(len(valid)) if penalty is None else penalty, min_size, jump) if len(valid) >= 2 * min_size else []
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "changes": [len(cuts)], "first": [int(valid[cuts[0]]) if cuts else -1]})
+
+    kind = dict(series.dtypes)["cell"]
+    return series.groupBy("cell").applyInPandas(one, f"cell {kind}, changes int, first int")
 
 
 def _loess(y: np.ndarray, width: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

@@ -11,13 +11,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellscape.operators.cells import with_scalars
+from cellscape.operators.quantiles import quantiles, with_quantiles
 from cellscape.operators.ranks import shuffled
 
 
 def raster_stats(cells: DataFrame, band: str, by: Sequence[str] = ()) -> DataFrame:
     """Valid and missing counts, extremes, mean, population deviation and linear percentiles of each raster."""
     ps = (0.05, 0.25, 0.5, 0.75, 0.95)
-    g = cells.groupBy(*by).agg(F.count(band).alias("valid"), (F.count("*") - F.count(band)).alias("nodata"), F.min(band).alias("min"), F.max(band).alias("max"), F.bround(F.avg(band), 6).alias("mean"), F.bround(F.stddev_pop(band), 6).alias("std"), F.percentile(band, F.array(*map(F.lit, ps))).alias("p"))
+    g = cells.groupBy(*by).agg(F.count(band).alias("valid"), (F.count("*") - F.count(band)).alias("nodata"), F.min(band).alias("min"), F.max(band).alias("max"), F.bround(F.avg(band), 6).alias("mean"), F.bround(F.stddev_pop(band), 6).alias("std"))
+    spread = quantiles(cells, {"p": (band, ps)}, by)
+    g = g.join(spread, list(by)) if by else g.crossJoin(spread)
     return g.select(*by, "valid", "nodata", "min", "max", "mean", "std", *[F.col("p")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(ps)])
 
 
@@ -58,15 +61,17 @@ def canopy_metrics(cells: DataFrame, height: str, cell_m2: float = 1.0) -> DataF
     """One row over vegetation (height of 1 or more): areas, cover, height statistics, volume; zeros where there is none."""
     tall = F.when(F.col(height) >= 1.0, F.col(height))
     zero = lambda c: F.coalesce(F.bround(c, 2), F.lit(0.0))
-    return cells.agg(
+    g = cells.agg(
         F.bround(F.count(height) * cell_m2, 2).alias("total_m2"), F.bround(F.count(tall) * cell_m2, 2).alias("canopy_m2"), zero(F.try_divide(F.count(tall) * 100.0, F.count(height))).alias("cover"),
-        zero(F.avg(tall)).alias("mean"), zero(F.max(tall)).alias("max"), zero(F.percentile(tall, F.lit(0.5))).alias("p50"), zero(F.percentile(tall, F.lit(0.95))).alias("p95"), zero(F.stddev_pop(tall)).alias("std"), zero(F.sum(tall) * cell_m2).alias("volume"),
+        zero(F.avg(tall)).alias("mean"), zero(F.max(tall)).alias("max"), zero(F.stddev_pop(tall)).alias("std"), zero(F.sum(tall) * cell_m2).alias("volume"),
     )
+    spread = quantiles(cells, {"p": (tall, (0.5, 0.95))})
+    return g.crossJoin(spread.select(*[zero(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p95"))]))
 
 
 def histogram(cells: DataFrame, band: str, bins: int = 128, by: Sequence[str] = ()) -> DataFrame:
     """(…, bin, n, lo, hi) between the 0.5th and 99.5th percentile, the upper end inclusive."""
-    x = with_scalars(cells.filter(F.col(band).isNotNull()), by, F.percentile(band, F.array(F.lit(0.005), F.lit(0.995))).alias("__p"))
+    x = with_quantiles(cells.filter(F.col(band).isNotNull()), {"__p": (band, (0.005, 0.995))}, by)
     lo, hi = F.col("__p")[0], F.col("__p")[1]
     at = F.least(F.lit(bins - 1), F.floor((F.col(band) - lo) / (hi - lo) * bins))
     return x.filter((hi > lo) & (F.col(band) >= lo) & (F.col(band) <= hi)).groupBy(*by, at.alias("bin"), lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("n"))
@@ -139,7 +144,11 @@ def tile_stats(cells: DataFrame, band: str, size: int, most_classes: int = 32) -
 def band_profile(cells: DataFrame, band: str, most_classes: int = 30) -> DataFrame:
     """Extremes, mean, median, 2nd and 98th percentile, and whether the band is classified (whole numbers, few of them)."""
     v = F.col(band)
-    return cells.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.bround(F.avg(v), 6).alias("mean"), F.median(v).alias("median"), F.percentile(v, F.lit(0.02)).alias("p2"), F.percentile(v, F.lit(0.98)).alias("p98"), (F.coalesce(F.bool_and(v == F.floor(v)), F.lit(False)) & (F.count_distinct(v) <= most_classes)).alias("classified"))
+    g = cells.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.bround(F.avg(v), 6).alias("mean"), F.coalesce(F.bool_and(v == F.floor(v)), F.lit(False)).alias("whole"))
+    # One value more than there may be classes is enough to know.
+    few = cells.select(v.alias("v")).filter("v is not null").distinct().limit(most_classes + 1).agg(F.count("*").alias("kinds"))
+    spread = quantiles(cells, {"p": (v, (0.5, 0.02, 0.98))}).select(*[F.col("p")[i].alias(n) for i, n in enumerate(("median", "p2", "p98"))])
+    return g.crossJoin(spread).crossJoin(few).select("min", "max", "mean", "median", "p2", "p98", (F.col("whole") & (F.col("kinds") <= most_classes)).alias("classified"))
 
 
 def confusion(predictions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellscape.operators import cells, learning
 from cellscape.operators import summaries as ops
-from cellscape.operators import vector
+from cellscape.operators.quantiles import quantiles
 from cellscape.plans.fixtures import table, view
 from cellscape.plans.registry import query
 
@@ -18,7 +18,7 @@ _tiles = lambda s, d: view(s, d, "tile_verdicts")
 
 query("raster_stats", "SELECT count(nir) AS valid, count(*) - count(nir) AS nodata, min(nir) AS min, max(nir) AS max, round_even(avg(nir), 6) AS mean, round_even(stddev_pop(nir), 6) AS std, quantile_cont(nir, 0.05) AS p5, quantile_cont(nir, 0.25) AS p25, quantile_cont(nir, 0.5) AS p50, quantile_cont(nir, 0.75) AS p75, quantile_cont(nir, 0.95) AS p95 FROM scene_cells", "scene_cells")(lambda s, d: ops.raster_stats(_scene(s, d), "nir"))
 query("percentiles", "SELECT CAST(floor(r / 8.0) AS BIGINT) AS block, round_even(quantile_cont(nir, 0.02), 6) AS p2, round_even(quantile_cont(nir, 0.5), 6) AS p50, round_even(quantile_cont(nir, 0.98), 6) AS p98 FROM scene_cells WHERE nir IS NOT NULL GROUP BY 1", "scene_cells")(
-    lambda s, d: cells.exact_percentiles(_scene(s, d).withColumn("block", F.floor(F.col("r") / 8.0)), "nir", (0.02, 0.5, 0.98), ["block"]).select("block", *[F.bround(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p2", "p50", "p98"))])
+    lambda s, d: quantiles(_scene(s, d).withColumn("block", F.floor(F.col("r") / 8.0)), {"p": ("nir", (0.02, 0.5, 0.98))}, ["block"]).select("block", *[F.bround(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p2", "p50", "p98"))])
 )
 query("area_stats", "SELECT count(*) FILTER (nir > 3000) AS selected, count(nir) AS valid, round_even(count(*) FILTER (nir > 3000) * 100.0 / count(nir), 4) AS percent, round_even(count(*) FILTER (nir > 3000) * 100.0 / 10000, 3) AS hectares FROM scene_cells", "scene_cells")(lambda s, d: ops.area_stats(_scene(s, d), F.col("nir") > 3000, F.col("nir").isNotNull(), 100.0))
 _Q = lambda n, w: f"round_even(count(*) FILTER (nir > 3000 AND (r < h) = {n} AND (c < w) = {w}) * 100.0 / count(*) FILTER (nir > 3000), 2)"
@@ -75,9 +75,7 @@ _XY = "(SELECT s_suppkey AS id, s_suppkey * 37 % 1000 / 10.0 AS x, s_suppkey * 9
 def spatial_split(spark, sf_dir):
     """West part for training, east part for testing, test points near a training point left out."""
     p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 1000 / 10.0).alias("x"), (F.col("s_suppkey") * 91 % 1000 / 10.0).alias("y"))
-    t = p.crossJoin(F.broadcast(p.agg(F.percentile("x", F.lit(0.8)).alias("cut")))).withColumn("train", F.col("x") < F.col("cut"))
-    near = vector.within_distance(t.filter("not train"), t.filter("train"), 3.0).select(F.col("left_id").alias("id")).distinct()
-    return t.join(near, "id", "left_anti").select("id", "train")
+    return learning.spatial_split(p, 0.2, 3.0).select("id", "train")
 
 
 _BRIGHT = "__r AS (SELECT red AS a, green AS b, blue AS c FROM refl WHERE green > 0.18 AND (red + green + blue) / 3.0 > 0.18)"
