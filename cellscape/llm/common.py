@@ -11,7 +11,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -103,7 +102,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
 class WordHash(dict):
     """xxh64 of words, remembered; emptied when it has grown to `most` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -177,9 +176,9 @@ def may_be_in(keys: DataFrame) -> Callable[[Column], Column]:
     """A test of long columns against a broadcast filter over the one-column table `keys`: true for all its keys and for some others."""
     shared = keys.sparkSession.sparkContext.broadcast(Members.of(keys))
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.may_hold(h.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(h.to_numpy().view(np.uint64)), pa.bool_())
 
     return test
 
