@@ -59,7 +59,22 @@ __z AS (SELECT s.cell, row_number() OVER (PARTITION BY s.cell ORDER BY d) - 1 AS
 __w AS (SELECT cell, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, false AS hit FROM __g
   UNION ALL SELECT cell, i, up, down, up > 3.0 OR down > 3.0 FROM (SELECT z.cell, z.i, greatest(0.0, CASE WHEN w.hit THEN 0.0 ELSE w.up END + z.z - 0.5) AS up, greatest(0.0, CASE WHEN w.hit THEN 0.0 ELSE w.down END - z.z - 0.5) AS down FROM __w w JOIN __z z ON z.cell = w.cell AND z.i = w.i + 1))"""
 query("cusum", f"{_STEPS} SELECT cell, CAST(count(*) FILTER (hit) AS INT) AS changes, CAST(coalesce(min(i) FILTER (hit), -1) AS INT) AS first FROM __w GROUP BY cell", "cell_series", recursive=True)(lambda s, d: ops.cusum(_s(s, d)))
-query("segment")(lambda s, d: ops.segments(_s(s, d)))
+# In DuckDB: similarities of all pairs, costs of all segments, and the best last cut of each end in turn, kept in a list.
+_CUTS = """__y AS (SELECT cell, y, row_number() OVER (PARTITION BY cell ORDER BY d) AS i, count(*) OVER (PARTITION BY cell) AS n FROM cell_series WHERE y IS NOT NULL),
+__p AS (SELECT a.cell, a.i, b.i AS k, power(a.y - b.y, 2) AS gap FROM __y a JOIN __y b ON a.cell = b.cell AND a.i < b.i),
+__m AS (SELECT cell, CASE WHEN median(gap) = 0 THEN 1 ELSE median(gap) END AS mid FROM __p GROUP BY cell),
+__k AS (SELECT cell, i, k, exp(-greatest(0.01, least(100.0, gap / mid))) AS alike FROM __p JOIN __m USING (cell)),
+__e AS (SELECT cell, n, b, row_number() OVER (PARTITION BY cell ORDER BY b) AS j FROM (SELECT DISTINCT cell, n, unnest(list_filter(range(0, n, 5), lambda x: x >= 3) || [n]) AS b FROM __y WHERE n >= 6)),
+__t AS (SELECT cell, n, b, j, unnest(list_filter(range(0, n, 5), lambda x: b - x >= 3)) AS t FROM __e),
+__c AS (SELECT cell, n, b, j, list({'t': t, 'c': c} ORDER BY t) AS costs FROM (SELECT __t.cell, n, b, j, t, (b - t) - ((b - t) + 2 * coalesce(sum(alike), 0)) / (b - t) + 3 * ln(n) AS c FROM __t LEFT JOIN __k ON __k.cell = __t.cell AND i > t AND k <= b GROUP BY __t.cell, n, b, j, t) GROUP BY cell, n, b, j),
+__w AS (
+  SELECT DISTINCT cell, CAST(0 AS BIGINT) AS j, [{'b': CAST(0 AS BIGINT), 'v': CAST(0 AS DOUBLE), 'changes': 0, 'first': CAST(-1 AS BIGINT)}] AS st FROM __e
+  UNION ALL
+  SELECT cell, j, list_append(st, {'b': b, 'v': best.v, 'changes': CASE WHEN best.t = 0 THEN 0 ELSE best.s.changes + 1 END, 'first': CASE WHEN best.t = 0 THEN -1 WHEN best.s.changes = 0 THEN best.t ELSE best.s.first END})
+  FROM (SELECT c.cell, c.j, b, st, list_sort(list_filter(list_transform(costs, lambda x: {'v': list_filter(st, lambda s: s.b = x.t)[1].v + x.c, 't': x.t, 's': list_filter(st, lambda s: s.b = x.t)[1]}), lambda x: x.v IS NOT NULL))[1] AS best FROM __w w JOIN __c c ON c.cell = w.cell AND c.j = w.j + 1)
+), __l AS (SELECT cell, st[-1] AS x FROM __w JOIN (SELECT cell, max(j) AS j FROM __e GROUP BY cell) USING (cell, j))"""
+query("segment", f"{_CUTS} SELECT cell, CAST(coalesce(x.changes, 0) AS INT) AS changes, CAST(coalesce(x.first, -1) AS INT) AS first FROM (SELECT DISTINCT cell FROM cell_series) LEFT JOIN __l USING (cell)", "cell_series", recursive=True)(lambda s, d: ops.segments(_s(s, d)))
+query("segment_binseg")(lambda s, d: ops.segments(_s(s, d), penalty=1.0, method="binseg"))
 query("stl")(lambda s, d: ops.stl(_g(s, d), period=7))
 _FC = "__x AS (SELECT cell, y, CAST(date_diff('day', (SELECT min(d) FROM cell_series), d) AS DOUBLE) AS x FROM cell_series), __g AS (SELECT cell, count(*) AS n, min(x) AS x0, max(x) AS x1, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m, arg_min(y, x) AS y0, arg_max(y, x) AS y1 FROM __x GROUP BY cell HAVING count(*) >= 2), __s AS (SELECT *, (x1 - x0) / (n - 1) AS gap, CAST(unnest([1, 2, 3]) AS INT) AS step FROM __g)"
 for _m, _y in {"linear": "a + b * (x1 + step * gap)", "mean": "m", "drift": "y1 + step * gap * (y1 - y0) / nullif(x1 - x0, 0)"}.items():
