@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,11 +116,71 @@ def native_grid(west: Column, south: Column, east: Column, north: Column, coarse
     return {"area_km2": F.bround(w * h / 1e6, 2), "native_m": res, "width_px": wide, "height_px": high, "within_limit": wide * high <= 36_000_000}
 
 
-def coverage_pct(box: tuple[float, float, float, float], west: Column, south: Column, east: Column, north: Column) -> Column:
-    """Percentage of a box (west, south, east, north) that an item's box covers, 1 decimal."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(ring: Column, i: Column) -> Column:
+    """The vertex before the i-th (from 0) of a ring, its last one before its first."""
+    return F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i).cast("int"))
+
+
+def _cut(ring: Column, name: str, at: float, sign: float) -> Column:
+    """A ring's part on one side of the line name = at, that of larger values for sign 1."""
+    other = "y" if name == "x" else "x"
+
+    def inside(p: Column) -> Column:
+        return (p[name] - at) * sign >= 0
+
+    def crossing(p: Column, q: Column) -> Column:
+        along = p[other] + (at - p[name]) / (q[name] - p[name]) * (q[other] - p[other])
+        return F.struct(*[(F.lit(at) if n == name else along).alias(n) for n in ("x", "y")])
+
+    def of(ring: Column) -> Column:
+        def parts(p: Column, i: Column) -> Column:
+            q = _before(ring, i)
+            none = F.slice(F.array(p), 1, 0)
+            return F.concat(F.when(inside(p) != inside(q), F.array(crossing(q, p))).otherwise(none), F.when(inside(p), F.array(p)).otherwise(none))
+
+        return F.flatten(F.transform(ring, parts))
+
+    return _let(ring, of)
+
+
+def clipped_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
+    """A ring (array of x, y; closing vertex or not) cut by the four sides of a box (west, south, east, north), side by side.
+
+    Where the ring leaves and enters again, the result runs along the side there and back, which has no area.
+    """
+    ring = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    for name, at, sign in (("x", box[0], 1.0), ("y", box[1], 1.0), ("x", box[2], -1.0), ("y", box[3], -1.0)):
+        ring = _cut(ring, name, float(at), sign)
+    return ring
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring by the shoelace rule, whichever way it turns."""
+
+    def crosses(ring: Column) -> Column:
+        return F.transform(ring, lambda p, i: _before(ring, i)["x"] * p["y"] - p["x"] * _before(ring, i)["y"])
+
+    return F.abs(F.aggregate(_let(ring, crosses), F.lit(0.0), lambda total, x: total + x)) / 2.0
+
+
+def covered_area(rings: Column, box: tuple[float, float, float, float]) -> Column:
+    """Area of a polygon inside a box: its first ring less the others, the holes."""
+    areas = F.transform(rings, lambda ring: ring_area(clipped_ring(ring, box)))
+    return _let(areas, lambda a: F.greatest(F.lit(0.0), F.coalesce(2 * F.get(a, F.lit(0)), F.lit(0.0)) - F.aggregate(a, F.lit(0.0), lambda total, x: total + x)))
+
+
+def coverage_pct(box: tuple[float, float, float, float], west: Column, south: Column, east: Column, north: Column, footprint: Column | None = None) -> Column:
+    """Percentage of a box (west, south, east, north) that an item covers, 1 decimal: by its footprint (rings of x, y) where it has one, else by its box."""
     w, s, e, n = (float(x) for x in box)
     across, along = F.least(F.lit(e), east) - F.greatest(F.lit(w), west), F.least(F.lit(n), north) - F.greatest(F.lit(s), south)
-    return F.when((across > 0) & (along > 0), F.bround(F.least(F.lit(100.0), across * along / ((e - w) * (n - s)) * 100.0), 1)).otherwise(0.0)
+    by_box = F.when((across > 0) & (along > 0), across * along).otherwise(0.0)
+    area = by_box if footprint is None else F.when(footprint.isNull(), by_box).otherwise(covered_area(footprint, (w, s, e, n)))
+    return F.bround(F.least(F.lit(100.0), area / ((e - w) * (n - s)) * 100.0), 1)
 
 
 def boa_offset(collection: Column, asset: Column, baseline: Column, date: Column) -> Column:

@@ -61,10 +61,11 @@ def order_by_date(scenes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def search_scenes(items: DataFrame, box: tuple[float, float, float, float], start: str, end: str, most_cloud: float = 100.0) -> DataFrame:
-    """Items of the period with their coverage of the box; cloud at most most_cloud, and for Sentinel-2 no-data at most 20."""
+    """Items of the period with their coverage of the box, by `footprint` (rings) where that column is there and not null; cloud at most most_cloud, and
+    for Sentinel-2 no-data at most 20."""
     found = items.filter((F.col("dt") >= F.lit(start).cast("date")) & (F.col("dt") <= F.lit(end).cast("date")))
     found = found.filter(F.col("cloud").isNull() | (F.col("cloud") <= most_cloud)).filter((F.col("collection") != "sentinel-2-l2a") | (F.col("nodata_pct") <= 20))
-    return found.withColumn("coverage", fn.coverage_pct(box, F.col("west"), F.col("south"), F.col("east"), F.col("north")))
+    return found.withColumn("coverage", fn.coverage_pct(box, F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("footprint") if "footprint" in items.columns else None))
 
 
 def rank_scenes(found: DataFrame, limit: int = 12) -> DataFrame:

@@ -78,6 +78,22 @@ _COV = "CASE WHEN least(4.0, east) > greatest(2.0, west) AND least(3.0, north) >
 _FOUND = f"__s AS (SELECT *, {_COV} AS coverage FROM stac_items WHERE dt >= DATE '1993-01-01' AND dt <= DATE '1997-12-31' AND (cloud IS NULL OR cloud <= 60) AND (collection <> 'sentinel-2-l2a' OR nodata_pct <= 20))"
 _search = lambda s, d: ops.search_scenes(_items(s, d), _BOX, "1993-01-01", "1997-12-31", 60.0)
 query("stac_coverage", f"{_FOUND} SELECT item_id, coverage FROM __s", "stac_items")(lambda s, d: _search(s, d).select("item_id", "coverage"))
+# Triangles over an item's box, for items with odd numbers.  In DuckDB: both shapes are convex, so their common part has as corners those of
+# either that lie in the other, and the crossings of sides; its area by the corners in their order around the middle.
+_TRIANGLE = """__t AS (SELECT item_id, west + 0.0137 AS ax, south + 0.0219 AS ay, east AS bx, south + 0.0313 AS by_, west + (item_id % 11) / 10.0 + 0.0071 AS cx, north AS cy FROM __s WHERE item_id % 2 = 1),
+__side AS (SELECT item_id, ax AS px, ay AS py, bx AS qx, by_ AS qy FROM __t UNION ALL SELECT item_id, bx, by_, cx, cy FROM __t UNION ALL SELECT item_id, cx, cy, ax, ay FROM __t),
+__corner AS (SELECT unnest([2.0, 4.0, 4.0, 2.0]) AS x, unnest([1.0, 1.0, 3.0, 3.0]) AS y),
+__v AS (SELECT DISTINCT item_id, round(x, 12) AS x, round(y, 12) AS y FROM (
+  SELECT item_id, px AS x, py AS y FROM __side WHERE px BETWEEN 2 AND 4 AND py BETWEEN 1 AND 3
+  UNION ALL SELECT item_id, x, y FROM __side CROSS JOIN __corner GROUP BY item_id, x, y HAVING bool_and((qx - px) * (y - py) - (qy - py) * (x - px) >= 0)
+  UNION ALL SELECT item_id, k, py + (k - px) / (qx - px) * (qy - py) FROM __side CROSS JOIN (SELECT unnest([2.0, 4.0]) AS k) WHERE qx <> px AND (k - px) / (qx - px) BETWEEN 0 AND 1 AND py + (k - px) / (qx - px) * (qy - py) BETWEEN 1 AND 3
+  UNION ALL SELECT item_id, px + (k - py) / (qy - py) * (qx - px), k FROM __side CROSS JOIN (SELECT unnest([1.0, 3.0]) AS k) WHERE qy <> py AND (k - py) / (qy - py) BETWEEN 0 AND 1 AND px + (k - py) / (qy - py) * (qx - px) BETWEEN 2 AND 4)),
+__o AS (SELECT item_id, x, y, atan2(y - avg(y) OVER w, x - avg(x) OVER w) AS turn, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM __v WINDOW w AS (PARTITION BY item_id)),
+__n AS (SELECT *, coalesce(lead(x) OVER u, first_value(x) OVER u) AS nx, coalesce(lead(y) OVER u, first_value(y) OVER u) AS ny FROM __o WINDOW u AS (PARTITION BY item_id ORDER BY turn, x, y)),
+__a AS (SELECT item_id, abs(sum(x * ny - nx * y)) / 2 AS area FROM __n GROUP BY item_id)"""
+query("stac_footprints", f"{_FOUND}, {_TRIANGLE} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN coverage ELSE round_even(least(100.0, coalesce(area, 0.0) / 4.0 * 100.0), 1) END AS coverage FROM __s LEFT JOIN __a USING (item_id)", "stac_items")(
+    lambda s, d: ops.search_scenes(_items(s, d).withColumn("footprint", F.expr("CASE WHEN item_id % 2 = 1 THEN array(array(struct(west + 0.0137D AS x, south + 0.0219D AS y), struct(east AS x, south + 0.0313D AS y), struct(west + (item_id % 11) / 10D + 0.0071D AS x, north AS y), struct(west + 0.0137D AS x, south + 0.0219D AS y))) END")), _BOX, "1993-01-01", "1997-12-31", 60.0).select("item_id", "coverage")
+)
 query("rank_scenes", f"{_FOUND} SELECT item_id, coverage FROM __s ORDER BY coverage DESC, coalesce(cloud, 50), nodata_pct, item_id LIMIT 12", "stac_items")(lambda s, d: ops.rank_scenes(_search(s, d)).select("item_id", "coverage"))
 query("coverage_gate", f"{_FOUND} SELECT item_id, NOT (coverage < 50 AND count(*) OVER (PARTITION BY dt) = 1) AS accepted FROM __s", "stac_items")(lambda s, d: ops.coverage_gate(_search(s, d)).select("item_id", "accepted"))
 _NEED = " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in fn.REQUIRED_ASSETS.items())

@@ -17,19 +17,19 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(b) for i, b in enumerate(_BANDS)])
 
 
-def _fit(kind):
+def _fit(kind, **boosting):
     def run(spark, sf_dir):
         rows = vectors(spark, sf_dir)
-        model = ops.fit(rows.filter("vec_id % 5 <> 0"), _BANDS, kind)
+        model = ops.fit(rows.filter("vec_id % 5 <> 0"), _BANDS, kind, **boosting)
         return model.transform(rows.filter("vec_id % 5 = 0")).select("vec_id", "label", "prediction")
 
     return run
 
 
 query("fit_rf")(_fit("random_forest"))
-query("fit_gbt")(_fit("gradient_boosting"))
+query("fit_gbt")(_fit("gradient_boosting", rounds=20, depth=3))
 query("fit_lr")(_fit("logistic_regression"))
-query("train_report")(lambda s, d: ops.train_report(vectors(s, d), _BANDS))
+query("train_report")(lambda s, d: ops.train_report(vectors(s, d), _BANDS, rounds=10, depth=3))
 
 
 def rgb(spark, sf_dir):
