@@ -46,6 +46,20 @@ def stream_cusum(spark, sf_dir):
     return found.select("cell", F.col("ts").cast("timestamp_ntz").alias("ts"), F.bround("up", 6).alias("up"), F.bround("down", 6).alias("down"), "hit")
 
 
+# Rows that the final watermark, one hour behind the newest row, has passed.
+@query("stream_cusum_ordered", f"WITH {_WALK} SELECT cell, ts, round_even(up, 6) AS up, round_even(down, 6) AS down, hit FROM __w WHERE i > 0 AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)", recursive=True)
+def stream_cusum_ordered(spark, sf_dir):
+    base = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    found = ops.finished(ops.ordered_cusum(arriving(spark, sf_dir).join(base, "cell")))
+    return found.select("cell", F.col("ts").cast("timestamp_ntz").alias("ts"), F.bround("up", 6).alias("up"), F.bround("down", 6).alias("down"), "hit")
+
+
+# Windows of 6 hours that begin every 2 hours: each row is in three.
+@query("stream_sliding", "SELECT cell, start, n, round_even(mean, 6) AS mean, min, max FROM (SELECT cell, start, count(value) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max FROM (SELECT user_id AS cell, value, unnest([time_bucket(INTERVAL 2 HOURS, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOURS FOR k IN range(3)]) AS start FROM events) GROUP BY 1, 2) WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def stream_sliding(spark, sf_dir):
+    return ops.finished(ops.windowed_stats(arriving(spark, sf_dir), "cell", "6 hours", "1 hour", "2 hours")).select("cell", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.bround("mean", 6).alias("mean"), "min", "max")
+
+
 @query("stream_anomaly", "SELECT cell, ts, y, round_even(base, 8) AS base, round_even(y - base, 8) AS anomaly FROM (SELECT user_id AS cell, ts, value AS y, avg(value) OVER (PARTITION BY user_id, month(ts)) AS base FROM events)")
 def stream_anomaly(spark, sf_dir):
     base = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell"), F.month("ts").alias("season")).agg(F.avg("value").alias("base"))

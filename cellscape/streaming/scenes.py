@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellscape.sources.scratch import new_folder
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def finished(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there now, to a Parquet table in the shared folder, and read that table."""
     spark = stream.sparkSession
     out = new_folder(spark)
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    # Operators with timers and lists in their state need this store; it is read when a query starts.
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -69,6 +81,76 @@ def cusum(stream: DataFrame, threshold: float = 3.0, slack: float = 0.5, late: s
     return stream.groupBy("cell").applyInPandasWithState(step, "cell long, ts timestamp, up double, down double, hit boolean", "up double, down double", "append", timeout)
 
 
+class OrderedSums(StatefulProcessor):
+    """CUSUM of one cell in order of event time: rows wait in a list until the watermark has passed them."""
+
+    def __init__(self, threshold: float, slack: float, idle_ms: int | None):
+        self.threshold, self.slack, self.idle_ms = threshold, slack, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, y double, mean double, std double")
+        self.sums = handle.getValueState("sums", "up double, down double, last long")
+
+    def _wake(self, at_us: int) -> None:
+        """One timer a cell: at the earliest row that waits, or when the cell has been idle for long enough."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [(r.us, r.y, r.mean, r.std) for r in rows if r.us > passed]
+        if fresh:
+            earliest = min(r[0] for r in [*self.waiting.get(), *fresh])
+            self.waiting.appendList(fresh)
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is None, r[1] or 0.0))
+        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        up, down, last = self.sums.get() if self.sums.exists() else (0.0, 0.0, None)
+        if not rows and last is not None and self.idle_ms is not None and last + self.idle_ms * 1000 <= passed:
+            self.sums.clear()
+            return
+        for us, y, mean, std in ready:
+            if last is not None and self.idle_ms is not None and us - last > self.idle_ms * 1000:
+                up = down = 0.0
+            z = (y - mean) / std if y is not None and mean is not None and std and std > 1e-6 else 0.0
+            up, down, last = max(0.0, up + z - self.slack), max(0.0, down - z - self.slack), us
+            hit = up > self.threshold or down > self.threshold
+            yield Row(cell=key[0], us=us, up=up, down=down, hit=hit)
+            if hit:
+                up = down = 0.0
+        if ready:
+            self.sums.update((up, down, last))
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+            if self.idle_ms is not None and last is not None:
+                self._wake(last + self.idle_ms * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_cusum(stream: DataFrame, threshold: float = 3.0, slack: float = 0.5, late: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
+    """(cell, ts, up, down, hit) like `cusum`, whatever order rows arrive in.
+
+    A row waits in its cell's state until the newest row is `late` ahead of it, then cells take their rows in order of ts and y; rows that come later than
+    that are dropped.  A cell without rows for more than `idle_ms` of event time starts anew, and a timer removes its state once the watermark says so.
+    State lives in RocksDB: where a query is started by hand, set STORE to ROCKSDB first.
+    """
+    kind = dict(stream.dtypes)["cell"]
+    rows = stream.withWatermark("ts", late).select("cell", "ts", F.unix_micros("ts").alias("us"), "y", "mean", "std")
+    out = rows.groupBy("cell").transformWithState(OrderedSums(threshold, slack, idle_ms), f"cell {kind}, us long, up double, down double, hit boolean", "Append", "EventTime")
+    return out.select("cell", F.timestamp_micros("us").alias("ts"), "up", "down", "hit")
+
+
 def anomalies(stream: DataFrame, baseline: DataFrame) -> DataFrame:
     """(cell, ts, y, base, anomaly): arriving rows against a stored baseline (cell, season, base), season being the month."""
     return stream.withColumn("season", F.month("ts")).join(baseline, ["cell", "season"], "left").select("cell", "ts", "y", "base", (F.col("y") - F.col("base")).alias("anomaly"))
