@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellscape.operators import leaves
+from cellscape.operators.quantiles import quantiles
+
 
 def triangle(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """A one-ring polygon of three vertices."""
@@ -24,16 +27,43 @@ def edges(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     return pair.select(key, F.col("e.a.x").alias("xa"), F.col("e.a.y").alias("ya"), F.col("e.b.x").alias("xb"), F.col("e.b.y").alias("yb")).filter("ya <> yb or xa <> xb")
 
 
-def rasterize(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
-    """(key, r, c): cells whose centre is inside, by scanlines: each row's crossings, sorted and paired."""
+#: Cells of a row that are held together where spans meet them.
+SEGMENT = 256
+
+
+def spans(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """(key, r, c0, c1): runs of cells whose centre is inside, by scanlines: each row's crossings, sorted and paired."""
     e = edges(polygons, key, rings).filter("ya <> yb").selectExpr(key, "least(ya, yb) as lo", "greatest(ya, yb) as hi", "xa", "ya", "(xb - xa) / (yb - ya) as slope")
     # Row r is crossed when lo <= r + 0.5 < hi.
     rows = e.withColumn("first", F.ceil(F.col("lo") - 0.5)).withColumn("last", F.ceil(F.col("hi") - 0.5) - 1).filter("first <= last")
     hit = rows.select(key, F.explode(F.sequence("first", "last")).alias("r"), "xa", "ya", "slope").withColumn("x", F.col("xa") + (F.col("r") + 0.5 - F.col("ya")) * F.col("slope"))
     line = hit.groupBy(key, "r").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda i: F.struct(F.ceil(F.element_at("xs", i) - 0.5).alias("c0"), (F.ceil(F.element_at("xs", i + 1) - 0.5) - 1).alias("c1")))
-    spans = line.filter(F.size("xs") > 1).select(key, "r", F.explode(pairs).alias("s")).filter("s.c0 <= s.c1")
-    return spans.select(key, "r", F.explode(F.sequence(F.col("s.c0"), F.col("s.c1"))).alias("c"))
+    return line.filter(F.size("xs") > 1).select(key, "r", F.explode(pairs).alias("s")).filter("s.c0 <= s.c1").select(key, "r", "s.c0", "s.c1")
+
+
+def rasterize(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """(key, r, c): cells whose centre is inside."""
+    return spans(polygons, key, rings).select(key, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+
+
+def pieces(polygons: DataFrame, key: str, rings: str = "rings", size: int = SEGMENT) -> DataFrame:
+    """(key, r, seg, c0, c1): spans cut where segments of rows end; a span over many cells is few rows."""
+    k = lambda c: F.floor(F.col(c) / size)
+    cut = spans(polygons, key, rings).select(key, "r", F.explode(F.sequence(k("c0"), k("c1"))).alias("seg"), "c0", "c1")
+    return cut.withColumns({"c0": F.greatest("c0", F.col("seg") * size), "c1": F.least("c1", F.col("seg") * size + size - 1)})
+
+
+def segments(cells: DataFrame, columns: list[str], by: list[str] = [], size: int = SEGMENT) -> DataFrame:  # noqa: B006
+    """(by, r, seg, held): the cells (c, columns) of each segment of a row, by column."""
+    return cells.withColumn("seg", F.floor(F.col("c") / size)).groupBy(*by, "r", "seg").agg(F.sort_array(F.collect_list(F.struct("c", *columns))).alias("held"))
+
+
+def cells_in(polygons: DataFrame, key: str, cells: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by, key, r, c, columns): the cells of a raster that lie in polygons; spans meet segments, and only cells that are inside become rows."""
+    met = pieces(polygons, key).join(segments(cells, columns, by), ["r", "seg"])
+    found = met.select(*by, key, "r", F.explode(F.filter("held", lambda x: x["c"].between(F.col("c0"), F.col("c1")))).alias("x"))
+    return found.select(*by, key, "r", "x.*")
 
 
 def inside(x: Column, y: Column, rings: str) -> Column:
@@ -52,40 +82,37 @@ def bbox(rings: str) -> dict[str, Column]:
     return {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, rings: str = "rings", cell: float = 16.0) -> DataFrame:
-    """points joined with the polygons that hold them: an equality join on grid cells of the boxes, then the exact test."""
-    boxes = polygons.withColumns(bbox(rings))
-    k = lambda v: F.floor(F.col(v) / cell)
-    wide = boxes.select(key, rings, F.explode(F.sequence(k("xmin"), k("xmax"))).alias("gx"), "ymin", "ymax").select(key, rings, "gx", F.explode(F.sequence(k("ymin"), k("ymax"))).alias("gy"))
-    return points.withColumns({"gx": k("x"), "gy": k("y")}).join(wide, ["gx", "gy"]).filter(inside(F.col("x"), F.col("y"), rings)).drop("gx", "gy", rings)
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, rings: str = "rings", cell: float = 16.0, most: int = 100_000) -> DataFrame:
+    """points joined with the polygons that hold them: an equality join on adaptive cells, then the exact test."""
+    box = bbox(rings)
+    left = leaves.boxed(points, F.col("x"), F.col("y"), F.col("x"), F.col("y"))
+    right = leaves.boxed(polygons.select(key, F.col(rings).alias("__rings")), *[bbox("__rings")[n] for n in box])
+    met = leaves.joined(left, right, cell, most)
+    return met.filter(inside(F.col("x"), F.col("y"), "__rings")).select(*points.columns, key)
 
 
-def boxes_that_meet(left: DataFrame, right: DataFrame, cell: float = 2.0) -> DataFrame:
+def boxes_that_meet(left: DataFrame, right: DataFrame, cell: float = 2.0, most: int = 100_000) -> DataFrame:
     """(left_id, right_id) of boxes (id, west, south, east, north) that intersect.
 
-    A pair is reported from the one grid cell that holds its overlap's lower left corner, so no pair is seen twice.
+    A pair is reported from the one cell that holds its overlap's lower left corner, so no pair is seen twice.
     """
-    k = lambda v: F.floor(F.col(v) / cell)
-
-    def spread(df: DataFrame, side: str) -> DataFrame:
-        df = df.select(*[F.col(n).alias(f"{side}_{n}") for n in ("id", "west", "south", "east", "north")])
-        df = df.withColumn("gx", F.explode(F.sequence(k(f"{side}_west"), k(f"{side}_east"))))
-        return df.withColumn("gy", F.explode(F.sequence(k(f"{side}_south"), k(f"{side}_north"))))
+    sides = [leaves.boxed(df.select(F.col("id").alias(f"{n}_id"), "west", "south", "east", "north"), *map(F.col, ("west", "south", "east", "north"))).drop("west", "south", "east", "north") for df, n in ((left, "left"), (right, "right"))]
+    return leaves.joined(*sides, cell, most).filter(leaves.at_corner(cell)).select("left_id", "right_id")
 
-    j = spread(left, "left").join(spread(right, "right"), ["gx", "gy"])
-    x, y = F.greatest("left_west", "right_west"), F.greatest("left_south", "right_south")
-    meet = (x <= F.least("left_east", "right_east")) & (y <= F.least("left_north", "right_north"))
-    return j.filter(meet & (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))).select("left_id", "right_id")
 
+def within_distance(left: DataFrame, right: DataFrame, distance: float, most: int = 100_000) -> DataFrame:
+    """(left_id, right_id, distance) of points (id, x, y) at most `distance` apart: a left point meets the cells about it, a right one its own.
 
-def within_distance(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
-    """(left_id, right_id, distance) of points (id, x, y) at most `distance` apart: cells of that size, nine neighbours."""
-    k = lambda v: F.floor(F.col(v) / distance)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.select(F.col("id").alias("left_id"), F.col("x").alias("xa"), F.col("y").alias("ya")).withColumn("o", F.explode(near)).select("left_id", "xa", "ya", (F.floor(F.col("xa") / distance) + F.col("o.i")).alias("gx"), (F.floor(F.col("ya") / distance) + F.col("o.j")).alias("gy"))
-    b = right.select(F.col("id").alias("right_id"), F.col("x").alias("xb"), F.col("y").alias("yb"), k("x").alias("gx"), k("y").alias("gy"))
+    Cells are as wide as the distance and are not cut further; one with many rows is dealt by parts.
+    """
+    a = left.select(F.col("id").alias("left_id"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = right.select(F.col("id").alias("right_id"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    # A little wider than the distance, so that rounding hides no neighbour.
+    d = distance * (1 + 1e-9)
+    a = leaves.boxed(a, F.col("xa") - d, F.col("ya") - d, F.col("xa") + d, F.col("ya") + d)
     dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-    return a.join(b, ["gx", "gy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter(F.col("distance") <= distance).select("left_id", "right_id", "distance")
+    met = leaves.joined(a, leaves.boxed(b, *map(F.col, ("xb", "yb", "xb", "yb"))), distance, most, levels=0)
+    return met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter(F.col("distance") <= distance).select("left_id", "right_id", "distance")
 
 
 def ring_area(rings: str) -> Column:
@@ -100,8 +127,23 @@ def ring_area(rings: str) -> Column:
 
 
 def zonal_stats(zones: DataFrame, cells: DataFrame, key: str, value: str) -> DataFrame:
-    """Per zone count, mean, min and max of the valid cells inside; empty zones count 0."""
-    got = rasterize(zones, key).join(cells.select("r", "c", F.col(value).alias("__v")), ["r", "c"]).groupBy(key).agg(F.count("__v").alias("n"), F.bround(F.avg("__v"), 6).alias("mean"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    """Per zone count, mean, min and max of the valid cells inside; empty zones count 0.
+
+    Neither a polygon's cells nor pairs of a zone and a cell become rows: a segment of a row that a span covers whole answers with its sums, at
+    the ends of a span the cells inside are added up where they are held.
+    """
+    v = cells.select("r", "c", F.col(value).cast("double").alias("v")).filter("v is not null")
+    whole = segments(v, ["v"]).withColumns({"vs": F.transform("held", lambda x: x["v"]), "at": F.transform("held", lambda x: x["c"])})
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    whole = whole.select("r", "seg", "held", F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last"), F.size("vs").alias("n"), total(F.col("vs")).alias("sum"), F.array_min("vs").alias("min"), F.array_max("vs").alias("max"))
+    met = pieces(zones, key).join(whole, ["r", "seg"])
+    full = (F.col("c0") <= F.col("first")) & (F.col("c1") >= F.col("last"))
+    inner = F.when(~full, F.transform(F.filter("held", lambda x: x["c"].between(F.col("c0"), F.col("c1"))), lambda x: x["v"]))
+    of = met.select(key, inner.alias("inner"), full.alias("full"), "n", "sum", "min", "max")
+    either = lambda a, b: F.when(F.col("full"), F.col(a)).otherwise(b)
+    parts = of.select(key, either("n", F.size("inner")).alias("n"), either("sum", total(F.col("inner"))).alias("sum"), either("min", F.array_min("inner")).alias("min"), either("max", F.array_max("inner")).alias("max"))
+    got = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    got = got.select(key, "n", F.bround(F.try_divide("sum", "n"), 6).alias("mean"), "min", "max")
     return zones.select(key).join(got, key, "left").na.fill(0, ["n"])
 
 
@@ -113,7 +155,7 @@ def sample_at_points(points: DataFrame, cells: DataFrame, bands: list[str], x0:
 
 def sample_at_polygons(zones: DataFrame, cells: DataFrame, key: str, bands: list[str]) -> DataFrame:
     """(key, r, c, bands) of the cells inside whose bands are all valid."""
-    return rasterize(zones, key).join(cells.select("r", "c", *bands), ["r", "c"]).dropna(subset=bands)
+    return cells_in(zones, key, cells.dropna(subset=bands), bands)
 
 
 def mosaic(layers: list[DataFrame]) -> DataFrame:
@@ -127,8 +169,9 @@ def mosaic(layers: list[DataFrame]) -> DataFrame:
 
 def zonal_series(zones: DataFrame, series: DataFrame, key: str, date: str = "t", value: str = "value") -> DataFrame:
     """(date, key, mean, median, sum, std) of a long series (date, r, c, value) over the cells of each zone; population deviation."""
-    held = rasterize(zones, key).join(series.select(date, "r", "c", F.col(value).alias("__v")), ["r", "c"])
-    return held.groupBy(date, key).agg(F.bround(F.avg("__v"), 6).alias("mean"), F.median("__v").alias("median"), F.sum("__v").alias("sum"), F.bround(F.stddev_pop("__v"), 6).alias("std"))
+    held = cells_in(zones, key, series.select(date, "r", "c", F.col(value).alias("__v")), ["__v"], [date])
+    got = held.groupBy(date, key).agg(F.bround(F.avg("__v"), 6).alias("mean"), F.sum("__v").alias("sum"), F.bround(F.stddev_pop("__v"), 6).alias("std"))
+    return got.join(quantiles(held, {"__m": ("__v", (0.5,))}, [date, key]), [date, key]).select(date, key, "mean", F.col("__m")[0].alias("median"), "sum", "std")
 
 
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "intersection", within: DataFrame | None = None) -> DataFrame:
@@ -202,27 +245,22 @@ def polygons_meet(left: Column, right: Column, predicate: str = "intersects") ->
     return F.transform(F.array(_sides(left)), lambda a: F.transform(F.array(_sides(right)), lambda b: test(a, b))[0])[0]
 
 
-def spatial_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", predicate: str = "intersects", cell: float = 1.0) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", predicate: str = "intersects", cell: float = 1.0, most: int = 100_000) -> DataFrame:
     """(left_key, right_key) of polygon layers with rings: pairs for which the predicate holds, and with how = left or right the
     features without a partner once with null.
 
-    Candidates come from an equality join on grid cells of the boxes; a pair is tested in the one cell that holds its boxes' overlap's
-    lower left corner.  `cell` should be about the size of a usual box.
+    Candidates come from an equality join on adaptive cells of the boxes; a pair is tested in the one cell that holds its boxes' overlap's
+    lower left corner.  `cell` should be about the size of a usual box; cells with more than `most` rows are cut.
     """
     if how not in ("inner", "left", "right"):
         raise ValueError("how must be inner, left or right")
 
-    def spread(df: DataFrame, key: str, side: str) -> DataFrame:
+    def boxed(df: DataFrame, key: str, side: str) -> DataFrame:
         df = df.select(F.col(key).alias(f"{side}_key"), F.col("rings").alias(f"{side}_rings"))
-        df = df.withColumns({f"{side}_{k}": c for k, c in bbox(f"{side}_rings").items()})
-        df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col(f"{side}_xmin") / cell), F.floor(F.col(f"{side}_xmax") / cell))))
-        return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col(f"{side}_ymin") / cell), F.floor(F.col(f"{side}_ymax") / cell))))
-
-    j = spread(left, left_key, "l").join(spread(right, right_key, "r"), ["gx", "gy"])
-    x, y = F.greatest("l_xmin", "r_xmin"), F.greatest("l_ymin", "r_ymin")
-    boxes = (x <= F.least("l_xmax", "r_xmax")) & (y <= F.least("l_ymax", "r_ymax"))
-    first = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))
-    pairs = j.filter(boxes & first).filter(polygons_meet(F.col("l_rings"), F.col("r_rings"), predicate)).select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key))
+        return leaves.boxed(df, *[bbox(f"{side}_rings")[n] for n in ("xmin", "ymin", "xmax", "ymax")])
+
+    met = leaves.joined(boxed(left, left_key, "l"), boxed(right, right_key, "r"), cell, most).filter(leaves.at_corner(cell))
+    pairs = met.filter(polygons_meet(F.col("l_rings"), F.col("r_rings"), predicate)).select(F.col("l_key").alias(left_key), F.col("r_key").alias(right_key))
     if how == "left":
         return left.select(left_key).join(pairs, left_key, "left")
     if how == "right":

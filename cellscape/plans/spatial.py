@@ -32,11 +32,11 @@ def zonal_ndvi(spark, sf_dir):
     """Flagship: roles, calibration, NDVI, polygons, zone means and the area above 0.4."""
     ndvi = cell_ops.compute_index(_scene(spark, sf_dir), "ndvi", date="2023-05-01")
     z = zones(spark, sf_dir)
-    got = ops.rasterize(z, "zone_id").join(ndvi, ["r", "c"]).groupBy("zone_id").agg(F.count("value").alias("n"), F.bround(F.avg("value"), 6).alias("mean_ndvi"), F.count_if(F.col("value") > 0.4).alias("green"))
+    got = ops.cells_in(z, "zone_id", ndvi, ["value"]).groupBy("zone_id").agg(F.count("value").alias("n"), F.bround(F.avg("value"), 6).alias("mean_ndvi"), F.count_if(F.col("value") > 0.4).alias("green"))
     return z.select("zone_id").join(got, "zone_id", "left").na.fill(0, ["n", "green"]).withColumn("green_ha", F.bround(F.col("green") * 100 / 10000.0, 3))
 
 
-query("rasterize", f"{_CELLS_IN} SELECT zone_id, r, c FROM __z", ("scene_cells", "zones"))(lambda s, d: ops.rasterize(zones(s, d), "zone_id").join(_scene(s, d).select("r", "c"), ["r", "c"]).select("zone_id", "r", "c"))
+query("rasterize", f"{_CELLS_IN} SELECT zone_id, r, c FROM __z", ("scene_cells", "zones"))(lambda s, d: ops.cells_in(zones(s, d), "zone_id", _scene(s, d), []).select("zone_id", "r", "c"))
 query("zonal_stats", f"{_CELLS_IN} SELECT z.zone_id, count(nir) AS n, round_even(avg(nir), 6) AS mean, min(nir) AS min, max(nir) AS max FROM zones z LEFT JOIN __z ON z.zone_id = __z.zone_id GROUP BY z.zone_id", ("scene_cells", "zones"))(lambda s, d: ops.zonal_stats(zones(s, d), _scene(s, d), "zone_id", "nir"))
 query("zonal_series", f"{_CELLS_IN}, __t AS (SELECT zone_id, 0 AS t, red AS v FROM __z UNION ALL SELECT zone_id, 1, nir FROM __z) SELECT t, zone_id, round_even(avg(v), 6) AS mean, median(v) AS median, sum(v) AS sum, round_even(stddev_pop(v), 6) AS std FROM __t GROUP BY ALL", ("scene_cells", "zones"))(
     lambda s, d: ops.zonal_series(zones(s, d), _scene(s, d).select("r", "c", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(b).alias("value")) for t, b in enumerate(("red", "nir"))])).alias("x")).select("r", "c", "x.t", "x.value"), "zone_id")
