@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,11 +83,85 @@ def _sorted_series(series: DataFrame) -> DataFrame:
     return series.filter("y is not null").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("d", "y"))).alias("s"), F.count("*").alias("n"))
 
 
+def pair_order(v: np.ndarray, least: int = 64) -> tuple[int, int]:
+    """(ascents, ties) among all pairs of an earlier and a later value: halves are sorted and counted against each other, so no pair is made."""
+    n = len(v)
+    if n <= least:
+        later = np.triu(np.ones((n, n), bool), 1)
+        return int(((v[None, :] > v[:, None]) & later).sum()), int(((v[None, :] == v[:, None]) & later).sum())
+    half = n // 2
+    left, right = np.sort(v[:half]), v[half:]
+    below, upto = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
+    (a, t), (c, u) = pair_order(v[:half], least), pair_order(right, least)
+    return a + c + int(below.sum()), t + u + int((upto - below).sum())
+
+
+def _key(x: float) -> int:
+    """An integer for a double, in the order of doubles."""
+    bits = int(np.float64(x).view(np.int64))
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+
+def _of_key(k: int) -> float:
+    return float(np.int64(k).view(np.float64)) if k >= 0 else -float(np.int64(-k).view(np.float64))
+
+
+def middle_slope(x: np.ndarray, y: np.ndarray, most: int = 512) -> float | None:
+    """The median slope of all pairs of different x, for points in order of x and y; None for fewer than 3 such pairs.
+
+    Long series: slopes up to a trial slope m are the pairs in which y - m * x does not rise, so a rank is found by halving between the
+    extremes and counting, with no array of slopes.
+    """
+    n = len(x)
+    if n <= most:
+        i, j = np.triu_indices(n, 1)
+        ok = x[j] > x[i]
+        slopes = (y[j][ok] - y[i][ok]) / (x[j][ok] - x[i][ok])
+        return float(np.median(slopes)) if len(slopes) >= 3 else None
+    pairs = n * (n - 1) // 2
+    _, sizes = np.unique(x, return_counts=True)
+    _, equal = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+    same_x, same = int((sizes * (sizes - 1) // 2).sum()), int((equal * (equal - 1) // 2).sum())
+    m = pairs - same_x
+    if m < 3:
+        return None
+    steep = float(y.max() - y.min()) / float(np.diff(np.unique(x)).min())
+
+    def smallest(rank: int) -> float:
+        lo, hi = _key(-steep), _key(steep)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if pairs - pair_order(y - _of_key(mid) * x)[0] - same >= rank:
+                hi = mid
+            else:
+                lo = mid + 1
+        return _of_key(lo)
+
+    a = smallest((m + 1) // 2)
+    return a if m % 2 else (a + smallest(m // 2 + 1)) / 2
+
+
+def _per_cell(series: DataFrame, run, out: str) -> DataFrame:
+    """(cell, n, out) with out = run(days from the cell's first date, values) of each cell's valid rows, a cell a row."""
+    rows = _sorted_series(series).select("cell", F.transform("s", lambda x: F.datediff(x["d"], F.col("s")[0]["d"])).alias("x"), F.transform("s", lambda x: x["y"].cast("double")).alias("y"), "n")
+    kind = dict(rows.dtypes)["cell"]
+
+    def each(batches):
+        for b in batches:
+            found = [run(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64), np.asarray(y.values.to_numpy(zero_copy_only=False), np.float64)) for x, y in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(found, pa.float64())], names=["cell", "n", out])
+
+    return rows.mapInArrow(each, f"cell {kind}, n long, {out} double")
+
+
+def _kendall(x: np.ndarray, y: np.ndarray) -> float:
+    rises, ties = pair_order(y)
+    return float(2 * rises + ties - len(y) * (len(y) - 1) // 2)
+
+
 def mann_kendall(series: DataFrame, alpha: float = 0.05, p_values: bool = True) -> DataFrame:
     """Per cell with 4 values or more: S, tau, z with continuity correction (no tie term) and, on request, p and significance."""
-    # Signs of all later-minus-earlier pairs are added inside the cell's own row; no row is made for a pair.
-    later = lambda x, k: F.aggregate(F.slice("s", k + 2, F.col("n").cast("int")), F.lit(0.0), lambda acc, b: acc + F.signum(b["y"] - x["y"]))
-    g = _sorted_series(series).filter("n >= 4").select("cell", "n", F.aggregate(F.transform("s", later), F.lit(0.0), lambda acc, v: acc + v).alias("s"), (F.col("n") * (F.col("n") - 1) / 2).alias("m"))
+    g = _per_cell(series, _kendall, "s").filter("n >= 4").withColumn("m", F.col("n") * (F.col("n") - 1) / 2)
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     g = g.select("cell", "n", "s", (F.col("s") / F.col("m")).alias("tau"), z.alias("z"))
@@ -94,12 +169,9 @@ def mann_kendall(series: DataFrame, alpha: float = 0.05, p_values: bool = True)
 
 
 def sens_slope(series: DataFrame) -> DataFrame:
-    """Median of all pair slopes per year; 3 values at least."""
-    slopes = lambda a, k: F.transform(F.filter(F.slice("s", k + 2, F.col("n").cast("int")), lambda b: b["d"] > a["d"]), lambda b: (b["y"] - a["y"]) / (F.datediff(b["d"], a["d"]) / F.lit(YEAR)))
-    g = _sorted_series(series).select("cell", F.array_sort(F.flatten(F.transform("s", slopes))).alias("v")).filter(F.size("v") >= 3)
-    half = F.floor((F.size("v") + 1) / 2).cast("int")
-    other = F.floor(F.size("v") / 2).cast("int") + 1
-    return g.select("cell", ((F.element_at("v", half) + F.element_at("v", other)) / 2).alias("slope"))
+    """Median of all pair slopes per year; 3 slopes at least."""
+    found = _per_cell(series, lambda x, y: middle_slope(x / YEAR, y), "slope")
+    return found.filter("slope is not null").select("cell", "slope")
 
 
 def seasonal_baseline(series: DataFrame, period: str = "month", stat: str = "median") -> DataFrame:
