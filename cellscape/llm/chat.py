@@ -4,12 +4,15 @@ A row's text is cut where a line starts with a speaker marker; the pieces are th
 marker, whether it starts a row, its words, lines, final question mark and code fence.  Transition and feature
 probabilities are counted from rows whose role is known; roles are never read when pieces are decoded.
 
+A marker is dropped only where its role is the decoded one: a line of an answer that happens to begin with a speaker's name stays, and the turn
+goes on.
+
 Viterbi decoding is a max-plus matrix product, which is associative.  `width` consecutive pieces of a conversation are
 one block with one matrix, whatever their turn numbers; blocks of blocks are combined level by level, and the best states at the borders are handed down
 again.  A conversation of any length is thus many small tasks, and no conversation is gathered into one.
 
-Cases: null texts are empty and make one piece; rows without a turn come first; equal turn numbers are ordered by text;
-repeated rows are separate pieces; null conv_ids are one conversation; unknown roles teach nothing; long texts are cut and
+Cases: null texts are empty and make one piece; rows without a turn come first; equal turn numbers are ordered by a hash of the text;
+repeated rows are rows of their own; null conv_ids are one conversation; unknown roles teach nothing; long texts are cut and
 rendered whole, one piece at least; an empty table gives an empty one.
 """
 
@@ -33,16 +36,27 @@ MARKER = r"[ \t]*(?:#+[ \t]*|<\|)?(" + "|".join(SPEAKERS) + r")(?:\|>|[ \t]*:)[
 SIZES = (len(ROLES) + 1, 2, 10, 4, 2, 2)
 
 
+def cut_text(text: Column) -> Column:
+    """A text's pieces, each but the first from a marker at the start of a line on; together they are the text."""
+    return F.split(F.coalesce(text, F.lit("")), rf"(?im)(?=^{MARKER})")
+
+
+def bare(raw: Column) -> Column:
+    """A piece without its marker and the blanks around it."""
+    return F.btrim(F.regexp_replace(raw, rf"(?i)^{MARKER}", ""), F.lit(" \t\r\n"))
+
+
 def pieces(rows: DataFrame) -> DataFrame:
-    """(conv, turn, given, starts, code, body) of rows (conv, turn, given, text): one row a piece."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = rows.select("conv", "turn", "given", F.posexplode(F.split(text, rf"(?im)(?=^{MARKER})")).alias("piece", "raw"))
+    """(src, conv, turn, given, tie, piece, marker, code, raw) of rows (src, conv, turn, given, text): one row a piece.
+
+    src numbers the rows; tie, a hash of the row's text, orders rows of one turn.
+    """
+    cut = rows.select("src", "conv", "turn", "given", F.xxhash64("text").alias("tie"), F.posexplode(cut_text(F.col("text"))).alias("piece", "raw"))
     word = F.lower(F.regexp_extract("raw", rf"(?i)^{MARKER}", 1))
     marker = F.lit(0)
     for speaker, role in SPEAKERS.items():
         marker = F.when(word == speaker, ROLES.index(role) + 1).otherwise(marker)
-    body = F.trim(F.regexp_replace("raw", rf"(?i)^{MARKER}", ""))
-    cut = cut.select("conv", "turn", "given", "piece", marker.alias("marker"), body.alias("body"))
+    cut = cut.withColumns({"marker": marker, "body": bare(F.col("raw"))})
     words = F.size(F.split("body", r"\s+"))
     digits = [
         F.col("marker"),
@@ -55,7 +69,7 @@ def pieces(rows: DataFrame) -> DataFrame:
     code = F.lit(0)
     for d, n in zip(digits, SIZES):
         code = code * n + d
-    return cut.select("conv", "turn", "given", "piece", code.alias("code"), "body")
+    return cut.select("src", "conv", "turn", "given", "tie", "piece", "marker", code.alias("code"), "raw")
 
 
 def features_of(codes: np.ndarray) -> np.ndarray:
@@ -198,43 +212,73 @@ def rendered(role: str, body: str) -> Column:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Pieces with a number and a hash of the body, which orders pieces of one turn."""
-    return found.withColumn("tie", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id())
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def cut_blocks(found: DataFrame, width: int, most: int = 50_000) -> DataFrame:
     """(conv, block, items) of numbered pieces: block k has a conversation's pieces of ranks k * width on, by turn, text and piece.
-    Items carry a piece's number instead of its body, so texts don't move.
+    Items carry a piece's number instead of its text, so texts don't move.
 
     Ranks are two-level prefix sums over parts of a conversation.  A part is a range of turns; where a range has more than
-    `most` pieces, one turn and a range of the texts' hashes; where that has more (copies), one text, piece and slice of rows.
+    `most` pieces, one turn and a range of the texts' hashes; where that has more (copies), one text and a slice of rows.
     """
-    found = found.select("conv", "turn", "given", "piece", "code", "tie", "row")
+    found = found.select("conv", "turn", "given", "tie", "src", "piece", "code", "row")
     found = found.withColumn("range", F.floor(F.col("turn") / 64)).withColumn("near", F.shiftright("tie", 52))
     for keys, name in ((["conv", "range"], "wide"), (["conv", "turn", "near"], "same")):
         # At most one row for every `most` pieces.
-        large = F.broadcast(found.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias(name)))
+        large = found.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias(name))
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
         found = found.join(large, on, "left").drop(*[f"_{k}" for k in keys]).withColumn(name, F.coalesce(name, F.lit(False)))
     wide, same = F.col("wide"), F.col("wide") & F.col("same")
-    levels = [F.col("range"), F.when(wide, F.col("turn")), F.when(wide, F.col("near"))]
-    levels += [F.when(same, F.col(k)) for k in ("tie", "piece", "given", "code")] + [F.when(same, F.shiftright("row", 16))]
+    levels = [F.col("range"), F.when(wide, F.col("turn")), F.when(wide, F.col("near")), F.when(same, F.col("tie")), F.when(same, F.shiftright("src", 14))]
     found = found.withColumn("part", F.struct(*[x.alias(f"l{i}") for i, x in enumerate(levels)])).withColumn("one", F.lit(1))
-    order = ["turn", "tie", "piece", "given", "code", "row"]
+    order = ["turn", "tie", "src", "piece"]
     ranked = prefix_sums(found.drop("range", "near", "wide", "same"), ["conv"], "part", [F.col(k) for k in order], "one", "rank")
     item = F.struct("rank", "given", "code", "row")
     return ranked.groupBy("conv", F.floor(F.col("rank") / width).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
+def turns(raws: Column, roles: Column, markers: Column) -> Column:
+    """array<piece, role, body> of a row's pieces and what was decoded for them.
+
+    A turn begins with the row, where the role changes, and at a marker of the decoded role; that marker is not part of the body.  A marker of
+    another role is text, and stays; so do the lines after it.
+    """
+    meant = lambda i: F.get(markers, i) == F.get(roles, i) + 1
+    begins = F.filter(F.sequence(F.lit(0), F.size(raws) - 1), lambda i: (i == 0) | meant(i) | (F.get(roles, i) != F.get(roles, i - 1)))
+
+    def cut(begins: Column) -> Column:
+        def turn(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(begins, k + 1), F.size(raws))
+            first = F.when(meant(i), bare(F.get(raws, i))).otherwise(F.get(raws, i))
+            # A marker's piece that others follow keeps the blanks before them.
+            first = F.when(meant(i) & (end > i + 1), F.regexp_replace(F.get(raws, i), rf"(?i)^{MARKER}", "")).otherwise(first)
+            body = F.btrim(F.array_join(F.concat(F.array(first), F.slice(raws, i + 2, end - i - 1)), ""), F.lit(" \t\r\n"))
+            return F.struct(i.alias("piece"), F.array(*map(F.lit, ROLES))[F.get(roles, i)].alias("role"), body.alias("body"))
+
+        return F.transform(begins, turn)
+
+    return F.transform(F.array(begins), cut)[0]
+
+
 def parse_transcripts(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", training: Column | None = None, width: int = 64) -> DataFrame:
-    """(conv_id, turn, piece, given, role, turn_text) of every piece; learns from the rows where `training` holds (a column over conv)."""
-    given = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.col(role_col)).alias("given"), F.col(text_col).alias("text"))
-    found = stored(numbered(pieces(given)))
+    """(conv_id, turn, piece, given, role, turn_text): the turns of every row, `piece` being a turn's first piece; learns from the rows where
+    `training` holds (a column over conv).
+
+    Pieces travel as numbers; texts move once, to the roles of their pieces.
+    """
+    given = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.col(role_col)).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = stored(given.withColumn("src", F.monotonically_increasing_id()))
+    found = stored(numbered(pieces(texts).drop("raw")))
     blocks = stored(cut_blocks(found, width))
     model = fit(blocks.filter(F.lit(True) if training is None else training))
-    out = found.select("row", "conv", "turn", "piece", "given", "body").join(decode(blocks, model, width), "row")
+    index = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
+    decoded = found.select("row", "src", "piece", "marker").join(decode(blocks, model, width), "row")
+    of = decoded.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("piece", index.alias("role"), "marker"))).alias("x"))
+    met = texts.join(of, "src").select("conv", "turn", "given", cut_text(F.col("text")).alias("raws"), F.col("x.role").alias("roles"), F.col("x.marker").alias("markers"))
+    out = met.select("conv", "turn", "given", F.explode(turns(F.col("raws"), F.col("roles"), F.col("markers"))).alias("t")).select("conv", "turn", "given", "t.*")
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "piece", "given", "role", rendered("role", "body").alias("turn_text"))
 
 

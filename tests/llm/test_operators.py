@@ -219,15 +219,15 @@ def test_chat_blocks_equal_one_block(spark):
     rows += [(None, None, "user", None), (2, 0, "tool", "user: hi\nassistant: yes ```"), (2, 0, "tool", "user: hi\nassistant: yes ```"), (3, 1, None, "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     a, b = (chat.parse_transcripts(df, width=w).orderBy("conv_id", "turn", "piece").collect() for w in (8, 10_000))
-    assert a == b and len(a) == 706
+    assert a == b and len(a) == 704  # what the model takes for one turn of a tool is one turn, in each of the two equal rows
     assert chat.parse_transcripts(df.limit(0)).count() == 0
 
 
 def test_chat_blocks_are_bounded(spark):
     rows = [(None, None if i % 3 else 1, "user", "same" if i % 2 else f"text {i}") for i in range(400)] + [(1, i, "user", f"{i}?") for i in range(100)]
-    df = spark.createDataFrame(rows, "conv long, turn long, given string, text string")
-    found = chat.stored(chat.numbered(chat.pieces(df)))
-    body = {r.row: r.body for r in found.collect()}
+    df = spark.createDataFrame(rows, "conv long, turn long, given string, text string").withColumn("src", F.monotonically_increasing_id())
+    found = chat.stored(chat.numbered(chat.pieces(chat.stored(df))))
+    body = {r.row: r.raw for r in found.collect()}
     got = [{(r.conv, r.block): [body[i.row] for i in r["items"]] for r in chat.cut_blocks(found, 8, most).collect()} for most in (20, 50_000)]
     assert got[0] == got[1] and all(len(x) <= 8 for x in got[0].values())
     assert sorted(b for c, b in got[0] if c is None) == list(range(50)) and got[0][1, 12] == [f"{i}?" for i in range(96, 100)]
@@ -243,6 +243,55 @@ def test_chat_escapes_marks(spark):
     assert len({r.turn_text for r in chat.parse_transcripts(df).collect()}) >= len(bodies) - 1
 
 
+def plain_turns(text, roles):
+    """Turns of one text by reading its lines, given the role of each piece."""
+    marker = re.compile(chat.MARKER, re.I)
+    pieces = [""]
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        if marker.match(line) and (pieces[0] or len(pieces) > 1):
+            pieces.append("")
+        pieces[-1] += line
+    out = []
+    for i, (raw, role) in enumerate(zip(pieces, roles)):
+        m = marker.match(raw)
+        meant = bool(m) and chat.SPEAKERS[m.group(1).lower()] == role
+        if i == 0 or meant or role != roles[i - 1]:
+            out.append([i, role, raw[m.end() :] if meant else raw])
+        else:
+            out[-1][2] += raw
+    return len(pieces), [(i, role, body.strip(" \t\r\n")) for i, role, body in out]
+
+
+def test_chat_keeps_every_word(spark):
+    rng = random.Random(2)
+    lines = ["User: admin", "Tool: hammer", "plain words", "  Assistant: yes", "### human: hi", "<|system|> be kind", "", "a user: not a marker", "AI:", "bot:  x  "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows += [(60, "Here are settings:\nUser: admin\nTool: hammer\nDone."), (61, "")]
+    texts = dict(rows)
+    df = spark.createDataFrame([(i, t, [rng.randrange(4) for _ in range(12)]) for i, t in rows], "i int, text string, roles array<int>")
+    df = df.withColumn("raws", chat.cut_text(F.col("text"))).withColumn("roles", F.slice("roles", 1, F.size("raws")))
+    found = chat.pieces(df.select(F.col("i").cast("long").alias("src"), F.lit(1).alias("conv"), F.lit(1).alias("turn"), F.lit("user").alias("given"), "text"))
+    marks = found.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("piece", "marker"))).alias("m"))
+    got = df.join(marks, F.col("i") == F.col("src")).select("i", "raws", "roles", chat.turns(F.col("raws"), F.col("roles"), F.col("m.marker")).alias("t")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert "".join(r.raws) == texts[r.i]
+        n, want = plain_turns(texts[r.i], [chat.ROLES[k] for k in r.roles])
+        assert n == len(r.raws) and [(x.piece, x.role, x.body) for x in r.t] == want
+    one = next(r for r in got if r.i == 60)
+    roles = spark.createDataFrame([(one.raws, [2, 2, 2], [0, 2, 4])], "raws array<string>, roles array<int>, marks array<int>")
+    assert [x.body for x in roles.select(chat.turns(F.col("raws"), F.col("roles"), F.col("marks")).alias("t")).first().t] == [texts[60]]
+
+
+def test_chat_edge_cases(spark, edge):
+    talk = edge.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), F.when(F.col("doc_id") == 2, F.repeat(F.lit("word words\nuser: more\n"), 20_000)).otherwise(F.col("text")).alias("text"), F.lit("x").alias("src"), F.lit(7).alias("piece"), F.lit("y").alias("conv"))
+    got = chat.parse_transcripts(talk).collect()
+    long = [r for r in got if r.conv_id == 2]
+    assert sum(r.turn_text.count("more") for r in long) == 20_000 and len([r for r in got if r.conv_id == 5]) == 2
+    assert {r.conv_id for r in got} == {r.doc_id for r in edge.select("doc_id").collect()}
+    assert chat.parse_transcripts(talk.limit(0)).count() == 0
+
+
 def test_chat_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     k = len(chat.ROLES)
