@@ -4,8 +4,12 @@ Base rules find assignments, access keys and hexadecimal runs.  The method adds
 Markov models, one of random strings and one of ordinary identifiers, give each long run of letters, digits and +/_-=
 a log-likelihood ratio; a run above the threshold that no base span touches is added as kind `markov`.
 Both models are counted from labelled samples of the documents themselves: the values that base rules matched are label 1,
-other long runs with digits at their end only are label 0.  Matched values are few, so a random string may also be one of uniform
-characters: the ratio takes the likelier of both.
+other long runs whose parts between separators are words, words with digits at their end, or digits are label 0.  Matched values are few, so a
+random string may also be one of uniform characters: the ratio takes the likelier of both.
+
+Steps that the samples hardly show back off to steps between classes of characters: identifiers keep to their class, repeat separators, and change
+from small to capital letters or into digits seldom, random strings do so at random.  A run must be LEAST_ODDS times likelier
+random than ordinary, which is the stated cost of marking an ordinary string.
 
 Positions come from the matches and the pieces between them, so they are code points, end exclusive.
 
@@ -35,11 +39,28 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 #: The log-likelihood ratio a character from which a run counts as random.
 LEAST_RATIO = 0.0
-#: A long run that teaches the identifier model: digits at its end only.
-ORDINARY = "^[^0-9]*[0-9]*$"
+#: A base value that teaches the model of random strings: long, of letters and digits; passwords that are words teach nothing.
+RANDOM = "^(?=.*[0-9])(?=.*[A-Za-z]).{16,}$"
+#: How many times likelier random than ordinary a run must be besides.
+LEAST_ODDS = 100.0
+#: A long run that teaches the identifier model: its parts are words, words with a few digits at their end, or digits.
+ORDINARY = "^([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}|[+/_=-]+)([+/_=-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}|$))*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
+#: Classes of characters, and what is believed of identifiers before any is seen: how often one class follows another (a line feed: the start).
+CLASSES = {"small": ALPHABET[26:52], "capital": ALPHABET[:26], "digit": ALPHABET[52:62], "mark": ALPHABET[62:]}
+#: Letters by how often they stand in words, in percent.
+LETTERS = {"a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.8, "l": 4.0, "m": 2.4, "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.1, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 1.0, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.07}
+STEPS = {
+    "start": {"small": 0.60, "capital": 0.20, "digit": 0.05, "mark": 0.15},
+    "small": {"small": 0.79, "capital": 0.09, "digit": 0.04, "mark": 0.08},
+    "capital": {"small": 0.40, "capital": 0.50, "digit": 0.03, "mark": 0.07},
+    "digit": {"small": 0.10, "capital": 0.05, "digit": 0.60, "mark": 0.25},
+    "mark": {"small": 0.55, "capital": 0.15, "digit": 0.10, "mark": 0.20},
+}
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value made once however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -131,7 +152,7 @@ def scanned(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(label, a, b, n): how often character b follows a (a line feed before the first) in the labelled samples."""
     samples = rows.select(F.explode(F.concat(
-        F.transform("base", lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("v"))),
+        F.transform(F.filter("base", lambda s: s["value"].rlike(RANDOM)), lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("v"))),
         F.transform(F.filter("runs", lambda s: s["value"].rlike(ORDINARY)), lambda s: F.struct(F.lit(0).alias("label"), s["value"].alias("v"))),
     )).alias("s")).select("s.*")
     # Equal values are counted once each, so a copied secret does not weigh more: pre-aggregated by value.
@@ -151,15 +172,27 @@ def neighbours(piece: Column) -> Column:
     return F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def ratios(rows: DataFrame, smooth: float = 0.1) -> list[float]:
+def believed(a: str, b: str) -> float:
+    """The believed probability in identifiers of b after a: of its class, and of the character in it; a tenth of that all characters share alike."""
+    of = {c: name for name, chars in CLASSES.items() for c in chars}
+    chars = CLASSES[of[b]]
+    own = LETTERS[b.lower()] / sum(LETTERS.values()) if b.isalpha() else 1 / len(chars)
+    return STEPS[of.get(a, "start")][of[b]] * (0.9 * own + 0.1 / len(chars))
+
+
+def ratios(rows: DataFrame, strength: float = 50.0) -> list[float]:
     """log(P(b | a) if random / P(b | a) if an identifier) at 128 * code(a) + code(b), for random strings like the samples and, 128 * 128
-    places on, for uniform ones; a fixed number of entries."""
+    places on, for uniform ones; a fixed number of entries.
+
+    A character's steps weigh as much as `strength` steps of the belief they back off to: STEPS for identifiers, all alike for random strings.
+    """
     counts = {(r.label, r.a, r.b): r.n for r in pair_counts(rows).collect()}
     k, out = len(ALPHABET), [0.0] * (2 * 128 * 128)
     for a in ["\n", *ALPHABET]:
         total = [sum(counts.get((label, a, b), 0) for b in ALPHABET) for label in (0, 1)]
         for b in ALPHABET:
-            p = [(counts.get((label, a, b), 0) + smooth) / (total[label] + smooth * k) for label in (0, 1)]
+            belief = believed(a, b), 1 / k
+            p = [(counts.get((label, a, b), 0) + strength * belief[label]) / (total[label] + strength) for label in (0, 1)]
             at = 128 * ord(a) + ord(b)
             out[at], out[128 * 128 + at] = math.log(p[1]) - math.log(p[0]), -math.log(k) - math.log(p[0])
     return out
@@ -183,7 +216,7 @@ def log_ratio(value: Column, model: Column) -> Column:
 
 def random_runs(model: Column, least_ratio: float) -> Column:
     """The runs of column `runs` that look random."""
-    found = F.filter("runs", lambda r: log_ratio(r["value"], model) >= least_ratio * F.length(r["value"]))
+    found = F.filter("runs", lambda r: log_ratio(r["value"], model) >= least_ratio * F.length(r["value"]) + math.log(LEAST_ODDS))
     return F.when(F.size("runs") > 0, found).otherwise(F.col("runs"))
 
 
@@ -203,7 +236,7 @@ def _found(docs: DataFrame, text_col: str, least_ratio: float, keep: list[str],
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = LEAST_RATIO, model: list[float] | None = None) -> DataFrame:
     """(id, base, spans): base spans, and those with the method's spans, as arrays in (start, kind) order.
 
-    A run is added when its ratio is at least `least_ratio` a character, under a model of train() or, without one, under that of docs.
+    A run is added when its ratio is at least `least_ratio` a character and LEAST_ODDS, under a model of train() or, without one, under that of docs.
     """
     return _found(docs, text_col, least_ratio, [id_col], model).select(F.col("kept")[id_col].alias(id_col), "base", "spans")
 

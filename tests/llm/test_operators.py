@@ -355,6 +355,35 @@ def test_secret_models_tell_random_strings(spark):
     assert share(1, 200) >= 0.98 and share(3, 100) >= 0.98 and share(2, 200) <= 0.02
 
 
+def test_secret_models_leave_ordinary_strings(spark):
+    """Rules, paths, constants, file names and addresses of pages are left; random strings among them are found."""
+    rng = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = ["-" * 20, "=" * 20, "_" * 40, "usr/local/lib/python3/dist-packages", "en/wiki/1984_Summer_Olympics", "MAX_CONNECTIONS_PER_HOST", "kubectl-describe-pod-7f9c"]
+    words = "user data config value server client path max min count index table query cache local remote build test service model image north summer report final draft list item page".split()
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    kinds = {
+        "constant": lambda: "_".join(pick(4)).upper(),
+        "path": lambda: "/".join(w + rng.choice(["", "", "2", "3"]) for w in pick(5)),
+        "snake": lambda: "_".join(pick(4)) + rng.choice(["", "_v2", "_2021"]),
+        "camel": lambda: "".join(w.title() for w in pick(4)),
+        "file": lambda: "-".join([*pick(2), f"20{rng.randrange(10, 30)}", f"{rng.randrange(1, 13):02}", *pick(1)]),
+        "rule": lambda: rng.choice("-=_+/") * rng.randrange(16, 60),
+        "numbers": lambda: "-".join(str(rng.randrange(1000, 99999)) for _ in range(4)),
+    }
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "given", x) for i, x in enumerate(given)]
+    for k in range(60):
+        rows += [(len(rows) + j, kind, make().ljust(16, "s")) for j, (kind, make) in enumerate(kinds.items())]
+        rows += [(10_000 + 2 * k, "random", "".join(rng.choice(alphabet) for _ in range(24))), (10_001 + 2 * k, "random", "".join(rng.choice(alphabet) for _ in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, v string").withColumn("text", F.concat(F.lit("x "), F.col("v"), F.lit(" y")))
+    found = secrets.find_secrets(df, model=secrets.train(docs.select("doc_id", "text"))).filter(F.exists("spans", lambda s: s["kind"] == 3))
+    marked = {r.kind: r.n for r in found.join(df, "doc_id").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert marked.get("given", 0) == 0
+    assert all(marked.get(k, 0) <= 1 for k in kinds), marked
+    assert marked["random"] >= 0.98 * 120
+
+
 def test_very_long_texts(spark):
     """One text of several megabytes with spaces, one without, one with many secrets, through every operator on texts."""
     import public_tokenizers
