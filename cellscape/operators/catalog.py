@@ -94,10 +94,12 @@ PLACE_SHIFTS = (
     ("typ", ("house", "apartments", "residential", "street", "road", "service", "parking"), -8.0),
     ("cls", ("natural", "place", "boundary", "geological", "waterway", "landuse", "historic"), 5.0),
 )
-# Points of a raster for a deliverable, words that mean a change, and words of a stem that say nothing.
-STEM_POINTS = {"same or part": 200, "date": 100, "change": 60, "year": 40, "word": 10}
-CHANGE_WORDS = "change|diff|transition|loss|gain|comparison"
-EMPTY_WORDS = ("tif", "tiff", "png", "frame", "water", "mask")
+# Points of a raster for a deliverable, words that mean a change, months, ends of a map's name, and words of a stem that say nothing.
+STEM_POINTS = {"same": 200, "date": 100, "change": 60, "year": 40, "month": 30, "word": 10}
+CHANGE_WORDS = ("change", "diff", "transition", "loss", "gain", "comparison")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MAP_ENDS = ("_map", "_plot", "_viz", "_output", "_result", "_classified")
+EMPTY_WORDS = ("tif", "tiff", "png", "frame", "water", "mask", "aral")
 
 
 def place_score() -> Column:
@@ -116,27 +118,59 @@ def rank_places(gazetteer: DataFrame) -> DataFrame:
     return best.select("query", "place_id", "score", side("west", "lon", -1), side("south", "lat", -1), side("east", "lon", 1), side("north", "lat", 1))
 
 
-def match_rasters(targets: DataFrame, rasters: DataFrame, top: int = 3) -> DataFrame:
-    """Per deliverable the best candidate rasters by file stem: equal or containing stems, dates, years, shared tokens."""
-    t, r = F.col("target"), F.col("raster")
-    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1))
-    tokens = lambda x: F.array_except(F.split(x, "[-_.]+"), F.array(*map(F.lit, EMPTY_WORDS)))
-    signs = {
-        "same or part": t.contains(r) | r.contains(t),
-        "date": F.arrays_overlap(found(t, r"(?:19|20)\d\d-\d\d"), found(r, r"(?:19|20)\d\d-\d\d")),
-        "year": F.arrays_overlap(found(t, r"(?:19|20)\d\d"), found(r, r"(?:19|20)\d\d")),
-        "change": t.rlike(CHANGE_WORDS) & r.rlike(CHANGE_WORDS),
+def _stem(x: Column) -> dict[str, Column]:
+    """What a lower-case file stem says: its names (itself, and without a map's ending), dates (with their months), years, words, change."""
+    dates = F.transform(F.regexp_extract_all(x, F.lit(r"(?<!\d)\d{4}[-_]\d{2}(?:[-_]\d{2})?(?!\d)"), F.lit(0)), lambda d: F.translate(d, "_", "-"))
+    return {
+        "names": F.array_distinct(F.array(x, F.regexp_replace(x, f"({'|'.join(MAP_ENDS)})$", ""))),
+        "dates": F.array_distinct(F.concat(dates, F.transform(dates, lambda d: F.substring(d, 1, 7)))),
+        "years": F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?<!\d)(?:19|20)\d{2}(?!\d)"), F.lit(0))),
+        "words": F.array_except(F.split(x, "[-_.]+"), F.array(*map(F.lit, EMPTY_WORDS))),
+        "change": x.rlike("|".join(CHANGE_WORDS)),
     }
-    points = F.size(F.array_intersect(tokens(t), tokens(r))) * STEM_POINTS["word"]
-    for name, holds in signs.items():
+
+
+def _months(x: Column, numbers: bool) -> Column:
+    """Months (1..12) that a stem names, or has as a number after a dash."""
+    holds = lambda m: x.contains(MONTHS[m]) | (F.translate(x, "_", "-").contains(f"-{m + 1:02}") if numbers else F.lit(False))
+    return F.array_compact(F.array(*[F.when(holds(m), F.lit(m + 1)) for m in range(12)]))
+
+
+def match_rasters(targets: DataFrame, rasters: DataFrame, top: int = 3, context: tuple[str, ...] = (), most: int = 1000) -> DataFrame:
+    """(target, raster, points, place): per deliverable the `top` rasters by file stem, of those with any points; equal points by name.
+
+    Points are for the same name (but for a map's ending), a date, a year, months, change on both sides (or in the words of `context`) and shared words.
+    Candidates come from equality joins on those signs.  A sign of more than `most` rasters makes no pairs: rasters are grouped by the frequent
+    signs they bear, and the first `top` of each group stand for it, since all others of it score no more unless a rarer sign is shared.
+    """
+    t, r, changes = F.lower("target"), F.lower("raster"), any(w in c.lower() for c in context for w in CHANGE_WORDS)
+    of = lambda x, c: (_stem(x), F.when(F.lit(c) | x.rlike("|".join(CHANGE_WORDS)), F.array(F.lit("change"))).otherwise(F.array().cast("array<string>")))
+    (ts, tc), (rs, rc) = of(t, changes), of(r, False)
+
+    def keyed(df: DataFrame, name: str, s: dict, months: Column, change: Column) -> DataFrame:
+        parts = [F.transform(s[k], _prefixed(k)) for k in ("names", "dates", "years", "words")]
+        return df.select(name, F.explode(F.array_distinct(F.concat(*parts, F.transform(months, _prefixed("month")), change))).alias("sign"))
+
+    tt = keyed(targets.select("target").distinct(), "target", ts, _months(t, False), tc)
+    rr = keyed(rasters.select("raster").distinct(), "raster", rs, _months(r, True), rc)
+    frequent = rr.groupBy("sign").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("sign")
+    rare = tt.join(rr.join(frequent, "sign", "left_anti"), "sign").select("target", "raster")
+    groups = rr.join(frequent, "sign").groupBy("raster").agg(F.sort_array(F.collect_set("sign")).alias("signs"))
+    first = groups.withColumn("k", F.row_number().over(W.partitionBy("signs").orderBy("raster"))).filter(F.col("k") <= top).select("signs", "raster")
+    by_sign = first.select("signs").distinct().select("signs", F.explode("signs").alias("sign"))
+    common = tt.join(by_sign, "sign").select("target", "signs").distinct().join(first, "signs").select("target", "raster")
+    overlap = lambda k: F.arrays_overlap(ts[k], rs[k])
+    points = F.size(F.array_intersect(ts["words"], rs["words"])) * STEM_POINTS["word"] + F.size(F.array_intersect(_months(t, False), _months(r, True))) * STEM_POINTS["month"]
+    for name, holds in {"same": F.array_contains(ts["names"], r) | F.array_contains(rs["names"], t), "date": overlap("dates"), "year": overlap("years"), "change": (F.lit(changes) | ts["change"]) & rs["change"]}.items():
         points = points + F.when(holds, STEM_POINTS[name]).otherwise(0)
-    # Candidates share a token, so an equality join finds all that score; a cross join is not needed.
-    tt = targets.select("target", F.explode(F.array_distinct(F.split("target", "[-_.]+"))).alias("token"))
-    rr = rasters.select("raster", F.explode(F.array_distinct(F.split("raster", "[-_.]+"))).alias("token"))
-    pairs = tt.join(rr, "token").select("target", "raster").distinct().withColumn("points", points).filter("points > 0")
+    pairs = rare.union(common).distinct().withColumn("points", points).filter("points > 0")
     return pairs.withColumn("place", F.row_number().over(W.partitionBy("target").orderBy(F.desc("points"), "raster"))).filter(F.col("place") <= top)
 
 
+def _prefixed(kind: str):
+    return lambda v: F.concat(F.lit(f"{kind}:"), v.cast("string"))
+
+
 def raster_summary(cells: DataFrame, bands: list[str], step: int = 1) -> DataFrame:
     """(band, n, min, max, mean) of each band over every step-th row and column; all bands in one pass."""
     kept = cells.filter((F.col("r") % step == 0) & (F.col("c") % step == 0))

@@ -111,17 +111,34 @@ def _gazetteer(spark, sf_dir):
 query("rank_places", f"WITH g AS ({_GAZ.replace('{customer}', 'customer')}), s AS (SELECT *, importance + CASE WHEN cls = 'highway' THEN -10.0 WHEN typ = 'street' THEN -8.0 WHEN cls IN ('place', 'natural') THEN 5.0 ELSE 0.0 END AS score FROM g), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, place_id) AS n, CASE WHEN west IS NULL THEN 0.12 WHEN east - west > 0.45 OR north - south > 0.45 THEN 0.15 WHEN east - west < 0.02 OR north - south < 0.02 THEN 0.08 END AS half FROM s) SELECT query, place_id, score, round_even(CAST(coalesce(lon - half, west) AS DOUBLE), 5) AS west, round_even(CAST(coalesce(lat - half, south) AS DOUBLE), 5) AS south, round_even(CAST(coalesce(lon + half, east) AS DOUBLE), 5) AS east, round_even(CAST(coalesce(lat + half, north) AS DOUBLE), 5) AS north FROM b WHERE n = 1")(
     lambda s, d: ops.rank_places(_gazetteer(s, d))
 )
-_STEM = "SELECT DISTINCT 'ndvi_' || {} || '_' || CAST(CAST(extract(year FROM o_orderdate) AS INT) AS VARCHAR) || '-' || lpad(CAST(CAST(extract(month FROM o_orderdate) AS INT) AS VARCHAR), 2, '0') AS {} FROM orders"
-_POINTS = r"CASE WHEN t = r OR contains(r, t) OR contains(t, r) THEN 200 ELSE 0 END + CASE WHEN list_has_any(regexp_extract_all(t, '((?:19|20)\d\d-\d\d)', 1), regexp_extract_all(r, '((?:19|20)\d\d-\d\d)', 1)) THEN 100 ELSE 0 END + CASE WHEN list_has_any(regexp_extract_all(t, '((?:19|20)\d\d)', 1), regexp_extract_all(r, '((?:19|20)\d\d)', 1)) THEN 40 ELSE 0 END + CASE WHEN regexp_matches(t, 'change|diff') AND regexp_matches(r, 'change|diff') THEN 60 ELSE 0 END + 10 * len(list_intersect(list_filter(list_distinct(regexp_split_to_array(t, '[-_.]+')), lambda x: x <> 'mask'), list_filter(list_distinct(regexp_split_to_array(r, '[-_.]+')), lambda x: x <> 'mask')))"
-
-
-def _stems(spark, sf_dir, word, name):
-    sql = _STEM.format(f"'{word}'", name).replace("FROM orders", "FROM {orders}").replace("VARCHAR", "STRING")
-    return spark.sql(sql, orders=table(spark, sf_dir, "orders"))
-
-
-query("match_rasters", f"WITH a AS ({_STEM.format(chr(39) + 'change' + chr(39), 't')}), b AS ({_STEM.format(chr(39) + 'diff' + chr(39), 'r')}), p AS (SELECT t, r, {_POINTS} AS points FROM a, b) SELECT t AS target, r AS raster, CAST(points AS INT) AS points, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY points DESC, r) AS INT) AS place FROM p WHERE points > 0) WHERE place <= 3")(
-    lambda s, d: ops.match_rasters(_stems(s, d, "change", "target"), _stems(s, d, "diff", "raster"))
+_MON = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'][month(o_orderdate)]"
+_YM = "year(o_orderdate) || '-' || lpad(month(o_orderdate)::VARCHAR, 2, '0')"
+_TARGETS = f"SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'change_' || {_YM} || '_map' WHEN 1 THEN 'ndvi_' || replace({_YM}, '-', '_') || '_15' WHEN 2 THEN 'flood ' || {_MON} || year(o_orderdate) ELSE 'Cover-plot_' || o_orderpriority || '_plot' END AS target FROM orders"
+_RASTERS = f"SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN 'loss' || {_YM} WHEN 1 THEN 'scene_' || {_YM} || '-15' WHEN 2 THEN {_MON} || '_mosaic' || year(o_orderdate) % 5 ELSE 'cover-plot_' || lower(o_orderpriority) END AS raster FROM orders"
+_WORDS = f"list_filter(list_distinct(regexp_split_to_array({{}}, '[-_.]+')), lambda x: x NOT IN {ops.EMPTY_WORDS})"
+_DATES = r"list_distinct(flatten([[replace(d, '_', '-'), replace(d, '_', '-')[1:7]] FOR d IN regexp_extract_all({0}, '(?:^|[^0-9])([0-9]{{4}}[-_][0-9]{{2}}(?:[-_][0-9]{{2}})?)(?:$|[^0-9])', 1)]))"
+_YEARS = r"list_filter(regexp_split_to_array({0}, '[^0-9]+'), lambda x: regexp_full_match(x, '(19|20)[0-9][0-9]'))"
+_NAMES = rf"[{{0}}, regexp_replace({{0}}, '({'|'.join(ops.MAP_ENDS)})$', '')]"
+_MONTHS_OF = "len(list_filter(range(12), lambda i: contains(t, " + str(list(ops.MONTHS)) + "[i + 1]) AND (contains(r, " + str(list(ops.MONTHS)) + "[i + 1]) OR contains(replace(r, '_', '-'), '-' || lpad((i + 1)::VARCHAR, 2, '0')))))"
+_POINTS = " + ".join([
+    f"CASE WHEN list_contains({_NAMES.format('t')}, r) OR list_contains({_NAMES.format('r')}, t) THEN 200 ELSE 0 END", f"CASE WHEN list_has_any({_DATES.format('t')}, {_DATES.format('r')}) THEN 100 ELSE 0 END",
+    f"CASE WHEN list_has_any({_YEARS.format('t')}, {_YEARS.format('r')}) THEN 40 ELSE 0 END", f"CASE WHEN regexp_matches(t, '{'|'.join(ops.CHANGE_WORDS)}') AND regexp_matches(r, '{'|'.join(ops.CHANGE_WORDS)}') THEN 60 ELSE 0 END",
+    f"30 * {_MONTHS_OF}", f"10 * len(list_intersect({_WORDS.format('t')}, {_WORDS.format('r')}))",
+])
+
+
+def _stems(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    mon = F.element_at(F.array(*map(F.lit, ops.MONTHS)), F.month("o_orderdate"))
+    year, ym = F.year("o_orderdate").cast("string"), F.date_format("o_orderdate", "yyyy-MM")
+    t = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("change_"), ym, F.lit("_map"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("ndvi_"), F.translate(ym, "-", "_"), F.lit("_15"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("flood "), mon, year))
+    r = F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("loss"), ym)).when(F.col("o_custkey") % 4 == 1, F.concat(F.lit("scene_"), ym, F.lit("-15"))).when(F.col("o_custkey") % 4 == 2, F.concat(mon, F.lit("_mosaic"), (F.year("o_orderdate") % 5).cast("string")))
+    targets = o.select(t.otherwise(F.concat(F.lit("Cover-plot_"), "o_orderpriority", F.lit("_plot"))).alias("target")).distinct()
+    return targets, o.select(r.otherwise(F.concat(F.lit("cover-plot_"), F.lower("o_orderpriority"))).alias("raster")).distinct()
+
+
+query("match_rasters", f"WITH a AS ({_TARGETS}), b AS ({_RASTERS}), p AS (SELECT target, raster, {_POINTS} AS points FROM (SELECT *, lower(target) AS t, lower(raster) AS r FROM a, b)) SELECT target, raster, CAST(points AS INT) AS points, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY points DESC, raster) AS INT) AS place FROM p WHERE points > 0) WHERE place <= 3")(
+    lambda s, d: ops.match_rasters(*_stems(s, d))
 )
 _SB = ["blue", "green", "red", "nir"]
 query("raster_summary", "__l AS (UNPIVOT (SELECT blue, green, red, nir FROM scene_cells) ON blue, green, red, nir INTO NAME band VALUE v) SELECT band, count(v) AS n, min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean FROM __l GROUP BY band", "scene_cells")(lambda s, d: ops.raster_summary(view(s, d, "scene_cells"), _SB))
