@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
+
+from cellscape.functions.indices import INDICES
 
 #: An index's arguments and its SQL; all are temporary functions that Catalyst writes into the plan.
 SCALARS = {
@@ -26,10 +32,27 @@ TABLES = {
 }
 
 
+def index_sql(spark: SparkSession, name: str) -> tuple[str, str]:
+    """The arguments and SQL of an index: as written above, or as Catalyst writes the expression of INDICES, so also of one's own."""
+    if name in SCALARS:
+        return SCALARS[name]
+    found = INDICES[name]
+    arguments = ", ".join(f"{r} DOUBLE" for r in found.roles)
+    bands = spark.createDataFrame([], arguments.replace(" DOUBLE", " double"))
+    built = bands.select(found.build({r: F.col(r) for r in found.roles}).alias("value"))
+    return arguments, built._jdf.queryExecution().analyzed().expressions().head().child().sql()
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Create the functions in the session and return their names."""
-    for name, (arguments, body) in SCALARS.items():
+    """Create the functions in the session and return their names; indices that were added by register_index are among them."""
+    scalars = {name: index_sql(spark, name) for name in [*SCALARS, *INDICES]}
+    for name, (arguments, body) in scalars.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS DOUBLE RETURN {body}")
     for name, (arguments, columns, body) in TABLES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({columns}) RETURN {body}")
-    return [*SCALARS, *TABLES]
+    return [*scalars, *TABLES]
+
+
+def register_aggregate(spark: SparkSession, name: str, function: Callable[..., float], kind: str = "double"):
+    """Make function(pandas series, ...) -> value an aggregate for SQL and for `agg`; it gets a group's values as a whole, so groups must fit a worker."""
+    return spark.udf.register(name, F.pandas_udf(function, kind, PandasUDFType.GROUPED_AGG))

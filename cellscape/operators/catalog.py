@@ -75,10 +75,19 @@ def rank_scenes(found: DataFrame, limit: int = 12) -> DataFrame:
     return found.orderBy(F.coalesce("coverage", F.lit(50.0)).desc(), F.coalesce("cloud", F.lit(50.0)), F.coalesce("nodata_pct", F.lit(0.0)), "item_id").limit(limit)
 
 
-def coverage_gate(found: DataFrame, least: float = 50.0) -> DataFrame:
-    """Whether each scene may be used: covering at least `least` percent, or not alone on its date."""
+def coverage_gate(found: DataFrame, least: float = 50.0, box: tuple[float, float, float, float] | None = None, coarse: tuple[str, ...] = ("landsat-c2-l2",)) -> DataFrame:
+    """Whether each scene may be used: covering at least `least` percent, or not alone on its date.
+
+    With a box (west, south, east, north), no scene is accepted if the box's native grid has more cells than can be held: cells of 30 m if all
+    scenes are of `coarse` collections, else of 10 m.
+    """
     alone = F.count("*").over(W.partitionBy("dt")) == 1
-    return found.withColumn("accepted", ~((F.col("coverage") < least) & alone))
+    out = found.withColumn("accepted", ~((F.col("coverage") < least) & alone))
+    if box is None:
+        return out
+    grid = fn.native_grid(*[F.lit(float(x)) for x in box], F.col("__coarse"))["within_limit"]
+    fits = found.agg(F.coalesce(F.bool_and(F.col("collection").isin(*coarse)), F.lit(False)).alias("__coarse")).select(grid.alias("__fits"))
+    return out.crossJoin(F.broadcast(fits)).withColumn("accepted", F.col("accepted") & F.col("__fits")).drop("__fits")
 
 
 def required_assets(items: DataFrame) -> DataFrame:
@@ -191,13 +200,28 @@ def tile_grid(images: DataFrame, rows: int, cols: int) -> DataFrame:
     )
 
 
-def raster_quality(cells: DataFrame, band: str, method: str, no_data_limit: float = 0.60, cloud_limit: float = 0.70) -> DataFrame:
-    """One row: no-data and cloud share, warnings, and whether the raster has enough data."""
+def probed_gaps(bands: list[str]) -> Column:
+    """The share of missing cells by which a raster is judged: that of its first band, or where over 95 % of it is missing, the lowest of it and the
+    bands at a quarter, half, three quarters and the end, taken in turn until half of one is there."""
+    gap = lambda b: F.count_if(F.col(b).isNull()) / F.count("*")
+    n = len(bands)
+    probes = [bands[k - 1] for k in sorted({n // 4, n // 2, 3 * n // 4, n}) if 1 < k <= n]
+
+    def take(best: Column, x: Column) -> Column:
+        return F.when((best > 0.95) | (best > 0.50), F.least(best, x)).otherwise(best)
+
+    first = gap(bands[0])
+    return F.when(first > 0.95, F.aggregate(F.array(*map(gap, probes)), first, take)).otherwise(first) if probes else first
+
+
+def raster_quality(cells: DataFrame, band: str | list[str], method: str, no_data_limit: float = 0.60, cloud_limit: float = 0.70, geographic: bool = False) -> DataFrame:
+    """One row: no-data and cloud share, warnings, and whether the raster has enough data.  With several bands (in their order) no-data is that of
+    `probed_gaps`, and cloud is judged where the first is there; a `geographic` system is a warning."""
     from cellscape.operators.cells import cloud_flag
 
-    gap = F.count_if(F.col(band).isNull()) / F.count("*")
-    cloud = F.coalesce(F.try_divide(F.count_if(cloud_flag(method) & F.col(band).isNotNull()).cast("double"), F.count(band)), F.lit(0.0))
-    q = cells.agg(F.bround(gap, 4).alias("nodata"), F.bround(cloud, 4).alias("cloud"))
+    bands = [band] if isinstance(band, str) else list(band)
+    cloud = F.coalesce(F.try_divide(F.count_if(cloud_flag(method) & F.col(bands[0]).isNotNull()).cast("double"), F.count(bands[0])), F.lit(0.0))
+    q = cells.agg(F.bround(probed_gaps(bands), 4).alias("nodata"), F.bround(cloud, 4).alias("cloud"))
     verdict = F.when((F.col("nodata") >= no_data_limit) | (F.col("cloud") >= cloud_limit), "insufficient_data").otherwise("ok")
-    warnings = F.array_join(F.array_compact(F.array(F.when(F.col("nodata") > 0.20, "no-data"), F.when(F.col("cloud") > 0.30, "cloud"))), ",")
+    warnings = F.array_join(F.array_compact(F.array(F.when(F.col("nodata") > 0.20, "no-data"), F.when(F.col("cloud") > 0.30, "cloud"), F.when(F.lit(geographic), "geographic"))), ",")
     return q.select("nodata", "cloud", warnings.alias("warnings"), verdict.alias("verdict"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellscape.functions.indices import normalized_difference
 from cellscape.operators.catalog import band_at
 
 
@@ -20,6 +21,16 @@ def wavelength_subset(spectra: DataFrame, bands: DataFrame, nms: list[float], to
     return spectra.select("vec_id", *[value_at(bands, nm, tol).alias(f"nm_{round(nm)}") for nm in nms])
 
 
+def ratio(spectra: DataFrame, bands: DataFrame, nm_a: float, nm_b: float, key: str = "vec_id", tol: float = 15.0) -> DataFrame:
+    """(key, value): the value at one wavelength over that at another; missing where that is 0."""
+    return spectra.select(key, F.try_divide(value_at(bands, nm_a, tol), value_at(bands, nm_b, tol)).alias("value"))
+
+
+def normalized_ratio(spectra: DataFrame, bands: DataFrame, nm_a: float, nm_b: float, key: str = "vec_id", tol: float = 15.0) -> DataFrame:
+    """(key, value): the normalised difference of the values at two wavelengths."""
+    return spectra.select(key, normalized_difference(value_at(bands, nm_a, tol), value_at(bands, nm_b, tol)).alias("value"))
+
+
 def absorption_depth(spectra: DataFrame, bands: DataFrame, feature: float, left: float, right: float, tol: float = 20.0) -> DataFrame:
     """(vec_id, depth): 1 - R / Rc, Rc on the line between the shoulders; missing where Rc is not positive."""
     if not left < feature < right:

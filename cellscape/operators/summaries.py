@@ -156,6 +156,12 @@ def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.filter("y_true >= 0 and y_pred >= 0").groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
+def error_map(predictions: DataFrame, keys: Sequence[str] = ("r", "c")) -> DataFrame:
+    """(keys, state): correct, wrong, or ignored where either label is negative or missing."""
+    known = F.coalesce((F.col("y_true") >= 0) & (F.col("y_pred") >= 0), F.lit(False))
+    return predictions.select(*keys, F.when(~known, "ignored").when(F.col("y_true") == F.col("y_pred"), "correct").otherwise("wrong").alias("state"))
+
+
 def classification_metrics(predictions: DataFrame) -> DataFrame:
     """One row: accuracy, majority baseline, macro precision, recall and F1, weighted F1; 4 decimals, 0 where undefined."""
     n = confusion(predictions)

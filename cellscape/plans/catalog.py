@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cellscape.functions import catalog as fn
 from cellscape.operators import catalog as ops
+from cellscape.operators import inspection
+from cellscape.operators.vector import triangle
 from cellscape.plans.fixtures import table, view
 from cellscape.plans.registry import query
 
@@ -36,7 +38,7 @@ query("band_wavelengths", f"__w AS (SELECT raster_id, {NM} AS nm FROM {_V}) SELE
 )
 query("bad_bands", "SELECT band, NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960) AND wl_nm BETWEEN 420 AND 2300 AS good FROM instrument_bands", "instrument_bands")(lambda s, d: _instruments(s, d).select("band", fn.good_band(F.col("wl_nm").cast("double"), valid=(420.0, 2300.0)).alias("good")))
 query("spectral_summary", "__s AS (SELECT wl_nm, lead(wl_nm) OVER (ORDER BY wl_nm) - wl_nm AS step FROM instrument_bands) SELECT count(*) AS n, CAST(min(wl_nm) AS DOUBLE) AS min_nm, CAST(max(wl_nm) AS DOUBLE) AS max_nm, quantile_cont(step, 0.5) AS median_step, count(*) FILTER (NOT (wl_nm BETWEEN 1340 AND 1460 OR wl_nm BETWEEN 1790 AND 1960)) AS good, count(*) >= 15 AS hyperspectral FROM __s", "instrument_bands")(
-    lambda s, d: _instruments(s, d).selectExpr("wl_nm", "lead(wl_nm) over (order by wl_nm) - wl_nm as step").agg(F.count("*").alias("n"), F.min("wl_nm").cast("double").alias("min_nm"), F.max("wl_nm").cast("double").alias("max_nm"), F.percentile("step", F.lit(0.5)).alias("median_step"), F.count_if(fn.good_band(F.col("wl_nm").cast("double"))).alias("good"), (F.count("*") >= 15).alias("hyperspectral"))
+    lambda s, d: inspection.spectral_summary(_instruments(s, d))
 )
 _DATE = r"""coalesce(
  CASE WHEN regexp_matches(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})') THEN try_cast(printf('%04d-%02d-%02d', CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 1) AS INT), CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 2) AS INT), CAST(regexp_extract(date_text, '^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})', 3) AS INT)) AS DATE) END,
@@ -46,8 +48,7 @@ query("normalize_date", f"SELECT raster_id, CAST({_DATE} AS VARCHAR) AS date FRO
 
 
 def _edges():
-    """West, south, east and north of a raster."""
-    return (F.col("x0"), F.col("y0") - F.col("height") * F.col("dy"), F.col("x0") + F.col("width") * F.col("dx"), F.col("y0"))
+    return inspection.edges().values()
 
 
 @query("cell_size", "SELECT raster_id, round_even(CASE WHEN srid = 4326 THEN greatest(dx * 111320.0 * cos(radians(greatest(-85.0, least(85.0, (y0 - height * dy + y0) / 2)))), 1.0) ELSE greatest(dx, 0.1) END, 6) AS dx_m, round_even(CAST(CASE WHEN srid = 4326 THEN greatest(dy * 110574.0, 1.0) ELSE greatest(dy, 0.1) END AS DOUBLE), 6) AS dy_m FROM rasters", "rasters")
@@ -142,14 +143,14 @@ query("match_rasters", f"WITH a AS ({_TARGETS}), b AS ({_RASTERS}), p AS (SELECT
 )
 _SB = ["blue", "green", "red", "nir"]
 query("raster_summary", "__l AS (UNPIVOT (SELECT blue, green, red, nir FROM scene_cells) ON blue, green, red, nir INTO NAME band VALUE v) SELECT band, count(v) AS n, min(v) AS min, max(v) AS max, round_even(avg(v), 6) AS mean FROM __l GROUP BY band", "scene_cells")(lambda s, d: ops.raster_summary(view(s, d, "scene_cells"), _SB))
-query("vector_summary", "SELECT count(*) AS n, 'Polygon' AS geom_type, min(least(x0, x1, x2)) AS west, min(least(y0, y1, y2)) AS south, max(greatest(x0, x1, x2)) AS east, max(greatest(y0, y1, y2)) AS north FROM zones", "zones")(
-    lambda s, d: view(s, d, "zones").withColumn("geom_type", F.lit("Polygon")).groupBy("geom_type").agg(F.count("*").alias("n"), F.min(F.least("x0", "x1", "x2")).alias("west"), F.min(F.least("y0", "y1", "y2")).alias("south"), F.max(F.greatest("x0", "x1", "x2")).alias("east"), F.max(F.greatest("y0", "y1", "y2")).alias("north"))
+query("vector_summary", "SELECT 'Polygon' AS geom_type, count(*) AS n, min(least(x0, x1, x2)) AS west, min(least(y0, y1, y2)) AS south, max(greatest(x0, x1, x2)) AS east, max(greatest(y0, y1, y2)) AS north, 'EPSG:32631' AS crs, 'zone_id,zone_name' AS columns FROM zones", "zones")(
+    lambda s, d: inspection.vector_summary(view(s, d, "zones").select("zone_id", "zone_name", triangle(*[F.col(f"{a}{k}") for k in range(3) for a in "xy"]).alias("rings")), 32631)
 )
 query("points_summary", "SELECT count(*) AS n, min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north, round_even(min(z), 2) AS z_min, round_even(max(z), 2) AS z_max FROM points", "points")(
-    lambda s, d: view(s, d, "points").agg(F.count("*").alias("n"), F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north"), F.bround(F.min("z"), 2).alias("z_min"), F.bround(F.max("z"), 2).alias("z_max"))
+    lambda s, d: inspection.points_summary(view(s, d, "points"))
 )
 query("raster_bounds", "SELECT raster_id, round_even(CASE WHEN srid = 4326 THEN x0 ELSE degrees(x0 / 6378137.0) END, 7) AS west, round_even(CASE WHEN srid = 4326 THEN y0 - height * dy ELSE degrees(2 * atan(exp((y0 - height * dy) / 6378137.0)) - pi() / 2) END, 7) AS south, round_even(CASE WHEN srid = 4326 THEN x0 + width * dx ELSE degrees((x0 + width * dx) / 6378137.0) END, 7) AS east, round_even(CASE WHEN srid = 4326 THEN y0 ELSE degrees(2 * atan(exp(y0 / 6378137.0)) - pi() / 2) END, 7) AS north FROM rasters", "rasters")(
-    lambda s, d: _r(s, d).select("raster_id", *[F.bround(F.when(F.col("srid") == 4326, e).otherwise(F.degrees(e / 6378137.0) if k % 2 == 0 else F.degrees(2 * F.atan(F.exp(e / 6378137.0)) - F.pi() / 2)), 7).alias(n) for k, (e, n) in enumerate(zip(_edges(), ("west", "south", "east", "north")))])
+    lambda s, d: inspection.raster_bounds(_r(s, d)).select("raster_id", *[F.bround(n, 7).alias(n) for n in ("west", "south", "east", "north")])
 )
 query("tile_grid", "__t AS (SELECT item_id AS image_id, west, south, east, north, unnest(range(0, 3)) AS tr FROM stac_items), __u AS (SELECT *, unnest(range(0, 2)) AS tc FROM __t) SELECT image_id, printf('T%d_%d', tr, tc) AS tile, west + (east - west) * tc / 2 AS west, north - (north - south) * (tr + 1) / 3 AS south, west + (east - west) * (tc + 1) / 2 AS east, north - (north - south) * tr / 3 AS north FROM __u", "stac_items")(
     lambda s, d: ops.tile_grid(_items(s, d).withColumnRenamed("item_id", "image_id"), 3, 2)
@@ -165,9 +166,9 @@ query("quality_gate", "__a AS (SELECT CAST(count(*) FILTER (nir IS NULL) AS DOUB
 def _gate(cells):
     from cellscape.operators.cells import cloud_flag
 
-    each = ops.raster_quality(cells, "nir", "scl").unionByName(ops.raster_quality(cells, "nir", "qa")).agg(F.bool_or(F.col("verdict") != "ok").alias("bad"))
+    each = ops.raster_quality(cells, "nir", "scl").unionByName(ops.raster_quality(cells, "nir", "qa"))
     mutual = cells.agg((F.count_if(F.col("nir").isNotNull() & ~cloud_flag("scl") & ~cloud_flag("qa")) / F.count("*")).alias("share"))
-    return each.crossJoin(F.broadcast(mutual)).select(F.when(F.col("bad") | (F.col("share") < 0.15), "insufficient_data").otherwise("ok").alias("verdict"))
+    return inspection.quality_gate(each, mutual).select("verdict")
 
 
 @query("dataset_report", "SELECT 'raster' AS kind, count(*) AS n FROM rasters UNION ALL SELECT 'points', count(*) FROM points UNION ALL SELECT 'vector', count(*) FROM zones", ("rasters", "points", "zones"))
@@ -179,14 +180,49 @@ def dataset_report(spark, sf_dir):
 @query("file_inspect")
 def file_inspect(spark, sf_dir):
     """Files of the table folder by kind and size."""
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ext.isin("tif", "tiff"), "raster").when(ext.isin("las", "laz", "csv", "xyz"), "lidar").when(ext.isin("geojson", "gpkg"), "vector").when(ext.isin("png", "jpg"), "image").otherwise("other")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), kind.alias("kind"), "length")
+    return inspection.file_kinds(spark, sf_dir).select("name", "kind", F.col("bytes").alias("length"))
 
 
-query("timeline", "__f AS (SELECT CAST(ts AS DATE) AS d, round_even(avg(value), 4) AS v FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS index, CAST(d AS VARCHAR) AS date, v AS value, CAST(d AS VARCHAR) || ': ' || CAST(CAST(floor(v) AS BIGINT) AS VARCHAR) || ' ha' AS label FROM __f", "dates")(
-    lambda s, d: table(s, d, "events").groupBy(F.col("ts").cast("date").alias("d")).agg(F.bround(F.avg("value"), 4).alias("v")).selectExpr("cast(row_number() over (order by d) - 1 as int) as index", "cast(d as string) as date", "v as value", "concat(cast(d as string), ': ', cast(cast(floor(v) as bigint) as string), ' ha') as label")
+query("timeline", "__f AS (SELECT CAST(ts AS DATE) AS d, round_even(avg(value), 4) AS v FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS index, CAST(d AS VARCHAR) AS date, v AS value, CAST(d AS VARCHAR) || ': ' || CAST(CAST(floor(v) AS BIGINT) AS VARCHAR) || ' ha' AS label, min(v) OVER () AS low, max(v) OVER () AS high FROM __f", "dates")(
+    lambda s, d: inspection.timeline(table(s, d, "events").groupBy(F.col("ts").cast("date").alias("d")).agg(F.bround(F.avg("value"), 4).alias("v")), unit="ha")
 )
 query("companion_check", "SELECT DISTINCT o_custkey AS stem FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 1")(
-    lambda s, d: table(s, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("stem")).distinct().join(table(s, d, "orders").filter("o_orderkey % 2 = 1").select(F.col("o_custkey").alias("stem")), "stem", "left_anti")
+    lambda s, d: inspection.companion_check(*[table(s, d, "orders").filter(f"o_orderkey % 2 = {k}").select(F.col("o_custkey").alias("stem")) for k in (0, 1)], "stem")
+)
+# A raster of each supplier with one band; a fifth of them without a system.
+_REPORT = f"__n AS (SELECT *, {ROLE} AS role, {SENSOR} AS sensor, CASE WHEN raster_id % 5 <> 0 THEN srid END AS system FROM rasters) SELECT raster_id, width, height, 1 AS band_count, role, sensor, date_text AS date, 'EPSG:' || system AS crs, dx, dy, CASE WHEN system = 4326 THEN 'degrees' WHEN system IS NOT NULL THEN 'metre' END AS resolution_units, CASE WHEN system <> 4326 THEN round_even(CAST(width * height * dx * dy / 1e6 AS DOUBLE), 3) END AS extent_km2, CAST(x0 AS DOUBLE) AS west, CAST(y0 - height * dy AS DOUBLE) AS south, -9999.0 AS nodata, CASE WHEN system IS NULL THEN 'no coordinate system' END AS error FROM __n"
+
+
+def _report(spark, sf_dir):
+    r = _r(spark, sf_dir)
+    tags = F.create_map(F.lit("platform"), F.col("platform"), F.lit("ACQUISITION_DATETIME"), F.col("date_text"))
+    bands = r.select("raster_id", F.lit(1).alias("band"), "label", F.lit(-9999.0).alias("nodata"))
+    got = inspection.raster_report(r.withColumn("tags", tags).withColumn("srid", F.when(F.col("raster_id") % 5 != 0, F.col("srid"))), bands)
+    return got.select("raster_id", "width", "height", "band_count", F.col("bands")[0]["role"].alias("role"), "sensor", "date", "crs", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), "resolution_units", "extent_km2", F.col("west").cast("double").alias("west"), F.col("south").cast("double").alias("south"), "nodata", "error")
+
+
+query("raster_report", _REPORT, "rasters")(_report)
+# Three bands of each supplier's raster: wavelengths listed by the raster, tagged by band, or in the description.
+_WAVES = """__b AS (SELECT s_suppkey AS raster_id, unnest([1, 2, 3]) AS band FROM supplier),
+__w AS (SELECT raster_id, band, CASE raster_id % 4 WHEN 0 THEN CAST(400 + 10 * band + raster_id % 100 AS DOUBLE) WHEN 1 THEN 500.0 + band WHEN 2 THEN CASE band WHEN 1 THEN 665.0 WHEN 2 THEN 842.0 END ELSE 1000.0 * (0.5 + band / 10.0) END AS nm FROM __b)
+SELECT raster_id, band, round_even(nm, 6) AS nm, CASE WHEN nm IS NULL THEN NULL WHEN raster_id % 4 = 3 THEN 'assumed_um' WHEN raster_id % 4 = 0 THEN 'assumed_nm' ELSE 'explicit_unit' END AS source FROM __w"""
+
+
+def _waves(spark, sf_dir):
+    none = F.create_map().cast("map<string,string>")
+    k, b = F.col("raster_id"), F.col("band")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("raster_id"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("band"))
+    listed = F.concat_ws(", ", *[(F.lit(400 + 10 * i) + k % 100).cast("string") for i in (1, 2, 3)])
+    rows = rows.withColumns({
+        "tags": F.when(k % 4 == 0, F.create_map(F.lit("wavelengths"), F.concat(F.lit("{"), listed, F.lit("}")))).otherwise(none),
+        "band_tags": F.when(k % 4 == 1, F.create_map(F.lit("wavelength_nm"), (F.lit(500) + b).cast("string"))).otherwise(none),
+        "description": F.when(k % 4 == 2, F.when(b == 1, "Red 665 nm").when(b == 2, "0.842 um")).when(k % 4 == 3, F.format_string("%.1f", 0.5 + b / 10)),
+    })
+    return inspection.band_wavelengths(rows, allow_missing=True).withColumn("nm", F.bround("nm", 6))
+
+
+query("wavelength_sources", f"WITH {_WAVES}")(_waves)
+_SCL = "0: no data; 3 = cloud shadow; 4 - vegetation, 5 bare soils (6: water"
+query("class_profile", "SELECT scl AS value, CASE scl WHEN 0 THEN 'No data' WHEN 3 THEN 'Cloud shadow' WHEN 4 THEN 'Vegetation' WHEN 5 THEN 'Bare soils' WHEN 6 THEN 'Water' WHEN 8 THEN 'Cloud' END AS label, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percent FROM scene_cells GROUP BY scl", "scene_cells")(
+    lambda s, d: inspection.class_profile(view(s, d, "scene_cells"), "scl", inspection.class_labels(F.create_map(F.lit("class_8"), F.lit("cloud")), F.lit(_SCL)))
 )

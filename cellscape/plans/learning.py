@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellscape.operators import learning as ops
 from cellscape.operators import series
 from cellscape.plans.fixtures import table, view
-from cellscape.plans.registry import query
+from cellscape.plans.registry import ORACLES, query
 
 _BANDS = [f"v{i}" for i in range(64)]
 
@@ -134,6 +134,9 @@ for _name, _names in (("patch_features", ops.PATCH33), ("patch_features_14", ops
 _X = "__x AS (SELECT cell, d, y, date_diff('day', (SELECT min(d) FROM cell_series), d) / 365.2425 AS x FROM cell_series), __g AS (SELECT cell, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM __x GROUP BY cell HAVING count(*) >= 3)"
 
 
-@query("series_with_trend", f"{_X} SELECT cell, d, round_even(y, 5) AS y, round_even(a + b * x, 5) AS trend FROM __x JOIN __g USING (cell)", "cell_series")
+
+@query("series_with_trend", f"{_X.replace('__g', '__ols')}, __m AS ({ORACLES['cusum']}) SELECT x.cell, x.d, round_even(y, 5) AS y, round_even(a + b * x, 5) AS trend, coalesce(row_number() OVER (PARTITION BY x.cell ORDER BY x.d) - 1 = m.first, false) AS change FROM __x x JOIN __ols USING (cell) LEFT JOIN __m m ON m.cell = x.cell", "cell_series")
 def series_with_trend(spark, sf_dir):
-    return series.with_trend(view(spark, sf_dir, "cell_series").select("cell", "d", "y")).select("cell", "d", F.bround("y", 5).alias("y"), F.bround("trend", 5).alias("trend"))
+    """Each value beside its trend, marked where the cell's first change is."""
+    s = view(spark, sf_dir, "cell_series").select("cell", "d", "y")
+    return series.with_trend(s, series.cusum(s)).select("cell", "d", F.bround("y", 5).alias("y"), F.bround("trend", 5).alias("trend"), "change")

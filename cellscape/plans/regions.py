@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellscape.operators import inspection
 from cellscape.operators import regions as ops
 from cellscape.plans.fixtures import view
 from cellscape.plans.focal import _DEM, dem
-from cellscape.plans.registry import query
+from cellscape.plans.registry import ORACLES, query
 
 _mask = lambda s, d: view(s, d, "scene_cells").filter("nir > 2800").select("r", "c")
 _labels = lambda s, d: ops.label_regions(_mask(s, d))
@@ -34,3 +35,7 @@ query("wetness_index")(lambda s, d: ops.wetness_index(dem(s, d), 10.0, 10.0))
 query("elevation_profile", f"{_DEM}, __p AS (SELECT k, 1.0 + k / 49.0 * 2.5 AS y, 2.0 + k / 49.0 * 30.0 AS x FROM (SELECT CAST(unnest(range(50)) AS DOUBLE) AS k)), __w AS (SELECT k, sum((1 - abs(y - r)) * (1 - abs(x - c)) * z) / nullif(sum((1 - abs(y - r)) * (1 - abs(x - c))), 0) AS z FROM __p JOIN __z ON abs(y - r) < 1 AND abs(x - c) < 1 WHERE z IS NOT NULL GROUP BY k) SELECT CAST(p.k AS BIGINT) AS k, round_even(k / 49.0 * sqrt(2.5 * 2.5 + 30.0 * 30.0) * 10, 6) AS distance, round_even(z, 6) AS z FROM __p p LEFT JOIN __w USING (k)", "dem_grid")(
     lambda s, d: ops.elevation_profile(dem(s, d), "z", (1.0, 2.0), (3.5, 32.0), 10.0, 50).select("k", F.bround("distance", 6).alias("distance"), F.bround("z", 6).alias("z"))
 )
+_PROFILE = ORACLES["elevation_profile"]
+query("profile_summary", f"SELECT round_even(max(distance), 2) AS distance_m, round_even(min(z), 2) AS min_m, round_even(max(z), 2) AS max_m, round_even(coalesce(sum(dz) FILTER (dz > 0), 0), 2) AS gain_m, round_even(coalesce(-sum(dz) FILTER (dz < 0), 0), 2) AS loss_m, round_even(max(degrees(atan(abs(dz) / dx))), 2) AS max_slope, round_even(avg(degrees(atan(abs(dz) / dx))), 2) AS avg_slope FROM (SELECT *, z - lag(z) OVER (ORDER BY k) AS dz, distance - lag(distance) OVER (ORDER BY k) AS dx FROM ({_PROFILE}))")(
+    lambda s, d: inspection.profile_summary(ops.elevation_profile(dem(s, d), "z", (1.0, 2.0), (3.5, 32.0), 10.0, 50).withColumns({"distance": F.bround("distance", 6), "z": F.bround("z", 6)}))
+)

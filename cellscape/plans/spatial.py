@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellscape.operators import cells as cell_ops
+from cellscape.operators import inspection
 from cellscape.operators import grids
 from cellscape.operators import vector as ops
 from cellscape.plans.fixtures import table, view
@@ -69,7 +70,7 @@ def _overlay(how):
 query("overlay_intersection", f"{_CELLS_IN}, {_Z2} SELECT p.zone_id AS a, q.zone_id AS b, count(*) AS cells, count(*) * 100.0 AS area_m2 FROM __z p JOIN __y q ON p.r = q.r AND p.c = q.c GROUP BY ALL", ("scene_cells", "zones"))(lambda s, d: _overlay("intersection")(s, d).groupBy("a", "b").agg(F.count("*").alias("cells"), (F.count("*") * 100.0).alias("area_m2")))
 query("overlay_union", f"{_CELLS_IN}, {_Z2} SELECT p.zone_id AS a, q.zone_id AS b, count(*) AS cells FROM __z p FULL JOIN __y q ON p.r = q.r AND p.c = q.c GROUP BY ALL", ("scene_cells", "zones"))(lambda s, d: _overlay("union")(s, d).groupBy("a", "b").agg(F.count("*").alias("cells")))
 query("clip", f"{_CELLS_IN}, {_Z2} SELECT p.zone_id, p.r, p.c FROM __z p WHERE EXISTS (SELECT 1 FROM __y q WHERE p.r = q.r AND p.c = q.c)", ("scene_cells", "zones"))(lambda s, d: _overlay("clip")(s, d).select(F.col("a").alias("zone_id"), "r", "c"))
-query("filter_features", "SELECT zone_id, zone_name FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')", "zones")(lambda s, d: zones(s, d).filter(F.col("zone_name").isin("ASIA", "EUROPE")).select("zone_id", "zone_name"))
+query("filter_features", "SELECT zone_id, zone_name FROM zones WHERE zone_name IN ('ASIA', 'EUROPE')", "zones")(lambda s, d: inspection.filter_features(zones(s, d), "zone_name", ["ASIA", "EUROPE"]).select("zone_id", "zone_name"))
 query("sample_points", "SELECT p.id, s.red, s.nir FROM (SELECT id, CAST(floor(x / 2.5) AS BIGINT) AS c, CAST(floor(y / 25.0) AS BIGINT) AS r FROM " + _PTS + ") p LEFT JOIN scene_cells s ON p.r = s.r AND p.c = s.c", "scene_cells")(
     lambda s, d: ops.sample_at_points(_pts(s, d).withColumns({"x": F.col("x") / 2.5, "y": F.col("y") / 25.0}), _scene(s, d), ["red", "nir"]).select("id", "red", "nir")
 )

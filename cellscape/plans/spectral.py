@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellscape.functions.indices import normalized_difference
 from cellscape.operators import catalog
 from cellscape.operators import spectral as ops
 from cellscape.plans.fixtures import view
@@ -14,8 +13,8 @@ _s = lambda s, d: view(s, d, "spectra")
 _b = lambda s, d: view(s, d, "band_catalog")
 _at = lambda nm: f"spectrum[CAST(round(({nm} - 400) / 32.0) AS INT) + 1]"
 query("wl_subset", f"SELECT vec_id, {_at(656)} AS nm_656, {_at(848)} AS nm_848 FROM spectra", "spectra")(lambda s, d: ops.wavelength_subset(_s(s, d), _b(s, d), [656.0, 848.0]))
-query("spectral_ratio", f"SELECT vec_id, {_at(848)} / nullif({_at(656)}, 0) AS value FROM spectra", "spectra")(lambda s, d: _s(s, d).select("vec_id", F.try_divide(ops.value_at(_b(s, d), 848.0), ops.value_at(_b(s, d), 656.0)).alias("value")))
-query("nd_wavelength", f"SELECT vec_id, ({_at(848)} - {_at(656)}) / nullif({_at(848)} + {_at(656)}, 0) AS value FROM spectra", "spectra")(lambda s, d: _s(s, d).select("vec_id", normalized_difference(ops.value_at(_b(s, d), 848.0), ops.value_at(_b(s, d), 656.0)).alias("value")))
+query("spectral_ratio", f"SELECT vec_id, {_at(848)} / nullif({_at(656)}, 0) AS value FROM spectra", "spectra")(lambda s, d: ops.ratio(_s(s, d), _b(s, d), 848.0, 656.0))
+query("nd_wavelength", f"SELECT vec_id, ({_at(848)} - {_at(656)}) / nullif({_at(848)} + {_at(656)}, 0) AS value FROM spectra", "spectra")(lambda s, d: ops.normalized_ratio(_s(s, d), _b(s, d), 848.0, 656.0))
 query("absorption_depth", f"__l AS (SELECT vec_id, {_at(2192)} AS f, {_at(2096)} + ({_at(2288)} - {_at(2096)}) * 0.5 AS line FROM spectra) SELECT vec_id, round_even(CASE WHEN line > 0 THEN 1 - f / line END, 9) AS depth FROM __l", "spectra")(
     lambda s, d: ops.absorption_depth(_s(s, d), _b(s, d), 2192.0, 2096.0, 2288.0).withColumn("depth", F.bround("depth", 9))
 )

@@ -57,7 +57,7 @@ query("band_profile", "SELECT min(v) AS min, max(v) AS max, round_even(avg(v), 6
 query("confusion_matrix", "SELECT y_true, y_pred, count(*) AS n FROM predictions WHERE y_true >= 0 AND y_pred >= 0 GROUP BY ALL", "predictions")(lambda s, d: ops.confusion(_pred(s, d)))
 query("classification_metrics", "__v AS (SELECT * FROM predictions WHERE y_true >= 0 AND y_pred >= 0), __l AS (SELECT y_true AS l FROM __v UNION SELECT y_pred FROM __v), __c AS (SELECT l, (SELECT count(*) FROM __v WHERE y_true = l) AS support, (SELECT count(*) FROM __v WHERE y_pred = l) AS predicted, (SELECT count(*) FROM __v WHERE y_pred = l AND y_true = l) AS hit FROM __l), __r AS (SELECT *, coalesce(CAST(hit AS DOUBLE) / nullif(predicted, 0), 0) AS pr, coalesce(CAST(hit AS DOUBLE) / nullif(support, 0), 0) AS rc FROM __c), __f AS (SELECT *, coalesce(2 * pr * rc / nullif(pr + rc, 0), 0) AS f1 FROM __r) SELECT round_even(CAST(sum(hit) AS DOUBLE) / sum(support), 4) AS accuracy, round_even(CAST(max(support) AS DOUBLE) / sum(support), 4) AS baseline, round_even(avg(pr), 4) AS precision, round_even(avg(rc), 4) AS recall, round_even(avg(f1), 4) AS f1, round_even(sum(f1 * support) / sum(support), 4) AS f1_weighted FROM __f", "predictions")(lambda s, d: ops.classification_metrics(_pred(s, d)))
 query("confusion_normalized", "__n AS (SELECT y_true, y_pred, count(*) AS n FROM predictions WHERE y_true >= 0 AND y_pred >= 0 GROUP BY ALL) SELECT y_true, y_pred, round_even(n / sum(n) OVER (PARTITION BY y_true), 6) AS share FROM __n", "predictions")(lambda s, d: ops.confusion_normalized(_pred(s, d)))
-query("error_map", "SELECT vec_id, CASE WHEN y_true < 0 OR y_pred < 0 THEN 'ignored' WHEN y_true = y_pred THEN 'correct' ELSE 'wrong' END AS state FROM predictions", "predictions")(lambda s, d: _pred(s, d).select("vec_id", F.when((F.col("y_true") < 0) | (F.col("y_pred") < 0), "ignored").when(F.col("y_true") == F.col("y_pred"), "correct").otherwise("wrong").alias("state")))
+query("error_map", "SELECT vec_id, CASE WHEN y_true < 0 OR y_pred < 0 THEN 'ignored' WHEN y_true = y_pred THEN 'correct' ELSE 'wrong' END AS state FROM predictions", "predictions")(lambda s, d: ops.error_map(_pred(s, d), ["vec_id"]))
 query("transition_matrix", "__g AS (SELECT from_class, to_class, count(*) AS cells FROM class_pairs GROUP BY ALL) SELECT *, round_even(cells * 100.0 / 10000, 3) AS hectares, round_even(cells * 100.0 / sum(cells) OVER (), 4) AS percent FROM __g", "class_pairs")(lambda s, d: ops.transition_matrix(view(s, d, "class_pairs"), 100.0))
 _V = "__v AS (SELECT image_id, tile_id, coalesce(verdict, 'not_verifiable') AS verdict FROM tile_verdicts)"
 query("verdict_rollup", f"{_V} SELECT image_id, count(*) AS tiles, round_even(count(*) FILTER (verdict IN ('correct', 'wrong')) * 100.0 / count(*), 1) AS verified_pct, CASE WHEN bool_or(verdict = 'wrong') THEN 'not_valid' WHEN bool_or(verdict IN ('unsure', 'needs_review')) THEN 'needs_review' WHEN bool_and(verdict = 'not_verifiable') THEN 'not_verifiable' WHEN NOT bool_or(verdict = 'correct') THEN 'needs_review' ELSE 'valid' END AS verdict FROM __v GROUP BY image_id", "tile_verdicts")(lambda s, d: ops.verdict_rollup(_tiles(s, d)))
