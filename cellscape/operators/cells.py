@@ -47,10 +47,60 @@ def with_tiles(cells: DataFrame, size: int = 1024) -> DataFrame:
     return cells.withColumns({"tile_r": F.floor(F.col("r") / size), "tile_c": F.floor(F.col("c") / size)})
 
 
+def _spaced(x: Column) -> Column:
+    """The bits of a number below 2 ** 31, each followed by a 0 bit."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(r: Column, c: Column) -> Column:
+    """The place of a tile (r, c), both from 0, on the Morton curve: near tiles have near numbers."""
+    return F.shiftleft(_spaced(r.cast("long")), 1).bitwiseOR(_spaced(c.cast("long")))
+
+
+def morton_ranges(r0: int, r1: int, c0: int, c1: int, most: int = 32) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the Morton curve that hold all tiles r0..r1 x c0..c1: squares of the curve that lie inside, and squares
+    at the rim, cut further as long as that makes at most `most` ranges."""
+    size = 1
+    while size <= max(r1, c1):
+        size *= 2
+
+    def merged(squares: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+        out: list[list[int]] = []
+        for at, n in sorted((at, n) for at, _, _, n in squares):
+            if out and out[-1][1] + 1 == at:
+                out[-1][1] = at + n * n - 1
+            else:
+                out.append([at, at + n * n - 1])
+        return [(a, b) for a, b in out]
+
+    squares, best = [(0, 0, 0, size)], [(0, size * size - 1)]
+    while True:
+        rim = [s for s in squares if s[3] > 1 and not (r0 <= s[1] and s[1] + s[3] - 1 <= r1 and c0 <= s[2] and s[2] + s[3] - 1 <= c1)]
+        if not rim:
+            return best
+        large = max(s[3] for s in rim)
+        cut = {s for s in rim if s[3] == large}
+        kids = [(at + k * (large // 2) ** 2, r + (k >> 1) * (large // 2), c + (k & 1) * (large // 2), large // 2) for at, r, c, _ in cut for k in range(4)]
+        squares = [s for s in squares if s not in cut] + [k for k in kids if k[1] <= r1 and k[1] + k[3] > r0 and k[2] <= c1 and k[2] + k[3] > c0]
+        now = merged(squares)
+        if len(now) > most:
+            return best
+        best = now
+
+
 def window_of_tiles(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, size: int = 1024) -> DataFrame:
-    """Cells of rows r0..r1-1 and columns c0..c1-1; the tile predicates prune partitions."""
-    tiles = F.col("tile_r").between(r0 // size, (r1 - 1) // size) & F.col("tile_c").between(c0 // size, (c1 - 1) // size)
-    return cells.filter(tiles & (F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1))
+    """Cells of rows r0..r1-1 and columns c0..c1-1 of a table that write_tiles wrote with the same size: a few ranges of `tile` prune files and row groups
+    by their statistics; where there are tile_r and tile_c instead, those do."""
+    inside = (F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1)
+    if "tile" in cells.columns:
+        tiles = F.lit(False)
+        for a, b in morton_ranges(max(0, r0) // size, max(0, r1 - 1) // size, max(0, c0) // size, max(0, c1 - 1) // size):
+            tiles = tiles | F.col("tile").between(a, b)
+    else:
+        tiles = F.col("tile_r").between(r0 // size, (r1 - 1) // size) & F.col("tile_c").between(c0 // size, (c1 - 1) // size)
+    return cells.filter(tiles & inside)
 
 
 def aoi_window(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, nodata: float | None = 0.0, band: str = "value", most: int | None = None) -> DataFrame:
@@ -62,10 +112,14 @@ def aoi_window(cells: DataFrame, r0: int, r1: int, c0: int, c1: int, nodata: flo
     return inside.agg(F.count("*").alias("n"), F.count_if(valid).alias("valid")).withColumn("valid_pct", F.bround(F.try_divide(F.col("valid") * 100.0, F.col("n")), 4))
 
 
-def write_tiles(cells: DataFrame, path: str, size: int = 512, by: Sequence[str] = ()) -> None:
-    """Parquet partitioned by raster and tile row, each tile in one file, zstd."""
-    tiled = with_tiles(cells, size)
-    tiled.repartition(*by, "tile_r", "tile_c").write.mode("overwrite").partitionBy(*by, "tile_r", "tile_c").option("compression", "zstd").parquet(path)
+def write_tiles(cells: DataFrame, path: str, size: int = 512, by: Sequence[str] = (), files: int | None = None, rows_a_file: int | None = None) -> None:
+    """Parquet in Morton order of tiles (column `tile`; rows and columns from 0), zstd: files and row groups are ranges of the curve, so a window
+    reads few of them, and there are as many files as partitions (`files`), not as tiles.  `by` keys come before the curve."""
+    tiled = cells.withColumn("tile", morton(F.floor(F.col("r") / size), F.floor(F.col("c") / size)))
+    order = [*map(F.col, by), F.col("tile")]
+    dealt = tiled.repartitionByRange(files, *order) if files else tiled.repartitionByRange(*order)
+    writer = dealt.sortWithinPartitions(*order, "r", "c").write.mode("overwrite").option("compression", "zstd")
+    (writer.option("maxRecordsPerFile", rows_a_file) if rows_a_file else writer).parquet(path)
 
 
 def write_band(values: DataFrame, path: str, nodata: float | None = None, column: str = "value") -> None:
