@@ -209,9 +209,44 @@ def flow_direction(filled: DataFrame, dx: float, dy: float) -> DataFrame:
     return j.select("r", "c", "w", F.coalesce("best.nr", F.col("r") + back["a"]).alias("to_r"), F.coalesce("best.nc", F.col("c") + back["b"]).alias("to_c"))
 
 
-def flow_accumulation(flow: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(r, c, acc): cells that drain through each cell, itself included; path doubling, so the rounds are the logarithm of the longest path."""
-    state = stored(flow.select("r", "c", F.col("to_r").alias("pr"), F.col("to_c").alias("pc"), F.lit(1).cast("long").alias("acc")))
+class TileFlow:
+    """The cells of one tile, the place inside the tile that each flows to (-1: out of it, or nowhere), and where that way leaves."""
+
+    def __init__(self, r: np.ndarray, c: np.ndarray, to_r: np.ndarray, to_c: np.ndarray):
+        n, width = len(r), int(c.max() - c.min()) + 1
+        at = np.full((int(r.max() - r.min()) + 1) * width, -1, np.int64)
+        at[(r - r.min()) * width + c - c.min()] = np.arange(n)
+        inside = np.isfinite(to_r) & (to_r >= r.min()) & (to_r <= r.max()) & (to_c >= c.min()) & (to_c <= c.max())
+        self.to = np.full(n, -1, np.int64)
+        self.to[inside] = at[((to_r[inside] - r.min()) * width + to_c[inside] - c.min()).astype(np.int64)]
+
+    def ends(self) -> np.ndarray:
+        """The last cell inside the tile on each cell's way, by doubling the steps."""
+        jump = np.where(self.to < 0, np.arange(len(self.to)), self.to)
+        while (further := jump[jump]).tolist() != jump.tolist():
+            jump = further
+        return jump
+
+    def gathered(self, weight: np.ndarray) -> np.ndarray:
+        """Weights summed down the ways: cells whose inflow is complete hand theirs on, all of them at a time."""
+        acc, open_ = weight.copy(), np.bincount(self.to[self.to >= 0], minlength=len(self.to))
+        front = np.flatnonzero((open_ == 0) & (self.to >= 0))
+        while len(front):
+            to = self.to[front]
+            np.add.at(acc, to, acc[front])
+            np.subtract.at(open_, to, 1)
+            to = np.unique(to)
+            front = to[(open_[to] == 0) & (self.to[to] >= 0)]
+        return acc
+
+
+def _tile_flow(pdf: pd.DataFrame) -> TileFlow:
+    return TileFlow(*(pdf[n].to_numpy(np.float64 if n.startswith("to_") else np.int64) for n in ("r", "c", "to_r", "to_c")))
+
+
+def summed_down(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(r, c, acc) of a forest (r, c, pr, pc, acc): each node's acc and that of all below it.  Ways are doubled, so rounds are the logarithm of the longest."""
+    state = stored(nodes.select("r", "c", "pr", "pc", "acc"))
     for _ in range(most_rounds):
         if not state.filter("pr is not null").limit(1).count():
             return state.select("r", "c", "acc")
@@ -221,6 +256,38 @@ def flow_accumulation(flow: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"flow did not settle in {most_rounds} rounds")
 
 
+def flow_accumulation(flow: DataFrame, tile: int = 256) -> DataFrame:
+    """(r, c, acc): cells that drain through each cell, itself included.
+
+    Two passes over the grid, whatever its relief.  The first gathers inside tiles and says, for the cells where water leaves a tile, how much of the tile
+    drains there, and for cells at a tile's rim, where what enters them leaves.  Leaving cells alone are then a forest, about 4 / tile of the cells, which is summed
+    down; the second pass gathers inside tiles again, with what enters.
+    """
+    own = [F.floor(F.col(k) / tile).alias(t) for k, t in (("r", "tr"), ("c", "tc"))]
+    cells = stored(flow.select("r", "c", F.col("to_r").cast("long").alias("to_r"), F.col("to_c").cast("long").alias("to_c"), *own))
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = _tile_flow(pdf)
+        end, r, c = f.ends(), pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        leaves = (f.to < 0) & pdf["to_r"].notna().to_numpy()
+        rim = (r % tile == 0) | (r % tile == tile - 1) | (c % tile == 0) | (c % tile == tile - 1)
+        keep = leaves | rim
+        return pd.DataFrame({"r": r, "c": c, "leaves": leaves, "to_r": pdf["to_r"], "to_c": pdf["to_c"], "end_r": r[end], "end_c": c[end], "ends": leaves[end], "acc": f.gathered(np.ones(len(r), np.int64))})[keep]
+
+    rims = stored(cells.groupBy("tr", "tc").applyInPandas(first, "r long, c long, leaves boolean, to_r long, to_c long, end_r long, end_c long, ends boolean, acc long"))
+    out = rims.filter("leaves")
+    # The leaving cell that follows: where the way goes on from the cell that is entered.
+    onward = rims.filter("ends").select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("end_r").alias("pr"), F.col("end_c").alias("pc"))
+    total = summed_down(out.join(onward, ["to_r", "to_c"], "left").select("r", "c", "pr", "pc", "acc"))
+    enters = out.select("r", "c", "to_r", "to_c").join(total, ["r", "c"]).groupBy(F.col("to_r").alias("r"), F.col("to_c").alias("c")).agg(F.sum("acc").alias("more"))
+    fed = cells.join(enters, ["r", "c"], "left").withColumn("weight", F.lit(1).cast("long") + F.coalesce("more", F.lit(0))).drop("more")
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["r", "c"]].assign(acc=_tile_flow(pdf).gathered(pdf["weight"].to_numpy(np.int64)))
+
+    return fed.groupBy("tr", "tc").applyInPandas(second, "r long, c long, acc long")
+
+
 def wetness_index(dem: DataFrame, dx: float, dy: float, value: str = "z", least_slope: float = 0.1) -> DataFrame:
     """(r, c, value): ln(area drained per width / tan(slope)), the slope at least least_slope degrees."""
     acc = flow_accumulation(flow_direction(fill_depressions(dem, value), dx, dy))

@@ -31,6 +31,22 @@ __w AS (SELECT r, c, z AS w FROM __o UNION SELECT n.r, n.c, greatest(w.w, n.z) F
 query("fill_depressions", f"{_SPREAD} SELECT c.r, c.c, c.z, min(w.w) AS w FROM __c c LEFT JOIN __w w ON w.r = c.r AND w.c = c.c GROUP BY c.r, c.c, c.z", "dem_grid", recursive=True)(lambda s, d: ops.fill_depressions(dem(s, d)).select("r", "c", "z", "w"))
 query("flow_direction")(lambda s, d: ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0))
 query("flow_accumulation")(lambda s, d: ops.flow_accumulation(ops.flow_direction(ops.fill_depressions(dem(s, d)), 10.0, 10.0)))
+# The elevations as they are, pits and all: a cell without a lower neighbour ends its way.  In DuckDB: every cell walks down, and a cell's count is how many walks
+# come by.
+_DOWN = """__n AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i, unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS a, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS b, unnest([sqrt(200), 10.0, sqrt(200), 10.0, 10.0, sqrt(200), 10.0, sqrt(200)]) AS far),
+__c AS (SELECT r, c, z FROM dem_grid WHERE z IS NOT NULL), __f AS (SELECT r, c, nr, nc FROM (SELECT x.r, x.c, y.r AS nr, y.c AS nc, row_number() OVER (PARTITION BY x.r, x.c ORDER BY (x.z - y.z) / far DESC, i) AS k FROM __c x CROSS JOIN __n JOIN __c y ON y.r = x.r + a AND y.c = x.c + b WHERE x.z > y.z) WHERE k = 1)"""
+_bare = lambda s, d: ops.flow_direction(dem(s, d).filter("z is not null").select("r", "c", F.col("z").alias("w"), F.lit(-1).alias("back")), 10.0, 10.0)
+query("flow_direction_plain", f"{_DOWN} SELECT c.r, c.c, z AS w, nr AS to_r, nc AS to_c FROM __c c LEFT JOIN __f f ON f.r = c.r AND f.c = c.c", "dem_grid")(_bare)
+query("flow_accumulation_plain", f"{_DOWN}, __w AS (SELECT r, c FROM __c UNION ALL SELECT nr, nc FROM __w w JOIN __f f ON f.r = w.r AND f.c = w.c) SELECT r, c, count(*) AS acc FROM __w GROUP BY r, c", "dem_grid", recursive=True)(lambda s, d: ops.flow_accumulation(_bare(s, d), 16))
+# Each region's sides towards anything else, and its area; outlines have as many corners as sides, and enclose the cells.
+query("polygonize_sums", _REACH + ", __d AS (SELECT unnest([-1, 1, 0, 0]) AS a, unnest([0, 0, -1, 1]) AS b), __o AS (SELECT n.label, count(*) AS sides FROM __n n CROSS JOIN __d LEFT JOIN __n m ON m.id // 40 = n.id // 40 + a AND m.id % 40 = n.id % 40 + b AND m.label = n.label WHERE m.id IS NULL GROUP BY n.label) SELECT label, round_even(size * 100.0 / 10000, 3) AS area_ha, CAST(sides AS INT) AS sides, CAST(size AS DOUBLE) AS enclosed FROM __s JOIN __o USING (label)", "scene_cells", recursive=True)(lambda s, d: _outlines(s, d))
+
+
+def _outlines(spark, sf_dir):
+    ring = "rings, q -> aggregate(sequence(0, size(q) - 1), 0D, (s, i) -> s + q[i][0] * q[(i + 1) % size(q)][1] - q[(i + 1) % size(q)][0] * q[i][1]) / 2"
+    return ops.polygonize(_labels(spark, sf_dir), 100.0).selectExpr("label", "area_ha", "aggregate(rings, 0, (n, q) -> n + size(q)) AS sides", f"abs(aggregate(transform({ring}), 0D, (s, x) -> s + x)) AS enclosed")
+
+
 query("wetness_index")(lambda s, d: ops.wetness_index(dem(s, d), 10.0, 10.0))
 query("elevation_profile", f"{_DEM}, __p AS (SELECT k, 1.0 + k / 49.0 * 2.5 AS y, 2.0 + k / 49.0 * 30.0 AS x FROM (SELECT CAST(unnest(range(50)) AS DOUBLE) AS k)), __w AS (SELECT k, sum((1 - abs(y - r)) * (1 - abs(x - c)) * z) / nullif(sum((1 - abs(y - r)) * (1 - abs(x - c))), 0) AS z FROM __p JOIN __z ON abs(y - r) < 1 AND abs(x - c) < 1 WHERE z IS NOT NULL GROUP BY k) SELECT CAST(p.k AS BIGINT) AS k, round_even(k / 49.0 * sqrt(2.5 * 2.5 + 30.0 * 30.0) * 10, 6) AS distance, round_even(z, 6) AS z FROM __p p LEFT JOIN __w USING (k)", "dem_grid")(
     lambda s, d: ops.elevation_profile(dem(s, d), "z", (1.0, 2.0), (3.5, 32.0), 10.0, 50).select("k", F.bround("distance", 6).alias("distance"), F.bround("z", 6).alias("z"))

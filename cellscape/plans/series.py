@@ -36,7 +36,10 @@ _X = "__x AS (SELECT cell, y, d, date_diff('day', (SELECT min(d) FROM cell_serie
 query("ols_trend", f"{_X}, __g AS (SELECT cell, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM __x GROUP BY cell HAVING count(*) >= 3) SELECT cell, n, round_even(slope, 4) AS slope, round_even(intercept, 4) AS intercept, round_even(CASE WHEN syy > 0 THEN sxy / sqrt(sxx * syy) ELSE 0 END, 6) AS r, round_even(sqrt(greatest(0, syy - slope * sxy) / (n - 2) / sxx), 4) AS se FROM __g", "cell_series")(
     lambda s, d: ops.ols_trend(_s(s, d), p_values=False).select("cell", "n", F.bround("slope", 4).alias("slope"), F.bround("intercept", 4).alias("intercept"), F.bround("r", 6).alias("r"), F.bround("se", 4).alias("se"))
 )
-query("ols_trend_p")(lambda s, d: ops.ols_trend(_s(s, d)))
+# In DuckDB: the share of Student's distribution beyond t in closed form, a finite sum of powers of a cosine for whole degrees of freedom.
+_T = """__e AS (SELECT cell, n, round_even(slope, 4) AS slope, n - 2 AS f, abs(slope / sqrt(greatest(0, syy - slope * sxy) / (n - 2) / sxx)) AS t FROM (SELECT cell, count(*) AS n, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM __x GROUP BY cell HAVING count(*) >= 3)),
+__a AS (SELECT *, atan(t / sqrt(f)) AS q, list_transform(range(0, CASE WHEN f % 2 = 1 THEN (f - 1) // 2 ELSE f // 2 END), lambda k: CASE WHEN f % 2 = 1 THEN list_product([1.0] || list_transform(range(1, k + 1), lambda j: 2.0 * j / (2 * j + 1))) * pow(cos(atan(t / sqrt(f))), 2 * k + 1) ELSE list_product([1.0] || list_transform(range(1, k + 1), lambda j: (2.0 * j - 1) / (2 * j))) * pow(cos(atan(t / sqrt(f))), 2 * k) END) AS terms FROM __e)"""
+query("ols_trend_p", f"{_X}, {_T} SELECT cell, n, slope, round_even(CASE WHEN f % 2 = 1 THEN 1 - 2 / pi() * (q + sin(q) * coalesce(list_sum(terms), 0)) ELSE 1 - sin(q) * coalesce(list_sum(terms), 0) END, 8) AS p FROM __a", "cell_series")(lambda s, d: ops.ols_trend(_s(s, d)).select("cell", "n", F.bround("slope", 4).alias("slope"), F.bround("p", 8).alias("p")))
 query("trend_per_year", "__x AS (SELECT cell, y, date_diff('day', min(d) OVER (PARTITION BY cell), d) / 365.25 AS x FROM cell_series) SELECT cell, count(*) AS n, round_even(regr_slope(y, x), 4) AS slope FROM __x GROUP BY cell HAVING count(*) >= 3", "cell_series")(lambda s, d: ops.trend_per_year(_s(s, d)).withColumn("slope", F.bround("slope", 4)))
 query("anomaly_zscore", "__k AS (SELECT cell, y, row_number() OVER (PARTITION BY cell ORDER BY d DESC) AS k FROM cell_series) SELECT cell, round_even((max(y) FILTER (k = 1) - avg(y) FILTER (k > 1)) / nullif(stddev_pop(y) FILTER (k > 1), 0), 5) AS z FROM __k GROUP BY cell HAVING count(*) >= 3", "cell_series")(
     lambda s, d: ops.anomaly_zscore(_s(s, d)).withColumn("z", F.bround("z", 5))
@@ -51,7 +54,9 @@ def _r9(df):
     return df.withColumns({"tau": F.bround("tau", 9), "z": F.bround("z", 9)})
 
 
-query("mann_kendall_p")(lambda s, d: ops.mann_kendall(_s(s, d)))
+# In DuckDB: both tails of the normal distribution by the error function's series, whose terms follow each other by a factor.
+_TAILS = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: list_product([abs(z) / sqrt(2)] || list_transform(range(1, k + 1), lambda j: -z * z / 2 / j)) / (2 * k + 1)))"
+query("mann_kendall_p", f"{_PAIR}, __s AS (SELECT cell, CAST(sum(sign(dy)) AS DOUBLE) AS s FROM __p GROUP BY cell), __n AS (SELECT cell, count(*) AS n FROM cell_series GROUP BY cell HAVING count(*) >= 4), __z AS (SELECT cell, n, s, CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) ELSE 0 END AS z FROM __s JOIN __n USING (cell)), __q AS (SELECT *, {_TAILS} AS p FROM __z) SELECT cell, n, s, round_even(p, 7) AS p, p < 0.05 AS significant FROM __q", "cell_series")(lambda s, d: ops.mann_kendall(_s(s, d)).select("cell", "n", "s", F.bround("p", 7).alias("p"), "significant"))
 query("sens_slope", f"{_PAIR} SELECT cell, round_even(median(dy / (dx / 365.2425)), 5) AS slope FROM __p GROUP BY cell HAVING count(*) >= 3", "cell_series")(lambda s, d: ops.sens_slope(_s(s, d)).withColumn("slope", F.bround("slope", 5)))
 query("seasonal_baseline", "SELECT cell, d, round_even(y, 6) AS y, round_even(median(y) OVER (PARTITION BY cell, month(d)), 6) AS base, round_even(y - median(y) OVER (PARTITION BY cell, month(d)), 6) AS anomaly FROM cell_series", "cell_series")(lambda s, d: _r("y", "base", "anomaly")(ops.seasonal_baseline(_s(s, d))))
 _STEPS = """__g AS (SELECT cell, avg(y) AS m, stddev_pop(y) AS sd, count(*) AS n FROM cell_series WHERE y IS NOT NULL GROUP BY cell),
