@@ -16,6 +16,7 @@ from cellscape.operators import focal, vector
 from cellscape.operators.boosting import boosted, in_threads
 from cellscape.operators.quantiles import quantiles, with_quantiles
 from cellscape.operators.ranks import shuffled
+from cellscape.operators.stacks import TILE, Patch, in_tiles
 from cellscape.operators.summaries import balance_weights, classification_metrics
 from cellscape.sources.scratch import stored
 
@@ -35,71 +36,57 @@ def colour_features(r: Column, g: Column, b: Column, eps: float = 1e-6) -> dict[
     }
 
 
-def rgb_features(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+MORE19 = (
+    "saturation", "gb_ratio", "brightness_range", "fft_energy", "rg_slope", "blue_dom", "ms_fine", "ms_mid", "ms_coarse", "ms_diff_fm", "ms_diff_mc", "lbp_mean", "lbp_std", "lbp_uniform", "lbp_mixed", "lbp_varied",
+    "r_iqr", "g_iqr", "b_iqr",
+)
+
+
+def _spread(patch: Patch, a: np.ndarray) -> np.ndarray:
+    """Population deviation over boxes of 5 x 5."""
+    m = patch.mean(a, 5)
+    return np.sqrt(np.maximum(0.0, patch.mean(a * a, 5) - m * m))
+
+
+def _rgb14(patch: Patch, eps: float = 1e-6) -> dict[str, np.ndarray]:
+    # Fixed values of the feature sets, here and below: eps, the factors 1.5, 2.0 and 1.35, and the sizes of boxes.
+    r, g, b = (patch.layers[n] for n in ("red", "green", "blue"))
+    v, whole = (r + g + b) / 3.0, g + r - b + eps
+    edge = patch.slope(v)
+    vari = np.divide(g - r, whole, out=np.zeros_like(v), where=whole != 0)
+    return {
+        "red": r, "green": g, "blue": b, "vari": np.clip(vari, -2.0, 2.0), "rb_ratio": np.clip(r / (b + eps), 0.0, 10.0), "ngrdi": np.clip((g - r) / (g + r + eps), -1.0, 1.0), "brightness": v,
+        "texture": _spread(patch, v), "r_std": _spread(patch, r), "g_std": _spread(patch, g), "edge": edge, "edge_p90": patch.mean(edge, 5) * 1.5,
+        "contrast": patch.mean(np.abs(v - patch.mean(v, 7)), 7) * 2.0, "quad_disp": patch.mean(np.abs(v - patch.mean(v, 15)), 7),
+    }
+
+
+def _rgb33(patch: Patch, eps: float = 1e-6) -> dict[str, np.ndarray]:
+    out = _rgb14(patch, eps)
+    r, g, b, v = (out[n] for n in ("red", "green", "blue", "brightness"))
+    k = patch.pattern(lambda pdf: (pdf["red"].to_numpy() + pdf["green"].to_numpy() + pdf["blue"].to_numpy()) / 3.0)
+    wide = lambda a: patch.mean(a, 15)
+    flag = lambda c: wide(c.astype(np.float64))
+    hi, lo, fine, mid, coarse, mean = wide(np.maximum(np.maximum(r, g), b)), wide(np.minimum(np.minimum(r, g), b)), patch.mean(v, 3), wide(v), patch.mean(v, 31), wide(k)
+    return out | {
+        "saturation": (hi - lo) / (hi + eps), "gb_ratio": np.clip(wide(g) / (wide(b) + eps), 0.0, 10.0), "brightness_range": out["contrast"] * 2.0, "fft_energy": np.clip(wide(patch.slope(patch.mean(v, 7))), 0.0, 1e6),
+        "rg_slope": np.clip((r - g) / (r + g + eps), -1.0, 1.0), "blue_dom": np.clip(b / (r + g + b + eps), 0.0, 1.0), "ms_fine": fine, "ms_mid": mid, "ms_coarse": coarse, "ms_diff_fm": np.abs(fine - mid), "ms_diff_mc": np.abs(mid - coarse),
+        "lbp_mean": mean, "lbp_std": np.sqrt(np.maximum(0.0, wide(k * k) - mean * mean)), "lbp_uniform": flag((k == 0) | (k == 8)), "lbp_mixed": flag(k == 4), "lbp_varied": flag((k >= 1) & (k <= 3)),
+        "r_iqr": out["r_std"] * 1.35, "g_iqr": out["g_std"] * 1.35, "b_iqr": _spread(patch, b) * 1.35,
+    }
+
+
+def rgb_features(cells: DataFrame, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """(…, r, c, 14 features) of cells with red, green and blue in 0..1 and no gaps: colours, local deviations, edges, contrasts."""
-    bounds = [n for n in ("__r0", "__r1", "__c0", "__c1") if n in cells.columns]
-    base = cells.select(*by, "r", "c", "red", "green", "blue", *bounds)
-    base = (base if bounds else focal.extents(base, by)).withColumns(colour_features(F.col("red"), F.col("green"), F.col("blue")))
-    squares = {f"{n}2": F.col(n) * F.col(n) for n in ("brightness", "red", "green")}
-    five = focal.box_sums(base.withColumns(squares), ["brightness", "red", "green", *squares], 5, "mirror", by)
-    std = lambda n: F.sqrt(F.greatest(F.lit(0.0), F.col(f"sum_{n}2") / 25.0 - (F.col(f"sum_{n}") / 25.0) * (F.col(f"sum_{n}") / 25.0)))
-    out = five.withColumns({"texture": std("brightness"), "r_std": std("red"), "g_std": std("green")}).drop(*squares, *[f"sum_{n}" for n in ("brightness", "red", "green", *squares)])
-    edges = focal.horn(out.withColumn("v", F.col("brightness")), by).withColumn("edge", F.hypot("gx", "gy")).drop("v", "gx", "gy")
-    edges = focal.box_sums(edges, ["edge"], 5, "mirror", by).withColumn("edge_p90", F.col("sum_edge") / 25.0 * 1.5).drop("sum_edge")
-    near = focal.box_sums(edges, ["brightness"], 7, "mirror", by).withColumn("__c", F.abs(F.col("brightness") - F.col("sum_brightness") / 49.0)).drop("sum_brightness")
-    far = focal.box_sums(near, ["brightness"], 15, "mirror", by).withColumn("__q", F.abs(F.col("brightness") - F.col("sum_brightness") / 225.0)).drop("sum_brightness")
-    last = focal.box_sums(far, ["__c", "__q"], 7, "mirror", by)
-    return last.withColumns({"contrast": F.col("sum___c") / 49.0 * 2.0, "quad_disp": F.col("sum___q") / 49.0}).select(*by, "r", "c", *RGB14, *bounds)
-
-
-def rgb_features_33(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(…, r, c, 33 features): the 14, then saturation, ratios, smoothed edge energy, means at three scales, local binary patterns and spreads."""
-    # Fixed values of the feature set: eps, the factors 1.5 and 2.0 above, 1.35 and the box sizes here.
-    eps = 1e-6
-    b14 = rgb_features(focal.extents(cells.select(*by, "r", "c", "red", "green", "blue"), by), by)
-    r, g, b, br = F.col("red"), F.col("green"), F.col("blue"), F.col("brightness")
-
-    def boxed(df: DataFrame, size: int, **columns: Column) -> DataFrame:
-        """Box means of the given columns, under their names."""
-        df = focal.box_sums(df.withColumns({f"__{n}": c for n, c in columns.items()}), [f"__{n}" for n in columns], size, "mirror", by)
-        return df.withColumns({n: F.col(f"sum___{n}") / float(size * size) for n in columns}).drop(*[f"{p}__{n}" for n in columns for p in ("", "sum_")])
-
-    x = boxed(b14, 5, m_b=b, m_b2=b * b)
-    x = boxed(x, 3, ms_fine=br)
-    x = boxed(x, 7, smooth7=br)
-    x = boxed(x, 31, ms_coarse=br)
-    around = focal.lbp(x.select(*by, "r", "c", "brightness"), "brightness", by).withColumnRenamed("value", "lbp")
-    x = x.join(around, [*by, "r", "c"])
-    x = focal.horn(x.withColumn("v", F.col("smooth7")), by).withColumn("energy", F.hypot("gx", "gy")).drop("v", "gx", "gy")
-    k = F.col("lbp")
-    flag = lambda c: c.cast("double")
-    x = boxed(
-        x, 15, hi=F.greatest(r, g, b), lo=F.least(r, g, b), m_g=g, m_bl=b, ms_mid=br, fft_energy=F.col("energy"), lbp_mean=flag(k), lbp_sq=flag(k * k),
-        lbp_uniform=flag((k == 0) | (k == 8)), lbp_mixed=flag(k == 4), lbp_varied=flag((k >= 1) & (k <= 3)),
-    )
-    b_std = F.sqrt(F.greatest(F.lit(0.0), F.col("m_b2") - F.col("m_b") * F.col("m_b")))
-    more = {
-        "saturation": (F.col("hi") - F.col("lo")) / (F.col("hi") + eps),
-        "gb_ratio": clipped(F.col("m_g") / (F.col("m_bl") + eps), 0.0, 10.0),
-        "brightness_range": F.col("contrast") * 2.0,
-        "fft_energy": clipped(F.col("fft_energy"), 0.0, 1e6),
-        "rg_slope": clipped((r - g) / (r + g + eps), -1.0, 1.0),
-        "blue_dom": clipped(b / (r + g + b + eps), 0.0, 1.0),
-        "ms_fine": F.col("ms_fine"),
-        "ms_mid": F.col("ms_mid"),
-        "ms_coarse": F.col("ms_coarse"),
-        "ms_diff_fm": F.abs(F.col("ms_fine") - F.col("ms_mid")),
-        "ms_diff_mc": F.abs(F.col("ms_mid") - F.col("ms_coarse")),
-        "lbp_mean": F.col("lbp_mean"),
-        "lbp_std": F.sqrt(F.greatest(F.lit(0.0), F.col("lbp_sq") - F.col("lbp_mean") * F.col("lbp_mean"))),
-        "lbp_uniform": F.col("lbp_uniform"),
-        "lbp_mixed": F.col("lbp_mixed"),
-        "lbp_varied": F.col("lbp_varied"),
-        "r_iqr": F.col("r_std") * 1.35,
-        "g_iqr": F.col("g_std") * 1.35,
-        "b_iqr": b_std * 1.35,
-    }
-    return x.select(*by, "r", "c", *RGB14, *[c.alias(n) for n, c in more.items()])
+    return in_tiles(cells, ("red", "green", "blue"), _rgb14, RGB14, by, tile)
+
+
+def rgb_features_33(cells: DataFrame, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """(…, r, c, 33 features): the 14, then saturation, ratios, smoothed edge energy, means at three scales, local binary patterns and spreads.
+
+    Cells travel once, in tiles with a halo, and all boxes are made inside a task.
+    """
+    return in_tiles(cells, ("red", "green", "blue"), _rgb33, RGB14 + MORE19, by, tile)
 
 
 PATCH14 = ("red", "green", "blue", "vari", "rb_ratio", "ngrdi", "brightness", "texture", "r_std", "g_std", "edge_mag", "edge_p90", "contrast", "quad_disp")
