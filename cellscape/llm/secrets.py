@@ -248,6 +248,11 @@ def without_secrets(docs: DataFrame, text_col: str = "text", least_ratio: float
     return found.select(*[(redacted(text, F.col("spans")) if c == text_col else F.col("kept")[c]).alias(c) for c in docs.columns])
 
 
+def of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of a kind.  The lambda takes the span alone: Spark gives a second argument, even one with a default, the place."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: str) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -277,5 +282,4 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]", size: int = 1
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    n = {k: F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:3])}
-    return found.select("doc_id", *[c.alias(f"n_{k}") for k, c in n.items()], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *[of_kind("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
