@@ -70,3 +70,21 @@ def test_zonal_stats_on_wide_rows_with_holes(spark):
     assert vector.cells_in(zones, "k", df, ["z"]).filter("k = 1").count() == sum(not (100 <= c < 700 and 1 <= r < 3) for r, c in cells)
     plan = vector.zonal_stats(zones, df, "k", "z")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(") == 5  # rings, edges, rows, spans and segments: no cells
+
+
+def test_boxes_are_compared_by_their_ends(spark):
+    """Boxes, closed rings and triangles against the exact test of each pair; a plan whose test of sides boxes skip."""
+    rng = random.Random(3)
+    shapes = {}
+    for k in range(90):
+        x, y, w, h = rng.randint(0, 12) / 2, rng.randint(0, 12) / 2, rng.randint(1, 6) / 2, rng.randint(1, 6) / 2
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        shapes[k] = [[ring, ring[::-1], ring + ring[:1], ring[:3], [ring[0], ring[1], ring[0], ring[3]], [ring[0], ring[2], ring[1], ring[3]]][k % 6]]
+    df = spark.createDataFrame(list(shapes.items()), "k long, rings array<array<struct<x: double, y: double>>>")
+    boxes = {r.k for r in df.filter(vector.is_box(F.col("rings"))).select("k").collect()}
+    assert boxes == {k for k in shapes if k % 6 < 3}
+    a, b = df.withColumnsRenamed({"k": "a"}), df.withColumnsRenamed({"k": "b"})
+    pairs = a.crossJoin(b.withColumnRenamed("rings", "other"))
+    for how in ("intersects", "within", "contains"):
+        want = pairs.filter(vector.polygons_meet(F.col("rings"), F.col("other"), how)).select("a", "b")
+        assert sorted(map(tuple, vector.spatial_join(a, b, "a", "b", "inner", how).collect())) == sorted(map(tuple, want.collect())), how
