@@ -337,72 +337,103 @@ def segments(series: DataFrame, penalty: float | None = None, min_size: int = 3,
     return series.groupBy("cell").applyInPandas(one, f"cell {kind}, changes int, first int")
 
 
+#: Numbers that one step of a decomposition holds at once.
+MOST_HELD = 1 << 20
+
+
 def _loess(y: np.ndarray, width: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear regression of y over its positions 0, 1, ... with tricube weights of the `width` nearest, at the places `at`."""
-    n, out = len(y), np.empty(len(at))
+    """Local linear regression of each row of y over its positions 0, 1, ... with tricube weights of the `width` nearest, at the places `at`."""
+    (m, n), out = y.shape, np.empty((len(y), len(at)))
     q = min(width, n)
-    for k, x in enumerate(at):
-        a = int(min(max(0, np.ceil(x - q / 2)), n - q))
-        near = np.arange(a, a + q)
+    first = np.clip(np.ceil(at - q / 2), 0, n - q).astype(np.int64)
+    step = max(1, MOST_HELD // (m * q))
+    for k in range(0, len(at), step):
+        x = at[k : k + step, None]
+        near = first[k : k + step, None] + np.arange(q)
         far = np.abs(near - x)
-        h = far.max() + max(0, width - n) // 2
-        w = np.where(far <= 0.999 * h, (1 - (far / h) ** 3) ** 3, 0.0) if h > 0 else np.ones(q)
+        h = far.max(axis=1, keepdims=True) + max(0, width - n) // 2
+        w = np.where(far <= 0.999 * h, (1 - (far / np.where(h > 0, h, 1.0)) ** 3) ** 3, 0.0)
+        w = np.where(h > 0, w, 1.0)[None]
+        values = np.take(y, near, axis=1)
         if weights is not None:
-            w = w * weights[near]
-        total = w.sum()
-        if total <= 0:
-            out[k] = y[near].mean()
-            continue
-        w = w / total
-        mean = (w * near).sum()
-        var = (w * (near - mean) ** 2).sum()
-        if np.sqrt(var) > 0.001 * max(n - 1, 1):
-            w = w * (1 + (x - mean) * (near - mean) / var)
-        out[k] = (w * y[near]).sum()
+            w = w * np.take(weights, near, axis=1)
+        total = w.sum(axis=2, keepdims=True)
+        w = w / np.where(total > 0, total, 1.0)
+        mean = (w * near).sum(axis=2, keepdims=True)
+        var = (w * (near - mean) ** 2).sum(axis=2, keepdims=True)
+        wide = np.sqrt(var) > 0.001 * max(n - 1, 1)
+        w = w * np.where(wide, 1 + (x - mean) * (near - mean) / np.where(wide, var, 1.0), 1.0)
+        out[:, k : k + step] = np.where(total[..., 0] > 0, (w * values).sum(axis=2), values.mean(axis=2))
     return out
 
 
 def _moving(y: np.ndarray, width: int) -> np.ndarray:
-    return np.convolve(y, np.full(width, 1 / width), "valid")
+    return np.stack([np.convolve(v, np.full(width, 1 / width), "valid") for v in y])
 
 
 def _decomposed(y: np.ndarray, period: int, seasonal_width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trend and seasonal part by the STL procedure: each phase's sub-series smoothed and prolonged by one cycle, its low-pass part taken
-    off, the rest smoothed; `rounds` times anew with weights against outliers."""
-    n, odd = len(y), lambda v: int(np.ceil(v)) | 1
+    """Trend and seasonal part of each row of y by the STL procedure: each phase's sub-series smoothed and prolonged by one cycle, its low-pass
+    part taken off, the rest smoothed; `rounds` times anew with weights against outliers, for rows that have deviations."""
+    (m, n), odd = y.shape, lambda v: int(np.ceil(v)) | 1
     period = min(period, n // 2)
     places = np.arange(n, dtype=float)
     if period < 2:
-        return _loess(y, odd(1.5 * n), places), np.zeros(n)
+        return _loess(y, odd(1.5 * n), places), np.zeros((m, n))
     trend_width, low_width = odd(1.5 * period / (1 - 1.5 / seasonal_width) + 1e-9), odd(period + 1)
-    trend, seasonal, weights = np.zeros(n), np.zeros(n), np.ones(n)
+    trend, seasonal, weights, going = np.zeros((m, n)), np.zeros((m, n)), np.ones((m, n)), np.arange(m)
     for last in range(rounds + 1):
+        values, t, w = y[going], trend[going], weights[going]
         for _ in range(2):
-            free, cycles = y - trend, np.empty(n + 2 * period)
+            free, cycles = values - t, np.empty((len(going), n + 2 * period))
             for k in range(period):
-                sub = free[k::period]
-                cycles[k :: period][: len(sub) + 2] = _loess(sub, seasonal_width, np.arange(-1.0, len(sub) + 1), weights[k::period])
+                sub = free[:, k::period]
+                cycles[:, k::period][:, : sub.shape[1] + 2] = _loess(sub, seasonal_width, np.arange(-1.0, sub.shape[1] + 1), w[:, k::period])
             low = _loess(_moving(_moving(_moving(cycles, period), period), 3), low_width, places)
-            seasonal = cycles[period : period + n] - low
-            trend = _loess(y - seasonal, trend_width, places, weights)
-        off = np.abs(y - trend - seasonal)
-        h = 6 * np.median(off)
-        if last == rounds or h <= 0:
+            s = cycles[:, period : period + n] - low
+            t = _loess(values - s, trend_width, places, w)
+        trend[going], seasonal[going] = t, s
+        off = np.abs(values - t - s)
+        h = 6 * np.median(off, axis=1, keepdims=True)
+        still = h[:, 0] > 0
+        if last == rounds or not still.any():
             break
-        weights = np.where(off <= 0.001 * h, 1.0, np.where(off <= 0.999 * h, (1 - np.minimum(off / h, 1) ** 2) ** 2, 0.0))
+        going, off, h = going[still], off[still], h[still]
+        weights[going] = np.where(off <= 0.001 * h, 1.0, np.where(off <= 0.999 * h, (1 - np.minimum(off / h, 1) ** 2) ** 2, 0.0))
     return trend, seasonal
 
 
+def _interpolated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """y with missing values interpolated in x, its ends at the nearest valid value; 0 where there is none."""
+    valid = ~np.isnan(y)
+    return y if valid.all() else np.interp(x, x[valid], y[valid]) if valid.any() else np.zeros(len(y))
+
+
 def stl(series: DataFrame, period: int = 12, robust: bool = True, seasonal_width: int = 7) -> DataFrame:
-    """(cell, d, observed, trend, seasonal, resid): seasonal-trend decomposition by local regression; missing values interpolated in time."""
+    """(cell, d, observed, trend, seasonal, resid): seasonal-trend decomposition by local regression; missing values interpolated in time.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        y = pd.Series(pdf["y"].to_numpy(), index=pd.to_datetime(pdf["d"])).interpolate("time").bfill().ffill().fillna(0.0).to_numpy()
-        trend, seasonal = _decomposed(y, period, seasonal_width, 15 if robust else 0)
-        return pd.DataFrame({"cell": pdf["cell"].to_numpy(), "d": pdf["d"].to_numpy(), "observed": y, "trend": trend, "seasonal": seasonal, "resid": y - trend - seasonal})
+    Cells with equally many dates are decomposed side by side, as many as MOST_HELD allows.
+    """
+    rows = series.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("d", F.col("y").cast("double").alias("y")))).alias("s"))
+    rows = rows.select("cell", F.transform("s", lambda v: v["d"]).alias("d"), F.transform("s", lambda v: v["y"]).alias("y"))
 
-    return series.select("cell", "d", "y").groupBy("cell").applyInPandas(one, "cell long, d date, observed double, trend double, seasonal double, resid double")
+    def each(batches):
+        for b in batches:
+            cells, days, ys = b.column(0), b.column(1), b.column(2)
+            sizes = ys.value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes):
+                same = np.flatnonzero(sizes == n)
+                step = max(1, MOST_HELD // (64 * int(n)))
+                for k in range(0, len(same), step):
+                    at = pa.array(same[k : k + step])
+                    d = days.take(at).flatten()
+                    x = d.cast(pa.int32()).to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
+                    raw = ys.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
+                    y = np.stack([_interpolated(*v) for v in zip(x, raw)])
+                    trend, seasonal = _decomposed(y, period, seasonal_width, 15 if robust else 0)
+                    named = cells.take(pa.array(np.repeat(same[k : k + step], n))).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([named, d, *[pa.array(v.ravel()) for v in (y, trend, seasonal, y - trend - seasonal)]], names=["cell", "d", "observed", "trend", "seasonal", "resid"])
+
+    return rows.mapInArrow(each, "cell long, d date, observed double, trend double, seasonal double, resid double")
 
 
 def forecast(series: DataFrame, steps: int = 3, method: str = "linear") -> DataFrame:
