@@ -372,8 +372,11 @@ def _moving(y: np.ndarray, width: int) -> np.ndarray:
 
 
 def _decomposed(y: np.ndarray, period: int, seasonal_width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trend and seasonal part of each row of y by the STL procedure: each phase's sub-series smoothed and prolonged by one cycle, its low-pass
+    """Trend and seasonal part of a series, or of each row of y by the STL procedure: each phase's sub-series smoothed and prolonged by one cycle, its low-pass
     part taken off, the rest smoothed; `rounds` times anew with weights against outliers, for rows that have deviations."""
+    if y.ndim == 1:
+        trend, seasonal = _decomposed(y[None], period, seasonal_width, rounds)
+        return trend[0], seasonal[0]
     (m, n), odd = y.shape, lambda v: int(np.ceil(v)) | 1
     period = min(period, n // 2)
     places = np.arange(n, dtype=float)

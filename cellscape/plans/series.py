@@ -45,8 +45,11 @@ query("anomaly_zscore", "__k AS (SELECT cell, y, row_number() OVER (PARTITION BY
     lambda s, d: ops.anomaly_zscore(_s(s, d)).withColumn("z", F.bround("z", 5))
 )
 _PAIR = "__p AS (SELECT a.cell, date_diff('day', a.d, b.d) AS dx, b.y - a.y AS dy FROM cell_series a JOIN cell_series b ON a.cell = b.cell AND a.d < b.d)"
-query("mann_kendall", f"{_PAIR}, __s AS (SELECT cell, CAST(sum(sign(dy)) AS DOUBLE) AS s, count(*) AS m FROM __p GROUP BY cell), __n AS (SELECT cell, count(*) AS n FROM cell_series GROUP BY cell HAVING count(*) >= 4) SELECT cell, n, s, round_even(s / m, 9) AS tau, round_even(CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) ELSE 0 END, 9) AS z FROM __s JOIN __n USING (cell)", "cell_series")(
-    lambda s, d: _r9(ops.mann_kendall(_s(s, d), p_values=False))
+# Rises and falls are counted and equal values are ties, so the means must not depend on the order in which rows are added.
+_e = lambda s, d: view(s, d, "cell_series_exact")
+_EXACT_PAIR = _PAIR.replace("cell_series", "cell_series_exact")
+query("mann_kendall", f"{_EXACT_PAIR}, __s AS (SELECT cell, CAST(sum(sign(dy)) AS DOUBLE) AS s, count(*) AS m FROM __p GROUP BY cell), __n AS (SELECT cell, count(*) AS n FROM cell_series_exact GROUP BY cell HAVING count(*) >= 4) SELECT cell, n, s, round_even(s / m, 9) AS tau, round_even(CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) ELSE 0 END, 9) AS z FROM __s JOIN __n USING (cell)", "cell_series_exact")(
+    lambda s, d: _r9(ops.mann_kendall(_e(s, d), p_values=False))
 )
 
 
@@ -56,7 +59,7 @@ def _r9(df):
 
 # In DuckDB: both tails of the normal distribution by the error function's series, whose terms follow each other by a factor.
 _TAILS = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: list_product([abs(z) / sqrt(2)] || list_transform(range(1, k + 1), lambda j: -z * z / 2 / j)) / (2 * k + 1)))"
-query("mann_kendall_p", f"{_PAIR}, __s AS (SELECT cell, CAST(sum(sign(dy)) AS DOUBLE) AS s FROM __p GROUP BY cell), __n AS (SELECT cell, count(*) AS n FROM cell_series GROUP BY cell HAVING count(*) >= 4), __z AS (SELECT cell, n, s, CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) ELSE 0 END AS z FROM __s JOIN __n USING (cell)), __q AS (SELECT *, {_TAILS} AS p FROM __z) SELECT cell, n, s, round_even(p, 7) AS p, p < 0.05 AS significant FROM __q", "cell_series")(lambda s, d: ops.mann_kendall(_s(s, d)).select("cell", "n", "s", F.bround("p", 7).alias("p"), "significant"))
+query("mann_kendall_p", f"{_EXACT_PAIR}, __s AS (SELECT cell, CAST(sum(sign(dy)) AS DOUBLE) AS s FROM __p GROUP BY cell), __n AS (SELECT cell, count(*) AS n FROM cell_series_exact GROUP BY cell HAVING count(*) >= 4), __z AS (SELECT cell, n, s, CASE WHEN s > 0 THEN (s - 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) WHEN s < 0 THEN (s + 1) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) ELSE 0 END AS z FROM __s JOIN __n USING (cell)), __q AS (SELECT *, {_TAILS} AS p FROM __z) SELECT cell, n, s, round_even(p, 7) AS p, p < 0.05 AS significant FROM __q", "cell_series_exact")(lambda s, d: ops.mann_kendall(_e(s, d)).select("cell", "n", "s", F.bround("p", 7).alias("p"), "significant"))
 query("sens_slope", f"{_PAIR} SELECT cell, round_even(median(dy / (dx / 365.2425)), 5) AS slope FROM __p GROUP BY cell HAVING count(*) >= 3", "cell_series")(lambda s, d: ops.sens_slope(_s(s, d)).withColumn("slope", F.bround("slope", 5)))
 query("seasonal_baseline", "SELECT cell, d, round_even(y, 6) AS y, round_even(median(y) OVER (PARTITION BY cell, month(d)), 6) AS base, round_even(y - median(y) OVER (PARTITION BY cell, month(d)), 6) AS anomaly FROM cell_series", "cell_series")(lambda s, d: _r("y", "base", "anomaly")(ops.seasonal_baseline(_s(s, d))))
 _STEPS = """__g AS (SELECT cell, avg(y) AS m, stddev_pop(y) AS sd, count(*) AS n FROM cell_series WHERE y IS NOT NULL GROUP BY cell),
