@@ -9,6 +9,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,16 +136,24 @@ def distance_to_mask(grid: DataFrame, mask: DataFrame, dx: float, dy: float) ->
     """
     hit = grid.select("r", "c").join(mask.select("r", "c", F.lit(True).alias("m")).distinct(), ["r", "c"], "left")
     row = F.when(F.col("m"), F.col("r"))
-    over = W.partitionBy("c").orderBy("r")
-    above = F.last(row, ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0))
-    below = F.first(row, ignorenulls=True).over(over.rowsBetween(0, W.unboundedFollowing))
+    # From both ends: a frame up to the end of its partition would be read anew for each row.
+    above, below = (F.last(row, ignorenulls=True).over(W.partitionBy("c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) for order in (F.asc("r"), F.desc("r")))
     g = hit.select("r", "c", (F.least(F.col("r") - above, below - F.col("r")) * F.lit(dy)).alias("g"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, g2 = pdf["c"].to_numpy(float) * dx, pdf["g"].to_numpy(float) ** 2
-        return pdf[["r", "c"]].assign(value=np.sqrt(_lowest(c, g2)))
+    lines = g.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("held"))
+    lines = lines.select("r", F.transform("held", lambda x: x["c"]).alias("c"), F.transform("held", lambda x: x["g"]).alias("g"))
 
-    return g.groupBy("r").applyInPandas(one, "r long, c long, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    def each(batches):
+        for b in batches:
+            c, g2, ends = b.column(1).flatten(), b.column(2).flatten(), b.column(1).value_lengths().to_numpy().cumsum()
+            x, y = c.to_numpy(zero_copy_only=False).astype(float) * dx, g2.to_numpy(zero_copy_only=False).astype(float) ** 2
+            found = np.concatenate([_lowest(x[a:z], y[a:z]) for a, z in zip([0, *ends], ends)])
+            values = pa.array(np.sqrt(found), mask=np.isnan(found))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)], names=["r", "c", "value"])
+
+    # Many lines are one batch: a task does not begin anew for each.
+    near = lines.mapInArrow(each, "r long, c array<long>, value array<double>")
+    return near.select("r", F.explode(F.arrays_zip("c", "value")).alias("x")).select("r", "x.c", "x.value")
 
 
 def fill_depressions(dem: DataFrame, value: str = "z", tile: int = 256, most_rounds: int | None = None) -> DataFrame:
