@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,16 @@ class Grid:
         """West, south, east, north."""
         return self.x0, self.y0 - self.height * self.dy, self.x0 + self.width * self.dx, self.y0
 
+    def on_earth(self) -> "Grid":
+        """A grid in degrees without the rows that reach a pole or lie beyond it: they have no place in any other system."""
+        if self.srid != 4326:
+            return self
+        edge = self.y0 - self.dy * np.arange(self.height + 1)
+        kept = np.flatnonzero(np.abs(edge) < 90.0)
+        if len(kept) < 2:
+            raise ValueError("the grid holds no row between the poles")
+        return replace(self, y0=self.y0 - float(kept[0]) * self.dy, height=int(kept[-1] - kept[0]))
+
     def same(self, other: "Grid", tol: float = 1e-6) -> bool:
         terms = ("x0", "y0", "dx", "dy")
         return (self.srid, self.width, self.height) == (other.srid, other.width, other.height) and all(abs(getattr(self, k) - getattr(other, k)) <= tol for k in terms)
@@ -148,9 +158,13 @@ def align_to(cells: DataFrame, source: Grid, target: Grid, bands: Sequence[str],
 
 
 def common_grid(grids: Sequence[Grid], srid: int | None = None, resolution: float | None = None) -> Grid:
-    """The grid around all grids in a system (the first one's by default) at a resolution (the first one's, or as many cells across)."""
+    """The grid around all grids in a system (the first one's by default) at a resolution (the first one's, or as many cells across).
+
+    Another system than a grid's own has no place for rows in degrees at or beyond the poles; the grid is then around the others.
+    """
+    srid = grids[0].srid if srid is None else srid
+    grids = [g if g.srid == srid else g.on_earth() for g in grids]
     first = grids[0]
-    srid = first.srid if srid is None else srid
     boxes = [envelope(g.bounds, g.srid, srid) for g in grids]
     west, south, east, north = (f(b[k] for b in boxes) for k, f in enumerate((min, min, max, max)))
     if resolution is not None and resolution <= 0:
