@@ -186,12 +186,27 @@ def fit(rows: DataFrame, columns: Sequence[str], kind: str = "random_forest", la
     return Pipeline(stages=[assembler, classifier(kind, seed, label=label, weight=weight)]).fit(rows)
 
 
+def dealt(rows: DataFrame, by: Sequence[str], size: int = 25_000) -> DataFrame:
+    """rows, written once, in parts of about `size` by a hash of the columns `by`, and in their order inside a part.
+
+    Each round of a fit then has as many tasks as the rows need, however small their bytes are, and a forest's samples, which are drawn by part,
+    do not depend on the cluster.
+    """
+    kept = stored(rows)
+    return kept.repartition(max(1, -(-kept.count() // size)), *by).sortWithinPartitions(*by)
+
+
 def predict_cells(model: Transformer, cells: DataFrame, columns: Sequence[str], nodata: float = -9999.0) -> DataFrame:
-    """(r, c, prediction): the model's class where every feature is there, else the no-data value; one pass, no join."""
+    """(r, c, prediction): the model's class where every feature is there, else the no-data value; no join.
+
+    Cells are dealt anew first: a row's bytes are few and its trees many, so parts by bytes would be few long tasks.
+    """
     whole = F.lit(True)
     for n in columns:
         whole = whole & F.col(n).isNotNull() & ~F.isnan(n)
-    filled = cells.select("r", "c", whole.alias("__ok"), *[F.when(whole, F.col(n)).otherwise(0.0).alias(n) for n in columns])
+    # Apart from how the columns are made: spelled out in every test, they would be code too long for the compiler.
+    plain = cells.select("r", "c", *columns).repartition("r", "c")
+    filled = plain.select("r", "c", whole.alias("__ok"), *[F.when(whole, F.col(n)).otherwise(0.0).alias(n) for n in columns])
     return model.transform(filled).select("r", "c", F.when(F.col("__ok"), F.col("prediction")).otherwise(nodata).alias("prediction"))
 
 

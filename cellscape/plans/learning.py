@@ -79,9 +79,13 @@ for _name, _columns, _function in (("rgb_features", _CELL14, ops.rgb_features),
 
 
 def _scene_model(spark, sf_dir, columns):
-    """A model of three classes by NIR thirds of the scene."""
-    cells = ops.rgb_features(rgb(spark, sf_dir)).join(view(spark, sf_dir, "scene_cells").select("r", "c", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0), (F.col("nir") - 1500) / 1200))).cast("double").alias("label")), ["r", "c"]).dropna()
-    return ops.fit(cells, columns, "random_forest")
+    """A model of three classes by NIR thirds of the scene; its rows are dealt in parts, as each round of a forest reads them all."""
+    cells = rgb(spark, sf_dir)
+    # The scene has no gaps, so features beside those of the model leave out no row.
+    cells = cells.withColumn("brightness", (F.col("red") + F.col("green") + F.col("blue")) / 3.0) if set(columns) <= {"red", "green", "blue", "brightness"} else ops.rgb_features(cells)
+    label = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(2.0), (F.col("nir") - 1500) / 1200))).cast("double").alias("label")
+    rows = cells.select("r", "c", *columns).join(view(spark, sf_dir, "scene_cells").select("r", "c", label), ["r", "c"]).dropna()
+    return ops.fit(ops.dealt(rows, ["r", "c"]), columns, "random_forest")
 
 
 @query("predict_cells")
