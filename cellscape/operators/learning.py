@@ -204,7 +204,7 @@ def predict_cells(model: Transformer, cells: DataFrame, columns: Sequence[str],
     whole = F.lit(True)
     for n in columns:
         whole = whole & F.col(n).isNotNull() & ~F.isnan(n)
-    # Apart from how the columns are made: spelled out in every test, they would be code too long for the compiler.
+    # Only the plain columns are dealt; the tests for missing values come after.
     plain = cells.select("r", "c", *columns).repartition("r", "c")
     filled = plain.select("r", "c", whole.alias("__ok"), *[F.when(whole, F.col(n)).otherwise(0.0).alias(n) for n in columns])
     return model.transform(filled).select("r", "c", F.when(F.col("__ok"), F.col("prediction")).otherwise(nodata).alias("prediction"))
