@@ -62,3 +62,22 @@ def test_lists_of_copies_are_bounded(spark):
     # The 4,000 copies are dealt to 40 lists, about 100 keys each.
     whole = leaves.gathered(rows, "id", ["x"], most=100).filter("x = 1.0").select(F.size("id")).collect()
     assert len(whole) >= 35 and max(n for n, in whole) < 200
+
+
+@pytest.mark.parametrize("many", [(10, 37), (37, 10), (2, 5)])
+def test_files_of_pairs_of_copies_are_small(spark, tmp_path, many):
+    """Rows come as runs of one side's keys beside a repeated sequence of the other's."""
+    rng = random.Random(4)
+    layers = [[(k, x, x, x + 0.33, x + 0.27) for i, k in enumerate(rng.sample(range(10_000_000), 60 * n)) for x in [1.0 + i % 60 / 1000]] for n in many]
+    vector.boxes_that_meet(*(spark.createDataFrame(rows, BOXES) for rows in layers)).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    pairs = len(layers[0]) * len(layers[1])
+    assert got.count() == got.distinct().count() == pairs
+    if max(many) >= 10:
+        assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * pairs
+
+
+def test_more_rows_are_more_tasks(spark):
+    layers = [spark.range(400).selectExpr("id", "id % 40 + 0.05D as west", "0.05D as south", "id % 40 + 0.35D as east", "0.35D as north") for _ in range(2)]
+    got = vector.boxes_that_meet(*layers, 0.5, 20)
+    assert got.rdd.getNumPartitions() == 40 and got.count() == 4000
