@@ -81,3 +81,17 @@ def test_more_rows_are_more_tasks(spark):
     layers = [spark.range(400).selectExpr("id", "id % 40 + 0.05D as west", "0.05D as south", "id % 40 + 0.35D as east", "0.35D as north") for _ in range(2)]
     got = vector.boxes_that_meet(*layers, 0.5, 20)
     assert got.rdd.getNumPartitions() == 40 and got.count() == 4000
+
+
+@pytest.mark.parametrize("how", ["inner", "right"])
+def test_files_of_pairs_of_polygons_are_small(spark, tmp_path, how):
+    rng = random.Random(4)
+    ring = lambda x: [[(x, x), (x + 0.33, x), (x + 0.33, x + 0.27), (x, x + 0.27)]]
+    layers = [[(k, ring(1.0 + i % 60 / 1000)) for i, k in enumerate(rng.sample(range(10_000_000), 60 * n))] for n in (10, 37)]
+    layers[1].append((-1, ring(9.0)))
+    a, b = (spark.createDataFrame(rows, f"{n} long, rings array<array<struct<x: double, y: double>>>") for rows, n in zip(layers, "ab"))
+    vector.spatial_join(a, b, "a", "b", how).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    pairs = len(layers[0]) * (len(layers[1]) - 1)
+    assert got.count() == got.distinct().count() == pairs + (how == "right")
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * pairs
